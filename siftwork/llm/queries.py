@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing
+from . import bpe, chat, exact_dedup, jaccard, mixing, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,34 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+#: The rank file that the token queries use.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and the texts that they decode to, as digests."""
+    out = bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after three edits: an insertion, a deletion and a replacement."""
+    n = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
+    edit = lambda start, end, text: F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(text).alias("text"))
+    third, half, most = F.floor(n / 3), F.floor(n / 2), F.floor(n * 3 / 4)
+    edits = F.array(edit(third, third, " (edited 2026) "), edit(half, half + 17, ""), edit(most, most + 1, "n't\n"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
+    return token_counts.edited_counts(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose five-word shingles are alike."""
+    return jaccard.similar_groups(_table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -130,6 +159,9 @@ FROM laid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_token_counts": op4_token_counts,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_source_mix": op9_source_mix,
 }
