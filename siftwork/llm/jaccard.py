@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .scratch import kept, parts, small_batches
+from .scratch import held, kept, parts, small_batches
 from .shingles import WORDS, shingle_sets
 
 NUM, DEN = 75, 100
@@ -40,8 +40,6 @@ NUM, DEN = 75, 100
 COUNTERS, SLICES = 1 << 21, 64
 #: Longest multi-match, members of a list that still gives all its pairs, rounds of pivots before plain pairs.
 LONGEST, SHORT, ROUNDS = 4, 16, 4
-#: Tables of ids of up to so many rows are broadcast, larger ones are shuffled.
-BROADCAST_ROWS = 500_000
 _EPS = 1e-9
 
 
@@ -141,11 +139,6 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if a count shows that it is small enough; df must be cheap to count."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
     return den * F.least(a, b) >= num * F.greatest(a, b)
 
@@ -199,7 +192,7 @@ def jaccard_links(docs: DataFrame, table: DataFrame, id_col: str, text_col: str,
     star = long.where("d <> pivot").select(F.col("pivot").alias("a"), F.col("d").alias("b")).distinct()
     pairs = kept(short.unionByName(star).distinct(), "pairs")
 
-    needed = _held(kept(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "needed"))
+    needed = held(kept(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "needed"))
     texts = docs.select(F.col(id_col), F.col(text_col))
     sets = kept(set_table(texts.join(needed, texts[id_col] == needed["_id"], "left_semi"), id_col, text_col, size), "sets")
     found = kept(_verified(pairs, sets, num, den), "found")
@@ -239,11 +232,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = kept(prefix_table(docs, id_col, text_col, size, num, den), "prefixes")
     classes = kept(table.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     others = table.where("n > 0").select("id", "hi", "lo").join(classes.where("copies > 1"), ["hi", "lo"]).where("id <> rep").select("id").distinct()
-    others = _held(kept(others, "copies"))
+    others = held(kept(others, "copies"))
     links = jaccard_links(docs, table.join(others, "id", "left_anti"), id_col, text_col, size, num, den)
     roots = kept(components(links), "roots")
     groups = classes.join(roots, F.col("rep") == F.col("node"), "left").where("copies > 1 or node is not null")
-    groups = _held(kept(groups.select("hi", "lo", F.coalesce("root", "rep").alias("root")), "groups"))
+    groups = held(kept(groups.select("hi", "lo", F.coalesce("root", "rep").alias("root")), "groups"))
     heads = table.select("id", "hi", "lo", "n")
     grouped = heads.where("n > 0").join(groups, ["hi", "lo"], "left").select("id", "n", F.coalesce("root", "id").alias("component_id"))
     return grouped.unionByName(heads.where("n = 0").select("id", "n", F.col("id").alias("component_id"))).select(

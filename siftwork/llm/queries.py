@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fingerprint, jaccard, mixing, token_counts, toxicity
+from . import bpe, chat, exact_dedup, fingerprint, html_text, jaccard, mixing, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -169,6 +169,12 @@ FROM laid
 """
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    out = html_text.main_texts(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_byte_bpe": op3_byte_bpe,
@@ -178,5 +184,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_source_mix": op9_source_mix,
+    "op10_html_text": op10_html_text,
 }
 ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_source_mix": OP9_SQL}

@@ -6,9 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Batches hold whole texts, so the default of 10,000 rows would not bound memory.
 BATCH_ROWS = 256
+#: Tables of ids or counts with up to so many rows are broadcast, larger ones are shuffled.
+BROADCAST_ROWS = 500_000
 
 _own: list[tempfile.TemporaryDirectory] = []
 
@@ -41,3 +44,8 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if a count shows that it is small enough; df is narrow and cheap to count."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
