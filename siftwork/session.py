@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +21,10 @@ def session(app: str = "siftwork", cpus: int | str = 8, partitions: int = 8, dri
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers that see this checkout import the package, whatever folder they were started in."""
+    own, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    if own not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [own, env.get("PYTHONPATH", "")]))
