@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .scratch import kept
 
 #: Counters of a task's summary, and the candidates that are verified and broadcast.
@@ -77,6 +78,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keep_id is the largest id among the rows of equal text; that row, and one row only, has kept = true.
     """
+    ship(docs.sparkSession)
     table = kept(digests(docs, id_col, text_col), "digests")
     heavy = F.broadcast(kept(heavy_digests(table, slots, candidates), "heavy"))
     settled = table.join(heavy, "digest")

@@ -8,11 +8,15 @@ LONGEST, to where the estimated cost is least: the entries that its prefix meets
 least l entries can make, each of which costs a verification.
 
 Texts with equal word sequences are one class, and only the class with its smallest id joins. Lists of an element with
-up to SHORT documents give all their pairs. A longer list gives the pairs with its smallest document, the pivot; the
-likeness is a metric, so members whose distances from the pivot differ by more than 1 - NUM/DEN cannot be linked, and
-those linked with the pivot are in one component already. What is left is joined in the same way around new pivots,
-and after ROUNDS of them pair by pair: no link between different components is lost, and a group of near copies costs
-as many verifications as it has members. Verification intersects the whole sets, with whole numbers.
+up to SHORT documents give all their pairs. Documents that meet in longer lists are joined once more among themselves,
+with elements in exact order of their frequency there. The rarest element that a linked pair shares lies in both
+prefixes; if SHORT sets or fewer hold it, its list gives the pair. Otherwise the pair shares dense elements only, which
+bounds the sizes of the partners that either side has room for. A dense list gives the pairs with its pivot, the
+document that is met most; the likeness is a metric, so members whose distances from the pivot differ by more than
+1 - NUM/DEN are not linked, and those linked with the pivot are in one component already. What these bounds leave is
+verified, or joined in the same way around new pivots, and after ROUNDS of them pair by pair: no link between different
+components is lost, and a group of near copies costs about as many verifications as it has members. Verification
+intersects the whole sets, with whole numbers.
 
 Edge cases: null, empty and blank texts have empty sets and are linked with nothing; shorter texts give their whole
 sequence as one shingle; rows that repeat a doc_id are versions of that document and share its links; a null doc_id
@@ -37,9 +41,9 @@ from .shingles import WORDS, shingle_sets
 
 NUM, DEN = 75, 100
 #: Counters of the sketch (a power of two) and the slices in which they travel: its size does not depend on the corpus.
-COUNTERS, SLICES = 1 << 21, 64
+COUNTERS, SLICES = 1 << 24, 64
 #: Longest multi-match, members of a list that still gives all its pairs, rounds of pivots before plain pairs.
-LONGEST, SHORT, ROUNDS = 4, 16, 4
+LONGEST, SHORT, ROUNDS = 4, 17, 4
 _EPS = 1e-9
 
 
@@ -49,9 +53,10 @@ def _sketch_parts(size: int):
         for batch in batches:
             found = [s for _, s in shingle_sets(batch.column(0), size)]
             if found:
-                counts += np.bincount((np.concatenate(found) >> shift).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                at, often = np.unique(np.concatenate(found) >> shift, return_counts=True)
+                counts[at.astype(np.int64)] += often.astype(np.uint32)
         if counts.any():
-            cut = [zlib.compress(x.astype(np.uint64).tobytes(), 1) for x in np.split(counts, SLICES)]
+            cut = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
             yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array(cut, pa.binary())})
 
     return run
@@ -61,8 +66,10 @@ def _sketch_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(zlib.decompress(raw), np.uint64)
-            sums[k] = sums[k] + part if k in sums else part
+            part = np.frombuffer(zlib.decompress(raw), np.uint32)
+            total = sums[k] + part if k in sums else part
+            sums[k] = np.maximum(total, part)  # a sum that wraps around stays high
+
     raw = [zlib.compress(x.tobytes(), 1) for x in sums.values()]
     yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "counts": pa.array(raw, pa.binary())})
 
@@ -75,9 +82,9 @@ def shingle_sketch(docs: DataFrame, text_col: str = "text", size: int = WORDS) -
     small_batches(docs.sparkSession)
     schema = "slice int, counts binary"
     sums = docs.select(text_col).mapInArrow(_sketch_parts(size), schema).repartition(min(SLICES, parts(docs.sparkSession)), "slice").mapInArrow(_sketch_sums, schema)
-    out = np.zeros(COUNTERS, np.uint64)
+    out = np.zeros(COUNTERS, np.uint32)
     for row in sums.collect():
-        out[row["slice"] * (COUNTERS // SLICES) :][: COUNTERS // SLICES] = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
+        out[row["slice"] * (COUNTERS // SLICES) :][: COUNTERS // SLICES] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
     return out
 
 
@@ -104,7 +111,7 @@ def prefix_table(docs: DataFrame, id_col: str, text_col: str, size: int, num: in
     spark = docs.sparkSession
     sketch = shingle_sketch(docs, text_col, size)
     base = float(np.median(sketch)) + 3 * float(np.sqrt(np.median(sketch)))
-    shared = spark.sparkContext.broadcast(np.minimum(sketch, 2**32 - 1).astype(np.uint32))
+    shared = spark.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, shift = shared.value, np.uint64(64 - COUNTERS.bit_length() + 1)
@@ -156,18 +163,76 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     )
 
 
-def _listed(rows: DataFrame) -> DataFrame:
-    """rows (tok, d, ...) with their list's length c and pivot, and the up to SHORT members before them."""
+def _short_pairs(rows: DataFrame, most: int) -> DataFrame:
+    """Structs x, y for each pair of a list tok with up to most members; rows: tok, d and what the structs also hold."""
+    own = F.struct(*[c for c in rows.columns if c != "tok"])
     whole = Window.partitionBy("tok")
-    return rows.withColumn("c", F.count("*").over(whole)).withColumn("pivot", F.min("d").over(whole)).withColumn(
-        "earlier", F.when(F.col("c") <= SHORT + 1, F.collect_list(F.struct(*[c for c in rows.columns if c != "tok"])).over(whole.orderBy("d").rowsBetween(-SHORT, -1)))
-    )
+    rows = rows.select("tok", own.alias("y"), F.count("*").over(whole).alias("c"), F.collect_list(own).over(whole.orderBy("d").rowsBetween(-most, -1)).alias("earlier"))
+    return rows.where(F.col("c") <= most).select("y", F.explode("earlier").alias("x")).where("x.d < y.d")
 
 
-def _paired(rows: DataFrame) -> DataFrame:
-    """A row (x, y) of structs for each pair of a short list."""
-    own = F.struct(*[c for c in rows.columns if c not in ("tok", "c", "pivot", "earlier")])
-    return rows.where(F.col("c") <= SHORT + 1).select(own.alias("y"), F.explode("earlier").alias("x")).where("x.d < y.d")
+def exact_prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(tok, d, n, first, dense, room): prefixes by the exact document frequency within sets, without lone elements.
+
+    first: whether tok is in the shorter prefix that suffices towards documents of at least the same size; dense: whether
+    more than SHORT sets hold tok; room: the largest partner that d can be linked with by dense elements alone.
+    """
+    rows = sets.select(F.col("id").alias("d"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("tok"))
+    often = rows.groupBy("tok").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = rows.join(often, "tok", "left").groupBy("d", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "tok"))).alias("all"))
+    n, over = F.col("n"), num + den
+    least = F.call_function("div", num * n + den - 1, F.lit(den))
+    among_equals = F.call_function("div", 2 * num * n + over - 1, F.lit(over))
+    held_often = F.size(F.filter("all", lambda x: x["f"] > SHORT)).cast("long")
+    rows = ranked.select("d", "n", (F.call_function("div", over * held_often, F.lit(num)) - n).alias("room"), F.posexplode(F.slice("all", F.lit(1), (n - least + 1).cast("int"))).alias("at", "x"))
+    return rows.where("x.f > 1").select(F.col("x.tok").alias("tok"), "d", "n", (F.col("at") < n - among_equals + 1).alias("first"), (F.col("x.f") > SHORT).alias("dense"), "room")
+
+
+def _crowded_pairs(crowd: DataFrame, sets: DataFrame, num: int, den: int) -> list[DataFrame]:
+    """Links among documents that met in long lists: a join of its own, in exact order of frequency."""
+    width = 1 - num / den
+    rows = kept(exact_prefixes(sets, num, den), "exact")
+    x, y = F.col("x"), F.col("y")
+    small_first = (F.struct(x["n"], x["d"]) < F.struct(y["n"], y["d"])) & x["first"] | (F.struct(y["n"], y["d"]) < F.struct(x["n"], x["d"])) & y["first"]
+    sparse = _short_pairs(rows.where("not dense").select("tok", "d", "n", "first"), SHORT).where(small_first & _sizes_fit(x["n"], y["n"], num, den))
+    pairs = sparse.select(F.col("x.d").alias("a"), F.col("y.d").alias("b"))
+
+    # Pairs that share no sparse element: both must hold enough dense ones.
+    may = lambda n1, room1, n2, room2: (n2 <= room1) & (n1 <= room2) & _sizes_fit(n1, n2, num, den)
+    near = lambda p, q: F.abs(p - q) <= width + _EPS
+    dense = rows.where("dense").select("tok", "d", "n", "room")
+    met = dense.groupBy("d").agg(F.count("*").alias("met"))
+    dense = dense.join(met, "d").withColumn("pivot", -F.max(F.struct("met", (-F.col("d")).alias("d"))).over(Window.partitionBy("tok"))["d"])
+    dense = kept(dense, "dense")
+    pairs = pairs.unionByName(dense.where("d <> pivot").select(F.least("pivot", "d").alias("a"), F.greatest("pivot", "d").alias("b")))
+    found = kept(_verified(pairs.distinct(), sets, num, den), "found")
+    links = [found.where("linked").select("a", "b")]
+    for turn in range(ROUNDS + 1):
+        if not dense.take(1):
+            break
+        told = dense.where("d <> pivot").withColumn("a", F.least("pivot", "d")).withColumn("b", F.greatest("pivot", "d")).join(found, ["a", "b"])
+        told = kept(told.groupBy("tok", "d", "n", "room", "met").agg(F.min("distance").alias("distance"), F.max("linked").alias("linked")), "told")
+        whole = Window.partitionBy("tok")
+        told = told.withColumn("_least", F.min(F.when(F.col("linked"), F.col("n"))).over(whole)).withColumn("_room", F.max(F.when(~F.col("linked"), F.col("room"))).over(whole))
+        far = told.where("not linked")
+        outer = far.where((F.col("_least") <= F.col("room")) & (F.col("distance") <= 2 * width + _EPS)).select("tok", *[F.col(c).alias(f"{c}_y") for c in ("d", "n", "room", "distance")])
+        inner = told.where(F.col("linked") & (F.col("n") <= F.col("_room")))
+        fits = may(F.col("n"), F.col("room"), F.col("n_y"), F.col("room_y")) & near(F.col("distance"), F.col("distance_y"))
+        cross = inner.join(outer, "tok").where(fits).select(F.least("d", "d_y").alias("a"), F.greatest("d", "d_y").alias("b"))
+        # Of two that are far, the smaller must have room for its own size.
+        far = far.withColumn("_fits", F.max(F.when(F.col("room") >= F.col("n"), F.col("n"))).over(whole)).withColumn("_smallest", F.min(F.when(F.col("room") >= F.col("n"), F.col("n"))).over(whole))
+        far = far.where((F.col("room") >= F.col("n")) | (F.col("_smallest") <= F.col("room"))).select("tok", "d", "n", "room", "met", "distance")
+        rest = _short_pairs(far, SHORT).where(may(x["n"], x["room"], y["n"], y["room"]) & near(x["distance"], y["distance"])).select(F.col("x.d").alias("a"), F.col("y.d").alias("b"))
+        long = far.withColumn("_c", F.count("*").over(whole)).where(F.col("_c") > SHORT)
+        if turn < ROUNDS:
+            dense = kept(long.withColumn("pivot", -F.max(F.struct("met", (-F.col("d")).alias("d"))).over(whole)["d"]).drop("_c", "distance"), "dense")
+            more = dense.where("d <> pivot").select(F.least("pivot", "d").alias("a"), F.greatest("pivot", "d").alias("b"))
+        else:
+            other = long.select("tok", *[F.col(c).alias(f"{c}_y") for c in ("d", "n", "room", "distance")])
+            more = long.join(other, "tok").where((F.col("d") < F.col("d_y")) & fits).select(F.col("d").alias("a"), F.col("d_y").alias("b"))
+        found = kept(_verified(cross.unionByName(rest).unionByName(more).distinct(), sets, num, den), "found")
+        links.append(found.where("linked").select("a", "b"))
+    return links
 
 
 def jaccard_links(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
@@ -175,55 +240,26 @@ def jaccard_links(docs: DataFrame, table: DataFrame, id_col: str, text_col: str,
 
     table: what prefix_table() gives for docs, kept, with one row a class.
     """
-    width = 1 - num / den
-    n = lambda x: F.shiftright(x["nl"], 4)
     rows = table.where("n > 0 and id is not null").select(F.explode("prefix").alias("tok"), F.col("id").alias("d"), (F.col("n") * 16 + F.col("l")).alias("nl"))
     inlist = Window.partitionBy("tok").orderBy("d")
     rows = rows.withColumn("_before", F.lag("d").over(inlist)).withColumn("_after", F.lead("d").over(inlist))
     met = kept(rows.where("_before is not null or _after is not null").drop("_before", "_after"), "met")
-    lists = _listed(met)
     x, y = F.col("x"), F.col("y")
-    short = (
-        _paired(lists).where(_sizes_fit(n(x), n(y), num, den))
+    n = lambda c: F.shiftright(c["nl"], 4)
+    pairs = (
+        _short_pairs(met, SHORT).where(_sizes_fit(n(x), n(y), num, den))
         .groupBy(F.col("x.d").alias("a"), F.col("y.d").alias("b")).agg(F.count("*").alias("_shared"), F.min(F.least(x["nl"] % 16, y["nl"] % 16)).alias("_l"))
         .where("_shared >= _l").select("a", "b")
     )
-    long = kept(lists.where(F.col("c") > SHORT + 1).select("tok", "d", "nl", "pivot"), "long")
-    star = long.where("d <> pivot").select(F.col("pivot").alias("a"), F.col("d").alias("b")).distinct()
-    pairs = kept(short.unionByName(star).distinct(), "pairs")
-
-    needed = held(kept(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "needed"))
+    pairs = kept(pairs, "pairs")
+    crowd = kept(met.join(met.groupBy("tok").agg(F.count("*").alias("_c")).where(F.col("_c") > SHORT).select("tok"), "tok", "left_semi").select(F.col("d").alias("_id")).distinct(), "crowd")
+    needed = held(kept(pairs.select(F.explode(F.array("a", "b")).alias("_id")).unionByName(crowd).distinct(), "needed"))
     texts = docs.select(F.col(id_col), F.col(text_col))
     sets = kept(set_table(texts.join(needed, texts[id_col] == needed["_id"], "left_semi"), id_col, text_col, size), "sets")
-    found = kept(_verified(pairs, sets, num, den), "found")
-    links = [found.where("linked").select("a", "b")]
-
-    for turn in range(ROUNDS + 1):
-        if not long.take(1):
-            break
-        told = long.join(found, (F.col("pivot") == F.col("a")) & (F.col("d") == F.col("b"))).select("tok", "d", "nl", "distance", "linked")
-        told = kept(told.groupBy("tok", "d").agg(F.first("nl").alias("nl"), F.min("distance").alias("distance"), F.max("linked").alias("linked")), "told")
-        far = told.where("not linked").drop("linked")
-        near = far.where(F.col("distance") <= 2 * width + _EPS).select("tok", *[F.col(c).alias(f"{c}_y") for c in ("d", "nl", "distance")])
-        close = lambda p, q: F.abs(p - q) <= width + _EPS
-        cross = told.where("linked").join(near, "tok").where(close(F.col("distance"), F.col("distance_y")) & _sizes_fit(F.shiftright("nl", 4), F.shiftright("nl_y", 4), num, den))
-        cross = cross.select(F.least("d", "d_y").alias("a"), F.greatest("d", "d_y").alias("b"))
-        lists = _listed(far)
-        rest = _paired(lists).where(close(x["distance"], y["distance"]) & _sizes_fit(n(x), n(y), num, den)).select(F.col("x.d").alias("a"), F.col("y.d").alias("b"))
-        long = lists.where(F.col("c") > SHORT + 1).select("tok", "d", "nl", "distance", "pivot")
-        if turn < ROUNDS:
-            long = kept(long.drop("distance"), "long")
-            more = long.where("d <> pivot").select(F.col("pivot").alias("a"), F.col("d").alias("b"))
-        else:
-            other = long.select("tok", *[F.col(c).alias(f"{c}_y") for c in ("d", "nl", "distance")])
-            more = long.join(other, "tok").where((F.col("d") < F.col("d_y")) & close(F.col("distance"), F.col("distance_y")) & _sizes_fit(F.shiftright("nl", 4), F.shiftright("nl_y", 4), num, den))
-            more = more.select(F.col("d").alias("a"), F.col("d_y").alias("b"))
-        found = kept(_verified(cross.unionByName(rest).unionByName(more).distinct(), sets, num, den), "found")
-        links.append(found.where("linked").select("a", "b"))
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    links = _verified(pairs, sets, num, den).where("linked").select("a", "b")
+    for more in _crowded_pairs(crowd, sets.join(held(crowd), F.col("id") == F.col("_id"), "left_semi"), num, den) if crowd.take(1) else []:
+        links = links.unionByName(more)
+    return links.distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:

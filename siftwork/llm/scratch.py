@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Rows in one Arrow batch. Batches hold whole texts, so the default of 10,000 rows would not bound memory.
 BATCH_ROWS = 256
 #: Tables of ids or counts with up to so many rows are broadcast, larger ones are shuffled.
@@ -34,7 +36,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds what one Arrow batch holds, unless the session has a smaller bound already."""
+    """Bounds what one Arrow batch holds, unless the session has a smaller bound already, and lets workers import this."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
