@@ -83,24 +83,15 @@ def apportion(parties: DataFrame, votes: str, seats: Column, group: list[str], o
     return summed.select(*all_of, (F.col("_base") + F.signum("_off").cast("long") * F.col("_won")).alias(name))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2, block: int = BLOCK, seed: str = "mix") -> DataFrame:
-    """One row for each document: id_col, size, source, source_size, target, rounds, first_word, shard_size, blocks,
-    extra, stride, shift, taken; taken is the number of its words in the mix, repeats counted.
-
-    The block of word w of a shard (first_word on are the document's) is w * blocks div shard_size; it is taken rounds
-    times, and once more if taken_extra(block) holds.
-    """
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, max_repeats: int, block: int, seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sizes, quotas, cells): the size of each row; blocks and shards of each source; blocks and rounds of each shard."""
     sizes = kept(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     sources = kept(targets_of(sizes, weights, share, float(max_repeats)), "targets")
     count = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block)
     shards = F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("source_docs") / SHARD_DOCS), F.lit(1)).cast("long")
-    quotas = kept(apportion(sources, "target", count, [], [F.col("source").asc_nulls_last()], "quota").withColumn("shards", shards), "quotas")
-    n, longest = quotas.agg(F.count("*"), F.coalesce(F.max(F.length("source")), F.lit(0))).first()
-    quotas = quotas.withColumnRenamed("source", "_source")
-    rows = sizes.join(F.broadcast(quotas) if n <= SOURCES and longest <= NAME_CHARS else quotas, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("_order", seeded(seed, F.col("id"))).withColumn("shard", F.col("_order") % F.col("shards"))
-
-    cells = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.max("quota").alias("quota"))
+    quotas = apportion(sources, "target", count, [], [F.col("source").asc_nulls_last()], "quota").withColumn("shards", shards)
+    quotas = kept(quotas.withColumnRenamed("source", "_source"), "quotas")
+    cells = _dealt(sizes, quotas, seed).groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.max("quota").alias("quota"))
     cells = cells.withColumn("blocks", F.when(F.col("shard_size") > 0, F.greatest(F.round(F.col("shard_size") / block), F.lit(1))).otherwise(0).cast("long"))
     cells = apportion(cells, "blocks", F.col("quota"), ["source"], [F.col("shard")], "quota_shard")
     cells = cells.withColumn("quota_shard", F.least("quota_shard", max_repeats * F.col("blocks")))
@@ -112,16 +103,58 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.element_at(F.array(*[F.lit(s) for s in STRIDES]), (mark % len(STRIDES) + 1).cast("int")).cast("long").alias("stride"),
         F.when(F.col("blocks") > 0, mark % F.col("blocks")).otherwise(0).alias("shift"),
     )
+    return sizes, quotas, kept(cells, "cells")
+
+
+def _dealt(rows: DataFrame, quotas: DataFrame, seed: str) -> DataFrame:
+    """rows (id, source, size, ...) with what their source gets, their place in the seeded order and their shard."""
+    n, longest = quotas.agg(F.count("*"), F.coalesce(F.max(F.length("_source")), F.lit(0))).first()
+    small = n <= SOURCES and longest <= NAME_CHARS
+    rows = rows.join(F.broadcast(quotas) if small else quotas, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return rows.withColumn("_order", seeded(seed, F.col("id"))).withColumn("shard", F.col("_order") % F.col("shards"))
+
+
+def _laid_out(rows: DataFrame, quotas: DataFrame, cells: DataFrame, seed: str) -> DataFrame:
+    """rows with the position of their first word in their shard, with what their shard gets, and with taken."""
     before = Window.partitionBy("source", "shard").orderBy("_order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("first_word", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
+    rows = _dealt(rows, quotas, seed).withColumn("first_word", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
     rows = rows.join(cells, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
     more = F.when((F.col("size") > 0) & (F.col("extra") > 0), F.aggregate(extra_spans(), F.lit(0).cast("long"), lambda total, s: total + s["to"] - s["from"])).otherwise(0)
-    return rows.select(
-        F.col("id").alias(id_col), "size", "source", "source_size", "target", "rounds", "first_word", "shard_size", "blocks", "extra", "stride", "shift",
-        (F.col("size") * F.col("rounds") + more).cast("long").alias("taken"),
+    return rows.withColumn("taken", (F.col("size") * F.col("rounds") + more).cast("long"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2, block: int = BLOCK, seed: str = "mix") -> DataFrame:
+    """One row for each document: id_col, size, source, source_size, target, rounds, first_word, shard_size, blocks,
+    extra, stride, shift, taken; taken is the number of its words in the mix, repeats counted.
+
+    The block of word w of a shard (first_word on are the document's) is w * blocks div shard_size; it is taken rounds
+    times, and once more if (number * stride + shift) mod blocks < extra.
+    """
+    sizes, quotas, cells = _plan(docs, id_col, text_col, source_col, weights, share, max_repeats, block, seed)
+    return _laid_out(sizes, quotas, cells, seed).select(
+        F.col("id").alias(id_col), "size", "source", "source_size", "target", "rounds", "first_word", "shard_size", "blocks", "extra", "stride", "shift", "taken"
     )
 
 
+def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2, block: int = BLOCK, seed: str = "mix") -> DataFrame:
+    """The mix itself: docs, all columns, with the text that is taken of each; documents of which nothing is go.
+
+    Whole rounds repeat the text as it is, a line break between; words of further blocks follow, one space between.
+    """
+    _, quotas, cells = _plan(docs, id_col, text_col, source_col, weights, share, max_repeats, block, seed)
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row.alias("_row"))
+    rows = _laid_out(rows, quotas, cells, seed).where("taken > 0")
+    text = F.col("_row").getField(text_col)
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    spans = F.when(F.col("extra") > 0, F.filter(extra_spans(), lambda s: s["to"] > s["from"]))
+    rows = rows.withColumn("_words", F.when(F.size(spans) > 0, words)).withColumn("_spans", spans)
+    cut = F.transform("_spans", lambda s: F.array_join(F.slice("_words", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")), " "))
+    pieces = F.concat(F.array_repeat(text, F.col("rounds").cast("int")), F.when(F.size("_spans") > 0, F.array(F.array_join(cut, " "))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("_text", F.array_join(pieces, "\n"))
+    return rows.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
 def extra_spans() -> Column:
     """array<struct<from, to>>: the words of a document, from 0, that lie in blocks taken once more than rounds says."""
     size, first, whole, blocks = F.col("size"), F.col("first_word"), F.col("shard_size"), F.col("blocks")
