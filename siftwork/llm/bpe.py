@@ -19,6 +19,7 @@ read, so other columns cannot clash.
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 from collections.abc import Iterable, Iterator
 
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from .scratch import small_batches
 
 #: Characters of the texts of a block; pre-tokens and their bytes that a worker keeps from block to block.
-BLOCK_CHARS, KNOWN_WORDS, KNOWN_BYTES = 4_000_000, 500_000, 16_000_000
+BLOCK_CHARS, KNOWN_WORDS, KNOWN_BYTES = 4_000_000, 1_000_000, 32_000_000
 _SHIFT = 24
 
 
@@ -157,9 +158,15 @@ class Encoder:
                 else:
                     known[word] = b""
                     new.append((word, raw))
-        for (word, raw), ids in zip(new, replay([raw for _, raw in new], self.vocabulary), strict=True):
-            known[word] = np.array(ids, np.int32).tobytes()
-            self.known_bytes += len(raw)
+        collects = gc.isenabled()
+        gc.disable()  # the index is many small lists without cycles
+        try:
+            for (word, raw), ids in zip(new, replay([raw for _, raw in new], self.vocabulary), strict=True):
+                known[word] = np.array(ids, np.int32).tobytes()
+                self.known_bytes += len(raw)
+        finally:
+            if collects:
+                gc.enable()
 
     def forget(self) -> None:
         """Drops what is known if it is more than a worker may keep."""
