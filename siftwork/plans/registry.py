@@ -4,7 +4,536 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import numbers, paths, text
+from ..operators import chunking, context, evaluate, indexing, review, scan, search, usage
+from ..sources import tables
+from ..sources.tables import CLIENT_PATH_SQL, ISSUES_SQL, NODE_RUNS_SQL, PATH_SQL, PREDICTED_SQL, TRUTH_SQL, files, issues, node_runs, predicted_spans, query_set, truth_spans, vectors
+from ..streaming import events as streams
+from . import workflow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name, with the SQL for the same rows."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _list(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+# --- scan ------------------------------------------------------------------------------------------------------------
+
+FILES = f"""files AS (SELECT doc_id AS file_id, source AS project, lang AS language, {PATH_SQL} AS path, {CLIENT_PATH_SQL} AS client_path,
+  coalesce(text, '') AS text, strlen(coalesce(text, '')) AS size FROM documents)"""
+CLASSIFIED = f"""{FILES}, named AS (
+  SELECT *, lower(path) AS p, string_split(lower(path), '/')[-1] AS name, string_split(lower(path), '/')[:-2] AS dirs FROM files
+), typed AS (
+  SELECT *, CASE WHEN ends_with(name, '.java') THEN 'java' WHEN ends_with(name, '.py') THEN 'python' END AS scan_language, regexp_replace(name, '\\.[^.]+$', '') AS stem FROM named
+), judged AS (
+  SELECT *, CASE WHEN list_has_any(dirs, [{_list(paths.EXCLUDED_IN_SCAN)}]) THEN 'EXCLUDED_PATH' WHEN name IN ({_list(paths.LOCK_FILES)}) THEN 'LOCK_FILE'
+    WHEN name IN ({_list(paths.GENERATED_NAMES)}) OR regexp_matches(name, '\\.(designer\\.java|generated\\.java|generated\\.py|min\\.java|min\\.py)$') THEN 'GENERATED_FILE'
+    WHEN scan_language IS NULL THEN 'UNSUPPORTED_FILE_TYPE' WHEN size > 1048576 THEN 'SINGLE_FILE_SIZE_EXCEEDED' END AS reason,
+    CASE WHEN list_has_any(dirs, [{_list(paths.LOW_PRIORITY)}]) OR starts_with(name, 'test_') THEN 'low'
+      WHEN list_has_any(dirs, [{_list(paths.HIGH_PRIORITY)}]) OR list_has_any(string_split(replace(stem, '-', '_'), '_'), [{_list(paths.HIGH_PRIORITY)}]) THEN 'high' ELSE 'medium' END AS level,
+    length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 0 ELSE 1 END AS lines
+  FROM typed
+)"""
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.classify(files(spark, sf_dir).withColumn("lines", text.lines_scanned(F.col("text"))))
+
+
+@query(f"WITH {CLASSIFIED} SELECT file_id, path, scan_language, reason, CASE WHEN reason IS NULL THEN level END AS priority FROM judged")
+def scan_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir).select("file_id", "path", "scan_language", "reason", "priority")
+
+
+@query(f"""WITH {CLASSIFIED}, r AS (SELECT DISTINCT path FROM files WHERE file_id % 10 <> 9 UNION SELECT DISTINCT concat('gone/', file_id, '.py') FROM files WHERE file_id % 50 = 3),
+p AS (SELECT path, min(reason) AS reason FROM judged WHERE file_id % 10 <> 7 GROUP BY path),
+j AS (SELECT r.path IS NOT NULL AS reg, p.path IS NOT NULL AS disc, CASE WHEN p.path IS NULL THEN 'failed' WHEN r.path IS NULL OR reason IS NOT NULL THEN 'skipped' ELSE 'included' END AS status FROM r FULL JOIN p ON r.path = p.path)
+SELECT count_if(reg) AS registered, count_if(disc) AS discovered, count_if(reg AND status = 'included') AS included, count_if(reg AND status = 'skipped') AS skipped,
+  count_if(status = 'failed') AS failed, CASE WHEN count_if(reg) = 0 THEN 1.0 ELSE count_if(reg AND status = 'included')::DOUBLE / count_if(reg) END AS coverage FROM j""")
+def scan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered: nine files of ten, and some that are gone; found: nine of ten, others."""
+    f = files(spark, sf_dir)
+    registered = f.where("file_id % 10 <> 9").select("path").union(f.where("file_id % 50 = 3").select(F.concat(F.lit("gone/"), "file_id", F.lit(".py"))))
+    physical = f.where("file_id % 10 <> 7").groupBy("path").agg(F.min("size").alias("size"))
+    return scan.coverage(scan.reconcile(registered, physical))
+
+
+@query(f"WITH {CLASSIFIED} SELECT project, scan_language AS language, count(*) AS files, sum(lines)::BIGINT AS lines, sum(size)::BIGINT AS bytes FROM judged WHERE reason IS NULL GROUP BY ALL")
+def language_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.language_stats(_scanned(spark, sf_dir).where("reason IS NULL"), ["project"])
+
+
+@query(f"WITH {CLASSIFIED}, c AS (SELECT project, scan_language AS language, count(*) AS n FROM judged WHERE reason IS NULL GROUP BY ALL) SELECT DISTINCT ON (project) project, language AS main_language FROM c ORDER BY project, n DESC, language")
+def main_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.main_language(scan.language_stats(_scanned(spark, sf_dir).where("reason IS NULL"), ["project"]), ["project"])
+
+
+@query(f"WITH {CLASSIFIED}, c AS (SELECT project, scan_language AS language, count(*) AS n, min(file_id) AS place FROM judged WHERE scan_language IS NOT NULL GROUP BY ALL) SELECT DISTINCT ON (project) project, language AS main_language FROM c ORDER BY project, n DESC, place")
+def upload_main_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _scanned(spark, sf_dir).select("project", F.col("scan_language").alias("language"), F.col("file_id").alias("position"))
+    return scan.first_main_language(m, ["project"])
+
+
+@query(f"WITH {CLASSIFIED} SELECT count_if(level = 'high') AS high, count_if(level = 'medium') AS medium, count_if(level = 'low') AS low FROM judged WHERE reason IS NULL")
+def priority_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.priority_histogram(_scanned(spark, sf_dir).where("reason IS NULL"))
+
+
+SAFE = f"""{FILES}, cut AS (SELECT *, string_split(client_path, '/') AS parts FROM files), checked AS (
+  SELECT *, client_path <> '' AND NOT starts_with(client_path, '/') AND NOT contains(client_path, '\\') AND NOT list_has_any(parts, ['', '.', '..']) AS safe_relative,
+    client_path = trim(client_path) AND NOT contains(client_path, '\\') AND length(client_path) <= 512 AND client_path <> '' AND NOT list_has_any(parts, ['', '.', '..'])
+      AND NOT regexp_matches(client_path, '[ .](/|$)') AND NOT regexp_matches(client_path, '[<>:"|?*]')
+      AND NOT list_has_any(list_transform(parts, lambda x: lower(string_split(x, '.')[1])), [{_list(paths.RESERVED_STEMS)}]) AS portable,
+    list_has_any(list_transform(parts[:-2], lambda x: lower(x)), [{_list(paths.EXCLUDED_IN_UPLOAD)}]) AS excluded FROM cut)"""
+
+
+@query(f"WITH {SAFE} SELECT file_id, client_path, safe_relative, portable, excluded FROM checked")
+def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.path_safety(files(spark, sf_dir)).select("file_id", "client_path", "safe_relative", "portable", "excluded")
+
+
+@query(f"""WITH {SAFE}, s AS (SELECT project, size, portable AND NOT excluded AND regexp_matches(lower(client_path), '\\.(py|java)$') AND size <= 1048576 AS ok FROM checked)
+SELECT project, count(*) AS files, count_if(ok) AS accepted, count_if(NOT ok) AS rejected, sum(size)::BIGINT AS declared_bytes, coalesce(sum(size) FILTER (ok), 0)::BIGINT AS accepted_bytes FROM s GROUP BY project""")
+def manifest_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = files(spark, sf_dir).withColumn("status", scan.manifest_status(F.col("client_path"), F.col("size")))
+    return scan.manifest_rollup(m, ["project"])
+
+
+@query(f"WITH {FILES} SELECT project, lower(client_path) AS folded_path, count(*) AS copies FROM files GROUP BY ALL HAVING count(*) > 1")
+def manifest_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.duplicate_paths(files(spark, sf_dir), ["project"])
+
+
+@query(f"WITH {FILES} SELECT file_id, path FROM files WHERE path = 'src/core' OR starts_with(path, 'src/core/') OR starts_with(path, 'db/')")
+def path_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).where(paths.below(F.col("path"), [" src\\core/ ", "db", "", "db"])).select("file_id", "path")
+
+
+# --- text and chunks -------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT doc_id AS file_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(coalesce(text, ''), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+', ' ', 'g')) AS words FROM documents""")
+def identifier_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).select("file_id", text.split_identifier(F.col("text")).alias("words"))
+
+
+@query(f"""WITH {FILES}, w AS (SELECT *, trim(regexp_replace(lower(regexp_replace(regexp_replace(path, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+', ' ', 'g')) AS words FROM files)
+SELECT file_id, sha256(path || chr(10) || words || chr(10) || text) AS search_sha256 FROM w""")
+def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = text.search_text([F.col("path"), F.lit(""), F.lit(None).cast("string")], F.col("text"))
+    return files(spark, sf_dir).select("file_id", F.sha2(made.cast("binary"), 256).alias("search_sha256"))
+
+
+WINDOWS = f"""{FILES}, l AS (SELECT file_id, path, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS lines FROM files WHERE text <> ''),
+o AS (SELECT *, unnest(range(0, greatest(len(lines) - 2, 0) + 1, 4)) AS o FROM l),
+w AS (SELECT file_id, path, o // 4 + 1 AS part, o + 1 AS start_line, least(o + 5, len(lines)) AS end_line, lines[o + 1:o + 5] AS own FROM o),
+h AS (SELECT *, sha256(trim(array_to_string(list_transform(own, lambda x: rtrim(x, ' ' || chr(9) || chr(13))), chr(10)), ' ' || chr(9) || chr(10) || chr(13))) AS content_hash FROM w)"""
+
+
+@query(f"WITH {WINDOWS} SELECT file_id, part, start_line, end_line, content_hash, sha256(concat(path, chr(0), '<fallback:', start_line, '>', chr(0), start_line, chr(0), end_line, chr(0), content_hash)) AS chunk_fingerprint FROM h")
+def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.line_windows(files(spark, sf_dir), "file_id", "path", "text", 5, 1)
+    return rows.select("file_id", "part", "start_line", "end_line", "content_hash", "chunk_fingerprint")
+
+
+@query(f"""WITH {FILES} SELECT file_id, greatest(1, ceil(length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / 4.0)::BIGINT + length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'))) AS estimate,
+size::BIGINT AS bytes, (length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' THEN 1 ELSE 0 END)::BIGINT AS lines_cited FROM files""")
+def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return files(spark, sf_dir).select("file_id", text.token_estimate(t).alias("estimate"), text.token_bytes(t).alias("bytes"), text.lines_cited(t).alias("lines_cited"))
+
+
+@query(f"""WITH {FILES}, c AS (SELECT file_id, project, sha256(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS h FROM files), x AS (SELECT project, h, min(file_id) AS first FROM c WHERE file_id % 3 <> 0 GROUP BY ALL)
+SELECT c.file_id, x.first AS reused_from FROM c LEFT JOIN x USING (project, h)""")
+def embedding_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the files are indexed; each file takes the embedding of the first indexed one with equal text."""
+    c = files(spark, sf_dir).select("file_id", "project", F.sha2(text.strip(F.col("text")).cast("binary"), 256).alias("content_hash"))
+    indexed = c.where("file_id % 3 <> 0").select("project", "content_hash", F.col("file_id").alias("chunk_id"), F.array(F.lit(0.0)).alias("embedding"))
+    return indexing.reuse(c, indexed, ["project", "content_hash"]).select("file_id", "reused_from")
+
+
+@query(f"WITH {FILES} SELECT file_id, NOT coalesce(file_id % 5 = 0 AND text <> '', false) AND text <> '' AS current FROM files WHERE text <> ''")
+def file_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth file lost its first chunk in the index, so it is not current."""
+    c = chunking.line_windows(files(spark, sf_dir), "file_id", "path", "text", 5, 1).withColumn("version", F.lit("1"))
+    c = c.select("file_id", "chunk_fingerprint", "content_hash", "version", "part")
+    return indexing.current_files(c.drop("part"), c.where("NOT (file_id % 5 = 0 AND part = 1)").drop("part"))
+
+
+# --- retrieval -------------------------------------------------------------------------------------------------------
+
+QUERY_ROWS = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {v})" for i, t, v in tables.QUERY_SET) + ") t(query_id, query, vec_id))"
+KEYWORD = f"""{QUERY_ROWS}, terms AS (SELECT query_id, lower(string_split(query, ' ')[1]) AS term FROM q WHERE trim(query) <> ''),
+kw AS (SELECT query_id, file_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM (
+  SELECT query_id, doc_id AS file_id, (length(lower(text)) - length(replace(lower(text), term, '')))::DOUBLE / length(term) / 100 AS score FROM documents, terms WHERE lower(text) LIKE '%' || term || '%')) WHERE rank <= 30)"""
+VECTOR = """vec AS (SELECT query_id, file_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, file_id) AS rank FROM (
+  SELECT query_id, e.vec_id AS file_id, list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings e, q JOIN embeddings v ON v.vec_id = q.vec_id WHERE trim(query) <> '')) WHERE rank <= 30)"""
+SYMBOL = f"sym AS (SELECT query_id, file_id, 0.01 AS score, rank FROM (SELECT query_id, doc_id AS file_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM documents, terms WHERE {PATH_SQL} ILIKE '%' || term || '%') WHERE rank <= 30)"
+FUSED = f"""{KEYWORD}, {VECTOR}, {SYMBOL}, kws AS (SELECT * FROM kw UNION ALL SELECT * FROM sym WHERE query_id NOT IN (SELECT query_id FROM kw UNION SELECT query_id FROM vec)),
+f AS (SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.file_id, k.file_id) AS file_id, v.rank AS vector_rank, k.rank AS keyword_rank,
+  coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + k.rank), 0) AS rrf_score FROM vec v FULL JOIN kws k ON v.query_id = k.query_id AND v.file_id = k.file_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, vector_rank NULLS LAST, keyword_rank) AS rank FROM f)"""
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).withColumnRenamed("text", "search_text")
+
+
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).select("file_id", F.col("path").alias("symbol_name"), F.col("path").alias("qualified_name"))
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return search.hybrid(v, _docs(spark, sf_dir), _symbols(spark, sf_dir), query_set(spark, sf_dir))
+
+
+@query(f"WITH {KEYWORD} SELECT query_id, file_id, round(score, 6) AS score, rank FROM kw")
+def keyword_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.keyword_fallback(_docs(spark, sf_dir), query_set(spark, sf_dir)).select("query_id", "file_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {QUERY_ROWS}, t AS (SELECT query_id, list_distinct(list_filter(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) AS wanted FROM q),
+d AS (SELECT doc_id AS file_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) AS have FROM documents)
+SELECT query_id, file_id, len(have) AS n_tokens FROM d, t WHERE len(wanted) > 0 AND list_has_all(have, wanted)""")
+def keyword_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.keyword_all_terms(_docs(spark, sf_dir), query_set(spark, sf_dir))
+
+
+@query(f"""WITH {QUERY_ROWS}, t AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) AS token FROM q),
+d AS (SELECT doc_id AS file_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS words FROM documents), a AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM d),
+h AS (SELECT token, file_id, len(words) AS length, len(list_filter(words, lambda w: w = token)) AS tf FROM d, (SELECT DISTINCT token FROM t) WHERE list_contains(words, token)),
+f AS (SELECT token, count(*) AS df FROM h GROUP BY token),
+s AS (SELECT query_id, file_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM h JOIN f USING (token) JOIN t USING (token), a GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, file_id) AS rank FROM s)
+SELECT query_id, file_id, round(score, 6) AS score FROM r WHERE rank <= 30""")
+def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25(_docs(spark, sf_dir), query_set(spark, sf_dir)).select("query_id", "file_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {KEYWORD}, {SYMBOL} SELECT query_id, file_id, rank FROM sym")
+def symbol_ilike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.symbol_search(_symbols(spark, sf_dir), query_set(spark, sf_dir)).select("query_id", "file_id", "rank")
+
+
+@query(f"WITH {QUERY_ROWS}, {VECTOR} SELECT query_id, file_id, round(score, 6) AS score FROM vec")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = query_set(spark, sf_dir).where(text.strip(F.col("query")) != "")
+    return search.vector_search(vectors(spark, sf_dir), asked).select("query_id", "file_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {FUSED} SELECT query_id, file_id, vector_rank, keyword_rank, round(rrf_score, 9) AS rrf_score, rank FROM r WHERE rank <= 10")
+def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir).where("selected").select("query_id", "file_id", "vector_rank", "keyword_rank", F.round("rrf_score", 9).alias("rrf_score"), "rank")
+
+
+@query(f"""WITH {FUSED} SELECT q.query_id, sha256(trim(q.query)) AS query_hash, file_id, vector_rank, keyword_rank, CASE WHEN rank <= 10 THEN round(rrf_score, 9) END AS rrf_score, coalesce(rank <= 10, false) AS selected
+FROM q LEFT JOIN r USING (query_id) WHERE trim(q.query) <> ''""")
+def retrieval_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.trace(query_set(spark, sf_dir), _hybrid(spark, sf_dir)).withColumn("rrf_score", F.round("rrf_score", 9))
+
+
+@query(f"""WITH {KEYWORD}, {VECTOR}, {SYMBOL}, c AS (SELECT query_id, NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = q.vec_id) AS nv, query_id IN (SELECT query_id FROM vec) AS v, query_id IN (SELECT query_id FROM kw) AS k, query_id IN (SELECT query_id FROM sym) AS s FROM q WHERE trim(query) <> '')
+SELECT query_id, concat_ws('|', CASE WHEN nv THEN 'embedding_failed' END, CASE WHEN NOT v AND NOT k AND s THEN 'symbol_ilike_fallback' END, CASE WHEN NOT v AND NOT k AND NOT s THEN 'symbol_ilike_no_match' END, CASE WHEN NOT v AND NOT k AND NOT s THEN 'no_results' END) AS degradation FROM c""")
+def degradation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = query_set(spark, sf_dir)
+    asked = q.where(text.strip(F.col("query")) != "")
+    return search.degradations(q, search.vector_search(vectors(spark, sf_dir), asked), search.keyword_fallback(_docs(spark, sf_dir), asked), search.symbol_search(_symbols(spark, sf_dir), asked))
+
+
+@query(f"""WITH {QUERY_ROWS}, {VECTOR}, n AS (SELECT query_id, file_id, rank FROM vec), e AS (SELECT v.vec_id AS id, v.label FROM embeddings v),
+x AS (SELECT query_id, count(*) FILTER (same AND rank <= 10)::DOUBLE AS hit FROM (SELECT n.query_id, n.rank, e.label = w.label AS same FROM n JOIN e ON e.id = n.file_id JOIN q USING (query_id) JOIN e w ON w.id = q.vec_id) GROUP BY query_id)
+SELECT query_id, round(hit / 10, 9) AS recall FROM x""")
+def index_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the first ten neighbours that have the query's label, as recall of those ten."""
+    q = query_set(spark, sf_dir).where(text.strip(F.col("query")) != "")
+    found = search.vector_search(vectors(spark, sf_dir), q, 10)
+    ids = {i: v for i, _, v in tables.QUERY_SET}
+    named = q.select("query_id", F.element_at(F.create_map(*[F.lit(x) for p in ids.items() for x in p]), F.col("query_id")).alias("own"))
+    v = vectors(spark, sf_dir).select("file_id", "label")
+    labelled = found.join(v, "file_id").join(F.broadcast(named), "query_id").join(v.select(F.col("file_id").alias("own"), F.col("label").alias("wanted")), "own")
+    per = labelled.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "file_id", (F.col("label") == F.col("wanted")).alias("same")))).alias("all"))
+    ranked = F.transform("all", lambda x: F.when(x["same"], x["file_id"]).otherwise(-x["file_id"] - 1))
+    return per.select("query_id", F.round(search.recall_at_k(F.transform("all", lambda x: x["file_id"]), ranked, 10), 9).alias("recall"))
+
+
+@query(f"""WITH {FUSED}, c AS (SELECT query_id, rank, file_id, {PATH_SQL} AS path, text FROM r JOIN documents d ON d.doc_id = r.file_id WHERE rank <= 10),
+x AS (SELECT query_id, rank, concat('### ', path, ':1-', length(text) - length(replace(text, chr(10), '')) + 1, chr(10), 'symbol: ', path, chr(10), text) AS block FROM c)
+SELECT query_id, sha256(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS context_sha256, count(*) AS blocks FROM x GROUP BY query_id""")
+def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context of each query from its selected files, without a token budget."""
+    f = files(spark, sf_dir)
+    chosen = _hybrid(spark, sf_dir).where("selected").select("query_id", "rank", "file_id")
+    chunks = f.join(F.broadcast(chosen), "file_id").withColumnRenamed("file_id", "chunk_id")
+    none = spark.createDataFrame([], "chunk_id long, symbol_id long, symbol_name string, qualified_name string")
+    out = context.related(chunks, none, spark.createDataFrame([], "source_symbol long, target_symbol long, target string, relation string"))
+    block = context.block_text(F.col("path"), F.lit(1), text.lines_cited(F.col("text")), F.col("path"), F.col("related"), F.col("text"))
+    out = out.select("query_id", "rank", block.alias("block"), F.lit(True).alias("kept"))
+    return context.assembled(out, "query_id", "rank", "block").join(out.groupBy("query_id").agg(F.count("*").alias("blocks")), "query_id").select("query_id", F.sha2(F.col("context").cast("binary"), 256).alias("context_sha256"), "blocks")
+
+
+@query()
+def context_budget_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which selected files fit a budget of 2,000 tokens, in order of rank."""
+    chosen = _hybrid(spark, sf_dir).where("selected").select("query_id", "rank", "file_id")
+    rows = files(spark, sf_dir).join(F.broadcast(chosen), "file_id").select("query_id", "rank", "file_id", text.token_estimate(F.col("text")).alias("tokens"))
+    return context.within_budget(rows, "query_id", "rank", "tokens", 2000)
+
+
+# --- review ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {FILES}, i AS (SELECT file_id AS issue_id, project, path, CASE WHEN file_id % 7 = 0 THEN 0 ELSE 1 END AS s, CASE WHEN file_id % 5 = 0 THEN 999999 ELSE 1 END AS e,
+  CASE WHEN file_id % 3 = 0 THEN '' ELSE concat('  ', split_part(text, chr(10), 1)) END AS ev, text, file_id % 4 <> 1 AS chunks FROM files),
+c AS (SELECT *, s >= 1 AND e >= s AND e <= length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' THEN 1 ELSE 0 END AS lines_ok FROM i),
+v AS (SELECT issue_id, true AS path_ok, lines_ok, lines_ok AND trim(ev, ' ' || chr(9) || chr(13)) <> '' AS evidence_ok, chunks AS chunks_ok FROM c)
+SELECT *, CASE WHEN lines_ok AND evidence_ok AND chunks_ok THEN 'passed' ELSE 'failed' END AS evidence_status FROM v""")
+def evidence_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An issue on each file's first line; some have bad lines, no evidence, or no chunk of the project."""
+    f = files(spark, sf_dir).withColumn("path", F.concat_ws("#", "path", "file_id"))
+    i = f.select(
+        F.col("file_id").alias("issue_id"), "project", "path", F.when(F.col("file_id") % 7 == 0, 0).otherwise(1).alias("start_line"), F.when(F.col("file_id") % 5 == 0, 999999).otherwise(1).alias("end_line"),
+        F.when(F.col("file_id") % 3 == 0, "").otherwise(F.concat(F.lit("  "), F.substring_index("text", "\n", 1))).alias("evidence"),
+        F.when(F.col("file_id") % 4 == 1, F.array().cast("array<bigint>")).otherwise(F.array("file_id", "file_id")).alias("source_chunk_ids"),
+    )
+    out = review.verified(i, f, f.select("project", F.col("file_id").alias("chunk_id")))
+    return out.select("issue_id", "path_ok", "lines_ok", "evidence_ok", "chunks_ok", "evidence_status")
+
+
+@query(f"""WITH i AS ({ISSUES_SQL}), d AS (SELECT fingerprint, arg_max(decision, (pos, decision)) AS decision FROM (SELECT * FROM i WHERE decision IS NOT NULL AND fingerprint <> '' AND issue_id % 3 = 0) GROUP BY fingerprint)
+SELECT issue_id, coalesce(d.decision, 'fail') AS decision, CASE WHEN d.decision IS NULL THEN 'missing_critic_decision' ELSE 'said' END AS reason,
+  CASE WHEN coalesce(d.decision, 'fail') IN ('pass', 'uncertain') THEN 'verified' ELSE 'retry' END AS outcome, coalesce(d.decision, 'fail') = 'uncertain' AS needs_human_review FROM i LEFT JOIN d USING (fingerprint)""")
+def critic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = issues(spark, sf_dir)
+    d = i.where("decision IS NOT NULL AND fingerprint <> '' AND issue_id % 3 = 0").select("fingerprint", "pos", "decision", F.lit("said").alias("reason"))
+    return review.merged(i.drop("decision"), d).select("issue_id", "decision", "reason", "outcome", "needs_human_review")
+
+
+@query(f"WITH i AS ({ISSUES_SQL}) SELECT DISTINCT ON (task_id, fingerprint) task_id, fingerprint, issue_id FROM i WHERE fingerprint <> '' ORDER BY task_id, fingerprint, verified DESC, pos")
+def issue_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified before rejected, then in order."""
+    return review.first_of_each(issues(spark, sf_dir), ["task_id"], [F.desc("verified"), F.col("pos")]).select("task_id", "fingerprint", "issue_id")
+
+
+@query(f"""WITH i AS ({ISSUES_SQL}), r AS (SELECT *, CASE WHEN verified THEN 0 ELSE 1 END AS side FROM i WHERE verified OR fingerprint <> '')
+SELECT task_id, fingerprint, arg_max(issue_id, (side, pos)) AS issue_id, arg_min(pos, (side, pos)) AS place FROM r GROUP BY ALL""")
+def issue_dedup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = issues(spark, sf_dir)
+    return review.last_of_each(i.where("verified"), i.where("NOT verified"), ["task_id"]).select("task_id", "fingerprint", "issue_id", "place")
+
+
+@query(f"""WITH i AS ({ISSUES_SQL}) SELECT task_id, count_if(risk_level = 'High') AS high, count_if(risk_level = 'Medium') AS medium, count_if(coalesce(risk_level, 'Low') = 'Low') AS low, count(*) AS total FROM i GROUP BY task_id""")
+def severity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.severity_stats(issues(spark, sf_dir), ["task_id"])
+
+
+@query(f"WITH i AS ({ISSUES_SQL}) SELECT coalesce(category, 'unknown') AS category, count(*) AS issues FROM i GROUP BY 1")
+def category_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.category_histogram(issues(spark, sf_dir))
+
+
+@query(f"WITH i AS ({ISSUES_SQL}) SELECT issue_id, title, path FROM i WHERE risk_level = 'High' AND category = 'security' AND (lower(title) LIKE '%f1%' OR lower(path) LIKE '%f1%' OR lower(fingerprint) LIKE '%f1%') ORDER BY task_id, issue_id LIMIT 15 OFFSET 15")
+def issue_filter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a filtered list."""
+    return review.issue_page(issues(spark, sf_dir), [F.col("task_id"), F.col("issue_id")], "High", "security", "F1", 2).select("issue_id", "title", "path")
+
+
+@query(f"""WITH i AS ({ISSUES_SQL}) SELECT task_id, sha256(concat('# Review report ', task_id, chr(10), chr(10), '| High | Medium | Low | Total |', chr(10), '|-|-|-|-|', chr(10), '| ', count_if(risk_level = 'High'), ' | ', count_if(risk_level = 'Medium'), ' | ',
+  count_if(coalesce(risk_level, 'Low') = 'Low'), ' | ', count(*), ' |', chr(10), chr(10), string_agg(concat('- [', coalesce(risk_level, 'Low'), '] ', title, ' (', path, ')'), chr(10) ORDER BY issue_id, concat('- [', coalesce(risk_level, 'Low'), '] ', title, ' (', path, ')')), chr(10))) AS markdown_sha256 FROM i GROUP BY task_id""")
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.report_markdown(issues(spark, sf_dir), "task_id", "issue_id").select("task_id", F.sha2(F.col("markdown").cast("binary"), 256).alias("markdown_sha256"))
+
+
+@query(f"""WITH i AS ({ISSUES_SQL}), u AS (SELECT count(*) AS n FROM (SELECT task_id, fingerprint FROM i GROUP BY ALL HAVING count(*) > 1))
+SELECT 'risk_known' AS rule, count_if(coalesce(risk_level, 'Low') NOT IN ('High', 'Medium', 'Low')) AS violations FROM i UNION ALL SELECT 'category_known', count_if(category IS NOT NULL AND category NOT IN ('security', 'quality')) FROM i
+UNION ALL SELECT 'has_fingerprint', count_if(fingerprint = '') FROM i UNION ALL SELECT 'unique_fingerprint', n FROM u""")
+def integrity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = issues(spark, sf_dir)
+    rules = {"risk_known": F.coalesce("risk_level", F.lit("Low")).isin(*review.LEVELS), "category_known": F.col("category").isin("security", "quality"), "has_fingerprint": F.col("fingerprint") != ""}
+    twice = i.groupBy("task_id", "fingerprint").count().where("count > 1").agg(F.count("*").alias("violations")).select(F.lit("unique_fingerprint").alias("rule"), "violations")
+    return review.violations(i, rules).union(twice)
+
+
+# --- usage -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH n AS ({NODE_RUNS_SQL}), b AS (SELECT * FROM n WHERE status = 'success' AND node_type IN ('llm', 'embedding'))
+SELECT task_id, sum(coalesce(model_call_count, 1))::BIGINT AS calls, sum(input_tokens)::BIGINT AS input_tokens, coalesce(sum(output_tokens) FILTER (node_type = 'llm'), 0)::BIGINT AS output_tokens, sum(cost)::DOUBLE AS cost,
+  CASE WHEN count(cost) = 0 THEN 'unavailable' WHEN count(cost) < count(*) THEN 'partial' ELSE 'available' END AS cost_status FROM b GROUP BY task_id""")
+def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.totals(node_runs(spark, sf_dir), ["task_id"]).select("task_id", "calls", "input_tokens", "output_tokens", F.col("cost").cast("double").alias("cost"), "cost_status")
+
+
+@query(f"""WITH n AS ({NODE_RUNS_SQL}) SELECT concat_ws('/', coalesce(provider, 'unknown'), coalesce(model, 'unknown'), 'unconfigured') AS pricing, count(*) AS runs, sum(cost)::DOUBLE AS cost
+FROM n WHERE status = 'success' AND node_type IN ('llm', 'embedding') GROUP BY 1""")
+def pricing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.pricing_groups(node_runs(spark, sf_dir)).withColumn("cost", F.col("cost").cast("double"))
+
+
+@query(f"""WITH n AS ({NODE_RUNS_SQL}), b AS (SELECT *, sum(coalesce(model_call_count, 1)) OVER w AS calls, sum(input_tokens + output_tokens) OVER w AS tokens, count(cost) OVER w AS p, count(*) OVER w AS a FROM n
+  WHERE status = 'success' AND node_type IN ('llm', 'embedding') WINDOW w AS (PARTITION BY task_id ORDER BY run_id))
+SELECT run_id, calls::BIGINT AS calls, tokens::BIGINT AS tokens, CASE WHEN p = 0 THEN 'unavailable' WHEN p < a THEN 'partial' ELSE 'available' END AS cost_status,
+  CASE WHEN calls >= 20 THEN 'max_calls' WHEN tokens >= 1000 THEN 'token_budget' END AS stop FROM b""")
+def running_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.running(node_runs(spark, sf_dir), "task_id", "run_id", 20, 1000).select("run_id", "calls", "tokens", "cost_status", "stop")
+
+
+@query(f"""WITH n AS ({NODE_RUNS_SQL}) SELECT node_type, count(*) AS trials, avg(latency_ms) AS mean_latency_ms, quantile_disc(latency_ms, 0.95)::BIGINT AS p95_latency_ms, avg(input_tokens) AS mean_input_tokens,
+  avg(output_tokens) AS mean_output_tokens, round(avg(cost)::DOUBLE, 6) AS mean_cost, count(DISTINCT provider) = 1 AS one_currency FROM n GROUP BY node_type""")
+def telemetry_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.telemetry(node_runs(spark, sf_dir).withColumnRenamed("provider", "currency"), ["node_type"]).withColumn("mean_cost", F.round("mean_cost", 6))
+
+
+@query(f"""WITH n AS ({NODE_RUNS_SQL}) SELECT run_id, CAST(round((input_tokens * 1500000::BIGINT + output_tokens * 2500000::BIGINT + 1) / 1000000.0 / 1000000.0 - 0.0000000000001, 6) AS DOUBLE) AS cost FROM n""")
+def call_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = lambda s: F.lit(s).cast("decimal(12,6)")
+    return node_runs(spark, sf_dir).select("run_id", numbers.cost(F.col("input_tokens"), F.col("output_tokens"), price("1.5"), price("2.5")).cast("double").alias("cost"))
+
+
+# --- evaluation ------------------------------------------------------------------------------------------------------
+
+PAIRS = f"""t AS ({TRUTH_SQL}), p AS ({PREDICTED_SQL}), c AS (SELECT p.*, gt_id, sink_line, t.start_line AS ts, t.end_line AS te, sink_line BETWEEN p.start_line AND p.end_line AS covers,
+  CASE WHEN p.end_line < p.start_line OR t.end_line < t.start_line THEN 0 ELSE greatest(0, least(p.end_line, t.end_line) - greatest(p.start_line, t.start_line) + 1)::DOUBLE / (t.end_line - t.start_line + 1) END AS overlap
+  FROM p JOIN t ON p.language = t.language AND p.path = t.path AND p.category = t.category AND (t.category <> 'security' OR p.cwe_id = t.cwe_id) WHERE t.vulnerable), e AS (SELECT * FROM c WHERE covers OR overlap >= 0.5)"""
+
+
+@query(f"WITH {PAIRS} SELECT prediction_index, gt_id, covers, round(overlap, 9) AS overlap FROM e")
+def interval_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.candidates(predicted_spans(spark, sf_dir), truth_spans(spark, sf_dir)).select("prediction_index", "gt_id", "covers", F.round("overlap", 9).alias("overlap"))
+
+
+@query()
+def max_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.matched(evaluate.candidates(predicted_spans(spark, sf_dir), truth_spans(spark, sf_dir)))
+
+
+@query()
+def prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, t = predicted_spans(spark, sf_dir), truth_spans(spark, sf_dir)
+    m = evaluate.matched(evaluate.candidates(p, t, []).withColumn("lang", F.col("language")), ["lang"]).withColumnRenamed("lang", "language")
+    return evaluate.evaluation(p, t, m, ["language"])
+
+
+@query()
+def recall_at_k_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = predicted_spans(spark, sf_dir)
+    p = p.withColumn("position", F.row_number().over(Window.partitionBy("path", "language").orderBy("prediction_index")) - 1)
+    return evaluate.recall_by_prefix(p, truth_spans(spark, sf_dir), [1, 2, 5], ["language"])
+
+
+@query("""WITH s AS (SELECT l_returnflag AS variant, l_linestatus AS language, l_linenumber % 3 AS run, count_if(l_quantity > 25)::DOUBLE / count(*) AS f1 FROM lineitem GROUP BY ALL),
+r AS (SELECT variant, run, avg(f1) AS f1 FROM s GROUP BY ALL) SELECT variant, round(avg(f1), 9) AS f1_mean, round(stddev_pop(f1), 9) AS f1_std FROM r GROUP BY variant""")
+def ablation_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = tables.table(spark, sf_dir, "lineitem")
+    per = l.groupBy(F.col("l_returnflag").alias("variant"), F.col("l_linestatus").alias("language"), (F.col("l_linenumber") % 3).alias("run")).agg((F.count_if(F.col("l_quantity") > 25) / F.count("*")).alias("f1"))
+    return evaluate.macro(per, ["variant"], "run", ["f1"]).select("variant", F.round("f1_mean", 9).alias("f1_mean"), F.round("f1_std", 9).alias("f1_std"))
+
+
+# --- owners, events, parsing -----------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_custkey = 7 ORDER BY o_orderdate DESC, o_orderkey DESC")
+def owner_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One owner's items, newest first."""
+    return tables.table(spark, sf_dir, "orders").where("o_custkey = 7").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_orderkey", "o_orderdate")
+
+
+@query("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def owner_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owned = tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return tables.table(spark, sf_dir, "customer").join(owned, "c_custkey", "left_semi").select("c_custkey")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("started", "scanned", "note", "completed", "failed", "note", "cancelled")]), (F.col("event_id") % 7 + 1).cast("int"))
+    return tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("task_id"), kind.alias("event_type"), (F.col("event_id") % 101).cast("int").alias("progress"), F.col("ts").alias("created_at"))
+
+
+EVENTS_SQL = "e AS (SELECT event_id AS id, user_id AS task_id, ['started', 'scanned', 'note', 'completed', 'failed', 'note', 'cancelled'][(event_id % 7 + 1)::INT] AS event_type, event_id % 101 AS progress, ts AS created_at FROM events)"
+
+
+@query(f"WITH {EVENTS_SQL} SELECT id, event_type FROM e WHERE id > 1234 ORDER BY id LIMIT 100")
+def event_replay_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.page_after(_events(spark, sf_dir), 1234, 100).select("id", "event_type")
+
+
+@query(f"WITH {EVENTS_SQL} SELECT id, task_id FROM e WHERE created_at >= (SELECT max(created_at) FROM e) - INTERVAL 7 DAYS")
+def event_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    now = e.agg(F.date_format(F.max("created_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+    return streams.retained(e, now, 7).select("id", "task_id")
+
+
+@query(f"WITH {EVENTS_SQL} SELECT id, max(progress) OVER (PARTITION BY task_id ORDER BY id)::INT AS shown FROM e")
+def event_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.running_progress(_events(spark, sf_dir)).select("id", "shown")
+
+
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY id) AS i FROM e), s AS (
+  SELECT task_id, 0::BIGINT AS i, 'pending' AS state FROM (SELECT DISTINCT task_id FROM e)
+  UNION ALL SELECT s.task_id, n.i, CASE WHEN s.state = 'pending' AND event_type = 'started' THEN 'scanning' WHEN s.state = 'scanning' AND event_type = 'scanned' THEN 'reviewing' WHEN s.state = 'reviewing' AND event_type = 'completed' THEN 'success'
+    WHEN s.state IN ('pending', 'scanning', 'reviewing') AND event_type IN ('failed', 'cancelled') THEN event_type ELSE s.state END FROM s JOIN n ON n.task_id = s.task_id AND n.i = s.i + 1)
+SELECT task_id, arg_max(state, s.i) AS state, (SELECT max(progress) FROM e WHERE e.task_id = s.task_id)::INT AS progress, max(s.i) AS n_events FROM s GROUP BY task_id""")
+def task_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.task_states(_events(spark, sf_dir))
+
+
+@query("SELECT DISTINCT ON (user_id, k) user_id, json_extract_string(props, '$.k') AS k, event_id AS id FROM events ORDER BY user_id, k, event_id")
+def idempotent_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = tables.table(spark, sf_dir, "events").select("user_id", F.get_json_object("props", "$.k").alias("idempotency_key"), F.col("event_id").alias("id"))
+    return streams.once(r, "id").select("user_id", F.col("idempotency_key").alias("k"), "id")
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 4 <> 3 THEN json_extract_string(props, '$.k')::INT END AS k FROM events")
+def json_extract_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON inside free text: fenced, between words, bare, and broken."""
+    from pyspark.sql import types as T
+
+    e = tables.table(spark, sf_dir, "events")
+    said = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\ndone"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("so "), "props", F.lit(" it is"))).when(F.col("event_id") % 4 == 2, F.col("props")).otherwise(F.concat(F.lit("{"), "props"))
+    return e.select(F.col("event_id").alias("id"), text.parsed_json(said, T.StructType([T.StructField("k", T.IntegerType())]), ["k"])["k"].alias("k"))
+
+
+PYTHON_SOURCE = "class C{n}(Base):\n    def run(self, x):\n        return helper(x)\n\ndef helper(x):\n    return x\n"
+
+
+@query(r"""WITH f AS (SELECT doc_id, ['class C' || doc_id, 'def run', 'def helper'] AS d FROM documents WHERE doc_id % 2 = 0)
+SELECT doc_id AS file_id, concat('C', doc_id, '.run') AS source, 'helper' AS target, 'call' AS relation, 'resolved' AS resolution FROM f
+UNION ALL SELECT doc_id, concat('C', doc_id), 'Base', 'extend', 'external' FROM f""")
+def symbol_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of a small Python module for each second file, resolved within it."""
+    source = F.replace(F.lit(PYTHON_SOURCE), F.lit("{n}"), F.col("file_id").cast("string"))
+    f = files(spark, sf_dir).where("file_id % 2 = 0").select("file_id", "path", F.lit("python").alias("language"), source.alias("text"))
+    rows = chunking.parsed(f)
+    symbols = chunking.symbols_of(rows).withColumn("symbol_id", F.col("file_id") * 100 + F.col("start_line"))
+    references = rows.where("kind = 'reference'").select("file_id", "source", "target", "relation", "confidence")
+    return indexing.resolved(references, symbols).select("file_id", "source", "target", "relation", "resolution")
+
+
+@query(f"""WITH i AS ({ISSUES_SQL}), a AS (SELECT *, concat('r', issue_id % 9) AS rule_id, 1 + issue_id % 2 AS round FROM i WHERE fingerprint <> ''),
+d AS (SELECT fingerprint, round, arg_max(decision, (pos, decision)) AS decision FROM a WHERE decision IS NOT NULL GROUP BY ALL),
+m AS (SELECT a.issue_id, a.path, a.rule_id, a.round, coalesce(d.decision, 'fail') AS said FROM a LEFT JOIN d ON a.fingerprint = d.fingerprint AND a.round = d.round)
+SELECT issue_id, round, 'verified' AS outcome FROM m WHERE round = 1 AND said <> 'fail' UNION ALL
+SELECT issue_id, round, CASE WHEN said = 'fail' THEN 'rejected' ELSE 'verified' END FROM m WHERE round = 2 AND EXISTS (SELECT 1 FROM m x WHERE x.round = 1 AND x.said = 'fail' AND x.path = m.path AND x.rule_id = m.rule_id)""")
+def workflow_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of review with decisions from the table."""
+    i = issues(spark, sf_dir).where("fingerprint <> ''").withColumn("rule_id", F.concat(F.lit("r"), F.col("issue_id") % 9)).withColumn("round", 1 + F.col("issue_id") % 2)
+    d = i.where("decision IS NOT NULL").select("fingerprint", "round", "pos", "decision", F.lit("said").alias("reason"))
+    return workflow.review_rounds(i.drop("decision"), d.drop("round_")).select("issue_id", "round", "outcome")
