@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .scratch import small_batches
 
 #: Characters of the texts of a block; pre-tokens and their bytes that a worker keeps from block to block.
-BLOCK_CHARS, KNOWN_WORDS, KNOWN_BYTES = 4_000_000, 1_000_000, 32_000_000
+BLOCK_CHARS, KNOWN_WORDS, KNOWN_BYTES = 3_000_000, 600_000, 24_000_000
 _SHIFT = 24
 
 
