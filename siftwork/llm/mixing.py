@@ -17,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import kept
+from .scratch import kept, release
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block; words and documents of a shard.
-BLOCK, SHARD_WORDS, SHARD_DOCS = 64, 1 << 20, 1 << 15
+BLOCK, SHARD_WORDS, SHARD_DOCS = 32, 1 << 20, 1 << 15
 #: Up to so many sources, each with a name of up to NAME_CHARS, are broadcast; more meet their documents by a shuffle.
 SOURCES, NAME_CHARS = 20_000, 256
 #: Primes above any number of blocks in a shard: multipliers of the block permutation.
@@ -103,7 +103,9 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
         F.element_at(F.array(*[F.lit(s) for s in STRIDES]), (mark % len(STRIDES) + 1).cast("int")).cast("long").alias("stride"),
         F.when(F.col("blocks") > 0, mark % F.col("blocks")).otherwise(0).alias("shift"),
     )
-    return sizes, quotas, kept(cells, "cells")
+    cells = kept(cells, "cells")
+    release(docs.sparkSession)
+    return sizes, quotas, cells
 
 
 def _dealt(rows: DataFrame, quotas: DataFrame, seed: str) -> DataFrame:

@@ -138,7 +138,7 @@ WITH sizes AS (
   SELECT source, source_size, source_docs, r,
          coalesce(least(cap, weight * (SELECT arg_min(level, (cap / weight, r)) FROM levels WHERE level * weight < cap)), cap) AS target
   FROM levels
-), seats AS (SELECT round(sum(target) / 64)::BIGINT AS n, count(*) AS m, sum(target) AS t FROM targets),
+), seats AS (SELECT round(sum(target) / 32)::BIGINT AS n, count(*) AS m, sum(target) AS t FROM targets),
 asked AS (
   SELECT source, r, unnest(range(1, (target / t * n + m)::BIGINT + 3)) AS k, target FROM targets, seats WHERE target > 0
 ), ranked AS (
@@ -153,7 +153,7 @@ asked AS (
 ), sharded AS (SELECT *, o % shards AS shard FROM placed),
 cells AS (
   SELECT source, shard, sum(size)::BIGINT AS shard_size, max(quota) AS quota,
-         CASE WHEN sum(size) > 0 THEN greatest(round(sum(size) / 64), 1) ELSE 0 END::BIGINT AS blocks
+         CASE WHEN sum(size) > 0 THEN greatest(round(sum(size) / 32), 1) ELSE 0 END::BIGINT AS blocks
   FROM sharded GROUP BY source, shard
 ), whole AS (SELECT *, sum(blocks) OVER (PARTITION BY source) AS b, count(*) OVER (PARTITION BY source) AS m FROM cells),
 cell_asked AS (
