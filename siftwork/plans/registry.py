@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, paths, text
-from ..operators import chunking, context, evaluate, indexing, review, scan, search, usage
+from ..operators import chunking, context, evaluate, indexing, projections, review, scan, search, usage
 from ..sources import tables
 from ..sources.tables import CLIENT_PATH_SQL, ISSUES_SQL, NODE_RUNS_SQL, PATH_SQL, PREDICTED_SQL, TRUTH_SQL, files, issues, node_runs, predicted_spans, query_set, truth_spans, vectors
 from ..streaming import events as streams
@@ -514,13 +514,13 @@ def json_extract_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 PYTHON_SOURCE = "class C{n}(Base):\n    def run(self, x):\n        return helper(x)\n\ndef helper(x):\n    return x\n"
 
 
-@query(r"""WITH f AS (SELECT doc_id, ['class C' || doc_id, 'def run', 'def helper'] AS d FROM documents WHERE doc_id % 2 = 0)
+@query(r"""WITH f AS (SELECT doc_id FROM documents)
 SELECT doc_id AS file_id, concat('C', doc_id, '.run') AS source, 'helper' AS target, 'call' AS relation, 'resolved' AS resolution FROM f
 UNION ALL SELECT doc_id, concat('C', doc_id), 'Base', 'extend', 'external' FROM f""")
 def symbol_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References of a small Python module for each second file, resolved within it."""
+    """References of a small Python module for each file, resolved within it."""
     source = F.replace(F.lit(PYTHON_SOURCE), F.lit("{n}"), F.col("file_id").cast("string"))
-    f = files(spark, sf_dir).where("file_id % 2 = 0").select("file_id", "path", F.lit("python").alias("language"), source.alias("text"))
+    f = files(spark, sf_dir).select("file_id", "path", F.lit("python").alias("language"), source.alias("text"))
     rows = chunking.parsed(f)
     symbols = chunking.symbols_of(rows).withColumn("symbol_id", F.col("file_id") * 100 + F.col("start_line"))
     references = rows.where("kind = 'reference'").select("file_id", "source", "target", "relation", "confidence")
@@ -537,3 +537,37 @@ def workflow_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = issues(spark, sf_dir).where("fingerprint <> ''").withColumn("rule_id", F.concat(F.lit("r"), F.col("issue_id") % 9)).withColumn("round", 1 + F.col("issue_id") % 2)
     d = i.where("decision IS NOT NULL").select("fingerprint", "round", "pos", "decision", F.lit("said").alias("reason"))
     return workflow.review_rounds(i.drop("decision"), d.drop("round_")).select("issue_id", "round", "outcome")
+
+
+@query(f"WITH {FILES} SELECT file_id, unnest(CASE WHEN file_id % 2 = 0 THEN [file_id, file_id + 1] ELSE [file_id] END) AS chunk_id FROM files")
+def issue_chunk_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir).select(F.col("file_id").alias("issue_id"), F.when(F.col("file_id") % 2 == 0, F.array("file_id", F.col("file_id") + 1, "file_id")).otherwise(F.array("file_id")).alias("source_chunk_ids"))
+    return projections.issue_chunks(f).withColumnRenamed("issue_id", "file_id")
+
+
+@query(f"WITH {SAFE} SELECT DISTINCT file_id FROM checked WHERE portable AND NOT excluded AND regexp_matches(lower(client_path), '\\.(py|java)$') AND size <= 1048576")
+def pending_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir).withColumn("path", F.concat_ws("#", "file_id", "client_path"))
+    manifest = f.select("path", scan.manifest_status(F.col("client_path"), F.col("size")).alias("status"))
+    return projections.pending_uploads(f, manifest).select("file_id")
+
+
+@query(f"WITH i AS ({ISSUES_SQL}) SELECT DISTINCT category FROM i WHERE category IS NOT NULL ORDER BY category")
+def issue_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.categories(issues(spark, sf_dir))
+
+
+@query(f"""WITH i AS ({ISSUES_SQL}), l AS (SELECT task_id, coalesce(risk_level, 'Low') AS k, count(*) AS n FROM i GROUP BY ALL), c AS (SELECT task_id, coalesce(category, 'unknown') AS k, count(*) AS n FROM i GROUP BY ALL)
+SELECT task_id, string_agg(k || '=' || n, ',' ORDER BY k) AS levels, (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM c WHERE c.task_id = l.task_id) AS categories FROM l GROUP BY task_id""")
+def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maps of a report, written as texts."""
+    told = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return projections.report_totals(issues(spark, sf_dir), "task_id").select("task_id", told("by_level").alias("levels"), told("by_category").alias("categories"))
+
+
+@query(f"WITH {CLASSIFIED} SELECT file_id, path, lines::BIGINT AS lines, 1 AS symbols FROM judged")
+def file_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir).withColumn("lines", text.lines_scanned(F.col("text")))
+    chunks = f.select("file_id", F.col("path").alias("symbol_name"), F.lit(None).cast("string").alias("qualified_name"))
+    out = projections.file_summaries(chunks.union(chunks), f)
+    return out.select("file_id", "path", "lines", projections.state_summary({"symbols": F.col("symbols")})["symbols"].alias("symbols"))

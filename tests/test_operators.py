@@ -260,3 +260,16 @@ def test_readers(spark, tmp_path):
 def test_search_text(spark):
     df = spark.createDataFrame([("a.b.findUser", "body")], "name string, content string")
     assert df.select(text.search_text([F.col("name"), F.lit(None).cast("string")], F.col("content"))).first()[0] == "a.b.findUser\na b find user\nbody"
+
+
+def test_projections(spark, tmp_path):
+    from siftwork.operators import projections
+
+    raw = spark.createDataFrame([('"a"', 3, 1), ('["a", "b"]', 1, 2), (None, 1, 1)], "v string, s int, e int")
+    out = raw.select(projections.as_list(F.col("v"), "string").alias("v"), projections.ordered_range(F.col("s"), F.col("e")).alias("r")).collect()
+    assert [r["v"] for r in out] == [["a"], ["a", "b"], []] and [tuple(r["r"]) for r in out] == [(3, 3), (1, 2), (1, 1)]
+    reports = spark.createDataFrame([(1, "# one")], "task_id long, markdown string")
+    projections.exported(reports, "markdown", f"{tmp_path}/r")
+    assert spark.read.text(f"{tmp_path}/r").first()["value"] == "# one"
+    with pytest.raises(ValueError):
+        projections.exported(reports, "pdf", f"{tmp_path}/r")
