@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -36,25 +37,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .scratch import held, kept, parts, small_batches
+from .scratch import dropped, held, kept, parts, release, small_batches
 from .shingles import WORDS, shingle_sets
 
 NUM, DEN = 75, 100
 #: Counters of the sketch (a power of two) and the slices in which they travel: its size does not depend on the corpus.
-COUNTERS, SLICES = 1 << 24, 64
+COUNTERS, SLICES, FULL = 1 << 23, 64, 2**16 - 1
 #: Longest multi-match, members of a list that still gives all its pairs, rounds of pivots before plain pairs.
-LONGEST, SHORT, ROUNDS = 4, 17, 4
+LONGEST, SHORT, ROUNDS = 8, 17, 4
+#: Entries that an element is thought to meet which the sketch cannot tell from chance.
+CHANCE = 0.02
 _EPS = 1e-9
 
 
 def _sketch_parts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, shift = np.zeros(COUNTERS, np.uint32), np.uint64(64 - COUNTERS.bit_length() + 1)
+        counts, shift = np.zeros(COUNTERS, np.uint16), np.uint64(64 - COUNTERS.bit_length() + 1)
         for batch in batches:
             found = [s for _, s in shingle_sets(batch.column(0), size)]
             if found:
                 at, often = np.unique(np.concatenate(found) >> shift, return_counts=True)
-                counts[at.astype(np.int64)] += often.astype(np.uint32)
+                at = at.astype(np.int64)
+                counts[at] = np.minimum(counts[at] + often, FULL)
         if counts.any():
             cut = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
             yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array(cut, pa.binary())})
@@ -66,43 +70,40 @@ def _sketch_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(zlib.decompress(raw), np.uint32)
-            total = sums[k] + part if k in sums else part
-            sums[k] = np.maximum(total, part)  # a sum that wraps around stays high
+            part = np.frombuffer(zlib.decompress(raw), np.uint16)
+            sums[k] = np.minimum(sums[k].astype(np.int64) + part, FULL).astype(np.uint16) if k in sums else part
 
     raw = [zlib.compress(x.tobytes(), 1) for x in sums.values()]
     yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "counts": pa.array(raw, pa.binary())})
 
 
 def shingle_sketch(docs: DataFrame, text_col: str = "text", size: int = WORDS) -> np.ndarray:
-    """How often the shingles that fall on each counter occur, over all documents.
+    """How often the shingles that fall on each counter occur, over all documents; FULL stands for more.
 
     Each task sends its counters in slices; a task that gets a slice adds up what comes, one part at a time.
     """
     small_batches(docs.sparkSession)
     schema = "slice int, counts binary"
     sums = docs.select(text_col).mapInArrow(_sketch_parts(size), schema).repartition(min(SLICES, parts(docs.sparkSession)), "slice").mapInArrow(_sketch_sums, schema)
-    out = np.zeros(COUNTERS, np.uint32)
+    out = np.zeros(COUNTERS, np.uint16)
     for row in sums.collect():
-        out[row["slice"] * (COUNTERS // SLICES) :][: COUNTERS // SLICES] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
+        out[row["slice"] * (COUNTERS // SLICES) :][: COUNTERS // SLICES] = np.frombuffer(zlib.decompress(row["counts"]), np.uint16)
     return out
 
 
 def prefix_of(shingles: np.ndarray, counts: np.ndarray, base: float, num: int, den: int) -> tuple[int, np.ndarray]:
-    """The multi-match l of a set (ascending hashes, with their counts) and its prefix.
+    """The multi-match l of a set (ascending hashes, with their counts) and its prefix, rare elements first.
 
-    Entries met: how often the prefix's elements occur beyond what chance puts on a counter. At most entries/l documents
-    can be met l times; each is verified by a pass over the set.
+    A prefix costs its elements, and a pass over the set for each candidate. Its elements meet as many entries as they
+    occur beyond what chance puts on a counter, and CHANCE more each; at most entries/l documents are met l times.
     """
     n = len(shingles)
     least = -(-num * n // den)
     order = np.argsort(counts, kind="stable")
-    met = np.cumsum(np.maximum(counts[order].astype(np.float64) - base, 0.0))
-    best, cost = 1, np.inf
-    for l in range(1, min(LONGEST, least) + 1):
-        entries = met[n - least + l - 1]
-        if entries * (1 + n / 8 / l) < cost:
-            best, cost = l, entries * (1 + n / 8 / l)
+    met = np.cumsum(np.maximum(counts[order].astype(np.float64) - base, 0.0) + CHANCE)
+    l = np.arange(1, min(LONGEST, least) + 1)
+    cost = l + met[n - least + l - 1] / l * n / 8
+    best = int(l[cost.argmin()])
     return best, shingles[order[: n - least + best]]
 
 
@@ -178,18 +179,22 @@ def exact_prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     more than SHORT sets hold tok; room: the largest partner that d can be linked with by dense elements alone.
     """
     rows = sets.select(F.col("id").alias("d"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("tok"))
-    often = rows.groupBy("tok").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = rows.join(often, "tok", "left").groupBy("d", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "tok"))).alias("all"))
+    rows = rows.withColumn("f", F.count("*").over(Window.partitionBy("tok"))).where("f > 1")
+    ranked = rows.groupBy("d", "n").agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("all"))
     n, over = F.col("n"), num + den
+    alone = n - F.size("all")  # elements of one set come first in the order
     least = F.call_function("div", num * n + den - 1, F.lit(den))
     among_equals = F.call_function("div", 2 * num * n + over - 1, F.lit(over))
     held_often = F.size(F.filter("all", lambda x: x["f"] > SHORT)).cast("long")
-    rows = ranked.select("d", "n", (F.call_function("div", over * held_often, F.lit(num)) - n).alias("room"), F.posexplode(F.slice("all", F.lit(1), (n - least + 1).cast("int"))).alias("at", "x"))
-    return rows.where("x.f > 1").select(F.col("x.tok").alias("tok"), "d", "n", (F.col("at") < n - among_equals + 1).alias("first"), (F.col("x.f") > SHORT).alias("dense"), "room")
+    rows = ranked.select(
+        "d", "n", alone.alias("alone"), (F.call_function("div", over * held_often, F.lit(num)) - n).alias("room"),
+        F.posexplode(F.slice("all", F.lit(1), F.greatest(n - least + 1 - alone, F.lit(0)).cast("int"))).alias("at", "x"),
+    )
+    return rows.select(F.col("x.tok").alias("tok"), "d", "n", (F.col("alone") + F.col("at") < n - among_equals + 1).alias("first"), (F.col("x.f") > SHORT).alias("dense"), "room")
 
 
-def _crowded_pairs(crowd: DataFrame, sets: DataFrame, num: int, den: int) -> list[DataFrame]:
-    """Links among documents that met in long lists: a join of its own, in exact order of frequency."""
+def _crowded_links(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links among documents that met in long lists, by a join of its own in exact order of frequency."""
     width = 1 - num / den
     rows = kept(exact_prefixes(sets, num, den), "exact")
     x, y = F.col("x"), F.col("y")
@@ -203,15 +208,17 @@ def _crowded_pairs(crowd: DataFrame, sets: DataFrame, num: int, den: int) -> lis
     dense = rows.where("dense").select("tok", "d", "n", "room")
     met = dense.groupBy("d").agg(F.count("*").alias("met"))
     dense = dense.join(met, "d").withColumn("pivot", -F.max(F.struct("met", (-F.col("d")).alias("d"))).over(Window.partitionBy("tok"))["d"])
-    dense = kept(dense, "dense")
+    # Lists with the same pivot are one group from here on, so that a pair comes up once.
+    dense = kept(dense.select(F.col("pivot").alias("tok"), "d", "n", "room", "met", "pivot").distinct(), "dense")
     pairs = pairs.unionByName(dense.where("d <> pivot").select(F.least("pivot", "d").alias("a"), F.greatest("pivot", "d").alias("b")))
     found = kept(_verified(pairs.distinct(), sets, num, den), "found")
-    links = [found.where("linked").select("a", "b")]
+    links, past = [found.where("linked").select("a", "b")], [rows, dense, found]
     for turn in range(ROUNDS + 1):
         if not dense.take(1):
             break
         told = dense.where("d <> pivot").withColumn("a", F.least("pivot", "d")).withColumn("b", F.greatest("pivot", "d")).join(found, ["a", "b"])
         told = kept(told.groupBy("tok", "d", "n", "room", "met").agg(F.min("distance").alias("distance"), F.max("linked").alias("linked")), "told")
+        past.append(told)
         whole = Window.partitionBy("tok")
         told = told.withColumn("_least", F.min(F.when(F.col("linked"), F.col("n"))).over(whole)).withColumn("_room", F.max(F.when(~F.col("linked"), F.col("room"))).over(whole))
         far = told.where("not linked")
@@ -226,13 +233,18 @@ def _crowded_pairs(crowd: DataFrame, sets: DataFrame, num: int, den: int) -> lis
         long = far.withColumn("_c", F.count("*").over(whole)).where(F.col("_c") > SHORT)
         if turn < ROUNDS:
             dense = kept(long.withColumn("pivot", -F.max(F.struct("met", (-F.col("d")).alias("d"))).over(whole)["d"]).drop("_c", "distance"), "dense")
+            past.append(dense)
             more = dense.where("d <> pivot").select(F.least("pivot", "d").alias("a"), F.greatest("pivot", "d").alias("b"))
         else:
             other = long.select("tok", *[F.col(c).alias(f"{c}_y") for c in ("d", "n", "room", "distance")])
             more = long.join(other, "tok").where((F.col("d") < F.col("d_y")) & fits).select(F.col("d").alias("a"), F.col("d_y").alias("b"))
         found = kept(_verified(cross.unionByName(rest).unionByName(more).distinct(), sets, num, den), "found")
+        past.append(found)
         links.append(found.where("linked").select("a", "b"))
-    return links
+        release(sets.sparkSession)
+    out = kept(reduce(DataFrame.unionByName, links), "links")
+    dropped(*past)
+    return out
 
 
 def jaccard_links(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
@@ -240,41 +252,53 @@ def jaccard_links(docs: DataFrame, table: DataFrame, id_col: str, text_col: str,
 
     table: what prefix_table() gives for docs, kept, with one row a class.
     """
-    rows = table.where("n > 0 and id is not null").select(F.explode("prefix").alias("tok"), F.col("id").alias("d"), (F.col("n") * 16 + F.col("l")).alias("nl"))
+    rows = table.where("n > 0 and id is not null").select("id", "n", "l", F.posexplode("prefix").alias("at", "tok"))
+    rows = rows.select("tok", F.col("id").alias("d"), (F.shiftleft("n", 36) + F.col("at") * 16 + F.col("l")).alias("nl"))
     inlist = Window.partitionBy("tok").orderBy("d")
     rows = rows.withColumn("_before", F.lag("d").over(inlist)).withColumn("_after", F.lead("d").over(inlist))
     met = kept(rows.where("_before is not null or _after is not null").drop("_before", "_after"), "met")
+    release(docs.sparkSession)
     x, y = F.col("x"), F.col("y")
-    n = lambda c: F.shiftright(c["nl"], 4)
-    pairs = (
+    n, at, l = (lambda c: F.shiftright(c["nl"], 36)), (lambda c: F.shiftright(c["nl"], 4).bitwiseAND(2**32 - 1)), (lambda c: c["nl"] % 16)
+    met_at = (
         _short_pairs(met, SHORT).where(_sizes_fit(n(x), n(y), num, den))
-        .groupBy(F.col("x.d").alias("a"), F.col("y.d").alias("b")).agg(F.count("*").alias("_shared"), F.min(F.least(x["nl"] % 16, y["nl"] % 16)).alias("_l"))
-        .where("_shared >= _l").select("a", "b")
+        .groupBy(F.col("x.d").alias("a"), F.col("y.d").alias("b"))
+        .agg(
+            F.count("*").alias("shared"), F.min(F.least(l(x), l(y))).alias("l"), F.max(n(x)).alias("na"), F.max(n(y)).alias("nb"),
+            F.min(n(x) - at(x) - 1).alias("after_a"), F.min(n(y) - at(y) - 1).alias("after_b"),
+        )
     )
+    # Behind the last shared element of the prefixes either set has only so many elements left to share.
+    possible = F.col("shared") + F.least("after_a", "after_b")
+    pairs = met_at.where((F.col("shared") >= F.col("l")) & ((num + den) * possible >= num * (F.col("na") + F.col("nb")))).select("a", "b")
     pairs = kept(pairs, "pairs")
     crowd = kept(met.join(met.groupBy("tok").agg(F.count("*").alias("_c")).where(F.col("_c") > SHORT).select("tok"), "tok", "left_semi").select(F.col("d").alias("_id")).distinct(), "crowd")
-    needed = held(kept(pairs.select(F.explode(F.array("a", "b")).alias("_id")).unionByName(crowd).distinct(), "needed"))
-    texts = docs.select(F.col(id_col), F.col(text_col))
-    sets = kept(set_table(texts.join(needed, texts[id_col] == needed["_id"], "left_semi"), id_col, text_col, size), "sets")
-    links = _verified(pairs, sets, num, den).where("linked").select("a", "b")
-    for more in _crowded_pairs(crowd, sets.join(held(crowd), F.col("id") == F.col("_id"), "left_semi"), num, den) if crowd.take(1) else []:
-        links = links.unionByName(more)
-    return links.distinct()
+    needed = kept(pairs.select(F.explode(F.array("a", "b")).alias("_id")).unionByName(crowd).distinct(), "needed")
+    few, texts = held(needed), docs.select(F.col(id_col), F.col(text_col))
+    sets = kept(set_table(texts.join(few, texts[id_col] == few["_id"], "left_semi"), id_col, text_col, size), "sets")
+    links = kept(_verified(pairs, sets, num, den).where("linked").select("a", "b"), "links")
+    dropped(met, pairs, needed)
+    if crowd.take(1):
+        more = _crowded_links(sets.join(held(crowd), F.col("id") == F.col("_id"), "left_semi"), num, den)
+        links = kept(links.unionByName(more).distinct(), "links")
+    dropped(crowd, sets)
+    return links
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row for each row of docs: id_col, n_shingles, component_id (the smallest id reachable by links)."""
     small_batches(docs.sparkSession)
     table = kept(prefix_table(docs, id_col, text_col, size, num, den), "prefixes")
-    classes = kept(table.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    others = table.where("n > 0").select("id", "hi", "lo").join(classes.where("copies > 1"), ["hi", "lo"]).where("id <> rep").select("id").distinct()
-    others = held(kept(others, "copies"))
-    links = jaccard_links(docs, table.join(others, "id", "left_anti"), id_col, text_col, size, num, den)
+    heads = kept(table.select("id", "hi", "lo", "n"), "heads")
+    classes = kept(heads.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+    others = kept(heads.where("n > 0").join(classes.where("copies > 1"), ["hi", "lo"]).where("id <> rep").select("id").distinct(), "copies")
+    links = jaccard_links(docs, table.join(held(others), "id", "left_anti"), id_col, text_col, size, num, den)
+    dropped(table, others)
     roots = kept(components(links), "roots")
     groups = classes.join(roots, F.col("rep") == F.col("node"), "left").where("copies > 1 or node is not null")
-    groups = held(kept(groups.select("hi", "lo", F.coalesce("root", "rep").alias("root")), "groups"))
-    heads = table.select("id", "hi", "lo", "n")
-    grouped = heads.where("n > 0").join(groups, ["hi", "lo"], "left").select("id", "n", F.coalesce("root", "id").alias("component_id"))
+    groups = kept(groups.select("hi", "lo", F.coalesce("root", "rep").alias("root")), "groups")
+    dropped(roots, classes, links)
+    grouped = heads.where("n > 0").join(held(groups), ["hi", "lo"], "left").select("id", "n", F.coalesce("root", "id").alias("component_id"))
     return grouped.unionByName(heads.where("n = 0").select("id", "n", F.col("id").alias("component_id"))).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -32,7 +33,25 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder as Parquet and read back: short lineage that survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that kept() wrote and that no plan still to run reads, and frees the shuffle files of past jobs."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of finished jobs now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -52,3 +71,15 @@ def parts(spark: SparkSession) -> int:
 def held(df: DataFrame) -> DataFrame:
     """df, marked for broadcast if a count shows that it is small enough; df is narrow and cheap to count."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def evenly(rows: DataFrame, by: str, id_col: str, each: int, groups: int) -> DataFrame:
+    """At most each rows of each group, of the groups most frequent groups, by a hash of the id.
+
+    A group's count first gives the hash range that holds about four times each rows, so that no task sorts a group.
+    """
+    counts = kept(rows.groupBy(by).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), by).limit(groups), "counts")
+    mark = F.pmod(F.xxhash64(id_col, F.lit("fit")), F.lit(2**31))
+    few = rows.join(F.broadcast(counts), rows[by].eqNullSafe(counts[by])).drop(counts[by]).where(mark * F.col("_n") < 4 * each * 2**31).drop("_n")
+    turn = F.row_number().over(Window.partitionBy(by).orderBy(mark, id_col))
+    return few.withColumn("_turn", turn).where(F.col("_turn") <= each).drop("_turn")

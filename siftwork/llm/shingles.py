@@ -14,7 +14,7 @@ import pyarrow as pa
 
 WORDS = 5
 #: Bytes that are hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TURN = [np.uint64((0xD6E8FEB86659FD93 * (2 * k + 1) ** 7) & (2**64 - 1) | 1) for k in range(WORDS + 1)]
