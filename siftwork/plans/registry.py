@@ -65,8 +65,8 @@ def scan_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CLASSIFIED}, r AS (SELECT DISTINCT path FROM files WHERE file_id % 10 <> 9 UNION SELECT DISTINCT concat('gone/', file_id, '.py') FROM files WHERE file_id % 50 = 3),
 p AS (SELECT path, min(reason) AS reason FROM judged WHERE file_id % 10 <> 7 GROUP BY path),
 j AS (SELECT r.path IS NOT NULL AS reg, p.path IS NOT NULL AS disc, CASE WHEN p.path IS NULL THEN 'failed' WHEN r.path IS NULL OR reason IS NOT NULL THEN 'skipped' ELSE 'included' END AS status FROM r FULL JOIN p ON r.path = p.path)
-SELECT count_if(reg) AS registered, count_if(disc) AS discovered, count_if(reg AND status = 'included') AS included, count_if(reg AND status = 'skipped') AS skipped,
-  count_if(status = 'failed') AS failed, CASE WHEN count_if(reg) = 0 THEN 1.0 ELSE count_if(reg AND status = 'included')::DOUBLE / count_if(reg) END AS coverage FROM j""")
+SELECT count(CASE WHEN reg THEN 1 END) AS registered, count(CASE WHEN disc THEN 1 END) AS discovered, count(CASE WHEN reg AND status = 'included' THEN 1 END) AS included, count(CASE WHEN reg AND status = 'skipped' THEN 1 END) AS skipped,
+  count(CASE WHEN status = 'failed' THEN 1 END) AS failed, CASE WHEN count(CASE WHEN reg THEN 1 END) = 0 THEN 1.0 ELSE count(CASE WHEN reg AND status = 'included' THEN 1 END)::DOUBLE / count(CASE WHEN reg THEN 1 END) END AS coverage FROM j""")
 def scan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered: nine files of ten, and some that are gone; found: nine of ten, others."""
     f = files(spark, sf_dir)
@@ -91,7 +91,7 @@ def upload_main_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.first_main_language(m, ["project"])
 
 
-@query(f"WITH {CLASSIFIED} SELECT count_if(level = 'high') AS high, count_if(level = 'medium') AS medium, count_if(level = 'low') AS low FROM judged WHERE reason IS NULL")
+@query(f"WITH {CLASSIFIED} SELECT count(CASE WHEN level = 'high' THEN 1 END) AS high, count(CASE WHEN level = 'medium' THEN 1 END) AS medium, count(CASE WHEN level = 'low' THEN 1 END) AS low FROM judged WHERE reason IS NULL")
 def priority_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.priority_histogram(_scanned(spark, sf_dir).where("reason IS NULL"))
 
@@ -110,7 +110,7 @@ def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SAFE}, s AS (SELECT project, size, portable AND NOT excluded AND regexp_matches(lower(client_path), '\\.(py|java)$') AND size <= 1048576 AS ok FROM checked)
-SELECT project, count(*) AS files, count_if(ok) AS accepted, count_if(NOT ok) AS rejected, sum(size)::BIGINT AS declared_bytes, coalesce(sum(size) FILTER (ok), 0)::BIGINT AS accepted_bytes FROM s GROUP BY project""")
+SELECT project, count(*) AS files, count(CASE WHEN ok THEN 1 END) AS accepted, count(CASE WHEN NOT ok THEN 1 END) AS rejected, sum(size)::BIGINT AS declared_bytes, coalesce(sum(size) FILTER (ok), 0)::BIGINT AS accepted_bytes FROM s GROUP BY project""")
 def manifest_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = files(spark, sf_dir).withColumn("status", scan.manifest_status(F.col("client_path"), F.col("size")))
     return scan.manifest_rollup(m, ["project"])
@@ -161,12 +161,12 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FILES}, c AS (SELECT file_id, project, sha256(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS h FROM files), x AS (SELECT project, h, min(file_id) AS first FROM c WHERE file_id % 3 <> 0 GROUP BY ALL)
-SELECT c.file_id, x.first AS reused_from FROM c LEFT JOIN x USING (project, h)""")
+SELECT c.file_id, x.first::DOUBLE AS reused_from FROM c LEFT JOIN x USING (project, h)""")
 def embedding_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two thirds of the files are indexed; each file takes the embedding of the first indexed one with equal text."""
     c = files(spark, sf_dir).select("file_id", "project", F.sha2(text.strip(F.col("text")).cast("binary"), 256).alias("content_hash"))
     indexed = c.where("file_id % 3 <> 0").select("project", "content_hash", F.col("file_id").alias("chunk_id"), F.array(F.lit(0.0)).alias("embedding"))
-    return indexing.reuse(c, indexed, ["project", "content_hash"]).select("file_id", "reused_from")
+    return indexing.reuse(c, indexed, ["project", "content_hash"]).select("file_id", F.col("reused_from").cast("double").alias("reused_from"))
 
 
 @query(f"WITH {FILES} SELECT file_id, NOT coalesce(file_id % 5 = 0 AND text <> '', false) AND text <> '' AS current FROM files WHERE text <> ''")
@@ -200,6 +200,11 @@ def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("file_id", F.col("path").alias("symbol_name"), F.col("path").alias("qualified_name"))
 
 
+def _ranks() -> list:
+    """The ranks as doubles: they may be null."""
+    return [F.col(c).cast("double").alias(c) for c in ("vector_rank", "keyword_rank")]
+
+
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     return search.hybrid(v, _docs(spark, sf_dir), _symbols(spark, sf_dir), query_set(spark, sf_dir))
@@ -239,15 +244,16 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.vector_search(vectors(spark, sf_dir), asked).select("query_id", "file_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {FUSED} SELECT query_id, file_id, vector_rank, keyword_rank, round(rrf_score, 9) AS rrf_score, rank FROM r WHERE rank <= 10")
+@query(f"WITH {FUSED} SELECT query_id, file_id, vector_rank::DOUBLE AS vector_rank, keyword_rank::DOUBLE AS keyword_rank, round(rrf_score, 9) AS rrf_score, rank FROM r WHERE rank <= 10")
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hybrid(spark, sf_dir).where("selected").select("query_id", "file_id", "vector_rank", "keyword_rank", F.round("rrf_score", 9).alias("rrf_score"), "rank")
+    return _hybrid(spark, sf_dir).where("selected").select("query_id", "file_id", *_ranks(), F.round("rrf_score", 9).alias("rrf_score"), "rank")
 
 
-@query(f"""WITH {FUSED} SELECT q.query_id, sha256(trim(q.query)) AS query_hash, file_id, vector_rank, keyword_rank, CASE WHEN rank <= 10 THEN round(rrf_score, 9) END AS rrf_score, coalesce(rank <= 10, false) AS selected
+@query(f"""WITH {FUSED} SELECT q.query_id, sha256(trim(q.query)) AS query_hash, file_id::DOUBLE AS file_id, vector_rank::DOUBLE AS vector_rank, keyword_rank::DOUBLE AS keyword_rank, CASE WHEN rank <= 10 THEN round(rrf_score, 9) END AS rrf_score, coalesce(rank <= 10, false) AS selected
 FROM q LEFT JOIN r USING (query_id) WHERE trim(q.query) <> ''""")
 def retrieval_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.trace(query_set(spark, sf_dir), _hybrid(spark, sf_dir)).withColumn("rrf_score", F.round("rrf_score", 9))
+    out = search.trace(query_set(spark, sf_dir), _hybrid(spark, sf_dir))
+    return out.select("query_id", "query_hash", F.col("file_id").cast("double").alias("file_id"), *_ranks(), F.round("rrf_score", 9).alias("rrf_score"), "selected")
 
 
 @query(f"""WITH {KEYWORD}, {VECTOR}, {SYMBOL}, c AS (SELECT query_id, NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = q.vec_id) AS nv, query_id IN (SELECT query_id FROM vec) AS v, query_id IN (SELECT query_id FROM kw) AS k, query_id IN (SELECT query_id FROM sym) AS s FROM q WHERE trim(query) <> '')
@@ -339,7 +345,7 @@ def issue_dedup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.last_of_each(i.where("verified"), i.where("NOT verified"), ["task_id"]).select("task_id", "fingerprint", "issue_id", "place")
 
 
-@query(f"""WITH i AS ({ISSUES_SQL}) SELECT task_id, count_if(risk_level = 'High') AS high, count_if(risk_level = 'Medium') AS medium, count_if(coalesce(risk_level, 'Low') = 'Low') AS low, count(*) AS total FROM i GROUP BY task_id""")
+@query(f"""WITH i AS ({ISSUES_SQL}) SELECT task_id, count(CASE WHEN risk_level = 'High' THEN 1 END) AS high, count(CASE WHEN risk_level = 'Medium' THEN 1 END) AS medium, count(CASE WHEN coalesce(risk_level, 'Low') = 'Low' THEN 1 END) AS low, count(*) AS total FROM i GROUP BY task_id""")
 def severity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.severity_stats(issues(spark, sf_dir), ["task_id"])
 
@@ -355,15 +361,15 @@ def issue_filter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.issue_page(issues(spark, sf_dir), [F.col("task_id"), F.col("issue_id")], "High", "security", "F1", 2).select("issue_id", "title", "path")
 
 
-@query(f"""WITH i AS ({ISSUES_SQL}) SELECT task_id, sha256(concat('# Review report ', task_id, chr(10), chr(10), '| High | Medium | Low | Total |', chr(10), '|-|-|-|-|', chr(10), '| ', count_if(risk_level = 'High'), ' | ', count_if(risk_level = 'Medium'), ' | ',
-  count_if(coalesce(risk_level, 'Low') = 'Low'), ' | ', count(*), ' |', chr(10), chr(10), string_agg(concat('- [', coalesce(risk_level, 'Low'), '] ', title, ' (', path, ')'), chr(10) ORDER BY issue_id, concat('- [', coalesce(risk_level, 'Low'), '] ', title, ' (', path, ')')), chr(10))) AS markdown_sha256 FROM i GROUP BY task_id""")
+@query(f"""WITH i AS ({ISSUES_SQL}) SELECT task_id, sha256(concat('# Review report ', task_id, chr(10), chr(10), '| High | Medium | Low | Total |', chr(10), '|-|-|-|-|', chr(10), '| ', count(CASE WHEN risk_level = 'High' THEN 1 END), ' | ', count(CASE WHEN risk_level = 'Medium' THEN 1 END), ' | ',
+  count(CASE WHEN coalesce(risk_level, 'Low') = 'Low' THEN 1 END), ' | ', count(*), ' |', chr(10), chr(10), string_agg(concat('- [', coalesce(risk_level, 'Low'), '] ', title, ' (', path, ')'), chr(10) ORDER BY issue_id, concat('- [', coalesce(risk_level, 'Low'), '] ', title, ' (', path, ')')), chr(10))) AS markdown_sha256 FROM i GROUP BY task_id""")
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.report_markdown(issues(spark, sf_dir), "task_id", "issue_id").select("task_id", F.sha2(F.col("markdown").cast("binary"), 256).alias("markdown_sha256"))
 
 
 @query(f"""WITH i AS ({ISSUES_SQL}), u AS (SELECT count(*) AS n FROM (SELECT task_id, fingerprint FROM i GROUP BY ALL HAVING count(*) > 1))
-SELECT 'risk_known' AS rule, count_if(coalesce(risk_level, 'Low') NOT IN ('High', 'Medium', 'Low')) AS violations FROM i UNION ALL SELECT 'category_known', count_if(category IS NOT NULL AND category NOT IN ('security', 'quality')) FROM i
-UNION ALL SELECT 'has_fingerprint', count_if(fingerprint = '') FROM i UNION ALL SELECT 'unique_fingerprint', n FROM u""")
+SELECT 'risk_known' AS rule, count(CASE WHEN coalesce(risk_level, 'Low') NOT IN ('High', 'Medium', 'Low') THEN 1 END) AS violations FROM i UNION ALL SELECT 'category_known', count(CASE WHEN category IS NOT NULL AND category NOT IN ('security', 'quality') THEN 1 END) FROM i
+UNION ALL SELECT 'has_fingerprint', count(CASE WHEN fingerprint = '' THEN 1 END) FROM i UNION ALL SELECT 'unique_fingerprint', n FROM u""")
 def integrity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = issues(spark, sf_dir)
     rules = {"risk_known": F.coalesce("risk_level", F.lit("Low")).isin(*review.LEVELS), "category_known": F.col("category").isin("security", "quality"), "has_fingerprint": F.col("fingerprint") != ""}
@@ -438,7 +444,7 @@ def recall_at_k_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.recall_by_prefix(p, truth_spans(spark, sf_dir), [1, 2, 5], ["language"])
 
 
-@query("""WITH s AS (SELECT l_returnflag AS variant, l_linestatus AS language, l_linenumber % 3 AS run, count_if(l_quantity > 25)::DOUBLE / count(*) AS f1 FROM lineitem GROUP BY ALL),
+@query("""WITH s AS (SELECT l_returnflag AS variant, l_linestatus AS language, l_linenumber % 3 AS run, count(CASE WHEN l_quantity > 25 THEN 1 END)::DOUBLE / count(*) AS f1 FROM lineitem GROUP BY ALL),
 r AS (SELECT variant, run, avg(f1) AS f1 FROM s GROUP BY ALL) SELECT variant, round(avg(f1), 9) AS f1_mean, round(stddev_pop(f1), 9) AS f1_std FROM r GROUP BY variant""")
 def ablation_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = tables.table(spark, sf_dir, "lineitem")
@@ -501,14 +507,14 @@ def idempotent_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.once(r, "id").select("user_id", F.col("idempotency_key").alias("k"), "id")
 
 
-@query("SELECT event_id AS id, CASE WHEN event_id % 4 <> 3 THEN json_extract_string(props, '$.k')::INT END AS k FROM events")
+@query("SELECT event_id AS id, CASE WHEN event_id % 4 <> 3 THEN json_extract_string(props, '$.k')::DOUBLE END AS k FROM events")
 def json_extract_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON inside free text: fenced, between words, bare, and broken."""
     from pyspark.sql import types as T
 
     e = tables.table(spark, sf_dir, "events")
     said = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\ndone"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("so "), "props", F.lit(" it is"))).when(F.col("event_id") % 4 == 2, F.col("props")).otherwise(F.concat(F.lit("{"), "props"))
-    return e.select(F.col("event_id").alias("id"), text.parsed_json(said, T.StructType([T.StructField("k", T.IntegerType())]), ["k"])["k"].alias("k"))
+    return e.select(F.col("event_id").alias("id"), text.parsed_json(said, T.StructType([T.StructField("k", T.IntegerType())]), ["k"])["k"].cast("double").alias("k"))
 
 
 PYTHON_SOURCE = "class C{n}(Base):\n    def run(self, x):\n        return helper(x)\n\ndef helper(x):\n    return x\n"
