@@ -273,3 +273,17 @@ def test_projections(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/r").first()["value"] == "# one"
     with pytest.raises(ValueError):
         projections.exported(reports, "pdf", f"{tmp_path}/r")
+
+
+def test_model_calls(spark):
+    from siftwork.operators import models
+
+    def provider(prompt):
+        if prompt == "down":
+            raise RuntimeError
+        if prompt == "good":
+            return 'Sure:\n```json\n{"k": 1}\n```', 5, 2
+        return ('{"k": 2}' if "not valid" in prompt and prompt.startswith("mend") else '{"x": 0}'), 5, 2
+
+    out = models.answered(spark.createDataFrame([(1, "good"), (2, "mend"), (3, "bad"), (4, "down")], "id long, prompt string"), provider, ["k"])
+    assert rows(out, "id") == [(1, '{"k": 1}', 1, 5, 2, None), (2, '{"k": 2}', 2, 10, 4, None), (3, None, 2, 10, 4, "INVALID_ANSWER"), (4, None, 0, 0, 0, "PROVIDER_FAILED")]
