@@ -69,6 +69,7 @@ def apportion(parties: DataFrame, votes: str, seats: Column, group: list[str], o
     all_of = {c: F.col(c) for c in parties.columns}
     p = parties.withColumn("_seats", seats.cast("long")).withColumn("_all", F.sum(votes).over(whole)).withColumn("_m", F.count("*").over(whole))
     share = F.when(F.col("_all") > 0, F.col(votes) / F.col("_all")).otherwise(0.0)
+    p = p.withColumn("_rank", F.row_number().over(whole.orderBy(*order)))
     p = p.withColumn("_base", F.floor(share * F.col("_seats") + 0.5).cast("long"))
     p = p.withColumn("_off", F.col("_seats") - F.sum("_base").over(whole))
     reach = F.when((F.col("_off") == 0) | (F.col(votes) <= 0), 0).otherwise(F.floor(share * F.col("_m") / 2 + 1.5)).cast("int")
@@ -77,7 +78,8 @@ def apportion(parties: DataFrame, votes: str, seats: Column, group: list[str], o
     p = p.withColumn("_step", F.explode_outer(F.when(usable, steps)))
     quotient = F.col(votes) / F.when(F.col("_off") > 0, 2 * (F.col("_base") + F.col("_step")) - 1).otherwise(2 * (F.col("_base") - F.col("_step")) + 1)
     p = p.withColumn("_q", F.when(F.col("_step").isNotNull(), quotient))
-    best = whole.orderBy(F.when(F.col("_off") > 0, -F.col("_q")).otherwise(F.col("_q")).asc_nulls_last(), *order, F.col("_step"))
+    # Of equal quotients the first party's counts more: it wins a seat first and loses one last.
+    best = whole.orderBy(*[F.when(F.col("_off") > 0, a).otherwise(b).asc_nulls_last() for a, b in ((-F.col("_q"), F.col("_q")), (F.col("_rank"), -F.col("_rank")))], F.col("_step"))
     p = p.withColumn("_won", (F.col("_q").isNotNull() & (F.row_number().over(best) <= F.abs("_off"))).cast("long"))
     summed = p.groupBy(*all_of).agg(F.max("_base").alias("_base"), F.sum("_won").alias("_won"), F.max("_off").alias("_off"))
     return summed.select(*all_of, (F.col("_base") + F.signum("_off").cast("long") * F.col("_won")).alias(name))

@@ -210,8 +210,8 @@ def test_mix_targets_and_bounds(spark):
 
 def test_apportionment_takes_the_highest_quotients(spark):
     rnd = random.Random(9)
-    for _ in range(6):
-        votes = [rnd.choice([0, 1, 5, 5, 40, 300, 4000]) * rnd.random() for _ in range(rnd.randrange(1, 12))]
+    for kind in range(10):
+        votes = [rnd.choice([0, 1, 5, 5, 15, 40, 300, 4000]) * (rnd.random() if kind % 2 else 1.0) for _ in range(rnd.randrange(1, 12))]
         seats = rnd.randrange(60) if sum(votes) else 0
         parties = spark.createDataFrame([(k, v) for k, v in enumerate(votes)], "p int, v double")
         got = [r["seats"] for r in mixing.apportion(parties, "v", F.lit(seats), [], [F.col("p")]).orderBy("p").collect()]
