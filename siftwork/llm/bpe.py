@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .scratch import small_batches
+from .scratch import small_batches, tidy
 
 #: Characters of the texts of a block; pre-tokens and their bytes that a worker keeps from block to block.
 BLOCK_CHARS, KNOWN_WORDS, KNOWN_BYTES = 3_000_000, 600_000, 24_000_000
@@ -236,4 +236,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             yield flush()
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)

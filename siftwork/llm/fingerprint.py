@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import parts, small_batches
+from .scratch import parts, small_batches, tidy
 from .shingles import WORDS, shingle_sets
 
 #: One hash in so many is kept.
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [packed(sketch(s)) for _, s in shingle_sets(batch.column(1), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=[id_col, "fingerprint"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fingerprint", T.StringType())]))
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fingerprint", T.StringType())]))
 
 
 def with_next(docs: DataFrame, of: Callable[[pa.Array, pa.Array, pa.Array], list[pa.Array]], schema: T.StructType, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,7 +137,7 @@ def with_next(docs: DataFrame, of: Callable[[pa.Array, pa.Array, pa.Array], list
                 columns = of(ids[:-1].filter(own), texts[:-1].filter(own), texts[1:].filter(own))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(tidy(run), schema)
 
 
 def compared_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:

@@ -19,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import kept, small_batches
+from .scratch import evenly, kept, small_batches, tidy
 
 UNKNOWN = "und"
 BITS, GRAMS = 16, 3
@@ -148,15 +148,17 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sparse_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(text: str | None) -> tuple[bytes | None, bytes | None]:
+        counts = gram_counts(text)
+        if counts is None:
+            return None, None
+        index = np.flatnonzero(counts).astype(np.int32)
+        return index.tobytes(), counts[index].astype(np.int32).tobytes()
+
     for batch in batches:
-        found = [gram_counts(t) for t in batch.column(0).to_pylist()]
-        index = [None if c is None else np.flatnonzero(c).astype(np.int32) for c in found]
+        found = [packed(t) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([None if i is None else i.tobytes() for i in index], pa.binary()),
-                pa.array([None if i is None else c[i].astype(np.int32).tobytes() for i, c in zip(index, found, strict=True)], pa.binary()), batch.column(1), batch.column(2),
-            ],
-            names=["buckets", "counts", "lang", "apart"],
+            [pa.array([i for i, _ in found], pa.binary()), pa.array([c for _, c in found], pa.binary()), batch.column(1), batch.column(2)], names=["buckets", "counts", "lang", "apart"]
         )
 
 
@@ -170,7 +172,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.where(usable & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     frequency = np.zeros(1 << BITS, np.int64)
     texts = 0
-    for row in known.select("_text").mapInArrow(_frequencies, "bucket int, texts long").groupBy("bucket").agg(F.sum("texts").alias("texts")).collect():
+    for row in known.select("_text").mapInArrow(tidy(_frequencies), "bucket int, texts long").groupBy("bucket").agg(F.sum("texts").alias("texts")).collect():
         if row["bucket"] < 0:
             texts = row["texts"]
         else:
@@ -179,13 +181,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return None
     idf = np.log((1 + texts) / (1 + frequency)) + 1
 
-    names = known.where(F.col("_text").rlike(r"\p{L}")).select("_id", "_lang")
-    turn = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    chosen = kept(names.withColumn("_turn", turn).where(F.col("_turn") <= fit_rows).where(F.col("_id").isNotNull()), "chosen")
-    languages = [r[0] for r in chosen.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(fit_rows).collect()]
-    each = max(1, fit_rows // max(1, len(languages)))
-    chosen = chosen.where((F.col("_turn") <= each) & F.col("_lang").isin(languages)).select(F.col("_id").alias("_key"), (F.pmod(F.xxhash64("_id", F.lit("apart")), F.lit(1000)) < 1000 * CALIBRATE).alias("_apart")).distinct()
-    rows = known.join(F.broadcast(chosen), F.col("_id") == F.col("_key")).select("_text", "_lang", "_apart").mapInArrow(_sparse_counts, "buckets binary, counts binary, lang string, apart boolean").where("buckets is not null").collect()
+    names = known.where(F.col("_text").rlike(r"\p{L}") & F.col("_id").isNotNull()).select("_id", "_lang")
+    languages = names.select("_lang").distinct().limit(fit_rows).count()
+    chosen = evenly(names, "_lang", "_id", max(1, fit_rows // max(1, languages)), fit_rows)
+    apart = F.pmod(F.xxhash64("_id", F.lit("apart")), F.lit(1000)) < 1000 * CALIBRATE
+    chosen = kept(chosen.select(F.col("_id").alias("_key"), apart.alias("_apart")).distinct(), "chosen")
+    rows = known.join(F.broadcast(chosen), F.col("_id") == F.col("_key")).select("_text", "_lang", "_apart").mapInArrow(tidy(_sparse_counts), "buckets binary, counts binary, lang string, apart boolean").where("buckets is not null").collect()
     languages = sorted({r["lang"] for r in rows})
     if not rows:
         return None
@@ -226,4 +227,4 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)

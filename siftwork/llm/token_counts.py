@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import BLOCK_CHARS, Encoder, shared_ranks, worker_encoder
-from .scratch import small_batches
+from .scratch import small_batches, tidy
 
 #: Pre-tokens of a new leaf; characters before an edit whose boundaries are cut again.
 LEAF, CONTEXT = 64, 3
@@ -182,4 +182,4 @@ def edited_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     NAMES = [id_col, "n_chars", "n_tokens", "n_edits", "edited_chars", "edited_tokens", "encoded_chars"]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)] + [T.StructField(n, T.LongType()) for n in NAMES[1:]])
-    return docs.select(id_col, text_col, edits_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, edits_col).mapInArrow(tidy(run), schema)

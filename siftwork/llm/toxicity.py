@@ -20,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import kept, small_batches
+from .scratch import evenly, kept, small_batches, tidy
 from .shingles import _LOWER, _tables, mixed
 
 BITS = 20
@@ -136,10 +136,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits on at most fit_rows labelled documents, chosen by a hash of their ids; None without two grades."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(grade_col).cast("int").alias("_grade"))
-    mine = Window.partitionBy(F.col("_grade") > 0).orderBy(F.xxhash64("_id"), "_id")
-    chosen = kept(known.withColumn("_turn", F.row_number().over(mine)).where(f"_turn <= {fit_rows // 2}").select("_id", "_grade"), "labelled")
+    known = known.withColumn("_side", F.col("_grade") > 0)
+    chosen = kept(evenly(known, "_side", "_id", fit_rows // 2, 2).select("_id", "_grade"), "labelled")
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_text", "_grade").mapInArrow(_vectors, "buckets binary, values binary, grade int").collect()
+    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_text", "_grade").mapInArrow(tidy(_vectors), "buckets binary, values binary, grade int").collect()
     data = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["values"], np.float32), r["grade"]) for r in rows]
     data.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes()))
     if len({g for *_, g in data}) < 2:
@@ -173,4 +173,4 @@ def severities(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_i
                 [batch.column(0), pa.array(above.sum(axis=1)), pa.array(chances.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0]), pa.array((above[:, 0] >= flag_from) & any_words)], names=names
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
