@@ -19,8 +19,9 @@ components is lost, and a group of near copies costs about as many verifications
 intersects the whole sets, with whole numbers.
 
 Edge cases: null, empty and blank texts have empty sets and are linked with nothing; shorter texts give their whole
-sequence as one shingle; rows that repeat a doc_id are versions of that document and share its links; a null doc_id
-gets the component of its equal texts, or null; an empty table gives an empty result. Only named columns are read.
+sequence as one shingle; rows that repeat a doc_id each get the component of their own text, which links of their other
+texts may join; a null doc_id gets the component of its equal texts, or null; an empty table gives an empty result. Only
+the named columns are read.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .scratch import dropped, held, kept, parts, release, small_batches
+from .scratch import dropped, held, kept, parts, release, small_batches, tidy
 from .shingles import WORDS, shingle_sets
 
 NUM, DEN = 75, 100
@@ -84,7 +85,7 @@ def shingle_sketch(docs: DataFrame, text_col: str = "text", size: int = WORDS) -
     """
     small_batches(docs.sparkSession)
     schema = "slice int, counts binary"
-    sums = docs.select(text_col).mapInArrow(_sketch_parts(size), schema).repartition(min(SLICES, parts(docs.sparkSession)), "slice").mapInArrow(_sketch_sums, schema)
+    sums = docs.select(text_col).mapInArrow(tidy(_sketch_parts(size)), schema).repartition(min(SLICES, parts(docs.sparkSession)), "slice").mapInArrow(tidy(_sketch_sums), schema)
     out = np.zeros(COUNTERS, np.uint16)
     for row in sums.collect():
         out[row["slice"] * (COUNTERS // SLICES) :][: COUNTERS // SLICES] = np.frombuffer(zlib.decompress(row["counts"]), np.uint16)
@@ -130,7 +131,7 @@ def prefix_table(docs: DataFrame, id_col: str, text_col: str, size: int, num: in
             )
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("hi", "lo", "n")], T.StructField("l", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -144,7 +145,7 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "shingles"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
@@ -291,8 +292,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = kept(prefix_table(docs, id_col, text_col, size, num, den), "prefixes")
     heads = kept(table.select("id", "hi", "lo", "n"), "heads")
     classes = kept(heads.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    others = kept(heads.where("n > 0").join(classes.where("copies > 1"), ["hi", "lo"]).where("id <> rep").select("id").distinct(), "copies")
-    links = jaccard_links(docs, table.join(held(others), "id", "left_anti"), id_col, text_col, size, num, den)
+    others = kept(heads.where("n > 0").join(classes.where("copies > 1"), ["hi", "lo"]).where("id <> rep").select("id", "hi", "lo").distinct(), "copies")
+    links = jaccard_links(docs, table.join(held(others), ["id", "hi", "lo"], "left_anti"), id_col, text_col, size, num, den)
     dropped(table, others)
     roots = kept(components(links), "roots")
     groups = classes.join(roots, F.col("rep") == F.col("node"), "left").where("copies > 1 or node is not null")
