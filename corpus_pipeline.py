@@ -25,9 +25,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     keyed = docs.select(F.struct("doc_id", sha().alias("sha")).alias("key"), "text")
     told = langid.predict(keyed, model, id_col="key").where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    told = told.select(F.col("key.doc_id").alias("_id"), F.col("key.sha").alias("_sha"), "lang_pred").distinct()
-    rows = docs.withColumn("_own", sha()).join(told, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
-    return rows.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else c for c in docs.columns])
+    told = told.select(F.col("key.doc_id").alias("__told_id"), F.col("key.sha").alias("__told_sha"), F.col("lang_pred").alias("__told_lang")).distinct()
+    rows = docs.withColumn("__own_sha", sha()).join(told, docs["doc_id"].eqNullSafe(F.col("__told_id")) & (F.col("__own_sha") == F.col("__told_sha")))
+    return rows.select(*[F.coalesce("lang", "__told_lang").alias("lang") if c == "lang" else c for c in docs.columns])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

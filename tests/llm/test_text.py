@@ -316,3 +316,11 @@ def test_language_stage(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, docs, "").collect()}
     assert set(out) == set(range(60)) and all(out.values())
+
+
+def test_stages_keep_columns_whose_names_clash(spark):
+    rows = [(k, t, lang, "s", len(t), k, k, "x", k) for k, t, lang in language_rows(40, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id long, size long, lang_pred string, component_id long")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and all(r["_id"] == r["size"] == r["component_id"] == r["doc_id"] for r in out.collect()), name
