@@ -3,9 +3,10 @@
 parse() cuts a page into blocks of decoded text and says what their elements are: chrome (menus, headers, footers,
 sidebars, notices, adverts, forms, comments), article, or neither. The pages of a host are joined into one token
 stream; a suffix array, sorted to the depth of the shortest run that counts, shows which runs stand on two or more
-pages. Outside articles what such runs cover is boilerplate and only the unique runs stay; inside articles repeats are
-content: copies, quoted passages, headings that adverts repeat. Two exact checks follow: chrome goes even where it is
-unique, and on a page with an article element what is outside of it goes too.
+pages. Outside articles what such runs cover is boilerplate and only the unique runs stay. Inside articles a run is
+boilerplate if it stands inside the articles of at least INSIDE_LEAST pages and of half of the host's pages that have
+one; rarer repeats are content: copies, quoted passages, headings that adverts repeat. Two checks by tags follow: chrome
+goes even where it is unique, and on a page with an article element what is outside of it goes too.
 
 A host with more than SHARD pages is dealt to shards by a hash of the page, each with a suffix array of its own, so a
 task never holds more than about SHARD pages. A run on no more than a few pages of such a host may be alone in each
@@ -33,6 +34,8 @@ from .scratch import held, kept, small_batches, tidy
 
 #: Pages of a shard; tokens of the shortest run that counts (shorter blocks count when they repeat as a whole).
 SHARD, RUN = 512, 8
+#: Inside articles a run is boilerplate on at least so many pages, if these are half of the host's pages with an article.
+INSIDE_LEAST = 10
 CHROME, NEITHER, ARTICLE = 0, 1, 2
 
 _TAG = regex.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""", regex.S)
@@ -180,63 +183,96 @@ class SuffixRanks:
         return now[places] * (len(now) + 2) + now[np.minimum(places + size - (1 << level), len(now) - 1)]
 
 
-def _on_two_pages(keys: np.ndarray, pages: np.ndarray) -> np.ndarray:
-    """Whether a key stands on two or more different pages."""
-    if not len(keys):
-        return np.zeros(0, bool)
-    order = np.argsort(keys, kind="stable")
-    starts = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
-    low, high = np.minimum.reduceat(pages[order], starts), np.maximum.reduceat(pages[order], starts)
-    out = np.empty(len(keys), bool)
-    out[order] = np.repeat(low != high, np.diff(np.concatenate((starts, [len(keys)]))))
-    return out
+def _pages_with(keys: np.ndarray, pages: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of equal keys: the group of each key, the first key of each group, and on how many different pages a group
+    stands, anywhere and with inside."""
+    order = np.lexsort((pages, keys))
+    k, p = keys[order], pages[order]
+    key_starts = np.concatenate(([True], k[1:] != k[:-1]))[: len(k)]
+    pair_starts = np.flatnonzero(key_starts | np.concatenate(([True], p[1:] != p[:-1]))[: len(k)])
+    group = np.cumsum(key_starts) - 1
+    of_key = np.empty(len(k), np.int64)
+    of_key[order] = group
+    n = int(key_starts.sum())
+    within = np.maximum.reduceat(inside[order], pair_starts) if len(k) else np.zeros(0, bool)
+    return of_key, order[key_starts], np.bincount(group[pair_starts], minlength=n), np.bincount(group[pair_starts][within], minlength=n)
 
 
-def unique_runs(pages: list[int], kinds: list[list[int]], texts: list[list[str]], run: int = RUN) -> list[str]:
-    """The main text of each page of a host (or of a shard of it); pages: numbers, the same for rows of one page."""
-    number: dict[str, int] = {}
-    tokens, spans, block_pages = [], [], []
-    for page, own_texts in zip(pages, texts, strict=True):
-        for text in own_texts:
-            words = text.split(" ")
-            spans.append((len(tokens), len(words)))
-            tokens += [number.setdefault(w, len(number)) for w in words]
-            tokens.append(-1 - len(spans))
-            block_pages.append(page)
-    if not spans:
-        return [""] * len(pages)
-    flat = np.array(tokens, np.int64)
-    starts, sizes = (np.array(x, np.int64) for x in zip(*spans, strict=True))
-    of_page = np.array(block_pages)
-    ranks = SuffixRanks(flat, run)
-    block_of = np.repeat(np.arange(len(spans)), sizes + 1)
-    left = (starts + sizes)[block_of] - np.arange(len(flat))
-    places = np.flatnonzero(left >= run)
-    hits = places[_on_two_pages(ranks.windows(places, run), of_page[block_of[places]])]
-    edge = np.zeros(len(flat) + 1, np.int64)
-    np.add.at(edge, hits, 1)
-    np.add.at(edge, hits + run, -1)
-    covered = np.cumsum(edge[:-1]) > 0
-    for size in range(1, run):
-        short = np.flatnonzero(sizes == size)
-        for b in short[_on_two_pages(ranks.windows(starts[short], size), of_page[short])]:
-            covered[starts[b] : starts[b] + size] = True
-
-    out, b = [], 0
-    for own_kinds, own_texts in zip(kinds, texts, strict=True):
-        article, lines = ARTICLE in own_kinds, []
-        for kind, text in zip(own_kinds, own_texts, strict=True):
-            s, n = int(starts[b]), int(sizes[b])
-            b += 1
-            if kind == ARTICLE:
-                lines.append(text)
-            elif kind == NEITHER and not article:
-                if not covered[s : s + n].any():
+class Stream:
+    """The token stream of pages (numbers, the same for rows of one page), and what of it may repeat: every window of run
+    tokens of a block, and every block of fewer tokens as a whole."""
+
+    def __init__(self, pages: list[int], kinds: list[list[int]], texts: list[list[str]], run: int):
+        self.number: dict[str, int] = {}
+        self.kinds, self.texts, self.run = kinds, texts, run
+        number, tokens, spans, block_pages, inside = self.number, [], [], [], []
+        for page, own_kinds, own_texts in zip(pages, kinds, texts, strict=True):
+            for kind, text in zip(own_kinds, own_texts, strict=True):
+                words = text.split(" ")
+                spans.append((len(tokens), len(words)))
+                tokens += [number.setdefault(w, len(number)) for w in words]
+                tokens.append(-1 - len(spans))
+                block_pages.append(page)
+                inside.append(kind == ARTICLE)
+        self.flat = np.array(tokens, np.int64)
+        self.starts, self.sizes = np.array(spans, np.int64).reshape(-1, 2).T
+        self.of_page, self.inside = np.array(block_pages, np.int64), np.array(inside, bool)
+        self.article_pages = len(np.unique(self.of_page[self.inside]))
+
+    def units(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, places, their blocks) of what may repeat."""
+        block_of = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)
+        left = (self.starts + self.sizes)[block_of] - np.arange(len(self.flat))
+        for size in range(1, self.run):
+            short = np.flatnonzero(self.sizes == size)
+            if len(short):
+                yield size, self.starts[short], short
+        places = np.flatnonzero(left >= self.run)
+        if len(places):
+            yield self.run, places, block_of[places]
+
+    def counts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By the suffix array, for each size: places, their groups, a place of each group, its pages, its pages inside articles."""
+        if len(self.flat):
+            ranks = SuffixRanks(self.flat, self.run)
+            for size, places, blocks in self.units():
+                group, first, anywhere, within = _pages_with(ranks.windows(places, size), self.of_page[blocks], self.inside[blocks])
+                yield size, places, group, places[first], anywhere, within
+
+    def main_texts(self, found: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> list[str]:
+        """The main text of each page; found: for each size, places, and whether what is there repeats outside and inside articles."""
+        often, everywhere = np.zeros(len(self.flat) + 1, np.int64), np.zeros(len(self.flat) + 1, np.int64)
+        for size, places, outside, inside in found:
+            for edge, hits in ((often, places[outside]), (everywhere, places[inside])):
+                np.add.at(edge, hits, 1)
+                np.add.at(edge, hits + size, -1)
+        often, everywhere = np.cumsum(often) > 0, np.cumsum(everywhere) > 0
+        out, b = [], 0
+        for own_kinds, own_texts in zip(self.kinds, self.texts, strict=True):
+            article, lines = ARTICLE in own_kinds, []
+            for kind, text in zip(own_kinds, own_texts, strict=True):
+                s, n = int(self.starts[b]), int(self.sizes[b])
+                b += 1
+                if kind == CHROME or kind == NEITHER and article:
+                    continue
+                covered = (everywhere if kind == ARTICLE else often)[s : s + n]
+                if not covered.any():
                     lines.append(text)
-                elif line := " ".join(w for w, c in zip(text.split(" "), covered[s : s + n], strict=True) if not c):
+                elif line := " ".join(w for w, c in zip(text.split(" "), covered, strict=True) if not c):
                     lines.append(line)
-        out.append("\n".join(lines))
-    return out
+            out.append("\n".join(lines))
+        return out
+
+
+def repeats_inside(pages: np.ndarray, of: int) -> np.ndarray:
+    """Whether what stands inside articles of so many pages is boilerplate, on a host with of pages that have an article."""
+    return (pages >= INSIDE_LEAST) & (pages * 2 >= of)
+
+
+def unique_runs(pages: list[int], kinds: list[list[int]], texts: list[list[str]], run: int = RUN, least: int = 2) -> list[str]:
+    """The main text of each page of a host (or of a shard of it); pages: numbers, the same for rows of one page."""
+    stream = Stream(pages, kinds, texts, run)
+    return stream.main_texts((size, places, (anywhere >= least)[group], repeats_inside(within, stream.article_pages)[group]) for size, places, group, _, anywhere, within in stream.counts())
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard: int = SHARD, run: int = RUN) -> DataFrame:

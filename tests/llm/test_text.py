@@ -248,6 +248,15 @@ def test_articles_keep_what_repeats():
     assert html_text.unique_runs([1, 2], [[k for k, _ in blocks]] * 2, [[t for _, t in blocks]] * 2) == ["Go\nthe same news told on many pages of this very host"] * 2
 
 
+def test_host_runs_decide_inside_articles():
+    line = "read on in our daily letter and tell all your friends"
+    blocks = [[(html_text.ARTICLE, f"story {i} a{i} {line}" if i < 10 else f"story {i}"), (html_text.ARTICLE, "Share" if i % 2 else f"s{i}"), (html_text.CHROME, f"s{i}")] for i in range(20)]
+    out = html_text.unique_runs(list(range(20)), [[k for k, _ in b] for b in blocks], [[t for _, t in b] for b in blocks])
+    assert out == [(f"story {i} a{i}" if i < 10 else f"story {i}") + ("" if i % 2 else f"\ns{i}") for i in range(20)]
+    few = [b if i != 9 else [(html_text.ARTICLE, "story 9")] for i, b in enumerate(blocks)]  # nine pages of twenty quote it
+    assert html_text.unique_runs(list(range(20)), [[k for k, _ in b] for b in few], [[t for _, t in b] for b in few])[0] == f"story 0 a0 {line}\ns0"
+
+
 def test_repeats_by_brute_force():
     rnd = random.Random(9)
     for _ in range(40):
