@@ -3,25 +3,32 @@
 parse() cuts a page into blocks of decoded text and says what their elements are: chrome (menus, headers, footers,
 sidebars, notices, adverts, forms, comments), article, or neither. The pages of a host are joined into one token
 stream; a suffix array, sorted to the depth of the shortest run that counts, shows which runs stand on two or more
-pages. Outside articles what such runs cover is boilerplate and only the unique runs stay. Inside articles a run is
+pages of the host. Outside articles what such runs cover is boilerplate and only the unique runs stay. Inside articles a run is
 boilerplate if it stands inside the articles of at least INSIDE_LEAST pages and of half of the host's pages that have
 one; rarer repeats are content: copies, quoted passages, headings that adverts repeat. Two checks by tags follow: chrome
 goes even where it is unique, and on a page with an article element what is outside of it goes too.
 
-A host with more than SHARD pages is dealt to shards by a hash of the page, each with a suffix array of its own, so a
-task never holds more than about SHARD pages. A run on no more than a few pages of such a host may be alone in each
-shard; it then counts as unique.
+A host with more than SHARD pages is dealt to shards by a hash of the page, so a task never holds more than about SHARD
+pages; each shard has a suffix array of its own. Its groups of equal runs go out as 64-bit hashes, one row a run and page,
+the different pages of a hash are counted over all shards, and each shard gets the counts of its own runs back. So the
+number of shards does not change the result, but for two cases of negligible chance: equal hashes, and a run inside
+articles of half of a host's pages of which a shard with FEW pages or more holds a single one (such runs are not sent).
+
+Outside articles a run is boilerplate on LEAST different pages. Pages with the same main text (article, or else what is
+not chrome) are one page, whatever their ids, so copies do not empty each other; what three different pages without an
+article share goes from them, and near copies are different pages.
 
 Edge cases: null and empty html and pages without main text give the empty string; unclosed and stray tags are
-tolerated; a page cut off in a tag or a reference keeps the rest as text; a null url is a host of its own; rows that
-repeat a page_id are the same page to the suffix array, so a page never makes itself boilerplate; an empty table gives
-an empty result. Only the named columns are read.
+tolerated; a page cut off in a tag or a reference keeps the rest as text; a null url is a host of its own; rows of a host
+that repeat a page_id are the same page when pages are counted, so a page never makes itself boilerplate; an empty table
+gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +37,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import held, kept, small_batches, tidy
+from .scratch import held, kept, release, small_batches, tidy
+from .shingles import mixed
 
 #: Pages of a shard; tokens of the shortest run that counts (shorter blocks count when they repeat as a whole).
 SHARD, RUN = 512, 8
 #: Inside articles a run is boilerplate on at least so many pages, if these are half of the host's pages with an article.
 INSIDE_LEAST = 10
+#: Outside articles a run is boilerplate on so many different pages of a host.
+LEAST = 3
+#: A shard with fewer pages that have an article tells all runs inside of them, others those on two pages.
+FEW = 64
+OUTSIDE, INSIDE, PAGES = 0, 1, 2
+#: Of the compression of parsed pages.
+LEVEL = 3
 CHROME, NEITHER, ARTICLE = 0, 1, 2
 
 _TAG = regex.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""", regex.S)
@@ -151,13 +166,36 @@ def parse(page: str | None) -> list[tuple[int, str]]:
     return blocks
 
 
+def _number(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page, url, host, shard and the parsed blocks, packed; mark: equal for rows that count as one page of their host.
+
+    Where lean is set, blocks that the tags remove are left out.
+    """
+    codec = pa.Codec("zstd", compression_level=LEVEL)
     for batch in batches:
-        found = [parse(p) for p in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(3), pa.array([[k for k, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))],
-            names=["page", "url", "host", "kinds", "texts"],
-        )
+        marks, blocks, sizes = [], [], []
+        for page, source, again, lean in zip(*[batch.column(k).to_pylist() for k in (0, 2, 4, 7)], strict=True):
+            found = parse(source)
+            main = ARTICLE if any(k == ARTICLE for k, _ in found) else NEITHER
+            marks.append(_number(f"id {page!r}" if again else "\n".join(["text", *[t for k, t in found if k == main]])))
+            packed = "\n".join(f"{k}{t}" for k, t in found if not lean or k == main).encode("utf-8", "surrogatepass")  # a text holds no line break
+            sizes.append(len(packed))
+            blocks.append(codec.compress(packed, asbytes=True))
+        columns = [batch.column(0), batch.column(1), batch.column(3), batch.column(5), batch.column(6), pa.array(marks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(blocks, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["page", "url", "host", "shard", "shards", "mark", "size", "blocks"])
+
+
+def _unpacked(table: pa.Table) -> tuple[list[list[int]], list[list[str]]]:
+    kinds, texts = [], []
+    for size, packed in zip(table.column("size").to_pylist(), table.column("blocks").to_pylist(), strict=True):
+        lines = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n") if size else []
+        kinds.append([int(x[0]) for x in lines])
+        texts.append([x[1:] for x in lines])
+    return kinds, texts
 
 
 class SuffixRanks:
@@ -167,7 +205,7 @@ class SuffixRanks:
     """
 
     def __init__(self, tokens: np.ndarray, depth: int):
-        self.levels = [np.unique(tokens, return_inverse=True)[1].astype(np.int64)]
+        self.levels = [np.where(tokens < 0, len(tokens) + tokens, tokens)]  # tokens: 0, 1, 2 ..., and -1, -2 ... once each
         size = 1
         while size * 2 <= depth:
             now = self.levels[-1]
@@ -180,13 +218,15 @@ class SuffixRanks:
         """A number for the window of size tokens at each place; equal for equal windows of this size only."""
         level = size.bit_length() - 1
         now = self.levels[level]
+        if size == 1 << level:
+            return now[places]
         return now[places] * (len(now) + 2) + now[np.minimum(places + size - (1 << level), len(now) - 1)]
 
 
 def _pages_with(keys: np.ndarray, pages: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Groups of equal keys: the group of each key, the first key of each group, and on how many different pages a group
-    stands, anywhere and with inside."""
-    order = np.lexsort((pages, keys))
+    stands outside and inside articles."""
+    order = np.argsort(keys * (int(pages.max(initial=0)) + 1) + pages)
     k, p = keys[order], pages[order]
     key_starts = np.concatenate(([True], k[1:] != k[:-1]))[: len(k)]
     pair_starts = np.flatnonzero(key_starts | np.concatenate(([True], p[1:] != p[:-1]))[: len(k)])
@@ -194,12 +234,13 @@ def _pages_with(keys: np.ndarray, pages: np.ndarray, inside: np.ndarray) -> tupl
     of_key = np.empty(len(k), np.int64)
     of_key[order] = group
     n = int(key_starts.sum())
-    within = np.maximum.reduceat(inside[order], pair_starts) if len(k) else np.zeros(0, bool)
-    return of_key, order[key_starts], np.bincount(group[pair_starts], minlength=n), np.bincount(group[pair_starts][within], minlength=n)
+    pairs = group[pair_starts]
+    outer, inner = (np.maximum.reduceat(x, pair_starts) if len(k) else x for x in (~inside[order], inside[order]))
+    return of_key, order[key_starts], np.bincount(pairs[outer], minlength=n), np.bincount(pairs[inner], minlength=n)
 
 
 class Stream:
-    """The token stream of pages (numbers, the same for rows of one page), and what of it may repeat: every window of run
+    """The token stream of pages (numbers, the same for rows that count as one page), and what of it may repeat: every window of run
     tokens of a block, and every block of fewer tokens as a whole."""
 
     def __init__(self, pages: list[int], kinds: list[list[int]], texts: list[list[str]], run: int):
@@ -216,7 +257,8 @@ class Stream:
                 inside.append(kind == ARTICLE)
         self.flat = np.array(tokens, np.int64)
         self.starts, self.sizes = np.array(spans, np.int64).reshape(-1, 2).T
-        self.of_page, self.inside = np.array(block_pages, np.int64), np.array(inside, bool)
+        self.pages, self.of_page = np.unique(np.array(block_pages, np.int64), return_inverse=True)
+        self.inside = np.array(inside, bool)
         self.article_pages = len(np.unique(self.of_page[self.inside]))
 
     def units(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -232,12 +274,40 @@ class Stream:
             yield self.run, places, block_of[places]
 
     def counts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """By the suffix array, for each size: places, their groups, a place of each group, its pages, its pages inside articles."""
+        """By the suffix array, for each size: places, their groups, a place of each group, on how many pages it is outside and inside articles."""
         if len(self.flat):
             ranks = SuffixRanks(self.flat, self.run)
             for size, places, blocks in self.units():
-                group, first, anywhere, within = _pages_with(ranks.windows(places, size), self.of_page[blocks], self.inside[blocks])
-                yield size, places, group, places[first], anywhere, within
+                group, first, outer, inner = _pages_with(ranks.windows(places, size), self.of_page[blocks], self.inside[blocks])
+                yield size, places, group, places[first], outer, inner
+
+    def hashes(self, size: int, places: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the runs of size tokens at places, the same in every stream."""
+        if not hasattr(self, "of_token"):
+            self.of_token = np.array([_number(w) for w in self.number], np.int64).view(np.uint64)[np.maximum(self.flat, 0)]
+        total = np.full(len(places), np.uint64(size))
+        for k in range(size):
+            total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + self.of_token[places + k])
+        return total.view(np.int64)
+
+    def told(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What a shard tells of its pages: (what, key, page, whether it is the first row of what and key) without repeats; the pages with an article stand under PAGES."""
+        pages = np.unique(self.of_page[self.inside])
+        out = [(np.full(len(pages), PAGES), np.zeros(len(pages), np.int64), pages)]
+        own = {size: blocks for size, _, blocks in self.units()}
+        for size, places, group, first, _, inner in self.counts():
+            blocks = own[size]
+            key = self.hashes(size, first)
+            inside = self.inside[blocks]
+            for what, which in ((OUTSIDE, ~inside), (INSIDE, inside & ((inner > 1) | (len(pages) < FEW))[group])):
+                pairs = np.unique(group[which] * len(self.pages) + self.of_page[blocks][which])
+                out.append((np.full(len(pairs), what), key[pairs // len(self.pages)], pairs % len(self.pages)))
+        what, keys, pages = (np.concatenate(x) for x in zip(*out, strict=True))
+        first = np.zeros(len(what), bool)
+        for w in (OUTSIDE, INSIDE, PAGES):
+            own = np.flatnonzero(what == w)
+            first[own[np.unique(keys[own], return_index=True)[1]]] = True
+        return what, keys, self.pages[pages], first
 
     def main_texts(self, found: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> list[str]:
         """The main text of each page; found: for each size, places, and whether what is there repeats outside and inside articles."""
@@ -247,21 +317,24 @@ class Stream:
                 np.add.at(edge, hits, 1)
                 np.add.at(edge, hits + size, -1)
         often, everywhere = np.cumsum(often) > 0, np.cumsum(everywhere) > 0
-        out, b = [], 0
-        for own_kinds, own_texts in zip(self.kinds, self.texts, strict=True):
-            article, lines = ARTICLE in own_kinds, []
-            for kind, text in zip(own_kinds, own_texts, strict=True):
-                s, n = int(self.starts[b]), int(self.sizes[b])
-                b += 1
-                if kind == CHROME or kind == NEITHER and article:
-                    continue
-                covered = (everywhere if kind == ARTICLE else often)[s : s + n]
-                if not covered.any():
+        return _joined(self.kinds, self.texts, lambda b, kind: (everywhere if kind == ARTICLE else often)[self.starts[b] : self.starts[b] + self.sizes[b]])
+
+
+def _joined(kinds: list[list[int]], texts: list[list[str]], covered: Callable[[int, int], np.ndarray] | None) -> list[str]:
+    """The lines of each page that the tags leave, without the words that covered(number of the block, kind) marks."""
+    out, b = [], 0
+    for own_kinds, own_texts in zip(kinds, texts, strict=True):
+        main, lines = ARTICLE if ARTICLE in own_kinds else NEITHER, []
+        for kind, text in zip(own_kinds, own_texts, strict=True):
+            if kind == main:
+                mask = covered(b, kind) if covered else None
+                if mask is None or not mask.any():
                     lines.append(text)
-                elif line := " ".join(w for w, c in zip(text.split(" "), covered, strict=True) if not c):
+                elif line := " ".join(w for w, c in zip(text.split(" "), mask, strict=True) if not c):
                     lines.append(line)
-            out.append("\n".join(lines))
-        return out
+            b += 1
+        out.append("\n".join(lines))
+    return out
 
 
 def repeats_inside(pages: np.ndarray, of: int) -> np.ndarray:
@@ -272,25 +345,58 @@ def repeats_inside(pages: np.ndarray, of: int) -> np.ndarray:
 def unique_runs(pages: list[int], kinds: list[list[int]], texts: list[list[str]], run: int = RUN, least: int = 2) -> list[str]:
     """The main text of each page of a host (or of a shard of it); pages: numbers, the same for rows of one page."""
     stream = Stream(pages, kinds, texts, run)
-    return stream.main_texts((size, places, (anywhere >= least)[group], repeats_inside(within, stream.article_pages)[group]) for size, places, group, _, anywhere, within in stream.counts())
+    return stream.main_texts((size, places, (outer >= least)[group], repeats_inside(inner, stream.article_pages)[group]) for size, places, group, _, outer, inner in stream.counts())
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard: int = SHARD, run: int = RUN) -> DataFrame:
     """(id_col, url_col, text) for each page."""
-    small_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    small_batches(spark)
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    hosts = kept(pages.select(host.alias("_host")).groupBy("_host").agg(F.count("*").alias("_n")).where(F.col("_n") > shard), "hosts")
+    ids = pages.select(host.alias("_host"), F.col(id_col).alias("_page"))
+    hosts = held(kept(ids.groupBy("_host").agg(F.count("*").alias("_n")).where(F.col("_n") > shard), "hosts"))
+    again = held(kept(ids.groupBy(F.col("_host").alias("_on"), "_page").agg(F.count("*").alias("_rows")).where(F.col("_rows") > 1).drop("_rows").withColumn("_again", F.lit(True)), "again"))
     kinds = {f.name: f.dataType for f in pages.schema}
-    schema = T.StructType([T.StructField("page", kinds[id_col]), T.StructField("url", kinds[url_col]), T.StructField("host", T.StringType()), T.StructField("kinds", T.ArrayType(T.IntegerType())), T.StructField("texts", T.ArrayType(T.StringType()))])
-    parsed = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host")).mapInArrow(tidy(_parsed), schema)
-    parsed = parsed.join(held(hosts), F.col("host") == F.col("_host"), "left")
-    parsed = parsed.withColumn("shard", F.coalesce(F.pmod(F.xxhash64("page", "url"), F.ceil(F.col("_n") / shard)), F.lit(0))).drop("_host", "_n")
-
-    def of_host(table: pa.Table) -> pa.Table:
-        ids = table.column("page").to_pylist()
-        numbers: dict = {}
-        texts = unique_runs([numbers.setdefault(i, len(numbers)) for i in ids], table.column("kinds").to_pylist(), table.column("texts").to_pylist(), run)
+    schema = T.StructType(
+        [T.StructField("page", kinds[id_col]), T.StructField("url", kinds[url_col]), T.StructField("host", T.StringType()), T.StructField("shard", T.LongType()), T.StructField("shards", T.LongType())]
+        + [T.StructField("mark", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("blocks", T.BinaryType())]
+    )
+
+    def parsed(how: str) -> DataFrame:
+        last = how == "left"
+        rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
+        rows = rows.join(hosts, F.col("host") == F.col("_host"), how).join(again, (F.col("host") == F.col("_on")) & F.col("page").eqNullSafe(F.col("_page")), "left")
+        shards = F.coalesce(F.ceil(F.col("_n") / shard), F.lit(1)).cast("long")
+        rows = rows.select("page", "url", "html", "host", F.coalesce("_again", F.lit(False)).alias("again"), F.pmod(F.xxhash64("page", "url"), shards).alias("shard"), shards.alias("shards"), (F.lit(last) & (shards > 1)).alias("lean"))
+        rows = rows if last else rows.withColumn("url", F.lit(None).cast(kinds[url_col]))
+        return rows.mapInArrow(tidy(_parsed), schema)
+
+    def tell(table: pa.Table) -> pa.Table:
+        what, keys, marks, first = Stream(table.column("mark").to_pylist(), *_unpacked(table), run).told()
+        own = [pa.array([table.column(c)[0].as_py()] * len(what), t) for c, t in (("host", pa.string()), ("shard", pa.int64()))]
+        return pa.table([*own, pa.array(what.astype(np.int32)), pa.array(keys), pa.array(marks), pa.array(first)], names=["host", "shard", "what", "key", "mark", "first"])
+
+    def of_shard(table: pa.Table, answers: pa.Table) -> pa.Table:
+        marks, (own_kinds, own_texts) = table.column("mark").to_pylist(), _unpacked(table)
+        if not marks or table.column("shards")[0].as_py() == 1:
+            texts = unique_runs(marks, own_kinds, own_texts, run, LEAST)
+        else:
+            what, keys, count = (answers.column(c).to_numpy() for c in ("what", "key", "n"))
+            of = int(count[what == PAGES].max(initial=0))
+            outside, inside = keys[(what == OUTSIDE) & (count >= LEAST)], keys[(what == INSIDE) & repeats_inside(count, of)]
+            if len(inside) or len(outside) and any(ARTICLE not in k for k in own_kinds):
+                stream = Stream(marks, own_kinds, own_texts, run)
+                hashed = ((size, places, stream.hashes(size, places)) for size, places, _ in stream.units())
+                texts = stream.main_texts((size, places, np.isin(h, outside), np.isin(h, inside)) for size, places, h in hashed)
+            else:
+                texts = _joined(own_kinds, own_texts, None)
         return pa.table([table.column("page"), table.column("url"), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
+    told = kept(parsed("inner").groupBy("host", "shard").applyInArrow(tell, "host string, shard long, what int, key long, mark long, first boolean"), "runs")
+    release(spark)
+    counted = told.select("host", "what", "key", "mark").distinct().groupBy("host", "what", "key").agg(F.count("*").alias("n"))
+    counted = counted.where((F.col("what") == PAGES) | (F.col("n") >= F.when(F.col("what") == INSIDE, INSIDE_LEAST).otherwise(LEAST)))
+    counted = held(kept(counted, "counts"))
+    answers = told.where("first").join(counted, ["host", "what", "key"]).select("host", "shard", "what", "key", "n")
     out = T.StructType([T.StructField(id_col, kinds[id_col]), T.StructField(url_col, kinds[url_col]), T.StructField("text", T.StringType())])
-    return parsed.groupBy("host", "shard").applyInArrow(of_host, out)
+    return parsed("left").groupBy("host", "shard").cogroup(answers.groupBy("host", "shard")).applyInArrow(of_shard, out)

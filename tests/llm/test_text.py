@@ -257,6 +257,21 @@ def test_host_runs_decide_inside_articles():
     assert html_text.unique_runs(list(range(20)), [[k for k, _ in b] for b in few], [[t for _, t in b] for b in few])[0] == f"story 0 a0 {line}\ns0"
 
 
+def test_shards_of_a_host_do_not_change_its_texts(spark):
+    seen, line = "please take note of our new terms of use today", "read on in our daily letter and tell all your friends"
+    rows = [(i, "http://big/", f"<div><p>own{i} text{i}</p><p>{seen if i < 5 else f'w{i}'}</p></div>") for i in range(60)]
+    rows += [(i, "http://big/", f"<article><p>story {i}</p><p>{line if i % 3 else f'v{i}'}</p></article>") for i in range(60, 100)]
+    told = "a long page of which the host has copies under two more ids and nothing else at all"
+    rows += [(i, "http://big/", f"<div><p>{told}</p></div>") for i in range(100, 103)] + [(103 + i, "http://big/", f"<p>x{i} this is quoted by just two pages of the host y{i}</p>") for i in range(2)]
+    rows += [(110, "http://big/", f"<p>version {i} of one page that was read more than two times</p>") for i in range(4)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    some, whole = (sorted((r["page_id"], r["text"]) for r in html_text.main_texts(frame, shard=n).collect()) for n in (8, 512))
+    assert some == whole
+    want = [(i, f"own{i} text{i}" + ("" if i < 5 else f"\nw{i}")) for i in range(60)] + [(i, f"story {i}" + ("" if i % 3 else f"\nv{i}")) for i in range(60, 100)]
+    want += [(i, told) for i in range(100, 103)] + [(103 + i, f"x{i} this is quoted by just two pages of the host y{i}") for i in range(2)]
+    assert some == want + [(110, f"version {i} of one page that was read more than two times") for i in range(4)]
+
+
 def test_repeats_by_brute_force():
     rnd = random.Random(9)
     for _ in range(40):
