@@ -4,8 +4,9 @@ Features are hashed words and the beginnings of words, with logarithmic counts p
 of the document's number of words. One weight vector serves all grades: P(grade > k) = sigmoid(w.x - b_k) with ordered
 thresholds b_0 < b_1 < ...; the expected severity is the sum of these probabilities. The weights follow the
 regularised leader with an L1 and an L2 penalty, so few are not zero; the gaps of the thresholds are learned as
-logarithms, which keeps their order. The model is fitted by the driver on at most fit_rows labelled documents; scoring
-reads every whole text.
+logarithms, which keeps their order. The model is fitted by the driver on at most fit_rows labelled documents, in which
+grades above 0 are more frequent than among all labels; the probabilities are set back to the odds of all labels by
+Bayes' rule, so they do not depend on how full the sample is. Scoring reads every whole text.
 
 Edge cases: null, empty and wordless texts have no features, are scored by the thresholds alone and never flagged;
 null grades and documents without a label are not learned from; grades are whole numbers from 0, and without two
@@ -79,14 +80,19 @@ def _sigmoid(x):
 
 @dataclass
 class OrdinalModel:
-    """Weights by bucket and the thresholds, ascending; grades: as many as thresholds, plus one."""
+    """Weights by bucket and the thresholds, ascending; grades: as many as thresholds, plus one.
+
+    odds: the odds of a grade above 0 among all labels, divided by those among the rows that the model was fitted on.
+    """
 
     weights: np.ndarray
     thresholds: np.ndarray
+    odds: float = 1.0
 
     def above(self, z: np.ndarray) -> np.ndarray:
         """P(grade > k) for each z and k."""
-        return _sigmoid(z[:, None] - self.thresholds[None, :])
+        fitted = _sigmoid(z[:, None] - self.thresholds[None, :])
+        return fitted * self.odds / (1.0 + fitted[:, :1] * (self.odds - 1.0))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, seed: int = 7, l1: float = L1, l2: float = L2, passes: int = PASSES) -> OrdinalModel:
@@ -144,7 +150,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     data.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes()))
     if len({g for *_, g in data}) < 2:
         return None
-    return fit(data, max(g for *_, g in data) + 1)
+    model = fit(data, max(g for *_, g in data) + 1)
+    here, there = ({r["_side"]: r["count"] for r in x.groupBy("_side").count().collect()} for x in (known, chosen.withColumn("_side", F.col("_grade") > 0)))
+    model.odds = here[True] * there[False] / (here[False] * there[True])
+    return model
 
 
 def severities(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_id", text_col: str = "text", flag_from: float = 0.5) -> DataFrame:

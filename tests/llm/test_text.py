@@ -221,6 +221,17 @@ def test_toxicity_edge_cases(spark):
     assert not any(r["toxic"] for r in toxicity.severities(odd, model).collect()) and toxicity.severities(odd.where("false"), model).collect() == []
 
 
+def test_toxicity_keeps_the_share_of_all_labels(spark):
+    docs = spark.createDataFrame([(k, "plain words of no side") for k in range(1000)], DOCS)
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("grade"))
+    for rows in (100, 4000):
+        out = toxicity.severities(docs, toxicity.train(docs, labels, fit_rows=rows)).collect()
+        assert all(abs(r["p_toxic"] - 0.1) < 0.05 and not r["toxic"] for r in out)
+    three = toxicity.OrdinalModel(np.zeros(1, np.float32), np.array([0.0, 1.0]), 0.25)
+    above = three.above(np.zeros(1))[0]
+    assert abs(above[0] - 0.2) < 1e-9 and abs(above[1] / above[0] - 2 / (1 + np.e)) < 1e-9
+
+
 PAGE = """<html><head><title>T &amp; x</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1><nav><a href=x>Home</a></nav></header><div class="cookie-notice">We use</div>
 <main><article><header><h1>Title</h1></header><p>One <i>two</i>
  three&nbsp;&lt;b&gt; &#233;&eacute; &am</p><div class=ad>Buy</div><aside>Side</aside><ul><li>x<li>y</ul><script>var a="</p>";</script><form><p>Name <input value="a>b"></form>
