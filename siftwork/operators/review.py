@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,3 +103,34 @@ def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     counted = rows.agg(*[F.count_if(~F.coalesce(rule, F.lit(True))).alias(name) for name, rule in rules.items()])
     pairs = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules])
     return counted.select(F.inline(pairs))
+
+
+def _filled(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit("")) != ""
+
+
+#: Rules of the stored and the parsed records for violations(): ranges and enumerations pass on null, filled columns do not.
+RULES: dict[str, Callable[[], dict[str, Column]]] = {
+    "chunks": lambda: {
+        "start_line": F.col("start_line") > 0, "line_range": F.col("end_line") >= F.col("start_line"), "parse_confidence": F.col("parse_confidence").between(0, 1),
+        "embedding_status": F.col("embedding_status").isin("pending", "ready", "failed", "keyword_only"), "index_status": F.col("index_status").isin("pending", "ready", "failed"),
+    },
+    "relations": lambda: {
+        "confidence": F.col("confidence").between(0, 1), "relation_type": F.col("relation_type").isin("call", "import", "extend", "implement", "reference"),
+        "resolution_status": F.col("resolution_status").isin("resolved", "unresolved", "external"),
+    },
+    "issues": lambda: {
+        "line_range": F.col("end_line") >= F.col("start_line"), "security_cwe": (F.col("category") != "security") | _filled("cwe_id"), "confidence": F.col("confidence").between(0, 1),
+        "category": F.col("category").isin("security", "bug", "performance", "maintainability"), "risk_level": F.col("risk_level").isin(*LEVELS),
+    },
+    "tasks": lambda: {
+        "progress": F.col("progress").between(0, 100), **{c: F.col(c) >= 0 for c in ("llm_call_count", "input_tokens", "output_tokens")},
+        "cost_status": F.col("cost_status").isin("available", "unavailable", "partial"),
+    },
+    "events": lambda: {"progress": F.col("progress").between(0, 100)},
+    "parsed_chunks": lambda: {
+        "placed": _filled("path") & _filled("language"), "line_range": F.coalesce((F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")), F.lit(False)),
+        "content": _filled("content"), "confidence": F.col("confidence").between(0, 1),
+    },
+    "parsed_references": lambda: {"ends": _filled("source") & _filled("target") & _filled("path"), "confidence": F.col("confidence").between(0, 1)},
+}

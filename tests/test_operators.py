@@ -210,6 +210,27 @@ def test_workflow(spark):
     assert stop == "max_calls"
 
 
+@pytest.mark.parametrize(
+    ("kind", "schema", "good", "bad"),
+    [
+        ("chunks", "start_line int, end_line int, parse_confidence double, embedding_status string, index_status string", (1, 1, 1.0, "keyword_only", None), (0, -1, 1.5, "keyword", "done")),
+        ("relations", "confidence double, relation_type string, resolution_status string", (0.0, "extend", "external"), (-0.1, "use", "open")),
+        ("issues", "start_line int, end_line int, category string, cwe_id string, confidence double, risk_level string", (3, 4, "security", "CWE-1", 0.5, "Low"), (3, 2, "quality", "", 2.0, "low")),
+        ("tasks", "progress int, llm_call_count int, input_tokens int, output_tokens int, cost_status string", (100, 0, 0, 0, "partial"), (101, -1, -1, -1, "free")),
+        ("events", "progress int", (None,), (-1,)),
+        ("parsed_chunks", "path string, language string, start_line int, end_line int, content string, confidence double", ("a.py", "python", 1, 1, "x", 1.0), ("", "python", None, 1, None, 1.1)),
+        ("parsed_references", "source string, target string, path string, confidence double", ("a", "b", "a.py", 1.0), ("a", None, "a.py", -1.0)),
+    ],
+)
+def test_rules_of_records(spark, kind, schema, good, bad):
+    rules = review.RULES[kind]()
+    told = {r["rule"]: r["violations"] for r in review.violations(spark.createDataFrame([good, bad, good], schema), rules).collect()}
+    assert told == {n: 0 if (kind, n) == ("issues", "security_cwe") else 1 for n in rules}
+    if kind == "issues":
+        none = spark.createDataFrame([(1, 1, "security", None, 0.5, "Low"), (1, 1, "security", "", 0.5, "Low"), (1, 1, "bug", None, 0.5, "Low")], schema)
+        assert {r["rule"]: r["violations"] for r in review.violations(none, rules).collect()}["security_cwe"] == 2
+
+
 def test_writers(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
