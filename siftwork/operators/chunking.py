@@ -173,7 +173,7 @@ def parse_source(path: str, language: str, source: str, max_lines: int = MAX_LIN
     base = dict.fromkeys(FIELDS) | {"path": path, "language": language}
     try:
         found, refs, imports = PARSERS[language].read(source)
-    except (SyntaxError, ValueError, RecursionError, KeyError):
+    except (SyntaxError, ValueError, RecursionError, KeyError, MemoryError):  # the last when the parser's own stack is full
         error = "SYNTAX_ERROR" if language in PARSERS else "NO_PARSER"
         lines = source.splitlines(keepends=True)
         if not lines:

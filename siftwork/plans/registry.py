@@ -533,6 +533,14 @@ def symbol_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.resolved(references, symbols).select("file_id", "source", "target", "relation", "resolution")
 
 
+@query()
+def parsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks and references of all files' own texts; the parser is that of the path, else of the file's language."""
+    by_path = F.when(F.lower("path").endswith(".java"), "java").when(F.lower("path").endswith(".py"), "python").otherwise(F.coalesce("language", F.lit("")))
+    rows = chunking.parsed(files(spark, sf_dir).withColumn("language", by_path))
+    return rows.select("file_id", "path", "language", "kind", "symbol_type", "symbol_name", "start_line", "end_line", "source", "target", "relation", "error", "content_hash")
+
+
 @query(f"""WITH i AS ({ISSUES_SQL}), a AS (SELECT *, concat('r', issue_id % 9) AS rule_id, 1 + issue_id % 2 AS round FROM i WHERE fingerprint <> ''),
 d AS (SELECT fingerprint, round, arg_max(decision, (pos, decision)) AS decision FROM a WHERE decision IS NOT NULL GROUP BY ALL),
 m AS (SELECT a.issue_id, a.path, a.rule_id, a.round, coalesce(d.decision, 'fail') AS said FROM a LEFT JOIN d ON a.fingerprint = d.fingerprint AND a.round = d.round)

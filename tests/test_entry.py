@@ -1,3 +1,4 @@
+import ast
 import os
 
 import duckdb
@@ -5,7 +6,9 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from siftwork.operators import chunking
 from siftwork.plans import registry
+from siftwork.sources import tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -46,6 +49,32 @@ def test_query(spark, db, name):
         assert len(got.columns)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_parsed_files_by_brute_force(spark, db):
+    got: dict = {}
+    for r in registry.QUERIES["parsed_files"](spark, SF).collect():
+        got.setdefault(r["file_id"], []).append((r["symbol_type"], r["start_line"], r["end_line"], r["error"]))
+    texts, fallen = db.sql("SELECT doc_id, lang, coalesce(text, '') AS text FROM documents").fetchall(), 0
+    paths = {r["file_id"]: r["path"].lower() for r in tables.files(spark, SF).select("file_id", "path").collect()}
+    for i, lang, said in texts:
+        kind = "java" if paths[i].endswith(".java") else "python" if paths[i].endswith(".py") else lang
+        if kind == "java":
+            assert got[i] if said.strip() else True
+            continue
+        try:
+            if kind == "python" and ast.parse(said):
+                continue
+        except (SyntaxError, ValueError):
+            pass
+        n, start, want = len(said.splitlines()), 0, []
+        while n and (not want or want[-1][2] < n):
+            want.append(("line_window", start + 1, min(start + chunking.MAX_LINES, n), "SYNTAX_ERROR" if kind == "python" else "NO_PARSER"))
+            start += chunking.MAX_LINES - chunking.OVERLAP
+        assert got[i] == (want or [(None, None, None, "EMPTY_SOURCE")])
+        fallen += 1
+    assert fallen > 20 and len(texts) >= 200
+
+
 def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(registry.QUERIES) > 45
 

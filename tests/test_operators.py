@@ -231,6 +231,11 @@ def test_rules_of_records(spark, kind, schema, good, bad):
         assert {r["rule"]: r["violations"] for r in review.violations(none, rules).collect()}["security_cwe"] == 2
 
 
+def test_source_too_nested_for_the_parser_falls_back():
+    out = chunking.parse_source("a.py", "python", "not " * 20000 + "x\n")
+    assert [(r["symbol_type"], r["error"]) for r in out] == [("line_window", "SYNTAX_ERROR")]
+
+
 def test_writers(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
