@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .scratch import dropped, held, kept, parts, release, small_batches, tidy
+from .scratch import dropped, held, kept, parts, small_batches, tidy
 from .shingles import WORDS, shingle_sets
 
 NUM, DEN = 75, 100
@@ -242,7 +242,6 @@ def _crowded_links(sets: DataFrame, num: int, den: int) -> DataFrame:
         found = kept(_verified(cross.unionByName(rest).unionByName(more).distinct(), sets, num, den), "found")
         past.append(found)
         links.append(found.where("linked").select("a", "b"))
-        release(sets.sparkSession)
     out = kept(reduce(DataFrame.unionByName, links), "links")
     dropped(*past)
     return out
@@ -258,7 +257,6 @@ def jaccard_links(docs: DataFrame, table: DataFrame, id_col: str, text_col: str,
     inlist = Window.partitionBy("tok").orderBy("d")
     rows = rows.withColumn("_before", F.lag("d").over(inlist)).withColumn("_after", F.lead("d").over(inlist))
     met = kept(rows.where("_before is not null or _after is not null").drop("_before", "_after"), "met")
-    release(docs.sparkSession)
     x, y = F.col("x"), F.col("y")
     n, at, l = (lambda c: F.shiftright(c["nl"], 36)), (lambda c: F.shiftright(c["nl"], 4).bitwiseAND(2**32 - 1)), (lambda c: c["nl"] % 16)
     met_at = (

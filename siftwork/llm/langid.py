@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import evenly, kept, small_batches, tidy
+from .scratch import dropped, evenly, kept, small_batches, tidy, within
 
 UNKNOWN = "und"
 BITS, GRAMS = 16, 3
 #: Texts to fit on, at most, and the part of them that is kept for the temperature.
 FIT_ROWS, CALIBRATE = 4000, 0.4
+#: Bytes of the sparse vectors to fit on, and languages to learn (the most frequent ones), at most: the driver holds them.
+FIT_BYTES, LANGUAGES = 64 << 20, 256
 PASSES, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 0.02, 0.01
 #: Characters of a text that are hashed at a time.
 PIECE = 1 << 20
@@ -158,14 +160,15 @@ def _sparse_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         found = [packed(t) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([i for i, _ in found], pa.binary()), pa.array([c for _, c in found], pa.binary()), batch.column(1), batch.column(2)], names=["buckets", "counts", "lang", "apart"]
+            [pa.array([i for i, _ in found], pa.binary()), pa.array([c for _, c in found], pa.binary()), *[batch.column(k) for k in (1, 2, 3)]], names=["buckets", "counts", "lang", "apart", "turn"]
         )
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", usable: Column | None = None, fit_rows: int = FIT_ROWS) -> LanguageModel | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", usable: Column | None = None, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> LanguageModel | None:
     """Fits a model on the rows of docs where usable holds and the language is known; None without any.
 
-    Document frequencies come from all such rows, the weights from at most fit_rows of them, chosen by a hash of the id.
+    Document frequencies come from all such rows, the weights from at most fit_rows of them, chosen by a hash of the id,
+    and from at most fit_bytes of sparse vectors: rows are taken in turns of one of each language until these are full.
     """
     small_batches(docs.sparkSession)
     usable = F.coalesce(usable, F.lit(False)) if usable is not None else F.lit(True)
@@ -181,24 +184,26 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return None
     idf = np.log((1 + texts) / (1 + frequency)) + 1
 
-    names = known.where(F.col("_text").rlike(r"\p{L}") & F.col("_id").isNotNull()).select("_id", "_lang")
-    languages = names.select("_lang").distinct().limit(fit_rows).count()
-    chosen = evenly(names, "_lang", "_id", max(1, fit_rows // max(1, languages)), fit_rows)
-    apart = F.pmod(F.xxhash64("_id", F.lit("apart")), F.lit(1000)) < 1000 * CALIBRATE
-    chosen = kept(chosen.select(F.col("_id").alias("_key"), apart.alias("_apart")).distinct(), "chosen")
-    rows = known.join(F.broadcast(chosen), F.col("_id") == F.col("_key")).select("_text", "_lang", "_apart").mapInArrow(tidy(_sparse_counts), "buckets binary, counts binary, lang string, apart boolean").where("buckets is not null").collect()
-    languages = sorted({r["lang"] for r in rows})
+    lettered = known.where(F.col("_text").rlike(r"\p{L}")).withColumn("_digest", F.xxhash64("_text"))
+    languages = min(LANGUAGES, lettered.select("_lang").distinct().limit(LANGUAGES).count())
+    chosen = evenly(lettered, "_lang", ["_id", "_digest"], max(1, fit_rows // max(1, languages)), languages or 1)
+    apart = F.pmod(F.xxhash64("_digest", F.lit("apart")), F.lit(1000)) < 1000 * CALIBRATE
+    sparse = kept(chosen.select("_text", "_lang", apart.alias("_apart"), "_turn").mapInArrow(tidy(_sparse_counts), "buckets binary, counts binary, lang string, apart boolean, turn int").where("buckets is not null"), "vectors")
+    rows = within(sparse, ["turn", "lang"], F.length("buckets") + F.length("counts"), fit_bytes).collect()
+    dropped(chosen, sparse)
     if not rows:
         return None
+    languages = sorted({r["lang"] for r in rows})
     if len(languages) == 1:
         return LanguageModel(languages, idf, np.zeros((1 << BITS, 1), np.float32), np.zeros(1))
+    fitted = {r["lang"] for r in rows if not r["apart"]}  # a language whose rows all fell to the calibration is fitted on them
     data = []
     for r in rows:
         counts = np.zeros(1 << BITS, np.int64)
         counts[np.frombuffer(r["buckets"], np.int32)] = np.frombuffer(r["counts"], np.int32)
-        data.append((*_weighted(counts, idf), languages.index(r["lang"]), r["apart"]))
+        data.append((*_weighted(counts, idf), languages.index(r["lang"]), r["apart"] and r["lang"] in fitted))
     data.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes()))
-    weights, bias = fit([r[:3] for r in data if not r[3]] or [r[:3] for r in data], len(languages), 1 << BITS)
+    weights, bias = fit([r[:3] for r in data if not r[3]], len(languages), 1 << BITS)
     model = LanguageModel(languages, idf, weights, bias)
     apart = [r for r in data if r[3]]
     if apart:
@@ -206,25 +211,32 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return model
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, lang_pred, score) for each row; score is the calibrated probability of lang_pred."""
+def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score"), carry: bool = False) -> DataFrame:
+    """(id_col, lang_pred, score) for each row; score is the calibrated probability of lang_pred.
+
+    carry: all columns of docs stay, the two named ones follow; nothing is joined or shuffled.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    own = docs if carry else docs.select(id_col, text_col)
+    at = own.columns.index(text_col)
+    stay = [k for k, c in enumerate(own.columns) if carry or c == id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            names, scores = [], []
-            for text in batch.column(1).to_pylist():
+            told, scores = [], []
+            for text in batch.column(at).to_pylist():
                 counts = gram_counts(text) if model else None
                 if counts is None:
-                    names.append(UNKNOWN), scores.append(0.0)
+                    told.append(UNKNOWN), scores.append(0.0)
                 else:
                     chances = _softmax(model.logits(counts) / model.temperature)
                     best = int(chances.argmax())
-                    names.append(model.languages[best]), scores.append(float(chances[best]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
+                    told.append(model.languages[best]), scores.append(float(chances[best]))
+            columns = [*[batch.column(k) for k in stay], pa.array(told, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*[batch.schema.names[k] for k in stay], *names])
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
+    schema = T.StructType([*[own.schema.fields[k] for k in stay], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return own.mapInArrow(tidy(run), schema)

@@ -21,17 +21,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import evenly, kept, small_batches, tidy
+from .scratch import dropped, evenly, kept, small_batches, tidy, within
 from .shingles import _LOWER, _tables, mixed
 
 BITS = 20
 PREFIXES = (3, 4, 5, 6, 8)
 #: Labelled documents to fit on, at most; half of them are graded above 0 if there are as many.
 FIT_ROWS = 4000
+#: Bytes of the sparse vectors to fit on, at most: the driver holds them.
+FIT_BYTES = 64 << 20
 PASSES, ALPHA, BETA, L1, L2 = 12, 0.3, 1.0, 5.0, 0.02
 #: Bytes of a text that are turned into features at a time.
 PIECE = 1 << 20
@@ -134,25 +136,31 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [vector(*features(t)) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary()), batch.column(1)], names=["buckets", "values", "grade"]
+            [pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary()), *[batch.column(k) for k in (1, 2, 3)]],
+            names=["buckets", "values", "grade", "toxic", "turn"],
         )
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", fit_rows: int = FIT_ROWS) -> OrdinalModel | None:
-    """Fits on at most fit_rows labelled documents, chosen by a hash of their ids; None without two grades."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> OrdinalModel | None:
+    """Fits on at most fit_rows labelled documents, chosen by a hash of their ids, and on at most fit_bytes of vectors,
+    taken in turns of one of each side; of rows that repeat an id one text is learned from. None without two grades."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(grade_col).cast("int").alias("_grade"))
     known = known.withColumn("_side", F.col("_grade") > 0)
-    chosen = kept(evenly(known, "_side", "_id", fit_rows // 2, 2).select("_id", "_grade"), "labelled")
+    chosen = evenly(known, "_side", ["_id"], fit_rows // 2, 2)
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_text", "_grade").mapInArrow(tidy(_vectors), "buckets binary, values binary, grade int").collect()
-    data = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["values"], np.float32), r["grade"]) for r in rows]
+    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("_text"), "_text"))
+    rows = rows.withColumn("_first", first).where("_first = 1").select("_text", "_grade", "_side", "_turn")
+    rows = kept(rows.mapInArrow(tidy(_vectors), "buckets binary, values binary, grade int, toxic boolean, turn int"), "vectors")
+    data = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["values"], np.float32), r["grade"]) for r in within(rows, ["turn", "toxic"], F.length("buckets") + F.length("values"), fit_bytes).collect()]
     data.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes()))
-    if len({g for *_, g in data}) < 2:
-        return None
-    model = fit(data, max(g for *_, g in data) + 1)
-    here, there = ({r["_side"]: r["count"] for r in x.groupBy("_side").count().collect()} for x in (known, chosen.withColumn("_side", F.col("_grade") > 0)))
-    model.odds = here[True] * there[False] / (here[False] * there[True])
+    model = None
+    if len({g for *_, g in data}) > 1:
+        model = fit(data, max(g for *_, g in data) + 1)
+        here, above = {r["_side"]: r["count"] for r in known.groupBy("_side").count().collect()}, sum(g > 0 for *_, g in data)
+        model.odds = here[True] * (len(data) - above) / (here[False] * above) if above < len(data) else 1.0
+    dropped(chosen, rows)
     return model
 
 
