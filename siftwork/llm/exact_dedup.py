@@ -2,8 +2,9 @@
 
 Misra-Gries counters, one bounded summary a task, name digests that may be frequent. A second look at the digests
 counts those candidates exactly; the verified winners (at most CANDIDATES rows) are broadcast and every copy of a
-frequent text is settled without being shuffled. All other digests go through a shuffle on the digest, where no
-group can be large: a digest that holds more than about one row in SLOTS is a candidate.
+frequent text is settled without being shuffled. All other digests go through a shuffle on the digest, aggregated
+before it, so that no task takes all rows of a group; only the groups with two rows or more meet the rows again, by
+broadcast if a count shows that they are few, else by a join that adaptive execution may split.
 
 Edge cases: a null text counts as empty; empty texts are equal to each other; rows that repeat a doc_id with the same
 text are copies too and exactly one row stays; a null doc_id ranks below every other; an empty table gives an empty
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .scratch import kept
+from .scratch import dropped, free_name, held, kept
 
 #: Counters of a task's summary, and the candidates that are verified and broadcast.
 SLOTS, CANDIDATES = 512, 1024
@@ -64,13 +65,31 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def heavy_digests(table: DataFrame, slots: int = SLOTS, candidates: int = CANDIDATES) -> DataFrame:
-    """(digest, n, top) of the frequent digests, verified by an exact count; at most candidates rows."""
+    """(digest, n, top_id, top_row, ties) of the frequent digests, verified by an exact count; at most candidates rows."""
     guesses = (
         table.select("digest").mapInArrow(_summaries(slots), "digest binary, weight long")
         .groupBy("digest").agg(F.sum("weight").alias("weight"))
         .where("weight > 1").orderBy(F.desc("weight"), "digest").limit(candidates).select("digest")
     )
-    return table.join(F.broadcast(guesses), "digest", "left_semi").groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "row")).alias("top"))
+    return winners(table.join(F.broadcast(guesses), "digest", "left_semi"))
+
+
+def winners(table: DataFrame) -> DataFrame:
+    """For each digest: n, its rows; top_id, their largest id; top_row, the last row of that id; ties, the rows of that id."""
+    by_id = table.groupBy("digest", "id").agg(F.count("*").alias("m"), F.max("row").alias("last"))
+    return by_id.groupBy("digest").agg(
+        F.sum("m").alias("n"), F.max("id").alias("top_id"),
+        F.coalesce(F.max_by("last", "id"), F.max("last")).alias("top_row"), F.coalesce(F.max_by("m", "id"), F.max("m")).alias("ties"),
+    )
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, slots: int, candidates: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(digests, heavy, shared): the digest of each row, and the winners of the frequent groups and of the other groups with copies."""
+    ship(docs.sparkSession)
+    table = kept(digests(docs, id_col, text_col), "digests")
+    heavy = kept(heavy_digests(table, slots, candidates), "heavy")
+    shared = kept(winners(table.join(F.broadcast(heavy), "digest", "left_anti")).where("n > 1"), "shared")
+    return table, heavy, shared
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, candidates: int = CANDIDATES) -> DataFrame:
@@ -78,33 +97,39 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keep_id is the largest id among the rows of equal text; that row, and one row only, has kept = true.
     """
-    ship(docs.sparkSession)
-    table = kept(digests(docs, id_col, text_col), "digests")
-    heavy = F.broadcast(kept(heavy_digests(table, slots, candidates), "heavy"))
-    settled = table.join(heavy, "digest")
-    same = Window.partitionBy("digest")
-    others = table.join(heavy, "digest", "left_anti").select(
-        "*", F.count("*").over(same).alias("n"), F.max(F.struct("id", "row")).over(same).alias("top")
-    )
+    table, heavy, shared = _groups(docs, id_col, text_col, slots, candidates)
+    settled = table.join(F.broadcast(heavy), "digest")
+    others = table.join(F.broadcast(heavy), "digest", "left_anti").join(held(shared), "digest", "left")
+    alone = F.col("n").isNull()
     return settled.unionByName(others).select(
         F.col("id").alias(id_col),
-        F.col("top.id").alias("keep_id"),
-        F.col("n").alias("group_size"),
-        (F.col("row") == F.col("top.row")).alias("kept"),
+        F.when(alone, F.col("id")).otherwise(F.col("top_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("row") == F.col("top_row"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, candidates: int = CANDIDATES) -> DataFrame:
     """docs, all columns, without the rows that repeat a text; of equal texts the row with the largest id stays.
 
-    The rows meet the ids that stay by (id, digest); that partitioning also serves to drop rows that repeat both.
+    Rows meet the winners of their digest, of frequent ones map-side; a text is not shuffled unless the groups with
+    copies are too many to broadcast. Rows that repeat both the id and the text of a winner are told apart by a window.
     """
-    sha, rank = "__exact_sha256", "__exact_rank"
-    stay = exact_groups(docs, id_col, text_col, **limits).where("kept").select(F.col(id_col).alias("__exact_id"), F.col("text_sha256").alias("__exact_key"))
-    rows = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    same = Window.partitionBy(id_col, sha).orderBy(sha)
-    return (
-        rows.join(stay, rows[id_col].eqNullSafe(stay["__exact_id"]) & (rows[sha] == stay["__exact_key"]), "left_semi")
-        .withColumn(rank, F.row_number().over(same)).where(F.col(rank) == 1).drop(sha, rank)
-    )
+    table, heavy, shared = _groups(docs, id_col, text_col, slots, candidates)
+    repeats = heavy.where("ties > 1").select("digest").limit(1).count() + shared.where("ties > 1").select("digest").limit(1).count()
+    dropped(table)
+    sha, top, ties, rank = (free_name(docs, c) for c in ("exact_sha", "exact_top", "exact_ties", "exact_rank"))
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    rows = docs.withColumn(sha, digest)
+    for groups in (F.broadcast(heavy), held(shared)):
+        told = groups.select(F.col("digest").alias(f"{sha}_of"), F.struct("top_id").alias(f"{top}_of"), F.col("ties").alias(f"{ties}_of"))
+        rows = rows.join(told, F.col(sha) == F.col(f"{sha}_of"), "left").drop(f"{sha}_of")
+        old = (F.col(top), F.col(ties)) if top in rows.columns else ()
+        rows = rows.withColumn(top, F.coalesce(*old[:1], F.col(f"{top}_of"))).withColumn(ties, F.coalesce(*old[1:], F.col(f"{ties}_of"))).drop(f"{top}_of", f"{ties}_of")
+    rows = rows.where(F.col(top).isNull() | F.col(id_col).eqNullSafe(F.col(top)["top_id"]))
+    if repeats:
+        again = F.coalesce(F.col(ties), F.lit(1)) > 1
+        one = rows.where(again).withColumn(rank, F.row_number().over(Window.partitionBy(sha).orderBy(sha))).where(F.col(rank) == 1).drop(rank)
+        rows = rows.where(~again).unionByName(one)
+    return rows.select(*docs.columns)

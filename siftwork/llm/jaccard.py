@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .scratch import dropped, held, kept, parts, small_batches, tidy
+from .scratch import dropped, free_name, held, kept, parts, small_batches, tidy
 from .shingles import WORDS, shingle_sets
 
 NUM, DEN = 75, 100
@@ -304,6 +304,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """docs, all columns, with the document of the smallest id of each group of similar ones."""
-    stay = similar_groups(docs, id_col, text_col, **how).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__similar_id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("__similar_id")), "left_semi")
+    """docs, all columns, with the document of the smallest id of each group of similar ones.
+
+    The ids that go meet the documents by broadcast if a count shows that they are few; then no text is shuffled.
+    """
+    gone = free_name(docs, "similar_id")
+    groups = similar_groups(docs, id_col, text_col, **how)
+    stays = F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("stays")
+    ids = kept(groups.groupBy(F.col(id_col).alias(gone)).agg(stays).where("not stays").select(gone), "gone")
+    return docs.join(held(ids), docs[id_col].eqNullSafe(F.col(gone)), "left_anti")
