@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwork.llm import bpe, exact_dedup, jaccard, langid, mixing
 from siftwork.llm.queries import RANKS
-from siftwork.llm.scratch import kept
+from siftwork.llm.scratch import free_name, kept
 
 #: Documents whose language is less certain than this are rejected.
 LEAST_SCORE = 0.5
@@ -19,15 +19,11 @@ LEAST_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter or of uncertain language; a language that is not known is filled in.
 
-    Predictions meet their documents by (doc_id, digest of the text), so rows that repeat a doc_id keep their own.
+    Predictions come beside all columns of their row, so nothing is joined and rows that repeat a doc_id keep their own.
     """
-    sha = lambda: F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    model = langid.train(docs)
-    keyed = docs.select(F.struct("doc_id", sha().alias("sha")).alias("key"), "text")
-    told = langid.predict(keyed, model, id_col="key").where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    told = told.select(F.col("key.doc_id").alias("__told_id"), F.col("key.sha").alias("__told_sha"), F.col("lang_pred").alias("__told_lang")).distinct()
-    rows = docs.withColumn("__own_sha", sha()).join(told, docs["doc_id"].eqNullSafe(F.col("__told_id")) & (F.col("__own_sha") == F.col("__told_sha")))
-    return rows.select(*[F.coalesce("lang", "__told_lang").alias("lang") if c == "lang" else c for c in docs.columns])
+    told, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    rows = langid.predict(docs, langid.train(docs), names=(told, score), carry=True).where((F.col(told) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE))
+    return rows.select(*[F.coalesce("lang", told).alias("lang") if c == "lang" else c for c in docs.columns])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
