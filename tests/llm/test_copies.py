@@ -105,10 +105,13 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("short", "rounds"), [(17, 4), (3, 1), (2, 0)])
-def test_similar_groups(spark, monkeypatch, short, rounds):
+@pytest.mark.parametrize(("short", "rounds", "most"), [(17, 4, 1024), (3, 1, 20), (2, 0, 3)])
+def test_similar_groups(spark, monkeypatch, short, rounds, most):
+    """Also with lists, pairs and groups that are dealt to several tasks."""
     monkeypatch.setattr(jaccard, "SHORT", short)
     monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "MOST", most)
+    monkeypatch.setattr(jaccard, "EACH", max(2, most // 4))
     rows = corpus(short)
     assert sorted(tuple(r) for r in jaccard.similar_groups(spark.createDataFrame(rows, DOCS)).collect()) == similar_by_force(rows)
 
@@ -133,7 +136,7 @@ def test_prefixes_share_enough():
         if not b or 100 * len(a & b) < 75 * len(a | b):
             continue
         counts = np.array([(x * 7919) % 50 for x in range(60)], float)
-        (la, pa), (lb, pb) = (jaccard.prefix_of(np.array(sorted(s), np.uint64), counts[sorted(s)], 3.0, 75, 100) for s in (a, b))
+        (la, pa), (lb, pb) = (jaccard.prefix_of(np.array(sorted(s), np.uint64), counts[sorted(s)], 3.0, 75, 100)[:2] for s in (a, b))
         assert len(set(pa.tolist()) & set(pb.tolist())) >= min(la, lb)
 
 
