@@ -164,21 +164,43 @@ def test_counts_of_pieces_add_up(monkeypatch):
 CHATS = "conv_id long, turn long, role string, text string"
 
 
-def formatted(spark, rows):
-    out = chat.format_chats(spark.createDataFrame(rows, CHATS))
-    return {r["conv_id"]: r for r in out.withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("learned", chat.loss_text(F.col("segments"))).collect()}
+def formatted(spark, rows, template=chat.CHATML):
+    out = chat.format_chats(spark.createDataFrame(rows, CHATS), template)
+    return {r["conv_id"]: r for r in out.withColumn("turns", chat.read_back(F.col("formatted"), template)).withColumn("learned", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()}
 
 
-def test_chats_read_back_whatever_they_say(spark):
+@pytest.mark.parametrize("template", [chat.CHATML, chat.Template(opener="<T>", closer="<T/>", control="<T", after="; ")])
+@pytest.mark.parametrize("chunk", [chat.CHUNK, 2])
+def test_chats_read_back_whatever_they_say(spark, monkeypatch, template, chunk):
+    monkeypatch.setattr(chat, "CHUNK", chunk)
     rnd = random.Random(7)
-    pieces = ["<|im_end|>", "<|im_start|>", "<|", "\\", "\n", "<", "|", "a", "é", "assistant", " ", "$1", "\\n", "\r"]
+    pieces = ["<|im_end|>", "<|im_start|>", "<|", "<T>", "<T/>; ", "<T", "\\", "\n", "<", "|", "a", "é", "assistant", " ", "$1", "\\n", "\r"]
     rows = [(c, t, rnd.choice(["user", "assistant", "system", "odd\nrole\\", None]), rnd.choice([None, "", "".join(rnd.choices(pieces, k=rnd.randrange(9)))])) for c in range(60) for t in range(rnd.randrange(1, 6))]
-    out = formatted(spark, rows)
+    out = formatted(spark, rows, template)
     for c in {r[0] for r in rows}:
         turns = [(r or "", t or "") for cc, _, r, t in sorted(rows, key=lambda x: (x[0], x[1])) if cc == c]
         assert [tuple(t) for t in out[c]["turns"]] == turns
         assert out[c]["learned"] == "".join(t for r, t in turns if r == "assistant")
         assert "".join(s["text"] for s in out[c]["segments"]) == out[c]["formatted"]
+        raw = out[c]["formatted"].encode()
+        assert [raw[s["at"] - 1 :][: s["size"]].decode() for s in out[c]["loss_spans"]] == [s["text"] for s in out[c]["segments"] if s["loss"]]
+
+
+@pytest.mark.parametrize(
+    "how", [{"control": "<"}, {"control": "<<", "opener": "<<a", "closer": "<<b"}, {"opener": "[INST]", "closer": "[/INST]"}, {"closer": "<|im_start|>x"}, {"opener": "<|a<|"}, {"after": "\\"}, {"emits": {"answered": (("text", True),)}}]
+)
+def test_templates_that_texts_could_forge_are_refused(how):
+    with pytest.raises(ValueError):
+        chat.Template(**how)
+
+
+def test_the_machine_emits_by_its_states(spark):
+    """A template whose machine puts only the answer to a question that follows a system turn under the loss mask."""
+    moves = {("start", "system"): "ready", ("ready", "user"): "asked", ("asked", "assistant"): "taught", ("taught", "user"): "free", ("free", "assistant"): "said", ("said", "user"): "free"}
+    template = chat.Template(moves=moves, recover={}, final=("taught", "said"), emits={"taught": (("head", False), ("text", True), ("end", True))})
+    rows = [(1, k, r, t) for k, (r, t) in enumerate([("system", "s"), ("user", "u"), ("assistant", "one"), ("user", "v"), ("assistant", "two")])]
+    row = formatted(spark, rows, template)[1]
+    assert row["valid_order"] and [s["text"] for s in row["segments"] if s["loss"]] == ["one", "<|im_end|>\n"]
 
 
 @pytest.mark.parametrize(("roles", "ok"), [("user assistant", True), ("system user", True), ("user user", False), ("assistant user", False), ("system", False), ("user assistant user", True), ("user system", False), ("tool", False)])
