@@ -168,10 +168,11 @@ class Encoder:
             if collects:
                 gc.enable()
 
-    def forget(self) -> None:
-        """Drops what is known if it is more than a worker may keep."""
+    def forget(self, recent: Iterable[str]) -> None:
+        """Drops what is known, but for the recent words, if it is more than a worker may keep."""
         if len(self.known) > KNOWN_WORDS or self.known_bytes > KNOWN_BYTES:
-            self.known, self.known_bytes = {}, 0
+            self.known = {word: self.known[word] for word in recent}
+            self.known_bytes = sum(map(len, self.known))
 
     def encode(self, words: list[str]) -> bytes:
         """Packed ids of known words."""
@@ -217,8 +218,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             decoded = [encoder.vocabulary.decode(np.frombuffer(x, np.int32).tolist()) for x in packed]
             out = pa.RecordBatch.from_arrays([pa.array(ids, kind), tokens, pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
+            encoder.forget(new)
             ids.clear(), waiting.clear(), new.clear()
-            encoder.forget()
             return out
 
         for batch in batches:

@@ -10,7 +10,7 @@ with_next() puts each document beside the one that follows by id: ids are dealt
 sorted by itself, and the first documents of a range are sent to the range before it as well. One shuffle, no global
 sort.
 
-Edge cases: null, empty and blank texts have the empty fingerprint; two empty fingerprints are alike (1.0), an empty
+Edge cases: ids that follow each other are whole numbers, others are refused; null, empty and blank texts have the empty fingerprint; two empty fingerprints are alike (1.0), an empty
 one and another are not (0.0); texts of fewer words than a shingle are one shingle; a null id comes before all others;
 documents of equal id follow each other by text; a single document follows itself; an empty table gives an empty
 result. Only the named columns are read.
@@ -96,6 +96,8 @@ def with_next(docs: DataFrame, of: Callable[[pa.Array, pa.Array, pa.Array], list
 
     of returns the columns of schema for a batch; null texts come as empty ones.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be a whole number, not {docs.schema[id_col].dataType.simpleString()}: the next document is the one with the next id")
     spark = docs.sparkSession
     small_batches(spark)
     n = min(parts(spark), 10_000)
@@ -143,7 +145,8 @@ def with_next(docs: DataFrame, of: Callable[[pa.Array, pa.Array, pa.Array], list
 def compared_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
     """For each document its fingerprint and that of its edited text, whose last quarter is the next document's start.
 
-    id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, in_edited: the estimated share
+    of the document's shingles that its edited text holds as well.
     """
 
     def of(ids: pa.Array, texts: pa.Array, after: pa.Array) -> list[pa.Array]:
@@ -158,8 +161,9 @@ def compared_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pa.array([packed(s) for s in own]), pa.array([packed(s) for s in changed]),
             pa.array([likeness(a, b) for a, b in zip(own, changed, strict=True)], pa.float64()),
             pa.array([likeness(a, b) for a, b in zip(own, other, strict=True)], pa.float64()),
+            pa.array([containment(a, b) for a, b in zip(own, changed, strict=True)], pa.float64()),
         ]
 
-    names = {"n_chars": T.LongType(), "edited_sha256": T.StringType(), "fingerprint": T.StringType(), "edited_fingerprint": T.StringType(), "near_edited": T.DoubleType(), "near_next": T.DoubleType()}
+    names = {"n_chars": T.LongType(), "edited_sha256": T.StringType(), "fingerprint": T.StringType(), "edited_fingerprint": T.StringType(), "near_edited": T.DoubleType(), "near_next": T.DoubleType(), "in_edited": T.DoubleType()}
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(k, v) for k, v in names.items()]])
     return with_next(docs, of, schema, id_col, text_col)

@@ -1,12 +1,14 @@
 """Main text of web pages: host suffix arrays over page token streams, after a structural parse.
 
-parse() cuts a page into blocks of decoded text and says what their elements are: chrome (menus, headers, footers,
-sidebars, notices, adverts, forms, comments), article, or neither. The pages of a host are joined into one token
-stream; a suffix array, sorted to the depth of the shortest run that counts, shows which runs stand on two or more
-pages of the host. Outside articles what such runs cover is boilerplate and only the unique runs stay. Inside articles a run is
-boilerplate if it stands inside the articles of at least INSIDE_LEAST pages and of half of the host's pages that have
-one; rarer repeats are content: copies, quoted passages, headings that adverts repeat. Two checks by tags follow: chrome
-goes even where it is unique, and on a page with an article element what is outside of it goes too.
+parse() cuts a page into blocks of decoded text and says what their elements are: chrome for certain (menus, headers,
+footers, sidebars, adverts, forms, comments by their tag, role or a whole class), article, suspect (inside an article, an
+element with a class or id such as notice, social or related), or neither. The pages of a host are joined into one token
+stream; a suffix array, sorted to the depth of the shortest run that counts, shows which runs stand on several pages of
+the host. Outside articles and in suspect elements what such runs cover is boilerplate and only the unique runs stay: a
+name alone removes nothing there. Elsewhere inside articles a run is boilerplate if it stands inside the articles of at
+least INSIDE_LEAST pages and of half of the host's pages that have one; rarer repeats are content: copies, quoted passages,
+headings that adverts repeat. Two checks by tags follow: what is chrome for certain goes even where it is unique, and on a
+page with an article element what is outside of it goes too.
 
 A host with more than SHARD pages is dealt to shards by a hash of the page, so a task never holds more than about SHARD
 pages; each shard has a suffix array of its own. Its groups of equal runs go out as 64-bit hashes, one row a run and page,
@@ -14,7 +16,7 @@ the different pages of a hash are counted over all shards, and each shard gets t
 number of shards does not change the result, but for two cases of negligible chance: equal hashes, and a run inside
 articles of half of a host's pages of which a shard with FEW pages or more holds a single one (such runs are not sent).
 
-Outside articles a run is boilerplate on LEAST different pages. Pages with the same main text (article, or else what is
+Outside articles and in suspect elements a run is boilerplate on LEAST different pages. Pages with the same main text (article, or else what is
 not chrome) are one page, whatever their ids, so copies do not empty each other; what three different pages without an
 article share goes from them, and near copies are different pages.
 
@@ -51,7 +53,7 @@ FEW = 64
 OUTSIDE, INSIDE, PAGES = 0, 1, 2
 #: Of the compression of parsed pages.
 LEVEL = 3
-CHROME, NEITHER, ARTICLE = 0, 1, 2
+CHROME, NEITHER, ARTICLE, SUSPECT = 0, 1, 2, 3
 
 _TAG = regex.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""", regex.S)
 _ATTR = regex.compile(r"""([a-zA-Z_:][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -63,13 +65,15 @@ _BLOCK = frozenset(
 )
 _CHROME_TAGS = frozenset("aside button dialog fieldset footer form head input label menu nav option select".split())
 _CHROME_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-_CHROME_WORDS = frozenset(
-    "ad ads adsbygoogle advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus discussion "
-    "footer footnav gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion "
-    "recommended recommendations related replies respond share sharebar sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar "
-    "topbar widget widgets".split()
+#: A whole class or id of a container that says for certain that it is not main text.
+_CHROME_WORDS = frozenset("ad ads adsbygoogle advert adverts advertisement comments disqus navbar sidebar".split())
+_CONTAINERS = frozenset("center div dl figure ins ol section table ul".split())
+#: Parts of a class or id that make an element inside an article suspect: what repeats of it on the host goes.
+_SUSPECT_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus discussion gdpr login menu modal nav "
+    "navigation newsletter notice notices overlay pagination paywall popup promo promoted promotion recommended related replies respond share sharing sidebar signup skip "
+    "social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
 )
-_HEAD_WORDS = frozenset("header banner masthead".split())
 _COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
 _ARTICLE_WORDS = frozenset("article articlebody post entry story content maincontent".split())
 
@@ -77,7 +81,8 @@ _ARTICLE_WORDS = frozenset("article articlebody post entry story content maincon
 def _kind_of(name: str, rest: str, inside: int) -> int | None:
     """What an element makes of its content; None if it leaves that as it is."""
     found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(rest)} if "=" in rest else {}
-    words = set(regex.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower())) if found else set()
+    names = f"{found.get('class', '')} {found.get('id', '')}".lower() if found else ""
+    words = set(regex.split(r"[^a-z0-9]+", names)) if names else set()
     role = found.get("role", "").lower()
     if name in ("html", "body", "main"):
         return ARTICLE if name == "main" else None
@@ -86,12 +91,14 @@ def _kind_of(name: str, rest: str, inside: int) -> int | None:
     if name in _CHROME_TAGS or role in _CHROME_ROLES:
         return CHROME
     if name == "header":
-        return None if inside == ARTICLE else CHROME
+        return None if inside in (ARTICLE, SUSPECT) else CHROME
     if "hidden" in rest.lower() and regex.search(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|visibility\s*:\s*hidden", rest) or "display" in rest and regex.search(r"(?i)display\s*:\s*none", rest):
         return CHROME
-    if words & (_CHROME_WORDS if inside != ARTICLE else _CHROME_WORDS - _HEAD_WORDS) or (inside != ARTICLE and words & _HEAD_WORDS and not words & _ARTICLE_WORDS):
+    if name in _CONTAINERS and _CHROME_WORDS & set(names.split()):
         return CHROME
-    if role == "main" or "articlebody" in found.get("itemprop", "").lower() or words & _ARTICLE_WORDS:
+    if inside in (ARTICLE, SUSPECT):
+        return SUSPECT if words & _SUSPECT_WORDS else None
+    if role == "main" or "articlebody" in found.get("itemprop", "").lower() or words & _ARTICLE_WORDS and not words & _SUSPECT_WORDS:
         return ARTICLE
     return None
 
@@ -154,15 +161,15 @@ def parse(page: str | None) -> list[tuple[int, str]]:
                     break
         new = _kind_of(name, tag["rest"], kind)
         stack.append((name, kind, in_article))
-        if new is not None and kind != CHROME and new != kind:
+        if new is not None and kind != CHROME and new != kind and not (kind == SUSPECT and new == ARTICLE):
             flush()
             kind = new
-        if name == "article" and kind == ARTICLE:
+        if name == "article" and kind in (ARTICLE, SUSPECT):
             flush()
             explicit = in_article = True
     flush()
     if explicit:
-        blocks = [(NEITHER if k == ARTICLE and not a else k, t) for (k, t), a in zip(blocks, own, strict=True)]
+        blocks = [(NEITHER if k in (ARTICLE, SUSPECT) and not a else k, t) for (k, t), a in zip(blocks, own, strict=True)]
     return blocks
 
 
@@ -180,9 +187,9 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, blocks, sizes = [], [], []
         for page, source, again, lean in zip(*[batch.column(k).to_pylist() for k in (0, 2, 4, 7)], strict=True):
             found = parse(source)
-            main = ARTICLE if any(k == ARTICLE for k, _ in found) else NEITHER
+            main = ARTICLE if any(k in (ARTICLE, SUSPECT) for k, _ in found) else NEITHER
             marks.append(_number(f"id {page!r}" if again else "\n".join(["text", *[t for k, t in found if k == main]])))
-            packed = "\n".join(f"{k}{t}" for k, t in found if not lean or k == main).encode("utf-8", "surrogatepass")  # a text holds no line break
+            packed = "\n".join(f"{k}{t}" for k, t in found if not lean or k == main or k == SUSPECT).encode("utf-8", "surrogatepass")  # a text holds no line break
             sizes.append(len(packed))
             blocks.append(codec.compress(packed, asbytes=True))
         columns = [batch.column(0), batch.column(1), batch.column(3), batch.column(5), batch.column(6), pa.array(marks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(blocks, pa.binary())]
@@ -324,9 +331,9 @@ def _joined(kinds: list[list[int]], texts: list[list[str]], covered: Callable[[i
     """The lines of each page that the tags leave, without the words that covered(number of the block, kind) marks."""
     out, b = [], 0
     for own_kinds, own_texts in zip(kinds, texts, strict=True):
-        main, lines = ARTICLE if ARTICLE in own_kinds else NEITHER, []
+        main, lines = ARTICLE if ARTICLE in own_kinds or SUSPECT in own_kinds else NEITHER, []
         for kind, text in zip(own_kinds, own_texts, strict=True):
-            if kind == main:
+            if kind == main or kind == SUSPECT:
                 mask = covered(b, kind) if covered else None
                 if mask is None or not mask.any():
                     lines.append(text)
@@ -384,7 +391,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             what, keys, count = (answers.column(c).to_numpy() for c in ("what", "key", "n"))
             of = int(count[what == PAGES].max(initial=0))
             outside, inside = keys[(what == OUTSIDE) & (count >= LEAST)], keys[(what == INSIDE) & repeats_inside(count, of)]
-            if len(inside) or len(outside) and any(ARTICLE not in k for k in own_kinds):
+            if len(inside) or len(outside) and any(ARTICLE not in k or SUSPECT in k for k in own_kinds):
                 stream = Stream(marks, own_kinds, own_texts, run)
                 hashed = ((size, places, stream.hashes(size, places)) for size, places, _ in stream.units())
                 texts = stream.main_texts((size, places, np.isin(h, outside), np.isin(h, inside)) for size, places, h in hashed)

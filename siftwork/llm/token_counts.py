@@ -2,9 +2,10 @@
 
 Each document keeps a segment tree over its pre-tokens. A leaf is a run of pre-tokens with their token counts, a node
 holds the sums of characters and tokens below it. An edit re-encodes from the last pre-token boundary that its
-characters cannot have influenced (CONTEXT characters before it) up to the first boundary behind it that the old text
-had too and that the new text cannot move any more; the touched leaves change and so do the sums above them. The
-pattern looks at most two characters past the end of a match and never back, so what lies outside is cut as before.
+characters cannot have influenced (some characters before it, see CONTEXTS) up to the first boundary behind it that the old text
+had too and that the new text cannot move any more; the touched leaves change and so do the sums above them. The known
+pattern looks at most two characters past the end of a match and never back, so what lies outside is cut as before; for
+other patterns nothing is known of that, and the whole text is cut again.
 
 Edge cases: a null or empty text has no tokens; null edits count as none and a null edit is skipped; bounds outside the
 text are moved to its ends, an end before its start means an insertion at start, a null replacement is empty; edits are
@@ -18,6 +19,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -25,16 +27,19 @@ from pyspark.sql import types as T
 from .bpe import BLOCK_CHARS, Encoder, shared_ranks, worker_encoder
 from .scratch import small_batches, tidy
 
-#: Pre-tokens of a new leaf; characters before an edit whose boundaries are cut again.
-LEAF, CONTEXT = 64, 3
+#: Pre-tokens of a new leaf.
+LEAF = 64
+#: By pattern, the characters before an edit whose boundaries are cut again: one more than the pattern looks ahead of a
+#: match. Under another pattern an edit cuts its whole text again.
+CONTEXTS = {public_tokenizers.PATTERN: 3}
 EDITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("text", T.StringType())]))
 
 
 class TokenTree:
     """A segment tree over the pre-tokens of one text."""
 
-    def __init__(self, words: list[str], encoder: Encoder):
-        self.encoder = encoder
+    def __init__(self, words: list[str], encoder: Encoder, context: int | None = None):
+        self.encoder, self.context = encoder, context
         self.leaves = [words[i : i + LEAF] for i in range(0, len(words), LEAF)] or [[]]
         self.width = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
@@ -81,10 +86,11 @@ class TokenTree:
         """Replaces the characters from start to end by text."""
         start = min(max(start, 0), self.size)
         end = min(max(end, start), self.size)
-        first, at = self._find(max(0, start - CONTEXT))
+        context = self.size + len(text) if self.context is None else self.context
+        first, at = self._find(max(0, start - context))
         leaf = self.leaves[first]
         ends = list(accumulate(map(len, leaf), initial=at))
-        keep = max(0, bisect_right(ends, max(start - CONTEXT, at)) - 1) if leaf else 0
+        keep = max(0, bisect_right(ends, max(start - context, at)) - 1) if leaf else 0
         begin = ends[keep]
 
         old, marks, where, last = [], [], begin, first  # old pre-tokens from begin on, and where each of them ends
@@ -117,7 +123,7 @@ class TokenTree:
             for k, word in enumerate(words):
                 place += len(word)
                 mark = place - shift
-                if mark >= end and mark in edges and (whole or place - begin + CONTEXT <= len(buffer)):
+                if mark >= end and mark in edges and (whole or place - begin + context <= len(buffer)):
                     stop = (k + 1, edges[mark] + 1)
                     break
             if stop or whole:
@@ -153,18 +159,21 @@ def edited_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared.value, pattern)
 
+        context = CONTEXTS.get(pattern)
+
         def rows(held: list, kind: pa.DataType) -> pa.RecordBatch:
-            encoder.learn({w for _, words, _ in held for w in words})
+            recent = {w for _, words, _ in held for w in words}
+            encoder.learn(recent)
             out = []
             for i, words, edits in held:
-                tree = TokenTree(words, encoder)
+                tree = TokenTree(words, encoder, context)
                 before = (tree.size, tree.total)
                 edits = [e for e in edits or [] if e is not None]
                 for e in edits:
                     start = e["start"] or 0
                     tree.edit(start, start if e["end"] is None else e["end"], e["text"] or "")
                 out.append((i, *before, len(edits), tree.size, tree.total, tree.encoded_chars))
-            encoder.forget()
+            encoder.forget(recent)
             columns = list(zip(*out, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=NAMES)
 

@@ -168,6 +168,48 @@ def test_fingerprint_ties_and_tiny_tables(spark):
     assert len(of([(1, "b b"), (1, "a a"), (None, "c c"), (1, "a a")])) == 4
 
 
+def test_fingerprints_by_brute_force(spark):
+    """The strings, from whole-number arithmetic over the words of a text; likeness by sets of kept hashes."""
+    import base64
+
+    from siftwork.llm import shingles as sh
+
+    whole = 2**64 - 1
+    turn, base = int(sh._TURN[0]), 0x9E3779B97F4A7C15
+
+    def spread(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & whole
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & whole
+        return x ^ x >> 31
+
+    def kept(text):
+        words = [spread(sum(((b + 32 if 65 <= b <= 90 else b) + 1) * pow(base, k, 2**64) for k, b in enumerate(w)) & whole) for w in re.findall(rb"[^\x20\x09-\x0D]+", text.encode())]
+        take, all_of = min(5, len(words)), set()
+        for i in range(len(words) - take + 1 if words else 0):
+            h = take
+            for w in words[i : i + take]:
+                h = spread(h * turn + w & whole)
+            all_of.add(h)
+        short = sorted(h >> 16 for h in all_of)
+        return sorted({h for h in short if h < 2**48 // fingerprint.SCALED} or set(short[:1]))
+
+    rnd = random.Random(12)
+    texts = [" ".join(rnd.choices(["Éa", "b", "Cc", "d", "e", "ff"], k=rnd.randrange(0, 60))) for _ in range(40)] + ["", "one", "Two words"]
+    out = {r["doc_id"]: r for r in fingerprint.compared_with_edit(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    for k, text in enumerate(texts):
+        own, after = kept(text), texts[(k + 1) % len(texts)]
+        cut = len(text) // 4
+        changed = kept(text[: len(text) - cut] + after[:cut])
+        assert out[k]["fingerprint"] == base64.b64encode(b"".join(h.to_bytes(6) for h in own)).decode()
+        for other, near in ((changed, "near_edited"), (kept(after), "near_next")):
+            union = sorted(set(own) | set(other))
+            union = [h for h in union if h < 2**48 // fingerprint.SCALED] or union[:1]
+            want = len(set(own) & set(other) & set(union)) / len(union) if own and other else float(len(own) == len(other))
+            assert abs(out[k][near] - want) < 1e-12
+    with pytest.raises(TypeError, match="whole number"):
+        fingerprint.compared_with_edit(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_sketches_merge():
     import numpy as np
 

@@ -68,7 +68,7 @@ def test_trees_follow_edits(encoder, library):
     for text in odd_texts(300, 4, 700):
         words = encoder.cut(text)
         encoder.learn(words)
-        tree = token_counts.TokenTree(words, encoder)
+        tree = token_counts.TokenTree(words, encoder, token_counts.CONTEXTS[PATTERN])
         for _ in range(rnd.randrange(5)):
             start, new = rnd.randrange(-1, len(text) + 2), rnd.choice(odd_texts(5, rnd.random(), 60))
             end = start + rnd.randrange(-1, 70)
@@ -80,10 +80,26 @@ def test_trees_follow_edits(encoder, library):
             assert sum(tree.leaves, []) == encoder.cut(text)
 
 
+def test_trees_of_a_pattern_that_looks_far_ahead(encoder):
+    pattern = r"\s*[\r\n]+|\s+(?!\S)|\s+| ?\p{L}+| ?[^\s\p{L}]+"
+    with open(RANKS, "rb") as f:
+        other = bpe.Encoder(f.read(), pattern)
+    rnd = random.Random(5)
+    for text in odd_texts(60, 6, 400):
+        words = other.cut(text)
+        other.learn(words)
+        tree = token_counts.TokenTree(words, other, token_counts.CONTEXTS.get(pattern))
+        for _ in range(3):
+            at, new = rnd.randrange(len(text) + 1), rnd.choice(["\n", " " * 9 + "\n", "x", ""])
+            text = text[:at] + new + text[at + 2 :]
+            tree.edit(at, at + 2, new)
+            assert tree.text() == text and sum(tree.leaves, []) == other.cut(text)
+
+
 def test_an_edit_reads_little_of_a_long_text(encoder):
     words = encoder.cut("some plain words here " * 5000)
     encoder.learn(words)
-    tree = token_counts.TokenTree(words, encoder)
+    tree = token_counts.TokenTree(words, encoder, token_counts.CONTEXTS[PATTERN])
     tree.edit(50_000, 50_004, "other")
     assert tree.encoded_chars < 200
 
