@@ -196,7 +196,7 @@ def exact_prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     """
     rows = sets.select(F.col("id").alias("d"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("tok"))
     often = kept(rows.groupBy("tok").agg(F.count("*").alias("f")).where("f > 1"), "often")
-    ranked = rows.join(held(often), "tok").groupBy("d", "n").agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("all"))
+    ranked = rows.join(held(often), "tok").repartition(parts(sets.sparkSession), "d").groupBy("d", "n").agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("all"))
     n, over = F.col("n"), num + den
     alone = n - F.size("all")  # elements of one set come first in the order
     least = F.call_function("div", num * n + den - 1, F.lit(den))
@@ -328,7 +328,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = kept(prefix_table(docs, id_col, text_col, size, num, den), "prefixes")
     heads = kept(table.select("id", "hi", "lo", "n"), "heads")
     classes = kept(heads.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    others = kept(heads.where("n > 0").join(classes.where("copies > 1"), ["hi", "lo"]).where("id <> rep").select("id", "hi", "lo").distinct(), "copies")
+    others = kept(heads.where("n > 0").join(held(classes.where("copies > 1")), ["hi", "lo"]).where("id <> rep").select("id", "hi", "lo").distinct(), "copies")
     links = jaccard_links(docs, table.join(held(others), ["id", "hi", "lo"], "left_anti"), id_col, text_col, size, num, den)
     dropped(table, others)
     roots = kept(components(links), "roots")
