@@ -54,3 +54,16 @@ def ratio(part: Column, whole: Column, empty: float = 0.0) -> Column:
 
 def f1(precision: Column, recall: Column) -> Column:
     return F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+
+
+def cost_display(amount: Column, status: Column) -> Column:
+    """A cost for readers: exact, about, or that there is none."""
+    shown = F.concat(F.lit("$"), amount.cast("decimal(18,6)").cast("string"))
+    about = F.when(amount != 0, F.concat(F.lit("~"), shown)).otherwise("partial")
+    return F.when((status == "available") & amount.isNotNull(), shown).when(status == "partial", F.coalesce(about, F.lit("partial"))).otherwise("cost_unavailable")
+
+
+def iso_time(at: Column) -> Column:
+    """A time in UTC as ISO 8601, microseconds only where there are some."""
+    small = F.unix_micros(at) % 1000000
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(small != 0, F.date_format(at, ".SSSSSS")).otherwise(""), F.lit("+00:00"))

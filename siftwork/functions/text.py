@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 #: Line breaks of a source file as the scanner counts them (fixed values).
 BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+#: Where an identifier parts into words, and what is no part of a word (fixed values).
+ACRONYM, CAMEL, SEPARATORS = r"([A-Z]+)([A-Z][a-z])", r"([a-z0-9])([A-Z])", r"[^A-Za-z0-9]+"
 
 
 def strip(text: Column) -> Column:
@@ -19,16 +21,14 @@ def strip(text: Column) -> Column:
 
 def split_identifier(name: Column) -> Column:
     """Lower-case words of an identifier: acronyms, camel case and punctuation all part words."""
-    spaced = F.regexp_replace(name, r"([A-Z]+)([A-Z][a-z])", "$1 $2")
-    spaced = F.regexp_replace(spaced, r"([a-z0-9])([A-Z])", "$1 $2")
-    return F.trim(F.regexp_replace(F.lower(spaced), r"[^a-z0-9]+", " "))
+    spaced = F.regexp_replace(F.regexp_replace(name, ACRONYM, "$1 $2"), CAMEL, "$1 $2")
+    return F.lower(F.trim(F.regexp_replace(spaced, SEPARATORS, " ")))
 
 
 def search_text(originals: list[Column], content: Column) -> Column:
-    """Originals that are not empty, their words, then the content, a line each."""
+    """Originals that are not empty, a line of words for each (empty for one without words), then the content."""
     given = F.filter(F.array(*originals), lambda x: x.isNotNull() & (x != ""))
-    words = F.filter(F.transform(given, split_identifier), lambda x: x != "")
-    return F.array_join(F.concat(given, words, F.array(content)), "\n")
+    return F.array_join(F.concat(given, F.transform(given, split_identifier), F.array(content)), "\n")
 
 
 def normalize_content(content: Column) -> Column:
@@ -112,10 +112,10 @@ def decoded(content: Column) -> Column:
 
 
 def json_in(text: Column) -> Column:
-    """JSON out of free text: a fenced block, else the outermost braces, else the outermost brackets, else null."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    braces, brackets = F.regexp_extract(text, r"(?s)\{.*\}", 0), F.regexp_extract(text, r"(?s)\[.*\]", 0)
-    return F.when(fenced != "", F.trim(fenced)).when(braces != "", braces).when(brackets != "", brackets)
+    """JSON out of free text: a block fenced as json, else the outermost braces or brackets, else the text itself, trimmed."""
+    fence, braces, brackets = r"(?s)```json[^\n]*\n(.*?)```", r"(?s)\{.*\}", r"(?s)\[.*\]"
+    cut = F.when(text.rlike(braces), F.regexp_extract(text, braces, 0)).when(text.rlike(brackets), F.regexp_extract(text, brackets, 0)).otherwise(strip(text))
+    return F.when(text.rlike(fence), strip(F.regexp_extract(text, fence, 1))).otherwise(cut)
 
 
 def parsed_json(text: Column, schema: T.StructType, required: list[str]) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -118,12 +119,14 @@ class _JavaParser:
                 close[stack.pop()] = m.start()
         if stack:
             raise SyntaxError("a brace is not closed")
-        line = lambda at: source.count("\n", 0, at) + 1
+        breaks = [m.start() for m in re.finditer("\n", source)]
+        line = lambda at: bisect_left(breaks, at) + 1
         items: list[tuple[int, int, str, str, str, str]] = []
         for m in self._type.finditer(blank):
             head = m.start()
-            before = re.search(r"[;{}]?\s*((?:@\w+(?:\([^)]*\))?\s*|\b(?:public|protected|private|static|final|abstract|sealed|strictfp)\b\s*)*)\Z", blank[:head])
-            start = before.start(1) if before and before.group(1) else head
+            after = max(blank.rfind(c, 0, head) for c in ";{}") + 1
+            before = re.search(r"((?:@\w+(?:\([^)]*\))?\s*|\b(?:public|protected|private|static|final|abstract|sealed|strictfp)\b\s*)*)\Z", blank[after:head])
+            start = after + before.start(1) if before and before.group(1) else head
             items.append((start, close[m.end() - 1], {"@interface": "annotation"}.get(m.group(1), m.group(1)), m.group(2), source[start : m.end() - 1].strip(), m.group(3)))
         kinds = [i for i in items]
         for m in self._method.finditer(blank):
@@ -159,8 +162,17 @@ class _JavaParser:
 
 #: Parsers by language; detect() resolves a path by extension first.
 PARSERS: dict[str, object] = {"python": _PythonParser(), "java": _JavaParser()}
-#: What a reviewer looks for in each language.
-RISK_HINTS = {"java": ["sql", "deserialization", "authorization", "transaction", "null"], "python": ["eval", "pickle", "subprocess", "path", "exception"]}
+#: What a reviewer looks for in each language (fixed values).
+RISK_HINTS = {
+    "java": ["Runtime.exec", "ProcessBuilder", "Statement.execute", "ObjectInputStream", "SpelExpressionParser"],
+    "python": ["eval", "exec", "pickle.loads", "subprocess", "shell=True", "yaml.load"],
+}
+
+
+def risk_hints(language: Column) -> Column:
+    """The hints of a language, an empty list for others."""
+    hints = F.create_map(*[x for name, words in RISK_HINTS.items() for x in (F.lit(name), F.array(*[F.lit(w) for w in words]))])
+    return F.coalesce(F.try_element_at(hints, language), F.array().cast("array<string>"))
 
 
 def detect(path: str) -> str | None:

@@ -38,5 +38,6 @@ def within_budget(ranked: DataFrame, by: str, rank: str, cost: str, budget: int)
 
 
 def assembled(kept: DataFrame, by: str, rank: str, block: str) -> DataFrame:
-    """One context text for each query, a blank line between blocks."""
-    return kept.where("kept").groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, block))), lambda x: x[block]), "\n\n").alias("context"))
+    """(by, context, blocks): one context text for each query, a blank line between its blocks."""
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct(rank, block))), lambda x: x[block])
+    return kept.where("kept").groupBy(by).agg(F.array_join(blocks, "\n\n").alias("context"), F.count("*").alias("blocks"))

@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..providers import EmbeddingProvider, TokenCounter
+from ..sources import readers
+from .search import words_of
+
 
 def reuse(chunks: DataFrame, indexed: DataFrame, keys: list[str]) -> DataFrame:
-    """chunks with reused_from and embedding of the first indexed chunk (least chunk_id) with equal keys, or nulls."""
-    first = indexed.groupBy(*keys).agg(F.min(F.struct("chunk_id", "embedding")).alias("_first"))
-    return chunks.join(first, keys, "left").withColumn("reused_from", F.col("_first.chunk_id")).withColumn("embedding", F.col("_first.embedding")).drop("_first")
+    """chunks with reused_from and embedding of the first indexed chunk (least chunk_id) with equal keys, or nulls.
+
+    The first ids are found without their vectors, which are looked up once for each key.
+    """
+    first = indexed.groupBy(*keys).agg(F.min("chunk_id").alias("reused_from"))
+    vectors = indexed.select(F.col("chunk_id").alias("reused_from"), "embedding").join(first, "reused_from")
+    return chunks.drop("embedding").join(vectors, keys, "left")
 
 
 def build_result(chunks: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -63,3 +72,30 @@ def owning_interval(items: DataFrame, definitions: DataFrame, by: str = "file_id
     around = items.join(d, by).where((F.col("_s") <= F.col("start")) & (F.col("_e") >= F.col("end")) & ~((F.col("_s") == F.col("start")) & (F.col("_e") == F.col("end"))))
     best = around.groupBy(by, "item_id").agg(F.min(F.struct((F.col("_e") - F.col("_s")).alias("length"), "def_id"))["def_id"].alias("owner"))
     return items.join(best, [by, "item_id"], "left")
+
+
+def indexed_files(
+    parsed: DataFrame, old: DataFrame, provider: EmbeddingProvider, dimension: int, count_tokens: TokenCounter = text.token_bytes, max_tokens: int = 8192, batch: int = 10
+) -> tuple[DataFrame, DataFrame]:
+    """Incremental indexing: (the new index, one row for each parsed file with the counts of its build).
+
+    parsed: project, file_id, chunk_id, chunk_fingerprint, content_hash, version, search_text; old: the same with embedding,
+    embedding_status, embedding_error, search_tokens. Files whose chunks are all as they were stay. The chunks of the
+    others take the embedding of an old chunk of their project with the same content, or are found by keyword only if they
+    are too long or the provider fails, or get an embedding from it. search_tokens, which a full-text search reads, is
+    derived as chunks are written. Files that are not parsed stay as they are.
+    """
+    current = current_files(parsed, old.join(parsed.select("file_id").distinct(), "file_id", "left_semi"))
+    fresh = parsed.join(current.where("not current").select("file_id"), "file_id", "left_semi")
+    fresh = reuse(fresh, old.where("embedding_status = 'ready'").select("project", "content_hash", "chunk_id", "embedding"), ["project", "content_hash"])
+    fresh = fresh.withColumn("_long", F.col("embedding").isNull() & (count_tokens(F.col("search_text")) > max_tokens))
+    asked = fresh.where("embedding is null and not _long").select("chunk_id", F.col("search_text").alias("content"))
+    answers = readers.batched_embeddings(asked, provider, batch, dimension).withColumnRenamed("embedding", "_given")
+    fresh = fresh.join(answers, "chunk_id", "left").withColumn("embedding", F.coalesce("embedding", "_given"))
+    failed = F.when(F.col("_long"), "EMBEDDING_INPUT_TOKEN_LIMIT").when(F.col("embedding").isNull(), "EMBEDDING_PROVIDER_FAILED")
+    fresh = fresh.withColumn("embedding_error", failed).withColumn("embedding_status", F.when(F.col("embedding").isNull(), "keyword_only").otherwise("ready"))
+    fresh = fresh.withColumn("search_tokens", words_of(F.col("search_text"))).drop("_long", "_given")
+    index = readers.replaced(old, fresh.select(*old.columns), ["file_id"])
+    told = build_result(fresh, ["file_id"]).withColumn("reused_file", F.lit(False))
+    kept = old.join(current.where("current").select("file_id"), "file_id", "left_semi").withColumn("reused_from", F.when(F.col("embedding").isNotNull(), F.col("chunk_id")))
+    return index, told.unionByName(build_result(kept, ["file_id"]).withColumn("reused_file", F.lit(True)))

@@ -4,35 +4,34 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..providers import LanguageModel, ProviderError
 from ..session import ship
 
-#: provider(prompt) -> (answer, input tokens, output tokens). It must be importable or picklable on the executors.
-Provider = Callable[[str], tuple[str, int, int]]
 
 
 def structured(answer: str, required: list[str]) -> dict | list | None:
-    """The JSON value of an answer: a fenced block, else the outermost braces or brackets; None if a field is missing."""
-    fenced = re.search(r"```(?:json)?\s*(.*?)```", answer, re.S)
-    for text in (fenced and fenced.group(1), *(m.group() for p in (r"\{.*\}", r"\[.*\]") if (m := re.search(p, answer, re.S)))):
-        try:
-            value = json.loads(text) if text else None
-        except ValueError:
-            continue
-        if value is not None and all(isinstance(v, dict) and all(k in v for k in required) for v in (value if isinstance(value, list) else [value])):
-            return value
-    return None
-
-
-def answered(prompts: DataFrame, provider: Provider, required: list[str], id_col: str = "id", prompt_col: str = "prompt") -> DataFrame:
+    """The JSON value of an answer: a block fenced as json, else the outermost braces or brackets, else the answer itself;
+    None if it does not parse or a field is missing."""
+    found = (re.search(p, answer, re.S) for p in (r"```json[^\n]*\n(.*?)```", r"(\{.*\})", r"(\[.*\])"))
+    text = next((m.group(1) for m in found if m), answer)
+    try:
+        value = json.loads(text)
+    except ValueError:
+        return None
+    records = value if isinstance(value, list) else [value]
+    return value if all(isinstance(r, dict) and all(k in r for k in required) for r in records) else None
+
+
+def answered(prompts: DataFrame, provider: LanguageModel, required: list[str], id_col: str = "id", prompt_col: str = "prompt") -> DataFrame:
     """(id_col, answer, calls, input_tokens, output_tokens, error) for each prompt.
 
     An answer that is not the JSON asked for is asked for once more, with the wrong answer; after that error is
-    INVALID_ANSWER. A provider that fails gives error = PROVIDER_FAILED.
+    INVALID_ANSWER. A provider that raises ProviderError gives error = PROVIDER_FAILED; any other error is a bug and stops the job.
     """
     ship(prompts.sparkSession)
     kind = prompts.schema[id_col].dataType.simpleString()
@@ -43,7 +42,7 @@ def answered(prompts: DataFrame, provider: Provider, required: list[str], id_col
         for _ in range(2):
             try:
                 said, a, b = provider(now)
-            except Exception:
+            except ProviderError:
                 return None, calls, sent, got, "PROVIDER_FAILED"
             calls, sent, got = calls + 1, sent + a, got + b
             if (value := structured(said, required)) is not None:

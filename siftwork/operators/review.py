@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import numbers, text
 
 LEVELS = ("High", "Medium", "Low")
 
@@ -76,6 +76,13 @@ def category_histogram(issues: DataFrame, by: list[str] = ()) -> DataFrame:
     return issues.groupBy(*by, F.coalesce("category", F.lit("unknown")).alias("category")).agg(F.count("*").alias("issues"))
 
 
+def issue_projection(issues: DataFrame, issue_id: int | None = None, owner: int | None = None) -> DataFrame:
+    """What clients read of issues, or of one: without an owner those of everybody, in no order of its own."""
+    out = issues if issue_id is None else issues.where(F.col("issue_id") == issue_id)
+    out = out if owner is None else out.where(F.col("user_id") == owner)
+    return out.select("issue_id", "task_id", "title", "path", "category", "risk_level", "fingerprint")
+
+
 def issue_page(issues: DataFrame, order: list[Column], risk: str | None = None, category: str | None = None, words: str = "", page: int = 1, size: int = 15) -> DataFrame:
     """One page of the issues that match a level, a category and words in title, path or fingerprint."""
     out = issues
@@ -89,13 +96,73 @@ def issue_page(issues: DataFrame, order: list[Column], risk: str | None = None,
     return out.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
-def report_markdown(issues: DataFrame, by: str, order: str) -> DataFrame:
-    """(by, markdown): a report of each task: totals, then a line for each issue in order. A group is one task's issues."""
-    stats = severity_stats(issues, [by])
-    line = F.concat(F.lit("- ["), F.coalesce("risk_level", F.lit("Low")), F.lit("] "), F.col("title"), F.lit(" ("), F.col("path"), F.lit(")"))
-    lines = issues.select(by, F.struct(order, line.alias("line")).alias("x")).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("lines"))
-    head = F.format_string("# Review report %s\n\n| High | Medium | Low | Total |\n|-|-|-|-|\n| %d | %d | %d | %d |\n\n", F.col(by).cast("string"), "high", "medium", "low", "total")
-    return stats.join(lines, by).select(by, F.concat(head, F.col("lines"), F.lit("\n")).alias("markdown"))
+#: The marks of risk levels in a report, and that of any other (fixed values).
+MARKS, OTHER_MARK = {"High": "\U0001f534", "Medium": "\U0001f7e1", "Low": "\U0001f7e2"}, "\u26aa"
+
+
+def _said(name: str, missing: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(missing))
+
+
+def issue_markdown(number: Column) -> Column:
+    """One issue as a block of a report."""
+    mark = F.lit(OTHER_MARK)
+    for level, sign in MARKS.items():
+        mark = F.when(F.col("risk_level") == level, sign).otherwise(mark)
+    facts = {
+        "Category": _said("category", "?"), "Type": _said("issue_type", "?"), "Risk": _said("risk_level", "?"), "Rule": _said("rule_id", "N/A"), "CWE": _said("cwe_id", "N/A"),
+        "File": F.concat(F.lit("`"), _said("path", "?"), F.lit("` L"), _said("start_line", "0"), F.lit("-L"), _said("end_line", "0")),
+        "Confidence": F.concat(F.bround(F.coalesce("confidence", F.lit(0.0)) * 100, 0).cast("int").cast("string"), F.lit("%")),
+        "Critic": _said("critic_decision", "pending"), "Human review": F.when(F.coalesce("needs_human_review", F.lit(False)), "Yes").otherwise("No"),
+    }
+    texts = {"Description": _said("description", ""), "Evidence": F.concat(F.lit("```\n"), _said("evidence", ""), F.lit("\n```")), "Reason": _said("reason", ""), "Suggestion": _said("suggestion", "")}
+    head = F.concat(F.lit("### "), number.cast("string"), F.lit(". "), mark, F.lit(" "), _said("title", "Untitled"))
+    listed = F.array_join(F.array(*[F.concat(F.lit(f"- **{name}:** "), c) for name, c in facts.items()]), "\n")
+    return F.array_join(F.array(head, listed, *[F.concat(F.lit(f"**{name}:**\n\n"), c) for name, c in texts.items()]), "\n\n")
+
+
+def report_markdown(tasks: DataFrame, issues: DataFrame, by: str = "task_id", order: str = "pos") -> DataFrame:
+    """(by, markdown): the report of each task: head, summary, stop reason, severity, types, coverage, degradation, issues, metrics.
+
+    tasks: by, project, generated_at, summary, stop_reason, plan_items, degradation (map), calls, input_tokens,
+    output_tokens, cost, cost_status, started_at, finished_at. issues: by, order, verified and what issue_markdown()
+    reads. Parts without content are left out. A group is one task's issues.
+    """
+    i = issues.withColumn("_number", F.row_number().over(Window.partitionBy(by, "verified").orderBy(order)))
+    blocks = i.select(by, "verified", F.struct(F.col("_number"), issue_markdown(F.col("_number")).alias("block")).alias("x")).groupBy(by).agg(
+        *[F.transform(F.array_sort(F.collect_list(F.when(side, F.col("x")))), lambda x: x["block"]).alias(name) for name, side in (("_passed", F.col("verified")), ("_failed", ~F.col("verified")))]
+    )
+    kinds = category_histogram(issues, [by]).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("category", "issues"))).alias("_kinds"))
+    t = tasks
+    for told in (severity_stats(issues, [by]), kinds, blocks):
+        t = t.join(told, by, "left")
+    count = lambda c: F.coalesce(c, F.lit(0))
+    shown, seconds = numbers.cost_display(F.col("cost"), F.col("cost_status")), F.coalesce(F.format_string("%.1f", numbers.elapsed_seconds(F.col("started_at"), F.col("finished_at"))), F.lit("N/A"))
+    shown_seconds = F.when(F.col("started_at").isNull() | F.col("finished_at").isNull(), "N/A").otherwise(seconds)
+    lines = lambda title, *rows: F.concat(F.lit(f"## {title}\n\n"), F.concat_ws("\n", *rows))
+    listed = lambda name, value: F.concat(F.lit(f"- {name}: "), value.cast("string"))
+    rows = [F.format_string(f"| {MARKS[level]} %s | %d |", F.lit(level.ljust(6)), count(F.col(level.lower()))) for level in LEVELS]
+    passed, failed = (F.coalesce(c, F.array().cast("array<string>")) for c in ("_passed", "_failed"))
+    section = lambda title, items: F.when(F.size(items) > 0, F.concat(F.format_string(f"## {title} (%d)\n\n", F.size(items)), F.array_join(items, "\n\n")))
+    parts = [
+        F.concat(F.lit("# Code Review Report \u2014 "), F.coalesce(F.nullif("project", F.lit("")), F.lit("Unnamed Project"))),
+        F.concat_ws(
+            "  \n", F.concat(F.lit("**Task ID:** "), F.col(by).cast("string")), F.concat(F.lit("**Generated:** "), F.date_format("generated_at", "yyyy-MM-dd HH:mm 'UTC'")),
+            F.concat(F.lit("**Cost:** "), shown), F.concat(F.lit("**Duration:** "), shown_seconds, F.lit("s  ")),
+        ),
+        F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("## Summary\n\n"), F.col("summary"))),
+        F.when(F.coalesce("stop_reason", F.lit("")) != "", F.concat(F.lit("> \u26a0\ufe0f **Stop reason:** "), F.col("stop_reason"))),
+        lines("Severity", F.lit("| Level  | Count |"), F.lit("|--------|-------|"), *rows, F.format_string("| **Total** | **%d** |", count(F.col("total")))),
+        F.when(F.size("_kinds") > 0, lines("Issue Types", F.transform("_kinds", lambda k: F.concat(F.lit("- **"), k["category"], F.lit("**: "), k["issues"].cast("string"))))),
+        lines("Coverage", listed("Plan items", _said("plan_items", "N/A")), listed("Verified issues", F.size(passed)), listed("Rejected issues", F.size(failed))),
+        F.when(F.size("degradation") > 0, lines("Degradation", F.transform(F.array_sort(F.map_entries("degradation")), lambda e: F.concat(F.lit("- **"), e["key"], F.lit("**: "), e["value"])))),
+        section("Verified Issues", passed), section("Rejected Issues", failed),
+        lines(
+            "Metrics", listed("LLM calls", count(F.col("calls"))), listed("Input tokens", F.format_number(count(F.col("input_tokens")), 0)), listed("Output tokens", F.format_number(count(F.col("output_tokens")), 0)),
+            listed("Estimated cost", shown), F.concat(F.lit("- Elapsed: "), shown_seconds, F.lit("s")),
+        ),
+    ]
+    return t.select(by, F.concat(F.concat_ws("\n\n", *parts), F.lit("\n")).alias("markdown"))
 
 
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -105,6 +172,11 @@ def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return counted.select(F.inline(pairs))
 
 
+def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, count) of the keys that more than one row has."""
+    return rows.groupBy(*keys).count().where("count > 1")
+
+
 def _filled(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) != ""
 

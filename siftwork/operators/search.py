@@ -1,86 +1,206 @@
-"""Retrieval: keyword and vector search, reciprocal-rank fusion, fallbacks, traces, recall.
+"""Retrieval: full-text, substring, symbol and vector search, reciprocal-rank fusion, fallbacks, traces, recall.
 
-Queries come as a table of bounded size, (query_id, query, vector); it is broadcast, and every search ranks all
-documents for all of them in one pass. Texts are ranked first and joined to the few results afterwards.
+Queries come as a table of bounded size, (query_id, query, vector) and perhaps project; it is broadcast, and every search
+ranks all documents for all of them in one pass. A query with a project meets the chunks of that project only. Texts are
+ranked first and joined to the few results afterwards. The vector search takes any number of queries, in blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import numbers, text
+from ..functions import numbers, paths, text
+from ..providers import EmbeddingProvider, ProviderError, Search, SearchFailed
+from ..session import ship
 
 FUSION_K, CANDIDATES = 60, 30
+#: Queries of a block of the vector search, and decimals to which scores are compared.
+BLOCK, DECIMALS = 4096, 9
 
 
 def first_term(query: Column) -> Column:
     return F.regexp_extract(query, r"\S+", 0)
 
 
+def words_of(value: Column) -> Column:
+    """Lower-case words in order."""
+    return F.filter(F.split(F.lower(value), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+
+
 def tokens(value: Column) -> Column:
     """Lower-case words, each once."""
-    return F.array_distinct(F.filter(F.split(F.lower(value), r"[^\p{L}\p{N}_]+"), lambda x: x != ""))
+    return F.array_distinct(words_of(value))
 
 
 def top(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", item: str = "file_id") -> DataFrame:
-    """The k best of each query with their rank; equal scores by the smaller id."""
-    w = Window.partitionBy(by).orderBy(F.desc(score), item)
+    """The k best of each query with their rank; scores equal to DECIMALS places by the smaller id."""
+    w = Window.partitionBy(by).orderBy(F.round(score, DECIMALS).desc(), item)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def visible(chunks: DataFrame, languages: Sequence[str] = (), target_paths: Sequence[str] = (), embedded: bool = False) -> DataFrame:
+    """The chunks that a search may see: ready ones, of the languages if any are named, at or below the target paths.
+
+    embedded: ones with a ready vector only.
+    """
+    out = chunks.where("index_status = 'ready'")
+    if languages:
+        out = out.where(F.col("language").isin(*languages))
+    if target_paths:
+        out = out.where(paths.below(F.col("path"), list(target_paths)))
+    return out.where("embedding is not null and embedding_status = 'ready'") if embedded else out
+
+
+def _of_projects(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("project", F.coalesce("project", F.lit("")) if "project" in rows.columns else F.lit(""))
+
+
+def _sides(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with project; without one on either side all rows meet."""
+    if "project" not in queries.columns or "project" not in chunks.columns:
+        chunks, queries = (x.withColumn("project", F.lit("")) for x in (chunks, queries))
+    return _of_projects(chunks), _of_projects(queries)
+
+
 def keyword_all_terms(docs: DataFrame, queries: DataFrame, content: str = "search_text") -> DataFrame:
     """(query_id, file_id, n_tokens) where every token of the query stands in the text."""
-    q = queries.select("query_id", tokens(F.col("query")).alias("wanted")).where(F.size("wanted") > 0)
-    d = docs.select("file_id", tokens(F.col(content)).alias("have"))
-    return d.join(F.broadcast(q), F.size(F.array_except("wanted", "have")) == 0).select("query_id", "file_id", F.size("have").alias("n_tokens"))
+    d, q = _sides(docs, queries)
+    q = q.select("query_id", "project", tokens(F.col("query")).alias("wanted")).where(F.size("wanted") > 0)
+    d = d.select("file_id", "project", tokens(F.col(content)).alias("have"))
+    return d.join(F.broadcast(q), "project").where(F.size(F.array_except("wanted", "have")) == 0).select("query_id", "file_id", F.size("have").alias("n_tokens"))
+
+
+def _holds(value: Column, term: Column, whole: str) -> Column:
+    """value holds term, whose % and _ are wildcards; a pattern is only made of terms that have some. whole: that as SQL."""
+    return F.when(term.rlike(r"[%_\\]"), F.expr(whole)).otherwise(value.contains(term))
 
 
 def keyword_fallback(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, content: str = "search_text") -> DataFrame:
-    """(query_id, file_id, score, rank) by occurrences of the query's first word; its % and _ stay wildcards."""
-    q = queries.select("query_id", F.lower(first_term(F.col("query"))).alias("term")).where("term <> ''")
-    low = F.lower(F.col(content))
-    found = docs.select("file_id", low.alias("_text")).join(F.broadcast(q), F.expr("_text LIKE concat('%', term, '%')"))
+    """(query_id, file_id, score, rank) by occurrences of the query's first word; its % and _ stay wildcards.
+
+    The search where the store has no full-text index.
+    """
+    d, q = _sides(docs, queries)
+    q = q.select("query_id", "project", F.lower(first_term(F.col("query"))).alias("term")).where("term <> ''")
+    d = d.select("file_id", "project", F.lower(F.col(content)).alias("_text"))
+    found = d.join(F.broadcast(q), "project").where(_holds(F.col("_text"), F.col("term"), "_text LIKE concat('%', term, '%')"))
     return top(found.select("query_id", "file_id", text.occurrence_rank(F.col("_text"), F.col("term")).alias("score")), k)
 
 
 def symbol_search(symbols: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """(query_id, file_id, score, rank): symbols whose name or qualified name holds the query's first word, by id."""
-    q = queries.select("query_id", F.concat(F.lit("%"), first_term(F.col("query")), F.lit("%")).alias("term")).where("term <> '%%'")
-    found = symbols.join(F.broadcast(q), F.expr("symbol_name ILIKE term OR qualified_name ILIKE term"))
+    d, q = _sides(symbols, queries)
+    q = q.select("query_id", "project", F.lower(first_term(F.col("query"))).alias("term")).where("term <> ''")
+    names = [F.lower(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in ("symbol_name", "qualified_name")]
+    d = d.select("file_id", "project", *names)
+    holds = [_holds(F.col(f"_{c}"), F.col("term"), f"_{c} LIKE concat('%', term, '%')") for c in ("symbol_name", "qualified_name")]
+    found = d.join(F.broadcast(q), "project").where(holds[0] | holds[1])
     return top(found.select("query_id", "file_id", F.lit(0.01).alias("score")).distinct(), k)
 
 
 def postings(docs: DataFrame, content: str = "search_text") -> DataFrame:
     """(token, file_id, tf, length): the inverted index; partition it by token when it is written."""
-    words = F.filter(F.split(F.lower(F.col(content)), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
-    rows = docs.select("file_id", words.alias("words")).select("file_id", F.size("words").alias("length"), F.explode("words").alias("token"))
+    rows = docs.select("file_id", words_of(F.col(content)).alias("words")).select("file_id", F.size("words").alias("length"), F.explode("words").alias("token"))
     return rows.groupBy("token", "file_id", "length").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, content: str = "search_text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, file_id, score, rank) by BM25 over the documents with any query token.
+    """(query_id, file_id, score, rank) by BM25 over the documents that hold all tokens of the query.
 
-    Only the queries' tokens are counted in each text, so nothing but their postings is shuffled.
+    One pass counts documents, words and the queries' tokens by project, a second one scores where the text is read: no
+    posting is shuffled, only the best of each task meet.
     """
-    words = F.filter(F.split(F.lower(F.col(content)), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
-    q = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token"))
-    d = docs.select("file_id", words.alias("words"))
-    total = d.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("mean_length"))
-    asked = q.select("token").distinct()
-    hits = d.join(F.broadcast(asked), F.array_contains("words", F.col("token"))).select("token", "file_id", F.size("words").alias("length"), F.size(F.filter("words", lambda w: w == F.col("token"))).alias("tf"))
-    frequency = hits.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = hits.join(F.broadcast(frequency), "token").join(F.broadcast(total)).join(F.broadcast(q), "token")
-    return top(scored.groupBy("query_id", "file_id").agg(F.sum(part).alias("score")), k)
+    d, q = _sides(docs, queries)
+    q = q.select("query_id", "project", tokens(F.col("query")).alias("wanted")).where(F.size("wanted") > 0)
+    asked = q.select("project", F.explode("wanted").alias("token")).groupBy("project").agg(F.collect_set("token").alias("asked"))
+    d = d.select("file_id", "project", words_of(F.col(content)).alias("words"))
+    seen = d.join(F.broadcast(asked), "project").select("project", F.size("words").alias("length"), F.explode(F.array_append(F.array_intersect("asked", "words"), "")).alias("token"))
+    counts = seen.groupBy("project", "token").agg(F.count("*").alias("n"), F.sum("length").alias("words"))
+    whole = F.max(F.when(F.col("token") == "", F.struct("n", (F.col("words") / F.col("n")).alias("mean")))).alias("whole")
+    stats = counts.groupBy("project").agg(whole, F.map_from_entries(F.collect_list(F.struct("token", "n"))).alias("df"))
+    asked = q.join(F.broadcast(stats), "project")
+    met = d.join(F.broadcast(asked), "project").where(F.size(F.array_except("wanted", "words")) == 0)
+    n, mean, length = F.col("whole")["n"], F.col("whole")["mean"], F.size("words")
+
+    def part(total: Column, token: Column) -> Column:
+        df, tf = F.try_element_at("df", token), F.size(F.filter("words", lambda w: w == token))
+        return total + F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+
+    return top(met.select("query_id", "file_id", F.aggregate("wanted", F.lit(0.0), part).alias("score")), k)
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """(query_id, file_id, score, rank): exact cosine similarity to every vector."""
-    q = queries.where("vector is not null").select("query_id", "vector")
-    scored = vectors.join(F.broadcast(q)).select("query_id", "file_id", numbers.cosine(F.col("embedding"), F.col("vector")).alias("score"))
-    return top(scored, k)
+    """(query_id, file_id, score, rank): exact cosine similarity to every vector; 0 where a norm is 0.
+
+    Queries come in blocks of BLOCK, each one matrix that a pass over the vectors multiplies by whole batches; a batch
+    gives its k best of each query, so what meets grows with the batches and not with the pairs.
+    """
+    ship(vectors.sparkSession)
+    d, q = _sides(vectors, queries.where("vector is not null"))
+    rows, q = d.select("file_id", "project", "embedding").where("embedding is not null"), q.select("query_id", "project", "vector")
+    kind = q.schema["query_id"].dataType.simpleString()
+    blocks = -(-q.count() // BLOCK)
+    asked = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))))
+    found = [_block_search(rows, asked.where(F.col("_block") == n).drop("_block"), k, kind) for n in range(max(1, blocks))]
+    return top(reduce(DataFrame.unionByName, found), k)
+
+
+def _block_search(rows: DataFrame, queries: DataFrame, k: int, kind: str) -> DataFrame:
+    told = queries.collect()
+    ids, projects = [r["query_id"] for r in told], np.array([r["project"] for r in told], object)
+    matrix = np.array([r["vector"] for r in told], np.float64)
+    schema = f"query_id {kind}, file_id long, score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not ids:
+            return
+        norms = np.sqrt((matrix * matrix).sum(axis=1))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files, owners = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(1).to_pylist(), object)
+            lists = batch.column(2)
+            if set(lists.value_lengths().to_pylist()) != {matrix.shape[1]}:
+                raise ValueError("vectors differ in length")
+            own = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(files), -1)
+            size = norms[:, None] * np.sqrt((own * own).sum(axis=1))[None, :]
+            scores = np.divide(matrix @ own.T, size, out=np.zeros((len(ids), len(files))), where=size > 0)
+            out: list[tuple] = []
+            for n in range(len(ids)):
+                near = np.flatnonzero(owners == projects[n])
+                near = near[np.lexsort((files[near], -np.round(scores[n, near], DECIMALS)))[:k]]
+                out += [(ids[n], int(files[j]), float(scores[n, j])) for j in near]
+            yield pa.RecordBatch.from_pydict({c: [r[i] for r in out] for i, c in enumerate(("query_id", "file_id", "score"))}, schema=pa.schema([("query_id", pa.int32() if kind == "int" else pa.int64()), ("file_id", pa.int64()), ("score", pa.float64())]))
+
+    return rows.mapInArrow(run, schema)
+
+
+def embedded(queries: DataFrame, provider: EmbeddingProvider, dimension: int) -> DataFrame:
+    """queries with vector from the provider, asked once more where it fails or answers with the wrong size, else null."""
+    ship(queries.sparkSession)
+
+    def ask(query: str) -> list[float] | None:
+        for _ in range(2):
+            try:
+                got = dict(provider([query]))
+            except ProviderError:
+                continue
+            if len(got.get(0, ())) == dimension:
+                return [float(x) for x in got[0]]
+        return None
+
+    @F.pandas_udf("array<double>")
+    def vectors(texts):
+        return texts.map(ask)
+
+    return queries.withColumn("vector", F.when(text.strip(F.col("query")) != "", vectors(text.strip(F.col("query")))))
 
 
 def fused(vector: DataFrame, keyword: DataFrame, top_k: int = 10, k: int = FUSION_K) -> DataFrame:
@@ -96,29 +216,59 @@ def fused(vector: DataFrame, keyword: DataFrame, top_k: int = 10, k: int = FUSIO
     return out.withColumn("rank", F.row_number().over(order)).withColumn("selected", F.col("rank") <= top_k)
 
 
-def hybrid(vectors: DataFrame, docs: DataFrame, symbols: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
-    """fused() over vector and keyword candidates; queries with neither use the symbol search instead.
+@dataclass
+class Retrieved:
+    """candidates: what fused() gives; codes: (query_id, degradation)."""
 
-    Blank queries give nothing.
-    """
-    asked = queries.where(text.strip(F.col("query")) != "")
-    vector, keyword = vector_search(vectors, asked), keyword_fallback(docs, asked)
-    answered = vector.select("query_id").union(keyword.select("query_id")).distinct()
-    symbol = symbol_search(symbols, asked.join(F.broadcast(answered), "query_id", "left_anti"))
-    return fused(vector, keyword.unionByName(symbol), top_k)
+    candidates: DataFrame
+    codes: DataFrame
+
+
+def _run(search: Search, chunks: DataFrame, queries: DataFrame) -> DataFrame | None:
+    """What a search finds; None if it failed."""
+    try:
+        return search(chunks, queries)
+    except SearchFailed:
+        return None
 
 
-def degradations(queries: DataFrame, vector: DataFrame, keyword: DataFrame, symbol: DataFrame) -> DataFrame:
-    """(query_id, degradation): codes of what failed or was empty, in order, joined by |, at most 255 characters."""
-    has = lambda df, name: df.select("query_id").distinct().withColumn(name, F.lit(True))
+def retrieve(
+    chunks: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int = 10, languages: Sequence[str] = (), target_paths: Sequence[str] = (),
+    vector: Search = vector_search, keyword: Search = bm25, symbol: Search = symbol_search,
+) -> Retrieved:
+    """Hybrid retrieval: vector and keyword candidates, fused; queries with neither use the symbol search instead.
+
+    chunks: file_id, project, language, path, index_status, search_text, symbol_name, qualified_name; vectors: file_id,
+    project, language, path, index_status, embedding, embedding_status. Blank queries give nothing. The searches can be
+    replaced, by keyword_fallback for a store without a full-text index; one that raises SearchFailed is left out.
+    """
+    if not 1 <= top_k <= CANDIDATES:
+        raise ValueError(f"top_k must be between 1 and {CANDIDATES}")
+    asked = queries.where(text.strip(F.col("query")) != "")
+    seen = visible(chunks, languages, target_paths)
+    nothing = asked.sparkSession.createDataFrame([], f"query_id {asked.schema['query_id'].dataType.simpleString()}, file_id long, score double, rank int")
+    by_vector, by_word = _run(vector, visible(vectors, languages, target_paths, embedded=True), asked), _run(keyword, seen, asked)
+    v, w = by_vector if by_vector is not None else nothing, by_word if by_word is not None else nothing
+    answered = v.select("query_id").union(w.select("query_id")).distinct()
+    by_symbol = _run(symbol, seen, asked.join(F.broadcast(answered), "query_id", "left_anti"))
+    s = by_symbol if by_symbol is not None else nothing
+    return Retrieved(fused(v, w.unionByName(s), top_k), degradations(asked, by_vector, by_word, by_symbol))
+
+
+def degradations(queries: DataFrame, vector: DataFrame | None, keyword: DataFrame | None, symbol: DataFrame | None) -> DataFrame:
+    """(query_id, degradation): codes of what failed (None) or was empty, in order, joined by |, at most 255 characters."""
     q = queries.where(text.strip(F.col("query")) != "").select("query_id", F.col("vector").isNull().alias("no_vector"))
     for df, name in ((vector, "v"), (keyword, "k"), (symbol, "s")):
-        q = q.join(F.broadcast(has(df, name)), "query_id", "left")
+        q = q.join(F.broadcast(df.select("query_id").distinct().withColumn(name, F.lit(True))), "query_id", "left") if df is not None else q.withColumn(name, F.lit(None).cast("boolean"))
     v, k, s = (F.col(c).isNotNull() for c in "vks")
+    last = F.lit("symbol_search_failed") if symbol is None else F.when(s, "symbol_ilike_fallback").otherwise("symbol_ilike_no_match")
     codes = F.array(
-        F.when(F.col("no_vector"), "embedding_failed"), F.when(~v & ~k & s, "symbol_ilike_fallback"), F.when(~v & ~k & ~s, "symbol_ilike_no_match"), F.when(~v & ~k & ~s, "no_results")
+        F.when(F.col("no_vector"), "embedding_failed"), F.when(~F.col("no_vector") & F.lit(vector is None), "vector_search_failed"),
+        F.when(F.lit(keyword is None), "keyword_search_failed"), F.when(~v & ~k, last),
     )
-    return q.select("query_id", F.substring(F.array_join(F.filter(codes, lambda c: c.isNotNull()), "|"), 1, 255).alias("degradation"))
+    told = F.filter(codes, lambda c: c.isNotNull())
+    told = F.when((F.size(told) == 0) & ~v & ~k & ~s, F.array(F.lit("no_results"))).otherwise(told)
+    return q.select("query_id", F.substring(F.array_join(told, "|"), 1, 255).alias("degradation"))
 
 
 def trace(queries: DataFrame, candidates: DataFrame) -> DataFrame:

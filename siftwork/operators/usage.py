@@ -22,9 +22,10 @@ def totals(runs: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("cost_status", status)
 
 
-def pricing_groups(runs: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Runs and cost by provider/model/version."""
-    key = F.concat_ws("/", F.coalesce("provider", F.lit("unknown")), F.coalesce("model", F.lit("unknown")), F.lit("unconfigured"))
+def pricing_groups(runs: DataFrame, by: list[str] = (), version: str | None = None) -> DataFrame:
+    """Runs and cost by provider/model/version; version: the column of the pricing version, if there is one."""
+    priced_by = F.coalesce(F.col(version), F.lit("unconfigured")) if version else F.lit("unconfigured")
+    key = F.concat_ws("/", F.coalesce("provider", F.lit("unknown")), F.coalesce("model", F.lit("unknown")), priced_by)
     return _billed(runs).groupBy(*by, key.alias("pricing")).agg(F.count("*").alias("runs"), F.sum("cost").alias("cost"))
 
 

@@ -1,53 +1,31 @@
-"""All queries of this package by name, and the SQL that each is held against."""
+"""All queries of this package by name, and the SQL that each is held against: here those of scan, text, review, usage,
+evaluation and events; the others stand in retrieval.py and library.py."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, paths, text
-from ..operators import chunking, context, evaluate, indexing, projections, review, scan, search, usage
+from ..operators import chunking, evaluate, indexing, projections, review, scan, usage
 from ..sources import tables
-from ..sources.tables import CLIENT_PATH_SQL, ISSUES_SQL, NODE_RUNS_SQL, PATH_SQL, PREDICTED_SQL, TRUTH_SQL, files, issues, node_runs, predicted_spans, query_set, truth_spans, vectors
+from ..sources.tables import ISSUES_SQL, NODE_RUNS_SQL, PREDICTED_SQL, TRUTH_SQL, files, issues, node_runs, predicted_spans, truth_spans
 from ..streaming import events as streams
-from . import workflow
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Registers a query under its function's name, with the SQL for the same rows."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _list(values: list[str]) -> str:
-    return ", ".join(f"'{v}'" for v in values)
-
+from . import library, retrieval, workflow  # noqa: F401 - they register their queries
+from .catalog import FILES, ORACLE_SQL, QUERIES, query, quoted  # noqa: F401
 
 # --- scan ------------------------------------------------------------------------------------------------------------
 
-FILES = f"""files AS (SELECT doc_id AS file_id, source AS project, lang AS language, {PATH_SQL} AS path, {CLIENT_PATH_SQL} AS client_path,
-  coalesce(text, '') AS text, strlen(coalesce(text, '')) AS size FROM documents)"""
 CLASSIFIED = f"""{FILES}, named AS (
   SELECT *, lower(path) AS p, string_split(lower(path), '/')[-1] AS name, string_split(lower(path), '/')[:-2] AS dirs FROM files
 ), typed AS (
   SELECT *, CASE WHEN ends_with(name, '.java') THEN 'java' WHEN ends_with(name, '.py') THEN 'python' END AS scan_language, regexp_replace(name, '\\.[^.]+$', '') AS stem FROM named
 ), judged AS (
-  SELECT *, CASE WHEN list_has_any(dirs, [{_list(paths.EXCLUDED_IN_SCAN)}]) THEN 'EXCLUDED_PATH' WHEN name IN ({_list(paths.LOCK_FILES)}) THEN 'LOCK_FILE'
-    WHEN name IN ({_list(paths.GENERATED_NAMES)}) OR regexp_matches(name, '\\.(designer\\.java|generated\\.java|generated\\.py|min\\.java|min\\.py)$') THEN 'GENERATED_FILE'
+  SELECT *, CASE WHEN list_has_any(dirs, [{quoted(paths.EXCLUDED_IN_SCAN)}]) THEN 'EXCLUDED_PATH' WHEN name IN ({quoted(paths.LOCK_FILES)}) THEN 'LOCK_FILE'
+    WHEN name IN ({quoted(paths.GENERATED_NAMES)}) OR regexp_matches(name, '\\.(designer\\.java|generated\\.java|generated\\.py|min\\.java|min\\.py)$') THEN 'GENERATED_FILE'
     WHEN scan_language IS NULL THEN 'UNSUPPORTED_FILE_TYPE' WHEN size > 1048576 THEN 'SINGLE_FILE_SIZE_EXCEEDED' END AS reason,
-    CASE WHEN list_has_any(dirs, [{_list(paths.LOW_PRIORITY)}]) OR starts_with(name, 'test_') THEN 'low'
-      WHEN list_has_any(dirs, [{_list(paths.HIGH_PRIORITY)}]) OR list_has_any(string_split(replace(stem, '-', '_'), '_'), [{_list(paths.HIGH_PRIORITY)}]) THEN 'high' ELSE 'medium' END AS level,
+    CASE WHEN list_has_any(dirs, [{quoted(paths.LOW_PRIORITY)}]) OR starts_with(name, 'test_') THEN 'low'
+      WHEN list_has_any(dirs, [{quoted(paths.HIGH_PRIORITY)}]) OR list_has_any(string_split(replace(stem, '-', '_'), '_'), [{quoted(paths.HIGH_PRIORITY)}]) THEN 'high' ELSE 'medium' END AS level,
     length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 0 ELSE 1 END AS lines
   FROM typed
 )"""
@@ -100,8 +78,8 @@ SAFE = f"""{FILES}, cut AS (SELECT *, string_split(client_path, '/') AS parts FR
   SELECT *, client_path <> '' AND NOT starts_with(client_path, '/') AND NOT contains(client_path, '\\') AND NOT list_has_any(parts, ['', '.', '..']) AS safe_relative,
     client_path = trim(client_path) AND NOT contains(client_path, '\\') AND length(client_path) <= 512 AND client_path <> '' AND NOT list_has_any(parts, ['', '.', '..'])
       AND NOT regexp_matches(client_path, '[ .](/|$)') AND NOT regexp_matches(client_path, '[<>:"|?*]')
-      AND NOT list_has_any(list_transform(parts, lambda x: lower(string_split(x, '.')[1])), [{_list(paths.RESERVED_STEMS)}]) AS portable,
-    list_has_any(list_transform(parts[:-2], lambda x: lower(x)), [{_list(paths.EXCLUDED_IN_UPLOAD)}]) AS excluded FROM cut)"""
+      AND NOT list_has_any(list_transform(parts, lambda x: lower(string_split(x, '.')[1])), [{quoted(paths.RESERVED_STEMS)}]) AS portable,
+    list_has_any(list_transform(parts[:-2], lambda x: lower(x)), [{quoted(paths.EXCLUDED_IN_UPLOAD)}]) AS excluded FROM cut)"""
 
 
 @query(f"WITH {SAFE} SELECT file_id, client_path, safe_relative, portable, excluded FROM checked")
@@ -129,12 +107,12 @@ def path_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text and chunks -------------------------------------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id AS file_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(coalesce(text, ''), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+', ' ', 'g')) AS words FROM documents""")
+@query(r"""SELECT doc_id AS file_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))) AS words FROM documents""")
 def identifier_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("file_id", text.split_identifier(F.col("text")).alias("words"))
 
 
-@query(f"""WITH {FILES}, w AS (SELECT *, trim(regexp_replace(lower(regexp_replace(regexp_replace(path, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+', ' ', 'g')) AS words FROM files)
+@query(f"""WITH {FILES}, w AS (SELECT *, lower(trim(regexp_replace(regexp_replace(regexp_replace(path, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))) AS words FROM files)
 SELECT file_id, sha256(path || chr(10) || words || chr(10) || text) AS search_sha256 FROM w""")
 def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = text.search_text([F.col("path"), F.lit(""), F.lit(None).cast("string")], F.col("text"))
@@ -169,157 +147,42 @@ def embedding_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.reuse(c, indexed, ["project", "content_hash"]).select("file_id", F.col("reused_from").cast("double").alias("reused_from"))
 
 
-@query(f"WITH {FILES} SELECT file_id, NOT coalesce(file_id % 5 = 0 AND text <> '', false) AND text <> '' AS current FROM files WHERE text <> ''")
+@query(f"""WITH {WINDOWS}, fp AS (SELECT file_id, part, sha256(concat(path, chr(0), '<fallback:', start_line, '>', chr(0), start_line, chr(0), end_line, chr(0), content_hash)) AS fp, content_hash FROM h),
+parsed AS (SELECT file_id, list_sort(list(DISTINCT fp || content_hash || '1')) AS have FROM fp GROUP BY file_id),
+stored AS (SELECT file_id, list_sort(list(DISTINCT fp || CASE WHEN file_id % 7 = 0 AND part = 2 THEN 'other' ELSE content_hash END || CASE WHEN file_id % 11 = 0 THEN '0' ELSE '1' END)) AS have
+  FROM (SELECT * FROM fp WHERE NOT (file_id % 5 = 0 AND part = 1) UNION ALL SELECT file_id, 99, 'gone', 'gone' FROM fp WHERE file_id % 13 = 0 AND part = 1) GROUP BY file_id)
+SELECT coalesce(p.file_id, s.file_id) AS file_id, coalesce(p.have = s.have, false) AS current FROM parsed p FULL JOIN stored s ON p.file_id = s.file_id""")
 def file_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth file lost its first chunk in the index, so it is not current."""
+    """Some files lost their first chunk in the index, some have one too many, another content or another version."""
     c = chunking.line_windows(files(spark, sf_dir), "file_id", "path", "text", 5, 1).withColumn("version", F.lit("1"))
     c = c.select("file_id", "chunk_fingerprint", "content_hash", "version", "part")
-    return indexing.current_files(c.drop("part"), c.where("NOT (file_id % 5 = 0 AND part = 1)").drop("part"))
-
-
-# --- retrieval -------------------------------------------------------------------------------------------------------
-
-QUERY_ROWS = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {v})" for i, t, v in tables.QUERY_SET) + ") t(query_id, query, vec_id))"
-KEYWORD = f"""{QUERY_ROWS}, terms AS (SELECT query_id, lower(string_split(query, ' ')[1]) AS term FROM q WHERE trim(query) <> ''),
-kw AS (SELECT query_id, file_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM (
-  SELECT query_id, doc_id AS file_id, (length(lower(text)) - length(replace(lower(text), term, '')))::DOUBLE / length(term) / 100 AS score FROM documents, terms WHERE lower(text) LIKE '%' || term || '%')) WHERE rank <= 30)"""
-VECTOR = """vec AS (SELECT query_id, file_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, file_id) AS rank FROM (
-  SELECT query_id, e.vec_id AS file_id, list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings e, q JOIN embeddings v ON v.vec_id = q.vec_id WHERE trim(query) <> '')) WHERE rank <= 30)"""
-SYMBOL = f"sym AS (SELECT query_id, file_id, 0.01 AS score, rank FROM (SELECT query_id, doc_id AS file_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM documents, terms WHERE {PATH_SQL} ILIKE '%' || term || '%') WHERE rank <= 30)"
-FUSED = f"""{KEYWORD}, {VECTOR}, {SYMBOL}, kws AS (SELECT * FROM kw UNION ALL SELECT * FROM sym WHERE query_id NOT IN (SELECT query_id FROM kw UNION SELECT query_id FROM vec)),
-f AS (SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.file_id, k.file_id) AS file_id, v.rank AS vector_rank, k.rank AS keyword_rank,
-  coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + k.rank), 0) AS rrf_score FROM vec v FULL JOIN kws k ON v.query_id = k.query_id AND v.file_id = k.file_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, vector_rank NULLS LAST, keyword_rank) AS rank FROM f)"""
-
-
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).withColumnRenamed("text", "search_text")
-
-
-def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select("file_id", F.col("path").alias("symbol_name"), F.col("path").alias("qualified_name"))
-
-
-def _ranks() -> list:
-    """The ranks as doubles: they may be null."""
-    return [F.col(c).cast("double").alias(c) for c in ("vector_rank", "keyword_rank")]
-
-
-def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir)
-    return search.hybrid(v, _docs(spark, sf_dir), _symbols(spark, sf_dir), query_set(spark, sf_dir))
-
-
-@query(f"WITH {KEYWORD} SELECT query_id, file_id, round(score, 6) AS score, rank FROM kw")
-def keyword_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.keyword_fallback(_docs(spark, sf_dir), query_set(spark, sf_dir)).select("query_id", "file_id", F.round("score", 6).alias("score"), "rank")
-
-
-@query(f"""WITH {QUERY_ROWS}, t AS (SELECT query_id, list_distinct(list_filter(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) AS wanted FROM q),
-d AS (SELECT doc_id AS file_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) AS have FROM documents)
-SELECT query_id, file_id, len(have) AS n_tokens FROM d, t WHERE len(wanted) > 0 AND list_has_all(have, wanted)""")
-def keyword_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.keyword_all_terms(_docs(spark, sf_dir), query_set(spark, sf_dir))
-
-
-@query(f"""WITH {QUERY_ROWS}, t AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) AS token FROM q),
-d AS (SELECT doc_id AS file_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS words FROM documents), a AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM d),
-h AS (SELECT token, file_id, len(words) AS length, len(list_filter(words, lambda w: w = token)) AS tf FROM d, (SELECT DISTINCT token FROM t) WHERE list_contains(words, token)),
-f AS (SELECT token, count(*) AS df FROM h GROUP BY token),
-s AS (SELECT query_id, file_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM h JOIN f USING (token) JOIN t USING (token), a GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, file_id) AS rank FROM s)
-SELECT query_id, file_id, round(score, 6) AS score FROM r WHERE rank <= 30""")
-def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(_docs(spark, sf_dir), query_set(spark, sf_dir)).select("query_id", "file_id", F.round("score", 6).alias("score"))
-
-
-@query(f"WITH {KEYWORD}, {SYMBOL} SELECT query_id, file_id, rank FROM sym")
-def symbol_ilike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.symbol_search(_symbols(spark, sf_dir), query_set(spark, sf_dir)).select("query_id", "file_id", "rank")
-
-
-@query(f"WITH {QUERY_ROWS}, {VECTOR} SELECT query_id, file_id, round(score, 6) AS score FROM vec")
-def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = query_set(spark, sf_dir).where(text.strip(F.col("query")) != "")
-    return search.vector_search(vectors(spark, sf_dir), asked).select("query_id", "file_id", F.round("score", 6).alias("score"))
-
-
-@query(f"WITH {FUSED} SELECT query_id, file_id, vector_rank::DOUBLE AS vector_rank, keyword_rank::DOUBLE AS keyword_rank, round(rrf_score, 9) AS rrf_score, rank FROM r WHERE rank <= 10")
-def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hybrid(spark, sf_dir).where("selected").select("query_id", "file_id", *_ranks(), F.round("rrf_score", 9).alias("rrf_score"), "rank")
-
-
-@query(f"""WITH {FUSED} SELECT q.query_id, sha256(trim(q.query)) AS query_hash, file_id::DOUBLE AS file_id, vector_rank::DOUBLE AS vector_rank, keyword_rank::DOUBLE AS keyword_rank, CASE WHEN rank <= 10 THEN round(rrf_score, 9) END AS rrf_score, coalesce(rank <= 10, false) AS selected
-FROM q LEFT JOIN r USING (query_id) WHERE trim(q.query) <> ''""")
-def retrieval_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = search.trace(query_set(spark, sf_dir), _hybrid(spark, sf_dir))
-    return out.select("query_id", "query_hash", F.col("file_id").cast("double").alias("file_id"), *_ranks(), F.round("rrf_score", 9).alias("rrf_score"), "selected")
-
-
-@query(f"""WITH {KEYWORD}, {VECTOR}, {SYMBOL}, c AS (SELECT query_id, NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = q.vec_id) AS nv, query_id IN (SELECT query_id FROM vec) AS v, query_id IN (SELECT query_id FROM kw) AS k, query_id IN (SELECT query_id FROM sym) AS s FROM q WHERE trim(query) <> '')
-SELECT query_id, concat_ws('|', CASE WHEN nv THEN 'embedding_failed' END, CASE WHEN NOT v AND NOT k AND s THEN 'symbol_ilike_fallback' END, CASE WHEN NOT v AND NOT k AND NOT s THEN 'symbol_ilike_no_match' END, CASE WHEN NOT v AND NOT k AND NOT s THEN 'no_results' END) AS degradation FROM c""")
-def degradation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = query_set(spark, sf_dir)
-    asked = q.where(text.strip(F.col("query")) != "")
-    return search.degradations(q, search.vector_search(vectors(spark, sf_dir), asked), search.keyword_fallback(_docs(spark, sf_dir), asked), search.symbol_search(_symbols(spark, sf_dir), asked))
-
-
-@query(f"""WITH {QUERY_ROWS}, {VECTOR}, n AS (SELECT query_id, file_id, rank FROM vec), e AS (SELECT v.vec_id AS id, v.label FROM embeddings v),
-x AS (SELECT query_id, count(*) FILTER (same AND rank <= 10)::DOUBLE AS hit FROM (SELECT n.query_id, n.rank, e.label = w.label AS same FROM n JOIN e ON e.id = n.file_id JOIN q USING (query_id) JOIN e w ON w.id = q.vec_id) GROUP BY query_id)
-SELECT query_id, round(hit / 10, 9) AS recall FROM x""")
-def index_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the first ten neighbours that have the query's label, as recall of those ten."""
-    q = query_set(spark, sf_dir).where(text.strip(F.col("query")) != "")
-    found = search.vector_search(vectors(spark, sf_dir), q, 10)
-    ids = {i: v for i, _, v in tables.QUERY_SET}
-    named = q.select("query_id", F.element_at(F.create_map(*[F.lit(x) for p in ids.items() for x in p]), F.col("query_id")).alias("own"))
-    v = vectors(spark, sf_dir).select("file_id", "label")
-    labelled = found.join(v, "file_id").join(F.broadcast(named), "query_id").join(v.select(F.col("file_id").alias("own"), F.col("label").alias("wanted")), "own")
-    per = labelled.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "file_id", (F.col("label") == F.col("wanted")).alias("same")))).alias("all"))
-    ranked = F.transform("all", lambda x: F.when(x["same"], x["file_id"]).otherwise(-x["file_id"] - 1))
-    return per.select("query_id", F.round(search.recall_at_k(F.transform("all", lambda x: x["file_id"]), ranked, 10), 9).alias("recall"))
-
-
-@query(f"""WITH {FUSED}, c AS (SELECT query_id, rank, file_id, {PATH_SQL} AS path, text FROM r JOIN documents d ON d.doc_id = r.file_id WHERE rank <= 10),
-x AS (SELECT query_id, rank, concat('### ', path, ':1-', length(text) - length(replace(text, chr(10), '')) + 1, chr(10), 'symbol: ', path, chr(10), text) AS block FROM c)
-SELECT query_id, sha256(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS context_sha256, count(*) AS blocks FROM x GROUP BY query_id""")
-def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context of each query from its selected files, without a token budget."""
-    f = files(spark, sf_dir)
-    chosen = _hybrid(spark, sf_dir).where("selected").select("query_id", "rank", "file_id")
-    chunks = f.join(F.broadcast(chosen), "file_id").withColumnRenamed("file_id", "chunk_id")
-    none = spark.createDataFrame([], "chunk_id long, symbol_id long, symbol_name string, qualified_name string")
-    out = context.related(chunks, none, spark.createDataFrame([], "source_symbol long, target_symbol long, target string, relation string"))
-    block = context.block_text(F.col("path"), F.lit(1), text.lines_cited(F.col("text")), F.col("path"), F.col("related"), F.col("text"))
-    out = out.select("query_id", "rank", block.alias("block"), F.lit(True).alias("kept"))
-    return context.assembled(out, "query_id", "rank", "block").join(out.groupBy("query_id").agg(F.count("*").alias("blocks")), "query_id").select("query_id", F.sha2(F.col("context").cast("binary"), 256).alias("context_sha256"), "blocks")
-
-
-@query()
-def context_budget_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which selected files fit a budget of 2,000 tokens, in order of rank."""
-    chosen = _hybrid(spark, sf_dir).where("selected").select("query_id", "rank", "file_id")
-    rows = files(spark, sf_dir).join(F.broadcast(chosen), "file_id").select("query_id", "rank", "file_id", text.token_estimate(F.col("text")).alias("tokens"))
-    return context.within_budget(rows, "query_id", "rank", "tokens", 2000)
+    stored = c.where("NOT (file_id % 5 = 0 AND part = 1)")
+    stored = stored.withColumn("content_hash", F.when((F.col("file_id") % 7 == 0) & (F.col("part") == 2), "other").otherwise(F.col("content_hash"))).withColumn("version", F.when(F.col("file_id") % 11 == 0, "0").otherwise("1"))
+    extra = c.where("file_id % 13 = 0 AND part = 1").select("file_id", F.lit("gone").alias("chunk_fingerprint"), F.lit("gone").alias("content_hash"), F.when(F.col("file_id") % 11 == 0, "0").otherwise("1").alias("version"))
+    return indexing.current_files(c.drop("part"), stored.drop("part").unionByName(extra))
 
 
 # --- review ----------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {FILES}, i AS (SELECT file_id AS issue_id, project, path, CASE WHEN file_id % 7 = 0 THEN 0 ELSE 1 END AS s, CASE WHEN file_id % 5 = 0 THEN 999999 ELSE 1 END AS e,
-  CASE WHEN file_id % 3 = 0 THEN '' ELSE concat('  ', split_part(text, chr(10), 1)) END AS ev, text, file_id % 4 <> 1 AS chunks FROM files),
-c AS (SELECT *, s >= 1 AND e >= s AND e <= length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' THEN 1 ELSE 0 END AS lines_ok FROM i),
-v AS (SELECT issue_id, true AS path_ok, lines_ok, lines_ok AND trim(ev, ' ' || chr(9) || chr(13)) <> '' AS evidence_ok, chunks AS chunks_ok FROM c)
-SELECT *, CASE WHEN lines_ok AND evidence_ok AND chunks_ok THEN 'passed' ELSE 'failed' END AS evidence_status FROM v""")
+@query(f"""WITH {FILES}, l AS (SELECT *, concat(path, '#', file_id) AS own, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS lines FROM files),
+i AS (SELECT *, CASE file_id % 7 WHEN 0 THEN 0 ELSE 1 + file_id % 3 END AS s, CASE file_id % 5 WHEN 0 THEN 999999 ELSE 2 + file_id % 4 END AS e,
+  CASE file_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'not in the file at all' WHEN 2 THEN concat('  ', lines[2], ' ') ELSE lines[1 + file_id % 3] END AS ev FROM l),
+c AS (SELECT *, file_id % 9 <> 4 AS path_ok, s >= 1 AND e >= s AND e <= length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' THEN 1 ELSE 0 END AS in_range FROM i),
+v AS (SELECT file_id AS issue_id, path_ok, path_ok AND in_range AS lines_ok,
+  path_ok AND in_range AND coalesce(trim(ev, ' ' || chr(9) || chr(10) || chr(13)) <> '' AND contains(array_to_string(lines[s:e], chr(10)), trim(ev, ' ' || chr(9) || chr(10) || chr(13))), false) AS evidence_ok, file_id % 4 <> 1 AND file_id % 10 <> 3 AS chunks_ok FROM c)
+SELECT *, CASE WHEN path_ok AND lines_ok AND evidence_ok AND chunks_ok THEN 'passed' ELSE 'failed' END AS evidence_status FROM v""")
 def evidence_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An issue on each file's first line; some have bad lines, no evidence, or no chunk of the project."""
+    """An issue for each file: some name no file, lines outside it, no, wrong or shifted evidence, no chunk or one of another project."""
     f = files(spark, sf_dir).withColumn("path", F.concat_ws("#", "path", "file_id"))
+    k, line = F.col("file_id"), lambda n: F.get(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n", -1), n)
     i = f.select(
-        F.col("file_id").alias("issue_id"), "project", "path", F.when(F.col("file_id") % 7 == 0, 0).otherwise(1).alias("start_line"), F.when(F.col("file_id") % 5 == 0, 999999).otherwise(1).alias("end_line"),
-        F.when(F.col("file_id") % 3 == 0, "").otherwise(F.concat(F.lit("  "), F.substring_index("text", "\n", 1))).alias("evidence"),
-        F.when(F.col("file_id") % 4 == 1, F.array().cast("array<bigint>")).otherwise(F.array("file_id", "file_id")).alias("source_chunk_ids"),
+        k.alias("issue_id"), "project", F.when(k % 9 == 4, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")).alias("path"),
+        F.when(k % 7 == 0, 0).otherwise((1 + k % 3).cast("int")).alias("start_line"), F.when(k % 5 == 0, 999999).otherwise((2 + k % 4).cast("int")).alias("end_line"),
+        F.when(k % 6 == 0, "").when(k % 6 == 1, "not in the file at all").when(k % 6 == 2, F.concat(F.lit("  "), line(F.lit(1)), F.lit(" "))).otherwise(line((k % 3).cast("int"))).alias("evidence"),
+        F.when(k % 4 == 1, F.array().cast("array<bigint>")).when(k % 10 == 3, F.array(k, -1 - k)).otherwise(F.array(k, k)).alias("source_chunk_ids"),
     )
-    out = review.verified(i, f, f.select("project", F.col("file_id").alias("chunk_id")))
+    out = review.verified(i, f, f.select("project", k.alias("chunk_id")))
     return out.select("issue_id", "path_ok", "lines_ok", "evidence_ok", "chunks_ok", "evidence_status")
 
 
@@ -361,12 +224,6 @@ def issue_filter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.issue_page(issues(spark, sf_dir), [F.col("task_id"), F.col("issue_id")], "High", "security", "F1", 2).select("issue_id", "title", "path")
 
 
-@query(f"""WITH i AS ({ISSUES_SQL}) SELECT task_id, sha256(concat('# Review report ', task_id, chr(10), chr(10), '| High | Medium | Low | Total |', chr(10), '|-|-|-|-|', chr(10), '| ', count(CASE WHEN risk_level = 'High' THEN 1 END), ' | ', count(CASE WHEN risk_level = 'Medium' THEN 1 END), ' | ',
-  count(CASE WHEN coalesce(risk_level, 'Low') = 'Low' THEN 1 END), ' | ', count(*), ' |', chr(10), chr(10), string_agg(concat('- [', coalesce(risk_level, 'Low'), '] ', title, ' (', path, ')'), chr(10) ORDER BY issue_id, concat('- [', coalesce(risk_level, 'Low'), '] ', title, ' (', path, ')')), chr(10))) AS markdown_sha256 FROM i GROUP BY task_id""")
-def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.report_markdown(issues(spark, sf_dir), "task_id", "issue_id").select("task_id", F.sha2(F.col("markdown").cast("binary"), 256).alias("markdown_sha256"))
-
-
 @query(f"""WITH i AS ({ISSUES_SQL}), u AS (SELECT count(*) AS n FROM (SELECT task_id, fingerprint FROM i GROUP BY ALL HAVING count(*) > 1))
 SELECT 'risk_known' AS rule, count(CASE WHEN coalesce(risk_level, 'Low') NOT IN ('High', 'Medium', 'Low') THEN 1 END) AS violations FROM i UNION ALL SELECT 'category_known', count(CASE WHEN category IS NOT NULL AND category NOT IN ('security', 'quality') THEN 1 END) FROM i
 UNION ALL SELECT 'has_fingerprint', count(CASE WHEN fingerprint = '' THEN 1 END) FROM i UNION ALL SELECT 'unique_fingerprint', n FROM u""")
@@ -407,7 +264,7 @@ def telemetry_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.telemetry(node_runs(spark, sf_dir).withColumnRenamed("provider", "currency"), ["node_type"]).withColumn("mean_cost", F.round("mean_cost", 6))
 
 
-@query(f"""WITH n AS ({NODE_RUNS_SQL}) SELECT run_id, CAST(round((input_tokens * 1500000::BIGINT + output_tokens * 2500000::BIGINT + 1) / 1000000.0 / 1000000.0 - 0.0000000000001, 6) AS DOUBLE) AS cost FROM n""")
+@query(f"""WITH n AS ({NODE_RUNS_SQL}) SELECT run_id, CAST((input_tokens * 15::BIGINT + output_tokens * 25::BIGINT + 5) // 10 AS DOUBLE) / 1000000 AS cost FROM n""")
 def call_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = lambda s: F.lit(s).cast("decimal(12,6)")
     return node_runs(spark, sf_dir).select("run_id", numbers.cost(F.col("input_tokens"), F.col("output_tokens"), price("1.5"), price("2.5")).cast("double").alias("cost"))
@@ -483,8 +340,7 @@ def event_replay_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EVENTS_SQL} SELECT id, task_id FROM e WHERE created_at >= (SELECT max(created_at) FROM e) - INTERVAL 7 DAYS")
 def event_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
-    now = e.agg(F.date_format(F.max("created_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
-    return streams.retained(e, now, 7).select("id", "task_id")
+    return streams.retained(e, e.agg(F.max("created_at").alias("now")), 7).select("id", "task_id")
 
 
 @query(f"WITH {EVENTS_SQL} SELECT id, max(progress) OVER (PARTITION BY task_id ORDER BY id)::INT AS shown FROM e")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..providers import EmbeddingProvider, ProviderError
 
 TRUTH = (
     "name string, version string, description string, language string, entries array<struct<id:string, language:string, category:string, relative_path:string, "
@@ -26,11 +29,15 @@ def source_tree(spark: SparkSession, root: str) -> DataFrame:
 
 def byte_facts(content: Column) -> Column:
     """struct(size, sha256, has_nul, control_bytes, binary) of a file's bytes; binary: a NUL, or over 30 % control bytes."""
-    hexed = F.hex(content)
-    pairs = F.regexp_replace(hexed, "(..)", "$1 ")
-    nul = pairs.contains("00 ")
-    control = F.regexp_count(pairs, F.lit("(?:0[0-8]|0[BEF]|1[0-9A-F]) "))
-    size = F.length(content).cast("long")
+
+    @F.pandas_udf("struct<nul: long, control: long>")
+    def counted(values: pd.Series) -> pd.DataFrame:
+        counts = [np.bincount(np.frombuffer(v or b"", np.uint8), minlength=32)[:32] for v in values]
+        control = [int(c.sum() - c[[9, 10, 12, 13]].sum()) for c in counts]
+        return pd.DataFrame({"nul": [int(c[0]) for c in counts], "control": control})
+
+    size, found = F.length(content).cast("long"), counted(content)
+    nul, control = found["nul"] > 0, found["control"]
     return F.struct(size.alias("size"), F.sha2(content, 256).alias("sha256"), nul.alias("has_nul"), control.alias("control_bytes"), (nul | (control * 10 > size * 3)).alias("binary"))
 
 
@@ -78,9 +85,10 @@ def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
-def appended_once(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of new that an insert that ignores conflicts adds: keys not in old, each once; null equals null."""
-    fresh = new.dropDuplicates(keys)
+def appended_once(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The rows of new that an insert that ignores conflicts adds: keys not in old, the first of each; null equals null."""
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    fresh = new.withColumn("_rank", first).where("_rank = 1").drop("_rank")
     condition = F.lit(True)
     for k in keys:
         condition = condition & fresh[k].eqNullSafe(old[k])
@@ -101,7 +109,7 @@ def recorded_runs(old: DataFrame, new: DataFrame) -> DataFrame:
     return replaced(old, taken.select(*old.columns), ["task_id", "run_key"])
 
 
-def batched_embeddings(chunks: DataFrame, provider, size: int = 10, dimension: int = 64) -> DataFrame:
+def batched_embeddings(chunks: DataFrame, provider: EmbeddingProvider, size: int = 10, dimension: int = 64) -> DataFrame:
     """(chunk_id, embedding) from provider(list of texts) in batches; an answer of the wrong size fails the batch.
 
     provider returns (text_index, vector) pairs in any order. A batch that fails gives null vectors: those chunks can be
@@ -117,10 +125,10 @@ def batched_embeddings(chunks: DataFrame, provider, size: int = 10, dimension: i
                 part = texts[at : at + size]
                 try:
                     got = dict(provider(part))
-                    ordered = [list(map(float, got[k])) for k in range(len(part))]
+                    ordered = [list(map(float, got.get(k, ()))) for k in range(len(part))]
                     if len(got) != len(part) or any(len(v) != dimension for v in ordered):
-                        raise ValueError("the provider's answer has the wrong size")
-                except Exception:
+                        raise ProviderError("EMBEDDING_PROVIDER_INVALID_ANSWER")
+                except ProviderError:
                     ordered = [None] * len(part)
                 out += ordered
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.float32()))], names=["chunk_id", "embedding"])
@@ -165,3 +173,21 @@ def legacy_text(files: DataFrame, id_col: str = "path") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(names, pa.string())], names=[id_col, "text", "encoding"])
 
     return files.select(id_col, "content").mapInArrow(run, f"{id_col} string, text string, encoding string")
+
+
+def outcomes(registered: DataFrame, found: DataFrame) -> DataFrame:
+    """registered (path) with length, content and error: FILE_STAT_FAILED where no such file was listed, FILE_READ_FAILED
+    where a listed file has no content, or less of it than its length. found: what source_tree() gives."""
+    out = registered.select("path").distinct().join(found, "path", "left")
+    broken = F.col("content").isNull() | (F.length("content") != F.col("length"))
+    return out.withColumn("error", F.when(F.col("length").isNull(), "FILE_STAT_FAILED").when(broken, "FILE_READ_FAILED"))
+
+
+def json_lines(rows: DataFrame, name: str = "value") -> DataFrame:
+    """(name): each row as a JSON object."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias(name))
+
+
+def written_json(rows: DataFrame, path: str) -> None:
+    """Writes rows as JSON objects, one a line: the result file of an experiment."""
+    json_lines(rows).write.mode("overwrite").text(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +38,41 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("file_id"), "embedding", "label")
 
 
-#: The query set of the retrieval queries: number, text, and the vector that stands for the text. A parameter of fixed size.
-QUERY_SET = [(1, "the of and", 0), (2, "und der", 7), (3, "les que", 14), (4, "thing", 21), (5, "License", 28), (6, "zzqx nothing", 35), (7, "   ", 42), (8, "100%_sure", -1)]
+#: What a chunk of the index is, for Spark and DuckDB: its project, whether it and its vector are ready.
+CHUNK_SQL = (
+    "doc_id AS file_id, coalesce(source, '') AS project, lang AS language, PATH AS path, CASE WHEN doc_id % 20 = 19 THEN 'pending' ELSE 'ready' END AS index_status"
+).replace("PATH", PATH_SQL)
+VECTOR_STATUS_SQL = "CASE WHEN vec_id % 25 = 24 THEN 'keyword_only' ELSE 'ready' END"
+
+
+def index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, project, language, path, index_status, search_text, symbol_name, qualified_name): one chunk for each document."""
+    return table(spark, sf_dir, "documents").selectExpr(*_parts(CHUNK_SQL), "coalesce(text, '') AS search_text", f"{PATH_SQL} AS symbol_name", f"{PATH_SQL} AS qualified_name")
+
+
+def index_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, project, language, path, index_status, embedding, embedding_status): the vectors of the chunks that have one."""
+    v = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS file_id", "embedding", f"{VECTOR_STATUS_SQL} AS embedding_status")
+    return table(spark, sf_dir, "documents").selectExpr(*_parts(CHUNK_SQL)).join(v, "file_id")
+
+
+def _parts(sql: str) -> list[str]:
+    """The columns of a SELECT list, each of which ends in AS and a name."""
+    return [x.strip(" ,") for x in re.findall(r".+? AS \w+(?:,|$)", sql)]
+
+
+#: The query set of the retrieval queries: number, text, the vector that stands for the text, project. A parameter of fixed size.
+QUERY_SET = [
+    (1, "the of and", 0, "src7"), (2, "und der", 7, "src1"), (3, "les que", 14, "src7"), (4, "thing", 21, "src1"), (5, "License", 28, "src2"), (6, "zzqx nothing", 35, "src7"),
+    (7, "   ", 42, "src1"), (8, "100%_sure", -1, "src1"), (9, "core doc", -1, "src7"), (10, "The", -1, "src2"), (11, "doc_", 49, "nowhere"),
+]
+#: The languages and folders that the retrieval queries ask for.
+ASKED_LANGUAGES, ASKED_PATHS = ("en", "fr", "de"), (" src/ ", "tests\\unit", "db")
 
 
 def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, query, vector): vector is null where the provider has none."""
-    given = spark.createDataFrame(QUERY_SET, "query_id int, query string, vec_id long")
+    """(query_id, query, project, vector): vector is null where the provider has none."""
+    given = spark.createDataFrame(QUERY_SET, "query_id int, query string, vec_id long, project string")
     return given.join(F.broadcast(table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin([q[2] for q in QUERY_SET])).select("vec_id", F.col("embedding").alias("vector"))), "vec_id", "left").drop("vec_id")
 
 

@@ -21,9 +21,26 @@ def page_after(events: DataFrame, cursor: int, limit: int, id_col: str = "id") -
     return events.where(F.col(id_col) > cursor).orderBy(id_col).limit(limit)
 
 
-def retained(events: DataFrame, now: str, days: int, time_col: str = "created_at") -> DataFrame:
-    """Events not older than days before now."""
-    return events.where(F.col(time_col) >= F.expr(f"timestamp '{now}' - INTERVAL {int(days)} DAYS"))
+def retained(events: DataFrame, now: DataFrame | str, days: int, time_col: str = "created_at") -> DataFrame:
+    """Events not older than days before now, a time as text or a table of one row (now)."""
+    if isinstance(now, str):
+        return events.where(F.col(time_col) >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS"))
+    return events.join(F.broadcast(now.select(F.col("now").alias("_now")))).where(F.col(time_col) >= F.col("_now") - F.expr(f"INTERVAL {int(days)} DAYS")).drop("_now")
+
+
+def client_stream(events: DataFrame, cursors: DataFrame, limit: int, final: tuple[str, ...] = ("completed", "partial", "failed", "cancelled")) -> DataFrame:
+    """(task_id, place, id, frame, done): what clients that have seen the events up to their cursor are sent next.
+
+    At most limit events of each client's task in order, none behind the first final one, which ends the stream (done); a
+    heartbeat where there is nothing. cursors: task_id, cursor.
+    """
+    w = Window.partitionBy("task_id").orderBy("id")
+    rows = events.join(cursors, "task_id").where("id > cursor").withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+    is_final = F.col("event_type").isin(*final)
+    ended = F.coalesce(F.max(is_final).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    sent = rows.withColumn("_ended", ended).where("not _ended").select("task_id", "place", "id", frames(rows.select("id", "task_id", "event_type", "progress")).alias("frame"), is_final.alias("done"))
+    idle = cursors.join(rows.select("task_id").distinct(), "task_id", "left_anti")
+    return sent.unionByName(idle.select("task_id", F.lit(0).alias("place"), F.lit(None).cast("long").alias("id"), F.lit(": heartbeat\n\n").alias("frame"), F.lit(False).alias("done")))
 
 
 def frames(events: DataFrame) -> Column:
@@ -81,3 +98,8 @@ def replay(spark: SparkSession, source: str, sink: str, checkpoint: str, schema:
     query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return sum(p["numInputRows"] for p in query.recentProgress)
+
+
+def appended(events: DataFrame, path: str, checkpoint: str):
+    """Starts a query that appends a stream of events to path, each once."""
+    return events.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

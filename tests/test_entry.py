@@ -1,5 +1,6 @@
 import ast
 import os
+import random
 
 import duckdb
 import pandas as pd
@@ -75,6 +76,48 @@ def test_parsed_files_by_brute_force(spark, db):
     assert fallen > 20 and len(texts) >= 200
 
 
+def _best(edges):
+    """The size of a largest matching, by trying everything: small groups only."""
+    if not edges:
+        return 0
+    left = edges[0][0]
+    rest = [e for e in edges if e[0] != left]
+    return max([_best(rest)] + [1 + _best([e for e in rest if e[1] != right]) for own, right in edges if own == left])
+
+
+def test_matchings_by_brute_force(spark, tmp_path):
+    """max_matching, prf1 and recall_at_k_prefix over a small table, against a matching found by trying everything."""
+    rnd = random.Random(3)
+    lines = [(o, rnd.randrange(200), rnd.randrange(60), n, "A", "F") for o in range(30) for n in range(1, 10) if rnd.random() < 0.8]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(lines, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    pairs = con.execute(registry.ORACLE_SQL["interval_candidates"]).fetchall()
+    predicted = con.execute(f"SELECT prediction_index, language, path, category, cwe_id, risk_level, row_number() OVER (PARTITION BY path, language ORDER BY prediction_index) - 1 FROM ({tables.PREDICTED_SQL})").fetchall()
+    truth = dict(con.execute(f"SELECT language, count(*) FROM ({tables.TRUTH_SQL}) WHERE vulnerable GROUP BY 1").fetchall())
+    key, place = {r[0]: r[1:5] for r in predicted}, {r[0]: r[6] for r in predicted}
+
+    def best(most):
+        groups: dict = {}
+        for p, t, *_ in pairs:
+            if place[p] < most:
+                groups.setdefault(key[p][:3] + (key[p][3] if key[p][2] == "security" else "",), []).append((p, t))
+        return {name: sum(_best(sorted(set(g))) for k, g in groups.items() if k[0] == name) for name in truth}
+
+    found = registry.QUERIES["max_matching"](spark, str(tmp_path)).collect()
+    chosen = [(r["prediction_index"], r["gt_id"]) for r in found]
+    assert set(chosen) <= {(p, t) for p, t, *_ in pairs} and len({p for p, _ in chosen}) == len({t for _, t in chosen}) == len(chosen) == sum(best(99).values()) > 20
+    scores = {r["language"]: r for r in registry.QUERIES["prf1"](spark, str(tmp_path)).collect()}
+    for name, tp in best(99).items():
+        n = sum(k[0] == name for k in key.values())
+        r = scores[name]
+        assert (r["tp"], r["fp"], r["fn"]) == (tp, n - tp, truth[name] - tp)
+        assert (r["precision"], r["recall"], r["f1"]) == pytest.approx((tp / n, tp / truth[name], 2 * tp / (n + truth[name])))
+    recalls = {(r["language"], r["k"]): r["recall"] for r in registry.QUERIES["recall_at_k_prefix"](spark, str(tmp_path)).collect()}
+    assert recalls == {(name, k): pytest.approx(tp / truth[name]) for k in (1, 2, 5) for name, tp in best(k).items()}
+
+
 def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(registry.QUERIES) > 45
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from siftwork.functions import text
 from siftwork.operators import chunking, context, indexing, review, scan, search, usage
 from siftwork.plans import workflow
+from siftwork.providers import ProviderError, SearchFailed
 from siftwork.sources import readers
 
 
@@ -117,19 +118,113 @@ def test_fusion_order_and_ties(spark):
     assert order([8], [3]) == [8, 3]
 
 
-def test_retrieval_degrades(spark):
-    docs = spark.createDataFrame([(1, "p", "java", "find the user"), (2, "p", "java", "100% sure")], "file_id long, project string, language string, search_text string")
-    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "file_id long, embedding array<double>")
-    symbols = spark.createDataFrame([(2, "Zeta", "a.Zeta")], "file_id long, symbol_name string, qualified_name string")
-    queries = spark.createDataFrame([(1, " user ", [1.0, 0.0]), (2, "zeta", None), (3, "nothing", None), (4, "   ", [1.0, 0.0])], "query_id int, query string, vector array<double>")
-    found = search.hybrid(vectors, docs, symbols, queries)
-    assert [tuple(r) for r in found.select("query_id", "file_id").orderBy("query_id", "rank").collect()] == [(1, 1), (1, 2), (2, 2)]
-    asked = queries.where("query_id < 4")
-    codes = search.degradations(queries, search.vector_search(vectors, asked), search.keyword_fallback(docs, asked), search.symbol_search(symbols, asked))
-    assert rows(codes, "query_id") == [(1, ""), (2, "embedding_failed|symbol_ilike_fallback"), (3, "embedding_failed|symbol_ilike_no_match|no_results")]
-    assert [tuple(r) for r in search.trace(queries, found).where("query_id = 3").select("file_id", "rrf_score", "selected").collect()] == [(None, None, False)]
-    all_terms = search.keyword_all_terms(docs, spark.createDataFrame([(1, "USER the", None), (2, "user sure", None)], "query_id int, query string, vector array<double>"))
-    assert rows(all_terms.select("query_id", "file_id")) == [(1, 1)]
+CHUNK = "file_id long, project string, language string, path string, index_status string, search_text string, symbol_name string, qualified_name string"
+
+
+def _store(spark):
+    chunks = spark.createDataFrame(
+        [
+            (1, "p", "java", "src/a", "ready", "find the user", "Find", None), (2, "p", "java", "src/b", "ready", "100% sure", "Zeta", "a.Zeta"), (3, "other", "java", "src/c", "ready", "user user", "Zeta", None),
+            (4, "p", "java", "src/d", "pending", "user", "Zeta", None), (5, "p", "go", "src/e", "ready", "user", "Zeta", None), (6, "p", "java", "lib/f", "ready", "user", "Zeta", None),
+        ],
+        CHUNK,
+    )
+    vectors = chunks.select("file_id", "project", "language", "path", "index_status", F.when(F.col("file_id") != 2, F.array(F.lit(1.0), F.col("file_id").cast("double"))).otherwise(F.array(F.lit(0.0), F.lit(0.0))).alias("embedding"), F.lit("ready").alias("embedding_status"))
+    queries = [(1, " user ", "p", [1.0, 0.0]), (2, "zeta", "p", None), (3, "nothing", "p", None), (4, "   ", "p", [1.0, 0.0]), (5, "user", "none", [1.0, 0.0])]
+    return chunks, vectors, spark.createDataFrame(queries, "query_id int, query string, project string, vector array<double>")
+
+
+def test_retrieval_filters_and_degrades(spark):
+    chunks, vectors, queries = _store(spark)
+    found = search.retrieve(chunks, vectors, queries, 10, ("java",), ("src",))
+    assert [tuple(r) for r in found.candidates.select("query_id", "file_id").orderBy("query_id", "rank").collect()] == [(1, 1), (1, 2), (2, 2)]
+    assert rows(found.codes, "query_id") == [(1, ""), (2, "embedding_failed|symbol_ilike_fallback"), (3, "embedding_failed|symbol_ilike_no_match"), (5, "symbol_ilike_no_match")]
+    assert [tuple(r) for r in search.trace(queries, found.candidates).where("query_id = 3").select("file_id", "rrf_score", "selected").collect()] == [(None, None, False)]
+    everywhere = search.retrieve(chunks, vectors, queries.drop("project"), 10).candidates.where("query_id = 1 and keyword_rank is not null")
+    assert {r["file_id"] for r in everywhere.collect()} == {1, 3, 5, 6}
+    for wrong in (0, 31):
+        with pytest.raises(ValueError):
+            search.retrieve(chunks, vectors, queries, wrong)
+
+
+def test_searches_that_fail_are_left_out(spark):
+    chunks, vectors, queries = _store(spark)
+
+    def fails(chunks, queries):
+        raise SearchFailed
+
+    out = search.retrieve(chunks, vectors, queries, 10, ("java",), ("src",), vector=fails, keyword=fails, symbol=fails)
+    assert out.candidates.count() == 0
+    assert rows(out.codes, "query_id")[:2] == [(1, "vector_search_failed|keyword_search_failed|symbol_search_failed"), (2, "embedding_failed|keyword_search_failed|symbol_search_failed")]
+    out = search.retrieve(chunks, vectors, queries, 10, ("java",), ("src",), keyword=fails)
+    assert rows(out.codes, "query_id")[0] == (1, "keyword_search_failed") and out.candidates.where("query_id = 1").count() == 2
+
+    def bug(chunks, queries):
+        raise KeyError("a bug")
+
+    with pytest.raises(KeyError):
+        search.retrieve(chunks, vectors, queries, 10, vector=bug)
+
+
+def test_words_that_all_must_stand(spark):
+    chunks, _, _ = _store(spark)
+    queries = spark.createDataFrame([(1, "USER the"), (2, "user sure"), (3, "100%"), (4, "10_%")], "query_id int, query string")
+    assert rows(search.keyword_all_terms(chunks, queries).select("query_id", "file_id"), "query_id") == [(1, 1), (3, 2)]
+    assert rows(search.bm25(chunks, queries).select("query_id", "file_id"), "query_id") == [(1, 1), (3, 2)]
+    assert rows(search.keyword_fallback(chunks, queries).where("query_id > 2").select("query_id", "file_id"), "query_id") == [(3, 2), (4, 2)]  # wildcards
+
+
+def test_vector_search_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(search, "BLOCK", 3)
+    rng = np.random.default_rng(2)
+    m = rng.integers(-3, 4, (60, 5)).astype(float)
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(m)], "file_id long, embedding array<float>").repartition(5)
+    asked = df.where("file_id % 7 = 0").select(F.col("file_id").alias("query_id"), F.col("embedding").alias("vector"))
+    norm = np.sqrt((m * m).sum(1))
+    want = []
+    for q in range(0, 60, 7):
+        s = [round(float(m[q] @ m[k] / (norm[q] * norm[k])) if norm[q] * norm[k] else 0.0, 9) for k in range(60)]
+        want += [(q, k, r + 1) for r, k in enumerate(sorted(range(60), key=lambda k: (-s[k], k))[:8])]
+    assert sorted(tuple(r) for r in search.vector_search(df, asked, 8).select("query_id", "file_id", "rank").collect()) == sorted(want)
+    assert search.vector_search(df, asked.limit(0), 8).count() == 0
+
+
+def test_embedded_queries_are_asked_for_twice(spark):
+    calls = []
+
+    def provider(texts):
+        calls.append(texts[0])
+        if texts[0] == "down" or calls.count(texts[0]) == 1 and texts[0] == "late":
+            raise ProviderError
+        return [(0, [1.0, 2.0] if texts[0] != "short" else [1.0])]
+
+    q = spark.createDataFrame([(1, " ok "), (2, "down"), (3, "late"), (4, "short"), (5, " ")], "query_id int, query string").coalesce(1)
+    assert [r["vector"] for r in search.embedded(q, provider, 2).orderBy("query_id").collect()] == [[1.0, 2.0], None, [1.0, 2.0], None, None]
+
+
+def test_answers_as_json():
+    from siftwork.operators.models import structured
+
+    assert structured('a ```json\n{"k": 1}\n``` b', ["k"]) == structured('x [{"k": 1}] y', ["k"]) == {"k": 1}  # braces before brackets
+    assert structured('{"k": 1}}', ["k"]) is None and structured("", ["k"]) is None and structured('```\n{"k": 2}\n```', ["k"]) == {"k": 2}
+
+
+def test_recursion_limit_keeps_what_is_done(spark):
+    tasks = spark.createDataFrame([(1,)], "task_id long")
+    items = spark.createDataFrame([(1, 5, 1, 50, "q", ["w"], [], ["a/b"])], "task_id long, item_id long, position int, top_k int, query string, keywords array<string>, risk_focus array<string>, target_paths array<string>")
+    told = []
+    nodes = workflow.Nodes(
+        lambda t: items, lambda i, attempt: i.withColumns({"context": F.col("query"), "sufficient": F.lit(True)}), lambda c, k, failed: c.select("task_id", "item_id", F.lit("f").alias("fingerprint"), F.lit("p").alias("path"), F.lit("r").alias("rule_id")),
+        lambda found: found.withColumn("evidence_status", F.lit("passed")), lambda found, k: found.select("fingerprint", F.lit(1).alias("pos"), F.lit("fail").alias("decision"), F.lit("no").alias("reason")), recorder=lambda name, rows: told.append(name),
+    )
+    whole = workflow.run_review(tasks, nodes)
+    assert whole.status == "success" and told[:3] == ["guard", "planner", "retrieve"] and whole.steps == len(told) == 13
+    assert [[r["outcome"] for r in x.collect()] for x in whole.issues] == [[], [], [], ["rejected"]]
+    for limit in range(13):
+        out = workflow.run_review(tasks, nodes, limit=limit)
+        assert out.partial and out.stop_reason == "graph_recursion_limit_exceeded" and out.steps == limit
 
 
 def test_recall(spark):
@@ -240,8 +335,8 @@ def test_writers(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
     assert rows(readers.replaced(old, new, ["k"]), "k") == [(1, "a"), (2, "c"), (3, "d")]
-    again = spark.createDataFrame([(None, "x"), (1, "y"), (4, "z"), (4, "z")], "k long, v string")
-    assert rows(readers.appended_once(old.union(spark.createDataFrame([(None, "n")], "k long, v string")), again, ["k"])) == [(4, "z")]
+    again = spark.createDataFrame([(None, "x"), (1, "y"), (4, "z"), (4, "y2")], "k long, v string")
+    assert rows(readers.appended_once(old.union(spark.createDataFrame([(None, "n")], "k long, v string")), again, ["k"], "v")) == [(4, "y2")]
     runs = "task_id long, run_key string, status string, attempt int"
     have = spark.createDataFrame([(1, "a", "success", 1), (1, "b", "failed", 1)], runs)
     more = spark.createDataFrame([(1, "a", "failed", 1), (1, "b", "success", 1), (1, "c", "success", 1)], runs)
@@ -253,7 +348,7 @@ def test_embedding_batches(spark):
 
     def provider(texts):
         if "t5" in texts:
-            raise RuntimeError("down")
+            raise ProviderError("down")
         return list(reversed(readers.hash_provider(texts)))
 
     out = readers.batched_embeddings(chunks, provider).orderBy("chunk_id").collect()
@@ -306,7 +401,7 @@ def test_model_calls(spark):
 
     def provider(prompt):
         if prompt == "down":
-            raise RuntimeError
+            raise ProviderError
         if prompt == "good":
             return 'Sure:\n```json\n{"k": 1}\n```', 5, 2
         return ('{"k": 2}' if "not valid" in prompt and prompt.startswith("mend") else '{"x": 0}'), 5, 2
