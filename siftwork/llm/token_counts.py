@@ -7,6 +7,9 @@ had too and that the new text cannot move any more; the touched leaves change an
 pattern looks at most two characters past the end of a match and never back, so what lies outside is cut as before; for
 other patterns nothing is known of that, and the whole text is cut again.
 
+token_trees() gives a table of the trees, to be kept; edited_trees() takes it with edits and gives it back as edited, and
+encodes the touched leaves only. edited_counts() builds, edits and drops the trees of a table in one pass.
+
 Edge cases: a null or empty text has no tokens; null edits count as none and a null edit is skipped; bounds outside the
 text are moved to its ends, an end before its start means an insertion at start, a null replacement is empty; edits are
 applied in order, each in the coordinates that the earlier ones left; whole texts of any length; rows that repeat are
@@ -22,6 +25,7 @@ from itertools import accumulate
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import BLOCK_CHARS, Encoder, shared_ranks, worker_encoder
@@ -39,7 +43,7 @@ class TokenTree:
     """A segment tree over the pre-tokens of one text."""
 
     def __init__(self, words: list[str], encoder: Encoder, context: int | None = None):
-        self.encoder, self.context = encoder, context
+        self.encoder, self.context, self.base, self.starts = encoder, context, "", [0, 0]
         self.leaves = [words[i : i + LEAF] for i in range(0, len(words), LEAF)] or [[]]
         self.width = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
@@ -50,6 +54,50 @@ class TokenTree:
             self.chars[n] = self.chars[2 * n] + self.chars[2 * n + 1]
             self.tokens[n] = self.tokens[2 * n] + self.tokens[2 * n + 1]
 
+    @classmethod
+    def stored(cls, text: str, chars: list[int], tokens: list[int], encoder: Encoder, context: int | None = None) -> TokenTree:
+        """The tree of text from what leaves() gave: no leaf is cut or encoded before an edit touches it."""
+        if context is None:
+            words = encoder.cut(text)
+            encoder.learn(words)
+            return cls(words, encoder)
+        tree = cls([], encoder, context)
+        tree.base, tree.starts = text, list(accumulate(chars, initial=0))
+        tree.leaves = [None] * len(chars) or [[]]
+        tree.width = 1 << (len(tree.leaves) - 1).bit_length()
+        tree.chars, tree.tokens = ([0] * tree.width + list(x) + [0] * (tree.width - len(x)) for x in (chars, tokens))
+        for n in range(tree.width - 1, 0, -1):
+            tree.chars[n] = tree.chars[2 * n] + tree.chars[2 * n + 1]
+            tree.tokens[n] = tree.tokens[2 * n] + tree.tokens[2 * n + 1]
+        return tree
+
+    def _leaf(self, k: int) -> list[str]:
+        """The pre-tokens of a leaf; those of a stored one are cut and encoded now, from its own start on."""
+        if self.leaves[k] is None:
+            start, end = self.starts[k], self.starts[k + 1]
+            own, at = [], start
+            for word in self.encoder.cut(self.base[start : end + self.context]):
+                if at == end:
+                    break
+                own.append(word)
+                at += len(word)
+            self.encoder.learn(own)
+            self.encoded_chars += end - start
+            self.leaves[k] = own
+        return self.leaves[k]
+
+    def stored_leaves(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of each leaf, without empty ones and with those that grew cut again."""
+        chars, tokens = [], []
+        for k, leaf in enumerate(self.leaves):
+            if leaf is None or len(leaf) <= 2 * LEAF:
+                if self.chars[self.width + k]:
+                    chars.append(self.chars[self.width + k]), tokens.append(self.tokens[self.width + k])
+                continue
+            for i in range(0, len(leaf), LEAF):
+                chars.append(sum(map(len, leaf[i : i + LEAF]))), tokens.append(self._count(leaf[i : i + LEAF]))
+        return chars, tokens
+
     def _count(self, words: list[str]) -> int:
         known = self.encoder.known
         return sum([len(known[w]) for w in words]) >> 2
@@ -88,7 +136,7 @@ class TokenTree:
         end = min(max(end, start), self.size)
         context = self.size + len(text) if self.context is None else self.context
         first, at = self._find(max(0, start - context))
-        leaf = self.leaves[first]
+        leaf = self._leaf(first)
         ends = list(accumulate(map(len, leaf), initial=at))
         keep = max(0, bisect_right(ends, max(start - context, at)) - 1) if leaf else 0
         begin = ends[keep]
@@ -103,7 +151,7 @@ class TokenTree:
                     if last + 1 >= len(self.leaves):
                         return False
                     last += 1
-                    pending = self.leaves[last]
+                    pending = self._leaf(last)
                 word, pending = pending[0], pending[1:]
                 old.append(word)
                 where += len(word)
@@ -143,7 +191,7 @@ class TokenTree:
             self._set(last, rest)
 
     def text(self) -> str:
-        return "".join("".join(leaf) for leaf in self.leaves)
+        return "".join(self.base[self.starts[k] : self.starts[k + 1]] if leaf is None else "".join(leaf) for k, leaf in enumerate(self.leaves))
 
 
 def edited_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
@@ -192,3 +240,50 @@ def edited_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     NAMES = [id_col, "n_chars", "n_tokens", "n_edits", "edited_chars", "edited_tokens", "encoded_chars"]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)] + [T.StructField(n, T.LongType()) for n in NAMES[1:]])
     return docs.select(id_col, text_col, edits_col).mapInArrow(tidy(run), schema)
+
+
+def token_trees(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, text_col, n_chars, n_tokens, n_edits, encoded_chars, leaf_chars, leaf_tokens): the tree of each text, to be
+    kept beside it: the characters and tokens of its leaves; the sums above them follow."""
+    return _trees(docs.select(id_col, text_col, F.lit(None).cast(EDITS).alias("edits"), *[F.lit(None).cast("array<int>").alias(c) for c in LEAVES]), ranks_path, pattern, id_col, text_col)
+
+
+def edited_trees(trees: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+    """The same after edits, from what token_trees() or this gave and edits_col, as in EDITS: the text as edited, with its tree.
+
+    Only leaves that an edit touches are cut and encoded; encoded_chars says how many characters that were.
+    """
+    return _trees(trees.select(id_col, text_col, F.col(edits_col).alias("edits"), *LEAVES), ranks_path, pattern, id_col, text_col)
+
+
+LEAVES = ("leaf_chars", "leaf_tokens")
+
+
+def _trees(rows: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
+    spark = rows.sparkSession
+    small_batches(spark)
+    shared, context = shared_ranks(spark, ranks_path), CONTEXTS.get(pattern)
+    names = [id_col, text_col, "n_chars", "n_tokens", "n_edits", "encoded_chars", *LEAVES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_encoder(shared.value, pattern)
+        for batch in batches:
+            out = []
+            for i, text, edits, chars, tokens in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                if chars is None:
+                    words = encoder.cut(text or "")
+                    encoder.learn(words)
+                    tree = TokenTree(words, encoder, context)
+                else:
+                    tree = TokenTree.stored(text or "", chars, tokens, encoder, context)
+                edits = [e for e in edits or [] if e is not None]
+                for e in edits:
+                    start = e["start"] or 0
+                    tree.edit(start, start if e["end"] is None else e["end"], e["text"] or "")
+                out.append((i, tree.text() if edits else text or "", tree.size, tree.total, len(edits), tree.encoded_chars, *tree.stored_leaves()))
+                encoder.forget(())
+            kinds = [batch.schema.field(0).type, pa.string(), *[pa.int64()] * 4, *[pa.list_(pa.int32())] * 2]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
+
+    schema = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), T.StructField(text_col, T.StringType()), *[T.StructField(n, T.LongType()) for n in names[2:6]], *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in LEAVES]])
+    return rows.mapInArrow(tidy(run), schema)

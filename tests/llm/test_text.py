@@ -96,6 +96,32 @@ def test_trees_of_a_pattern_that_looks_far_ahead(encoder):
             assert tree.text() == text and sum(tree.leaves, []) == other.cut(text)
 
 
+def test_stored_trees_take_edits(spark, encoder, library):
+    """Three batches of edits, each from the table that the one before gave."""
+    rnd = random.Random(8)
+    texts = {k: t for k, t in enumerate([*odd_texts(40, 9, 900), "plain words " * 4000, ""])}
+    trees = token_counts.token_trees(spark.createDataFrame([*texts.items(), (99, None)], DOCS), RANKS, PATTERN)
+    for _ in range(3):
+        edits = {}
+        for k, text in texts.items():
+            edits[k] = []
+            for _ in range(rnd.randrange(3)):
+                start, new = rnd.randrange(len(text) + 1), rnd.choice(odd_texts(4, rnd.random(), 300))
+                end = min(len(text), start + rnd.randrange(40))
+                text = text[:start] + new + text[end:]
+                edits[k].append((start, end, new))
+            texts[k] = text
+        table = spark.createDataFrame(list(edits.items()), "doc_id long, edits array<struct<start: long, end: long, text: string>>")
+        trees = token_counts.edited_trees(trees.join(table, "doc_id", "left"), RANKS, PATTERN)
+        out = {r["doc_id"]: r for r in trees.collect()}
+        for k, text in texts.items():
+            r = out[k]
+            assert (r["text"], r["n_chars"], r["n_tokens"]) == (text, len(text), len(library.encode_ordinary(text)))
+            assert sum(r["leaf_chars"]) == len(text) and sum(r["leaf_tokens"]) == r["n_tokens"] and 0 not in r["leaf_chars"]
+        assert out[99]["n_tokens"] == 0 and out[40]["encoded_chars"] < 10_000 < len(texts[40])
+        trees = spark.createDataFrame(trees.collect(), trees.schema)
+
+
 def test_an_edit_reads_little_of_a_long_text(encoder):
     words = encoder.cut("some plain words here " * 5000)
     encoder.learn(words)
