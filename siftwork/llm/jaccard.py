@@ -118,6 +118,7 @@ def prefix_table(docs: DataFrame, id_col: str, text_col: str, size: int, num: in
     the first rare elements of which surely have no list of over MOST members."""
     spark = docs.sparkSession
     sketch = shingle_sketch(docs, text_col, size)
+    sketch = sketch.astype(np.uint16) if sketch.max() <= FULL else sketch  # each worker holds one
     base = float(np.median(sketch)) + 3 * float(np.sqrt(np.median(sketch)))
     shared, most = spark.sparkContext.broadcast(sketch), MOST
 
