@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import numbers, paths, text
 from ..providers import EmbeddingProvider, ProviderError, Search, SearchFailed
@@ -232,6 +233,15 @@ def _run(search: Search, chunks: DataFrame, queries: DataFrame) -> DataFrame | N
         return None
 
 
+def _settled(found: DataFrame | None) -> DataFrame | None:
+    """found, at most CANDIDATES rows a query, run once and kept as a local table."""
+    return None if found is None else found.sparkSession.createDataFrame(found.select("query_id", "file_id", "score", "rank").collect(), _as_found(found))
+
+
+def _as_found(found: DataFrame) -> T.StructType:
+    return T.StructType([found.schema["query_id"], T.StructField("file_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+
+
 def retrieve(
     chunks: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int = 10, languages: Sequence[str] = (), target_paths: Sequence[str] = (),
     vector: Search = vector_search, keyword: Search = bm25, symbol: Search = symbol_search,
@@ -240,17 +250,23 @@ def retrieve(
 
     chunks: file_id, project, language, path, index_status, search_text, symbol_name, qualified_name; vectors: file_id,
     project, language, path, index_status, embedding, embedding_status. Blank queries give nothing. The searches can be
-    replaced, by keyword_fallback for a store without a full-text index; one that raises SearchFailed is left out.
+    replaced, by keyword_fallback for a store without a full-text index; one that raises SearchFailed is left out. Up to
+    BLOCK queries each search runs once, here, and its candidates are a local table; with more everything stays a plan.
     """
     if not 1 <= top_k <= CANDIDATES:
         raise ValueError(f"top_k must be between 1 and {CANDIDATES}")
     asked = queries.where(text.strip(F.col("query")) != "")
     seen = visible(chunks, languages, target_paths)
     nothing = asked.sparkSession.createDataFrame([], f"query_id {asked.schema['query_id'].dataType.simpleString()}, file_id long, score double, rank int")
-    by_vector, by_word = _run(vector, visible(vectors, languages, target_paths, embedded=True), asked), _run(keyword, seen, asked)
+    told = asked.limit(BLOCK + 1).collect()
+    once = len(told) <= BLOCK
+    settled = _settled if once else lambda found: found
+    asked = asked.sparkSession.createDataFrame(told, asked.schema) if once else asked
+    by_vector, by_word = settled(_run(vector, visible(vectors, languages, target_paths, embedded=True), asked)), settled(_run(keyword, seen, asked))
     v, w = by_vector if by_vector is not None else nothing, by_word if by_word is not None else nothing
     answered = v.select("query_id").union(w.select("query_id")).distinct()
-    by_symbol = _run(symbol, seen, asked.join(F.broadcast(answered), "query_id", "left_anti"))
+    left = asked.join(F.broadcast(answered), "query_id", "left_anti")
+    by_symbol = settled(_run(symbol, seen, left))
     s = by_symbol if by_symbol is not None else nothing
     return Retrieved(fused(v, w.unionByName(s), top_k), degradations(asked, by_vector, by_word, by_symbol))
 
