@@ -7,6 +7,9 @@ them. A shard is a hashed part of a source, a bounded number of words and of doc
 equal blocks. Full rounds take every block; what is left takes blocks that a seeded permutation names, so no block is
 taken more than once beyond the full rounds, and none over max_repeats times.
 
+Sources, and the shards of a source, meet in one task as rows of some hundred bytes, by windows that spill: a million
+sources, or a source of ten trillion words (ten million shards), is about a gigabyte there. Documents never do.
+
 Edge cases: a null or blank text has size 0 and nothing is taken of it; null is a source of its own, after the others;
 a source without words gets the target 0; rows that repeat a doc_id are documents of their own; ties of quotients go to
 the source, then the shard, that comes first; an empty table gives an empty result. Only the named columns are read.
