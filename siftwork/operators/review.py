@@ -83,6 +83,13 @@ def issue_projection(issues: DataFrame, issue_id: int | None = None, owner: int
     return out.select("issue_id", "task_id", "title", "path", "category", "risk_level", "fingerprint")
 
 
+def report_projection(reports: DataFrame, task_id: int, owner: int | None = None) -> DataFrame:
+    """What clients read of a task's report; with an owner only if the task is theirs."""
+    out = reports.where(F.col("task_id") == task_id)
+    out = out if owner is None else out.where(F.col("user_id") == owner)
+    return out.select("task_id", "high", "medium", "low", "total")
+
+
 def issue_page(issues: DataFrame, order: list[Column], risk: str | None = None, category: str | None = None, words: str = "", page: int = 1, size: int = 15) -> DataFrame:
     """One page of the issues that match a level, a category and words in title, path or fingerprint."""
     out = issues

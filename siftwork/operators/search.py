@@ -116,12 +116,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, content: str
     """(query_id, file_id, score, rank) by BM25 over the documents that hold all tokens of the query.
 
     One pass counts documents, words and the queries' tokens by project, a second one scores where the text is read: no
-    posting is shuffled, only the best of each task meet.
+    posting is shuffled, only the best of each task meet. Documents of an index have search_tokens, their words as they
+    were derived when the index was written; then no text is read.
     """
     d, q = _sides(docs, queries)
     q = q.select("query_id", "project", tokens(F.col("query")).alias("wanted")).where(F.size("wanted") > 0)
     asked = q.select("project", F.explode("wanted").alias("token")).groupBy("project").agg(F.collect_set("token").alias("asked"))
-    d = d.select("file_id", "project", words_of(F.col(content)).alias("words"))
+    words = F.col("search_tokens") if "search_tokens" in docs.columns else words_of(F.col(content))
+    d = d.select("file_id", "project", words.alias("words"))
     seen = d.join(F.broadcast(asked), "project").select("project", F.size("words").alias("length"), F.explode(F.array_append(F.array_intersect("asked", "words"), "")).alias("token"))
     counts = seen.groupBy("project", "token").agg(F.count("*").alias("n"), F.sum("length").alias("words"))
     whole = F.max(F.when(F.col("token") == "", F.struct("n", (F.col("words") / F.col("n")).alias("mean")))).alias("whole")

@@ -512,6 +512,18 @@ def issue_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.issue_projection(issues(spark, sf_dir).withColumn("user_id", F.col("task_id")), owner=7).distinct()
 
 
+@query(f"""WITH i AS ({ISSUES_SQL}) SELECT task_id, count(CASE WHEN risk_level = 'High' THEN 1 END) AS high, count(CASE WHEN risk_level = 'Medium' THEN 1 END) AS medium, count(CASE WHEN coalesce(risk_level, 'Low') = 'Low' THEN 1 END) AS low, count(*) AS total FROM i WHERE task_id = 7 GROUP BY task_id""")
+def owned_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a task for its owner, and for somebody else, who gets none."""
+    reports = review.severity_stats(issues(spark, sf_dir), ["task_id"]).withColumn("user_id", F.col("task_id"))
+    return review.report_projection(reports, 7, 7).unionByName(review.report_projection(reports, 7, 8))
+
+
+@query(f"WITH i AS ({ISSUES_SQL}) SELECT DISTINCT issue_id, task_id, title, path, category, risk_level, fingerprint FROM i WHERE issue_id = 71")
+def one_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.issue_projection(issues(spark, sf_dir), 71).distinct()
+
+
 REPORT_SQL = f"""i AS (SELECT *, concat(title, ' ', path) AS d, row_number() OVER (PARTITION BY task_id, verified ORDER BY pos, title, path, fingerprint) AS number FROM (SELECT DISTINCT * FROM ({ISSUES_SQL}))),
 b AS (SELECT task_id, verified, number, concat('### ', number, '. ', CASE risk_level WHEN 'High' THEN '🔴' WHEN 'Medium' THEN '🟡' WHEN 'Low' THEN '🟢' ELSE '⚪' END, ' ', title, chr(10), chr(10),
   '- **Category:** ', coalesce(category, '?'), chr(10), '- **Type:** ', 'T', task_id % 3, chr(10), '- **Risk:** ', coalesce(risk_level, '?'), chr(10), '- **Rule:** ', CASE WHEN pos % 4 = 0 THEN 'N/A' ELSE concat('r', pos % 4) END, chr(10), '- **CWE:** N/A', chr(10),

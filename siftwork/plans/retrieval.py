@@ -72,6 +72,13 @@ def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(_seen(spark, sf_dir), query_set(spark, sf_dir)).select("query_id", "file_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {SEEN}, {BM25} SELECT query_id, file_id, round(score, 6) AS score, rank FROM kw")
+def bm25_over_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the words that an index holds, without its texts."""
+    index = _seen(spark, sf_dir).withColumn("search_tokens", search.words_of(F.col("search_text"))).drop("search_text")
+    return search.bm25(index, query_set(spark, sf_dir)).select("query_id", "file_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {SEEN}, {TERMS}, {SYMBOLS} SELECT query_id, file_id, rank FROM sym")
 def symbol_ilike(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.symbol_search(_seen(spark, sf_dir), query_set(spark, sf_dir)).select("query_id", "file_id", "rank")
