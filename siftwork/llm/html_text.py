@@ -208,7 +208,9 @@ def _unpacked(table: pa.Table) -> tuple[list[list[int]], list[list[str]]]:
 class SuffixRanks:
     """The suffix array of a token stream by prefix doubling: ranks of the windows of 1, 2, 4 ... tokens at each place.
 
-    Equal ranks at a depth mean equal windows; sorting the places by their ranks gives the suffixes in order.
+    Equal ranks at a depth mean equal windows; sorting the places by their ranks gives the suffixes in order, to that depth.
+    Deeper sorting would not change what is covered: a longer repeat is a chain of windows of the shortest length that
+    counts, each of which stands on at least the same pages.
     """
 
     def __init__(self, tokens: np.ndarray, depth: int):
