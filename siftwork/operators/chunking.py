@@ -103,7 +103,10 @@ class _JavaParser:
     extensions = (".java",)
     _skip = re.compile(r'//[^\n]*|/\*.*?\*/|"""(?:\\.|[^\\])*?"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', re.S)
     _type = re.compile(r"\b(class|interface|enum|record|@interface)\s+(\w+)([^{;]*)\{")
-    _method = re.compile(r"(?:^|[;{}\s])((?:[\w@<>\[\],.?&\s]+?\s)?)(\w+)\s*\(([^(){};]*)\)\s*(?:throws\s+[\w.,\s]+)?(\{|;)")
+    _head = re.compile(r"\b(\w+)\s*\([^(){};]*\)\s*(?:throws\s+[\w.,\s]+)?(\{|;)")
+    #: What stands in no modifier, type or annotation before a method's name.
+    _stop = re.compile(r"[^\w@<>\[\],.?&\s]")
+    _space = re.compile(r"\s")
     _call = re.compile(r"((?:\b[\w]+\s*\.\s*)*\b\w+)\s*\(")
     _no_name = frozenset("if for while switch catch synchronized return new throw else do try super this assert".split())
 
@@ -129,17 +132,25 @@ class _JavaParser:
             start = after + before.start(1) if before and before.group(1) else head
             items.append((start, close[m.end() - 1], {"@interface": "annotation"}.get(m.group(1), m.group(1)), m.group(2), source[start : m.end() - 1].strip(), m.group(3)))
         kinds = [i for i in items]
-        for m in self._method.finditer(blank):
-            name, lead = m.group(2), m.group(1).strip()
-            owner = min((k for k in kinds if k[0] < m.start(2) < k[1]), key=lambda k: k[1] - k[0], default=None)
-            if not owner or name in self._no_name or (not lead and name != owner[3]) or set(lead.split()) & {"new", "return", "throw", "else"} or "=" in lead:
+        stops, past = [m.start() for m in self._stop.finditer(blank)], 0
+        for m in self._head.finditer(blank):
+            name, at = m.group(1), m.start(1)
+            stop = stops[k - 1] if (k := bisect_left(stops, at)) else -1
+            begin = max(stop + 1, past)  # what an earlier declaration took is no part of this one
+            if begin < at and stop >= past and blank[stop] not in ";{}":
+                begin = space.end() if (space := self._space.search(blank, begin, at)) else at
+            lead = blank[begin:at]
+            if lead and not lead[-1].isspace() or not lead and at and blank[at - 1] not in ";{}" and not blank[at - 1].isspace():
                 continue
-            depth = blank.count("{", owner[0], m.start(2)) - blank.count("}", owner[0], m.start(2))
+            past, words = m.end(), lead.split()
+            owner = min((k for k in kinds if k[0] < at < k[1]), key=lambda k: k[1] - k[0], default=None)
+            if not owner or name in self._no_name or (not words and name != owner[3]) or set(words) & {"new", "return", "throw", "else"}:
+                continue
+            depth = blank.count("{", owner[0], at) - blank.count("}", owner[0], at)
             if depth != 1:
                 continue
-            start = m.start(1) if lead else m.start(2)
-            start += len(blank[start:]) - len(blank[start:].lstrip())
-            end = close[m.end() - 1] if m.group(4) == "{" else m.end() - 1
+            start = begin + len(lead) - len(lead.lstrip()) if words else at
+            end = close[m.end() - 1] if m.group(2) == "{" else m.end() - 1
             items.append((start, end, "constructor" if name == owner[3] else "method", name, source[start : m.end() - 1].strip(), ""))
         items.sort(key=lambda i: (i[0], -i[1]))
         found, refs = [], []
