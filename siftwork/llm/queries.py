@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fill_middle, fingerprint, html_text, jaccard, langid, mixing, token_counts, toxicity
+from . import bpe, chat, exact_dedup, fill_middle, fingerprint, html_text, jaccard, langid, mixing, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -230,6 +230,12 @@ FROM parts
 """
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the groups that links of three bits or fewer make of them."""
+    out = simhash.near_groups(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.shown(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -242,5 +248,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mix": op9_source_mix,
     "op10_html_text": op10_html_text,
     "op11_fill_middle": op11_fill_middle,
+    "op12_simhash": op12_simhash,
 }
 ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op9_source_mix": OP9_SQL, "op11_fill_middle": OP11_SQL}
