@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import context, search
+from ..operators import context, search, vector_index
 from ..providers import SearchFailed
 from ..sources import tables
+from ..sources.shared import shared_folder
 from ..sources.tables import ASKED_LANGUAGES, ASKED_PATHS, index_chunks, index_vectors, query_set
 from .catalog import query, quoted
 
@@ -158,6 +159,59 @@ def index_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("query_id", *[F.round(search.recall_at_k(F.col("expected"), F.col("ranked"), k), 9).alias(f"recall_at_{k}") for k in (10, 20)])
 
 
+# --- vector index ----------------------------------------------------------------------------------------------------
+
+
+def _asked(v: DataFrame) -> DataFrame:
+    """Every vector whose id is divisible by 50, as a query."""
+    return v.where("file_id % 50 = 0").select(F.col("file_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _index(spark: SparkSession, vectors: DataFrame) -> vector_index.VectorIndex:
+    """An index of vectors, written and opened again."""
+    path = shared_folder(spark, "vector_index")
+    vector_index.build(vectors, path)
+    return vector_index.opened(spark, path)
+
+
+@query()
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of all vectors to each whose id is divisible by 50, by the index."""
+    v = tables.vectors(spark, sf_dir)
+    index = _index(spark, v)
+    return index.search(index.rows(), _asked(v), 10).select("query_id", "file_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT count(*) AS queries, true AS recall_reached, true AS cells_left_out FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index finds nine of ten of the ten nearest that exact search finds over all rows, and without all cells."""
+    v = tables.vectors(spark, sf_dir)
+    index = _index(spark, v)
+    found, cost = index.searched(index.rows(), _asked(v), 10)
+    exact = search.vector_search(v, _asked(v), 10).select("query_id", "file_id").join(found.select("query_id", "file_id", F.lit(1).alias("hit")), ["query_id", "file_id"], "left")
+    each = exact.groupBy("query_id").agg(F.count("hit").alias("hits"), F.count("*").alias("wanted")).join(cost, "query_id")
+    return each.agg(
+        F.count("*").alias("queries"), (F.sum("hits") >= 0.9 * F.sum("wanted")).alias("recall_reached"),
+        (F.avg("cells") < len(index.model.sizes)).alias("cells_left_out"),
+    )
+
+
+@query(f"WITH {SEEN}, {VECTORS} SELECT query_id, file_id, round(score, 6) AS score, rank FROM vec")
+def vector_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index under filters of project, language, path and status: each query asks more cells until enough rows survive."""
+    index = _index(spark, index_vectors(spark, sf_dir))
+    seen = search.visible(index.rows(), ASKED_LANGUAGES, ASKED_PATHS, embedded=True)
+    return index.search(seen, query_set(spark, sf_dir).where("trim(query) <> ''")).select("query_id", "file_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {HYBRID} SELECT query_id, file_id, vector_rank::DOUBLE AS vector_rank, keyword_rank::DOUBLE AS keyword_rank, round(rrf_score, 9) AS rrf_score, rank FROM r WHERE rank <= 10")
+def hybrid_over_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval whose vector search is the index."""
+    index = _index(spark, index_vectors(spark, sf_dir))
+    found = search.retrieve(index_chunks(spark, sf_dir), index.rows(), query_set(spark, sf_dir), 10, ASKED_LANGUAGES, ASKED_PATHS, vector=index.search)
+    return found.candidates.where("selected").select("query_id", "file_id", *_ranks(), F.round("rrf_score", 9).alias("rrf_score"), "rank")
+
+
 # --- context ---------------------------------------------------------------------------------------------------------
 
 #: A symbol for each chunk; some relations lead to the next one, others out of the project. Texts are cut: blocks of a context are small.
