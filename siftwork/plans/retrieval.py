@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import context, search, vector_index
+from ..operators import context, postings, search, vector_index
 from ..providers import SearchFailed
 from ..sources import tables
 from ..sources.shared import shared_folder
@@ -159,6 +159,32 @@ def index_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("query_id", *[F.round(search.recall_at_k(F.col("expected"), F.col("ranked"), k), 9).alias(f"recall_at_{k}") for k in (10, 20)])
 
 
+# --- posting lists ---------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SEEN}, {BM25} SELECT query_id, file_id, round(score, 6) AS score, rank FROM kw")
+def bm25_by_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking of bm25_rank from posting lists on disk: no text is read, and of the lists those of the asked words."""
+    path = shared_folder(spark, "postings")
+    postings.build(_seen(spark, sf_dir), path)
+    return postings.opened(spark, path).searched(query_set(spark, sf_dir)).select("query_id", "file_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {SEEN}, w AS (SELECT query_id, project, list_distinct({TOKENS.replace('X', 'query')}) AS wanted FROM asked),
+d AS (SELECT file_id, project, {TOKENS.replace('X', 'search_text')} AS words FROM seen), m AS (SELECT * FROM w JOIN d USING (project) WHERE len(wanted) > 0 AND list_has_all(words, wanted)),
+p AS (SELECT query_id, file_id, t, p FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file_id, t ORDER BY i) AS k FROM (SELECT query_id, file_id, words[i] AS t, i, least(i, 16383) AS p
+  FROM (SELECT query_id, file_id, words, wanted, unnest(range(1, len(words) + 1)) AS i FROM m) WHERE list_contains(wanted, words[i]))) WHERE k <= 256),
+n AS (SELECT file_id, sum(least(c, 256)) AS length FROM (SELECT file_id, t, count(*) AS c FROM (SELECT file_id, unnest(words) AS t FROM d) GROUP BY ALL) GROUP BY ALL),
+two AS (SELECT a.query_id, a.file_id, 1 - exp(sum(CASE WHEN abs(a.p - b.p) BETWEEN 1 AND 100 THEN ln(1 - 0.1::DOUBLE * sqrt(1 / (1.005::DOUBLE + 0.05::DOUBLE * exp(abs(a.p - b.p) / 1.5::DOUBLE - 2)))) ELSE 0 END)) AS r
+  FROM p a JOIN p b ON a.query_id = b.query_id AND a.file_id = b.file_id AND a.t < b.t GROUP BY ALL),
+one AS (SELECT query_id, file_id, 0.1::DOUBLE / 1.64493406685::DOUBLE * sum(1 / (k::DOUBLE * k)) AS r FROM (SELECT query_id, file_id, row_number() OVER (PARTITION BY query_id, file_id) AS k FROM p JOIN w USING (query_id) WHERE len(wanted) = 1) GROUP BY ALL),
+s AS (SELECT query_id, file_id, r / length AS score FROM (SELECT * FROM two UNION ALL SELECT * FROM one) JOIN n USING (file_id))
+SELECT query_id, file_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, file_id) AS rank FROM s) WHERE rank <= 30""")
+def ts_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks by the distances of the asked words in a text, divided by its length."""
+    return postings.ts_ranked(_seen(spark, sf_dir), query_set(spark, sf_dir)).select("query_id", "file_id", F.round("score", 6).alias("score"), "rank")
+
+
 # --- vector index ----------------------------------------------------------------------------------------------------
 
 
