@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, paths
@@ -20,13 +20,27 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
 
 def candidates(predictions: DataFrame, truth: DataFrame, also: list[str] = ()) -> DataFrame:
-    """(also, keys, gt_id, prediction_index, covers, overlap, ...): pairs of equal keys whose ranges agree.
-
-    They agree if the prediction covers the sink line or at least half of the labelled range.
+    """(also, keys, gt_id, prediction_index, covers, overlap, point, ...): pairs of equal keys whose ranges agree.
+
+    They agree if the prediction covers the sink line or at least half of the labelled range. A range that holds half of
+    another holds one of the two lines in its middle, so each agreeing prediction holds one of three points of the label:
+    the sink line and these two. A prediction is dealt to the one or two stretches of 2**level lines, the least power that
+    is as long as it, that it touches, a point to its stretch on each level that predictions have. Points and predictions
+    meet by stretch: the pairs looked at are those close by, however many findings a file has. The pair counts at the
+    first of the label's points that the prediction holds.
     """
-    p = _keyed(predictions).select(*also, *KEYS, "prediction_index", F.col("start_line").alias("p_start"), F.col("end_line").alias("p_end"), "risk_level", F.col("cwe_id").alias("p_cwe"), "fingerprint")
+    p = _keyed(predictions).select(*also, *KEYS, "prediction_index", F.col("start_line").alias("p_start"), F.col("end_line").alias("p_end"), "risk_level", F.col("cwe_id").alias("p_cwe"), "fingerprint", *(["position"] if "position" in predictions.columns else []))
+    p = p.where("p_start <= p_end").withColumn("_level", F.ceil(F.log2(F.col("p_end") - F.col("p_start") + 1)).cast("int"))
+    levels = p.select(F.collect_set("_level").alias("levels"))
+    stretch = lambda line: F.floor(F.col(line) / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    p = p.withColumn("_stretch", F.explode(F.array_distinct(F.array(stretch("p_start"), stretch("p_end")))))
     t = _keyed(truth.where("vulnerable")).select(*KEYS, "gt_id", "sink_line", F.col("start_line").alias("t_start"), F.col("end_line").alias("t_end"))
-    out = p.join(t, KEYS)
+    half = F.call_function("div", F.col("t_end") - F.col("t_start"), F.lit(2)).cast("int")
+    middle = F.when(F.col("t_start") <= F.col("t_end"), F.array(F.col("t_start") + half, F.col("t_end") - half))
+    points = F.filter(F.concat(F.array("sink_line"), F.coalesce(middle, F.array())), lambda x: x.isNotNull())
+    t = t.withColumn("_points", F.array_distinct(points)).withColumn("point", F.explode("_points")).withColumn("_level", F.explode(levels.scalar())).withColumn("_stretch", stretch("point"))
+    first = F.try_element_at(F.filter("_points", lambda x: x.between(F.col("p_start"), F.col("p_end"))), F.lit(1))
+    out = p.join(t, [*KEYS, "_level", "_stretch"]).where(F.col("point").between(F.col("p_start"), F.col("p_end"))).where(first == F.col("point")).drop("_level", "_stretch", "_points")
     out = out.withColumn("covers", numbers.covers(F.col("p_start"), F.col("p_end"), F.col("sink_line"))).withColumn("overlap", numbers.overlap_ratio(F.col("p_start"), F.col("p_end"), F.col("t_start"), F.col("t_end")))
     return out.where("covers or overlap >= 0.5")
 
@@ -57,17 +71,38 @@ def maximum_matching(edges: Iterable[tuple[object, list[object]]]) -> dict[objec
     return owner
 
 
-def matched(pairs: DataFrame, also: list[str] = ()) -> DataFrame:
-    """(also, gt_id, prediction_index, overlap, covers, risk_level) of a maximum one-to-one matching.
+#: The order in which predictions look for a label; it decides among matchings of equal size.
+ORDER = ["p_start", "p_end", "p_cwe", "risk_level", "fingerprint", "prediction_index"]
+
+
+def islands(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """pairs with island: pairs that share a prediction or a label, in one step or over others, are on one island.
 
-    Pairs only exist within a key, so keys are matched by themselves: they are dealt by a hash, sorted, and read as a
-    stream that holds one key at a time, one file's findings of one category. The order of predictions and candidates
-    decides among matchings of equal size.
+    The points of a prediction's or a label's pairs span a stretch of lines; stretches of pairs that share one of the two
+    overlap. Islands are the gaps between stretches, which a running maximum over the sorted pairs of a key finds.
+    """
+    own, label = Window.partitionBy(*by, "prediction_index"), Window.partitionBy(*by, "gt_id")
+    span = lambda f, pick: pick(f("point").over(own), f("point").over(label))
+    out = pairs.withColumn("_from", span(F.min, F.least)).withColumn("_to", span(F.max, F.greatest))
+    order = Window.partitionBy(*by).orderBy("_from", "_to", "prediction_index", "gt_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumn("_new", (F.col("_from") > F.coalesce(F.max("_to").over(before), F.col("_from") - 1)).cast("int"))
+    return out.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_from", "_to", "_new")
+
+
+def matched(pairs: DataFrame, also: list[str] = (), order: list[str] = ORDER) -> DataFrame:
+    """(also, gt_id, prediction_index, overlap, covers, risk_level, position if pairs have it) of a maximum one-to-one matching.
+
+    Pairs compete only on their island of their key, so islands are matched by themselves: they are dealt by a hash,
+    sorted, and read as a stream that holds one island at a time; a file with many findings spreads over the tasks. The
+    order of predictions and candidates decides among matchings of equal size. Predictions are added in that order, and
+    one that is matched stays matched: the predictions of any prefix of the order that are matched are a largest
+    matching of that prefix.
     """
     ship(pairs.sparkSession)
     by = [*also, *KEYS]
-    keep = [*also, "gt_id", "prediction_index", "overlap", "covers", "risk_level"]
-    order = ["p_start", "p_end", "p_cwe", "risk_level", "fingerprint", "prediction_index"]
+    keep = [*also, "gt_id", "prediction_index", "overlap", "covers", "risk_level", *(["position"] if "position" in pairs.columns else [])]
+    group = [*by, "island"]
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, rows = None, []
@@ -77,12 +112,13 @@ def matched(pairs: DataFrame, also: list[str] = ()) -> DataFrame:
             for r in rows:
                 edges.setdefault(r.prediction_index, []).append(r.gt_id)
             owner = maximum_matching(edges.items()) if len(rows) > 1 else {rows[0].gt_id: rows[0].prediction_index}
-            return [tuple(getattr(r, c) for c in keep) for r in rows if owner.get(r.gt_id) == r.prediction_index]
+            # A pair that comes in several rows is given once.
+            return [tuple(getattr(r, c) for c in keep) for r in rows if owner.get(r.gt_id) == r.prediction_index and owner.pop(r.gt_id) is not None]
 
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                key = tuple(getattr(r, c) for c in by)
+                key = tuple(getattr(r, c) for c in group)
                 if key != now and rows:
                     out += flush()
                     rows = []
@@ -93,8 +129,8 @@ def matched(pairs: DataFrame, also: list[str] = ()) -> DataFrame:
             yield pd.DataFrame(flush(), columns=keep)
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    dealt = pairs.repartition(*by).sortWithinPartitions(*by, *order, F.desc("covers"), F.desc("overlap"), "gt_id")
-    return dealt.mapInPandas(match, ", ".join(f"{c} {kinds[c]}" for c in keep))
+    dealt = islands(pairs, by).repartition(*group).sortWithinPartitions(*group, *order, F.desc("covers"), F.desc("overlap"), "gt_id")
+    return dealt.select(*dict.fromkeys([*group, *keep])).mapInPandas(match, ", ".join(f"{c} {kinds[c]}" for c in keep))
 
 
 def unmatched(truth: DataFrame, predictions: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,14 +157,19 @@ def evaluation(predictions: DataFrame, truth: DataFrame, matches: DataFrame, by:
 
 
 def recall_by_prefix(predictions: DataFrame, truth: DataFrame, ks: list[int], by: list[str]) -> DataFrame:
-    """(by, k, recall): the first k predictions of each list, matched again for each k. predictions: position from 0."""
-    at = predictions.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("position < k")
-    found = matched(candidates(at, truth, [c for c in [*by, "k"] if c not in KEYS]), [c for c in [*by, "k"] if c not in KEYS])
-    keep = predictions.select(*by, "prediction_index").distinct()
-    found = found.join(keep, [c for c in by if c not in KEYS] + ["prediction_index"]).groupBy(*by, "k").agg(F.count("*").alias("tp"))
+    """(by, k, recall): of the first k predictions of each list, for every k from one matching. predictions: position from 0.
+
+    Predictions look for labels in the order of their positions, so those of the first k that end up matched are as many
+    as the first k alone can match.
+    """
+    also, keyed = [c for c in by if c not in KEYS], [c for c in by if c in KEYS]
+    pairs = candidates(predictions, truth, also).withColumns({f"of_{c}": F.col(c) for c in keyed})
+    found = matched(pairs, [*also, *[f"of_{c}" for c in keyed]], ["position", *ORDER]).withColumnsRenamed({f"of_{c}": c for c in keyed})
+    counts = found.groupBy(*by).agg(F.array(*[F.struct(F.lit(k).alias("k"), F.count_if(F.col("position") < k).alias("tp")) for k in ks]).alias("_told"))
     t = truth.where("vulnerable").groupBy("language").agg(F.count("*").alias("n_truth"))
-    asked = predictions.select(*by).distinct().withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    return asked.join(found, [*by, "k"], "left").join(t, "language", "left").select(*by, "k", numbers.ratio(F.coalesce("tp", F.lit(0)), F.coalesce("n_truth", F.lit(0))).alias("recall"))
+    none = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(0).cast("long").alias("tp")) for k in ks])
+    out = predictions.select(*by).distinct().join(counts, by, "left").withColumn("_k", F.explode(F.coalesce("_told", none))).join(t, "language", "left")
+    return out.select(*by, "_k.k", numbers.ratio(F.col("_k.tp"), F.coalesce("n_truth", F.lit(0))).alias("recall"))
 
 
 def macro(per_run: DataFrame, by: list[str], run: str, metrics: list[str]) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text
 from ..providers import EmbeddingProvider, TokenCounter
+from ..session import ship
 from ..sources import readers
 from .search import words_of
 
@@ -67,11 +73,49 @@ def without_file(relations: DataFrame, symbols: DataFrame, files: DataFrame) ->
 
 
 def owning_interval(items: DataFrame, definitions: DataFrame, by: str = "file_id") -> DataFrame:
-    """items (by, item_id, start, end) with owner: the smallest definition (by, def_id, start, end) around each, or null."""
-    d = definitions.select(by, F.col("def_id"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    around = items.join(d, by).where((F.col("_s") <= F.col("start")) & (F.col("_e") >= F.col("end")) & ~((F.col("_s") == F.col("start")) & (F.col("_e") == F.col("end"))))
-    best = around.groupBy(by, "item_id").agg(F.min(F.struct((F.col("_e") - F.col("_s")).alias("length"), "def_id"))["def_id"].alias("owner"))
-    return items.join(best, [by, "item_id"], "left")
+    """items (by, item_id, start, end) with owner: the smallest definition (by, def_id, start, end) around each, or null.
+
+    One pass over the sorted intervals of a file, items before equal definitions, keeps the open definitions that can still
+    be the smallest around something: sorted by end, each longer than the one before. The first that ends late enough is
+    the owner. For nested definitions this is the stack of those open. Equal lengths: the smallest def_id. Definitions may
+    overlap as well. Items or definitions with a null bound have no owner and own nothing.
+    """
+    ship(items.sparkSession)
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((items, by), (items, "item_id"), (definitions, "def_id"))}
+    whole = lambda df: df.where(F.col(by).isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull())
+    bounds = [F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")]
+    none = lambda c, of: F.lit(None).cast(kinds[c]).alias(c)
+    rows = whole(items).select(by, *bounds, F.lit(0).alias("kind"), "item_id", none("def_id", definitions))
+    rows = rows.unionByName(whole(definitions).where("start <= end").select(F.col(by).cast(kinds[by]).alias(by), *bounds, F.lit(1).alias("kind"), none("item_id", items), "def_id"))
+    dealt = rows.repartition(by).sortWithinPartitions(by, "start", F.desc("end"), "kind", F.desc("def_id"))
+
+    def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: object = None
+        ends: list[int] = []
+        open_: list[tuple[int, object]] = []  # (length, def_id), rising like ends
+        for batch in batches:
+            files, found, owners = [], [], []
+            for file, start, end, kind, item, definition in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file != now:
+                    now, ends, open_ = file, [], []
+                elif ends and ends[0] < start:
+                    gone = bisect_left(ends, start)
+                    del ends[:gone], open_[:gone]
+                at = bisect_left(ends, end)
+                if not kind:
+                    files.append(file), found.append(item), owners.append(open_[at][1] if at < len(ends) else None)
+                    continue
+                own = (end - start, definition)
+                if at < len(ends) and open_[at] < own:
+                    continue  # one that ends no earlier is smaller
+                last = at + 1 if at < len(ends) and ends[at] == end else at
+                first = bisect_left(open_, own, 0, at)
+                ends[first:last], open_[first:last] = [end], [own]
+            yield pa.RecordBatch.from_arrays([pa.array(files, types[0]), pa.array(found, types[1]), pa.array(owners, types[2])], names=[by, "item_id", "owner"])
+
+    types = [to_arrow_type(items.schema[by].dataType), to_arrow_type(items.schema["item_id"].dataType), to_arrow_type(definitions.schema["def_id"].dataType)]
+    told = dealt.mapInArrow(swept, f"`{by}` {kinds[by]}, item_id {kinds['item_id']}, owner {kinds['def_id']}")
+    return items.join(told.where("owner is not null").dropDuplicates([by, "item_id"]), [by, "item_id"], "left")
 
 
 def indexed_files(

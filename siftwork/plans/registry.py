@@ -294,11 +294,33 @@ def prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.evaluation(p, t, m, ["language"])
 
 
-@query()
+#: Every matching of a key, grown by one prediction at a time in the order o: how many labels the best of each step takes.
+def _growing(order: str) -> str:
+    return f"""k AS (SELECT language, path, category, CASE WHEN category = 'security' THEN cwe_id ELSE '' END AS cwe, prediction_index, {order} AS o, list(gt_id ORDER BY gt_id) AS gts FROM e GROUP BY ALL),
+i AS (SELECT *, row_number() OVER (PARTITION BY language, path, category, cwe ORDER BY o, prediction_index) AS i FROM k),
+g AS (SELECT language, path, category, cwe, 0::BIGINT AS i, 0::BIGINT AS o, []::BIGINT[] AS used FROM i WHERE i = 1
+  UNION SELECT g.language, g.path, g.category, g.cwe, i.i, i.o, u FROM (SELECT g.*, i.i AS ni, i.o AS no, unnest(list_concat([used], list_transform(list_filter(gts, lambda x: NOT list_contains(used, x)), lambda x: list_sort(list_append(used, x))))) AS u
+    FROM g JOIN i ON g.language = i.language AND g.path = i.path AND g.category = i.category AND g.cwe = i.cwe AND i.i = g.i + 1) g JOIN i ON g.language = i.language AND g.path = i.path AND g.category = i.category AND g.cwe = i.cwe AND i.i = g.ni),
+best AS (SELECT language, path, category, cwe, i, o, max(len(used)) AS n FROM g GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {PAIRS}, {_growing('prediction_index')} SELECT language, path, sum(n)::BIGINT AS matched FROM (SELECT language, path, category, cwe, max(n) AS n FROM best GROUP BY ALL) GROUP BY ALL HAVING sum(n) > 0""")
+def matching_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many findings of each file a largest matching takes; the SQL tries every matching."""
+    pairs = evaluate.candidates(predicted_spans(spark, sf_dir), truth_spans(spark, sf_dir)).withColumns({"of_language": F.col("language"), "of_path": F.col("path")})
+    found = evaluate.matched(pairs, ["of_language", "of_path"])
+    return found.groupBy(F.col("of_language").alias("language"), F.col("of_path").alias("path")).agg(F.count("*").alias("matched"))
+
+
+@query(f"""WITH RECURSIVE {PAIRS}, pl AS (SELECT DISTINCT language, path, prediction_index, rank() OVER (PARTITION BY path, language ORDER BY prediction_index) - 1 AS place FROM p),
+{_growing('(SELECT place FROM pl WHERE pl.prediction_index = e.prediction_index AND pl.language = e.language AND pl.path = e.path)')}, n AS (SELECT language, count(*) AS truth FROM t WHERE vulnerable GROUP BY language), ks AS (SELECT unnest([1, 2, 5])::INT AS k),
+tp AS (SELECT language, k, sum(n) AS tp FROM (SELECT language, path, category, cwe, k, max(n) AS n FROM best, ks WHERE i > 0 AND o < k GROUP BY ALL) GROUP BY ALL)
+SELECT language, k, round(coalesce(tp, 0)::DOUBLE / truth, 9) AS recall FROM n CROSS JOIN ks LEFT JOIN tp USING (language, k)""")
 def recall_at_k_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the first predictions of each file, for all k from one matching; the SQL tries every matching of each prefix."""
     p = predicted_spans(spark, sf_dir)
-    p = p.withColumn("position", F.row_number().over(Window.partitionBy("path", "language").orderBy("prediction_index")) - 1)
-    return evaluate.recall_by_prefix(p, truth_spans(spark, sf_dir), [1, 2, 5], ["language"])
+    p = p.withColumn("position", F.rank().over(Window.partitionBy("path", "language").orderBy("prediction_index")) - 1)
+    return evaluate.recall_by_prefix(p, truth_spans(spark, sf_dir), [1, 2, 5], ["language"]).withColumn("recall", F.round("recall", 9))
 
 
 @query("""WITH s AS (SELECT l_returnflag AS variant, l_linestatus AS language, l_linenumber % 3 AS run, count(CASE WHEN l_quantity > 25 THEN 1 END)::DOUBLE / count(*) AS f1 FROM lineitem GROUP BY ALL),
