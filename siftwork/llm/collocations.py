@@ -10,9 +10,9 @@
    pivot are frequent. Only the pivot's own phrases are emitted.
 4. Cuts of the frequent phrases meet the counts of their parts by joins, and scores are whole-number arithmetic.
 
-Bounds: a pivot with over HOT occurrences is dealt to several tasks, which emit all their counts; these are added up
-before the threshold. A task holds the fragments of one share of a pivot, at most about HOT, or STEP of several. The
-words are broadcast if a look at them finds at most DICTIONARY of them in DICTIONARY_BYTES; else texts get
+Bounds: pivots are dealt in buckets of some MET occurrences. One with over HOT occurrences is dealt to several tasks,
+which emit all their counts; these are added up before the threshold. A task holds the fragments of one bucket or one
+share of a pivot at a time, or STEP of several. The words are broadcast if a look at them finds at most DICTIONARY of them in DICTIONARY_BYTES; else texts get
 their ids by a join, one row a text as before, and the other steps are the same.
 
 Edge cases: a null text is empty, a null language is `und` and falls together with it; empty texts, pieces and
@@ -37,8 +37,9 @@ LEAST, LONGEST, FIRST, PERCENT = 100, 5, 2000, 100
 UNKNOWN = "und"
 #: Words that are broadcast, and their bytes.
 DICTIONARY, DICTIONARY_BYTES = 500_000, 16 << 20
-#: Occurrences of a pivot that one task takes; ids, or fragments, that are handled in one step; words counted at once.
-HOT, STEP, HELD = 1 << 20, 1 << 19, 1 << 18
+#: Occurrences of a pivot that one task takes; ids whose fragments are made, and fragments that are mined, in one step;
+#: words counted at once; occurrences of a bucket of pivots.
+HOT, GATHERED, STEP, HELD, MET = 1 << 20, 1 << 21, 1 << 19, 1 << 18, 1 << 21
 #: Bytes of a text that are split into words in one step.
 PIECE = 1 << 20
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -93,12 +94,25 @@ def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 
 def with_ids(frequent: DataFrame) -> tuple[DataFrame, bool]:
-    """frequent (lang, word, n), a table that is kept, with an id that rises as the count falls; whether it may be broadcast."""
+    """frequent (lang, word, n), a table that is kept, with an id, the place of the word in the order of falling counts;
+    and whether it may be broadcast."""
     n, size = frequent.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
-    few = n <= DICTIONARY and size <= DICTIONARY_BYTES
-    order = [F.desc("n"), F.col("lang"), F.col("word")]
-    dealt = frequent.repartitionByRange(1 if few else parts(frequent.sparkSession), *order).sortWithinPartitions(*order)
-    return kept(dealt.withColumn("id", F.monotonically_increasing_id()), "words"), few
+    spark, order = frequent.sparkSession, [F.desc("n"), F.col("lang"), F.col("word")]
+    dealt = frequent.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = kept(dealt.select("lang", "word", "n", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_at")), "dealt")
+    before, starts = 0, []
+    for row in sorted(dealt.groupBy("_part").count().collect()):
+        starts.append((row["_part"], before))
+        before += row["count"]
+    offsets = spark.createDataFrame(starts, "_part long, _before long")
+    words = kept(dealt.join(F.broadcast(offsets), "_part").select("lang", "word", "n", (F.col("_before") + F.col("_at")).alias("id")), "words")
+    dropped(dealt)
+    return words, n <= DICTIONARY and size <= DICTIONARY_BYTES
+
+
+def _narrow(few: bool) -> type:
+    """The type in which ids are sent: those of a broadcast dictionary are small."""
+    return np.int32 if few else np.int64
 
 
 def _by_dictionary(dictionary) -> Callable[[pa.RecordBatch], Iterator[tuple[str, list[np.ndarray]]]]:
@@ -109,7 +123,7 @@ def _by_dictionary(dictionary) -> Callable[[pa.RecordBatch], Iterator[tuple[str,
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if lang in ids:
                 get = ids[lang].get
-                yield lang, [np.array([get(w, -1) for w in words], np.int64) for words in tokens(text)]
+                yield lang, [np.array([get(w, -1) for w in words], np.int32) for words in tokens(text)]
 
     return ids_of
 
@@ -135,11 +149,12 @@ def windows(ids: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
     To the left words must be more frequent than the pivot, to the right they may be the pivot again.
     """
-    padded = np.concatenate([np.full(reach, -1, np.int64), ids, np.full(reach, -1, np.int64)])
+    edge = np.full(reach, -1, ids.dtype)
+    padded = np.concatenate([edge, ids, edge])
     sides, sizes = [], []
     for step in (-1, 1):
-        open_, size = ids >= 0, np.zeros(len(ids), np.int64)
-        side = np.full((len(ids), reach), -1, np.int64)
+        open_, size = ids >= 0, np.zeros(len(ids), np.int32)
+        side = np.full((len(ids), reach), -1, ids.dtype)
         for k in range(1, reach + 1):
             other = padded[reach + step * k : reach + step * k + len(ids)]
             open_ = open_ & (other >= 0) & ((other < ids) if step < 0 else (other <= ids))
@@ -151,73 +166,84 @@ def windows(ids: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return ids[some], sizes[0][some], sizes[1][some], np.concatenate(sides, axis=1)[some]
 
 
-def _merged(pivots: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the first of equal fragments, by pivot, and how many equal it: sorted by a hash, compared in full."""
-    mark = np.zeros(len(pivots), np.uint64)
+def _marks(pivots: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """A hash of each fragment."""
+    mark = pivots.astype(np.uint64)
     for k in range(around.shape[1]):
-        mark = (mark ^ around[:, k].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mark = (mark ^ around[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         mark ^= mark >> np.uint64(29)
-    order = np.lexsort((mark, pivots))
-    p, m = pivots[order], mark[order]
-    same = (p[1:] == p[:-1]) & (m[1:] == m[:-1])
+    return mark
+
+
+def _merged(keys: np.ndarray, pivots: np.ndarray, marks: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the first of equal fragments, by key, and how many equal it: sorted by a hash, compared in full."""
+    order = np.lexsort((marks, keys))
+    same = (keys[order[1:]] == keys[order[:-1]]) & (marks[order[1:]] == marks[order[:-1]]) & (pivots[order[1:]] == pivots[order[:-1]])
     some = np.flatnonzero(same)
     same[some] = (around[order[some]] == around[order[some + 1]]).all(axis=1)
-    first = np.flatnonzero(np.concatenate(([True], ~same))[: len(p)])
-    return order[first], np.diff(np.append(first, len(p)))
+    first = np.flatnonzero(np.concatenate(([True], ~same))[: len(order)])
+    return order[first], np.diff(np.append(first, len(order)))
 
 
-def fragments(rows: DataFrame, ids_of: Callable[[pa.RecordBatch], Iterator[tuple[str, list[np.ndarray]]]], longest: int) -> DataFrame:
-    """(lang, pivot, heads, ids): the fragments of a pivot. heads: count, left and right words of each; ids: its words."""
-    reach = longest - 1
+def fragments(rows: DataFrame, ids_of: Callable[[pa.RecordBatch], Iterator[tuple[str, list[np.ndarray]]]], longest: int, few: bool, hot: list[int], buckets: int) -> DataFrame:
+    """(key, heads, ids): fragments by bucket, or by share of a pivot (a negative key). heads: count, left and right words
+    of each as one number; ids: its words with the pivot among them.
+
+    hot: how many words occur more than HOT, 2 * HOT, 4 * HOT ... times; these have the least ids and 2, 4, 8 ... shares.
+    """
+    reach, kind = longest - 1, _narrow(few)
+    falling = -np.array(hot, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: defaultdict[str, list[np.ndarray]] = defaultdict(list)
-        n, gap = 0, np.full(1, -1, np.int64)
+        n, gap = 0, np.full(1, -1, kind)
 
-        def sent(lang: str, sequence: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def sent(sequence: np.ndarray) -> Iterator[pa.RecordBatch]:
             pivots, left, right, around = windows(sequence, reach)
-            first, counts = _merged(pivots, around)
-            if not len(first):
+            if not len(pivots):
                 return
-            pivots, left, right, around = pivots[first], left[first], right[first], around[first]
-            heads = np.stack([counts, left, right], axis=1).astype(np.int32)
-            starts = np.flatnonzero(np.concatenate(([True], pivots[1:] != pivots[:-1])))
-            bounds = np.append(starts, len(pivots))
-            words = np.concatenate(([0], np.cumsum(left + right)))[bounds]
-            for k in range(0, len(starts), 1 << 14):
-                own = bounds[k : k + (1 << 14) + 1]
-                at = words[k : k + (1 << 14) + 1]
+            marks, keys = _marks(pivots, around), pivots.astype(np.int64) % buckets
+            levels = np.searchsorted(falling, -pivots.astype(np.int64), "left")
+            some = levels > 0
+            shares = (marks[some] >> np.uint64(20)) & ((np.uint64(1) << levels[some].astype(np.uint64)) - np.uint64(1))
+            keys[some] = -1 - (pivots[some].astype(np.int64) << 24 | shares.astype(np.int64))
+            first, counts = _merged(keys, pivots, marks, around)
+            keys, left, right = keys[first], left[first], right[first]
+            around = np.insert(around[first], reach, pivots[first], axis=1)
+            heads = ((counts * longest + left) * longest + right).astype(np.int32)
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            bounds = np.append(starts, len(keys))
+            words = np.concatenate(([0], np.cumsum(left + right + 1, dtype=np.int64)))[bounds]
+            for k in range(0, len(starts), 1 << 12):
+                own = bounds[k : k + (1 << 12) + 1]
+                at = words[k : k + (1 << 12) + 1]
                 blob = lambda values, offsets: pa.Array.from_buffers(pa.binary(), len(own) - 1, [None, pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])  # noqa: B023, E731
                 near = around[own[0] : own[-1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * (len(own) - 1)), pa.array(pivots[own[:-1]]), blob(heads[own[0] : own[-1]], own * 12), blob(near[near >= 0], at * _WIDTH)],
-                    names=["lang", "pivot", "heads", "ids"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(keys[own[:-1]]), blob(heads[own[0] : own[-1]], own * 4), blob(near[near >= 0], at * near.itemsize)], names=["key", "heads", "ids"])
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            for lang, held_ids in waiting.items():
-                yield from sent(lang, np.concatenate(held_ids))
-            waiting.clear()
+            while waiting:
+                yield from sent(np.concatenate(waiting.popitem()[1]))
 
         for batch in batches:
             for lang, found in ids_of(batch):
                 waiting[lang] += [*found, gap]
                 n += sum(map(len, found)) + 1
-                if n > STEP:
+                if n > GATHERED:
                     yield from flushed()
                     n = 0
         yield from flushed()
 
-    return rows.mapInArrow(tidy(run), "lang string, pivot long, heads binary, ids binary")
+    return rows.mapInArrow(tidy(run), "key long, heads binary, ids binary")
 
 
 def mined(keys: np.ndarray, least: np.ndarray, pivots: np.ndarray, heads: np.ndarray, ids: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(key, phrase ids as rows, count) of the phrases that hold their pivot, level by level, for one length and place.
 
-    keys: for each fragment its pivot's number, ascending; least: for each number the count that a phrase needs.
+    ids: without the pivots; keys: for each fragment its pivot's number; least: for each number the count that a phrase needs.
     """
     reach = longest - 1
-    count, left, right = heads[:, 0].astype(np.int64), heads[:, 1], heads[:, 2]
+    count, left, right = heads.astype(np.int64) // longest**2, heads // longest % longest, heads % longest
     words, dense = np.unique(ids, return_inverse=True)
     place = np.arange(reach)
     row = np.full((len(keys), 2 * reach + 1), -1, np.int64)
@@ -262,34 +288,34 @@ def mined(keys: np.ndarray, least: np.ndarray, pivots: np.ndarray, heads: np.nda
             return
 
 
-def _mine(least: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Phrases of the pivots of sorted rows (lang, pivot, share, shares, heads, ids)."""
+def _mine(least: int, longest: int, few: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Phrases of the pivots of rows (key, heads, ids) that come sorted by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
         size = 0
 
         def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            starts = [k == 0 or rows[k][1:3] != rows[k - 1][1:3] for k in range(len(rows))]
-            number = np.cumsum(starts) - 1
-            langs = [r[0] for r, s in zip(rows, starts, strict=True) if s]
-            needed = np.array([least if r[3] == 1 else 1 for r, s in zip(rows, starts, strict=True) if s], np.int64)
-            each = np.array([len(r[4]) // 12 for r in rows])
-            heads = np.frombuffer(b"".join(r[4] for r in rows), np.int32).reshape(-1, 3)
-            ids = np.frombuffer(b"".join(r[5] for r in rows), np.int64)
-            keys, pivots = np.repeat(number, each), np.repeat(np.array([r[1] for r in rows], np.int64), each)
-            for owner, phrases, total in mined(keys, needed, pivots, heads, ids, longest):
+            owners, blobs, told = zip(*rows, strict=True)
+            heads, ids = np.frombuffer(b"".join(blobs), np.int32), np.frombuffer(b"".join(told), _narrow(few)).astype(np.int64)
+            left, right = heads // longest % longest, heads % longest
+            at = np.cumsum(left + right + 1, dtype=np.int64) - right - 1
+            each = np.repeat(np.array(owners, np.int64), [len(x) // 4 for x in blobs])
+            # A pivot's number: those of a bucket are told apart by their ids, the shares of one by their keys.
+            pivots = ids[at]
+            names, keys = np.unique(np.where(each < 0, each, pivots), return_inverse=True)
+            for _, phrases, total in mined(keys, np.where(names < 0, 1, least), pivots, heads, np.delete(ids, at), longest):
                 width = phrases.shape[1] * _WIDTH
                 raw = pa.Array.from_buffers(pa.binary(width), len(phrases), [None, pa.py_buffer(np.ascontiguousarray(phrases.astype(">i8")))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([langs[k] for k in owner.tolist()], pa.string()), raw, pa.array(total)], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([raw, pa.array(total)], names=["gram", "n"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > STEP and row[1:3] != waiting[-1][1:3]:
+                if size > STEP and row[0] != waiting[-1][0]:
                     yield from out(waiting)
                     waiting, size = [], 0
                 waiting.append(row)
-                size += len(row[4]) // 12
+                size += len(row[1]) // 4
         if waiting:
             yield from out(waiting)
 
@@ -297,26 +323,25 @@ def _mine(least: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def phrase_counts(docs: DataFrame, words: DataFrame, few: bool, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """(lang, gram, n): the phrases of 2 to longest words with least occurrences or more; gram: the ids of its words.
+    """(gram, n): the phrases of 2 to longest words with least occurrences or more; gram: the ids of its words.
 
     words: (lang, word, n, id) of the frequent words, a table that is kept; few: whether it may be broadcast.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = _rows(docs, text_col, lang_col)
+    powers = [HOT << k for k in range(24)]
+    told = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.count_if(F.col("n") > p).alias(f"over{k}") for k, p in enumerate(powers)]).first()
+    hot, buckets = [x for x in told[1:] if x], max(4 * parts(spark), told["n"] // MET)
     if few:
         ids: defaultdict[str, dict[bytes, int]] = defaultdict(dict)
         for row in words.select("lang", "word", "id").toLocalIterator():
             ids[row["lang"]][row["word"].encode()] = row["id"]
-        found = fragments(rows, _by_dictionary(spark.sparkContext.broadcast(dict(ids))), longest)
+        ids_of = _by_dictionary(spark.sparkContext.broadcast(dict(ids)))
     else:
-        found = fragments(_by_join(rows, words), _of_column, longest)
-    split = words.where(F.col("n") > HOT).select(F.col("id").alias("pivot"), F.ceil(F.col("n") / HOT).cast("int").alias("shares"))
-    dealt = found.join(held(split), "pivot", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
-    dealt = dealt.select("lang", "pivot", F.pmod(F.xxhash64("heads", "ids"), F.col("shares")).cast("int").alias("share"), "shares", "heads", "ids")
-    dealt = dealt.repartition(parts(spark), "pivot", "share").sortWithinPartitions("pivot", "share")
-    counts = dealt.mapInArrow(tidy(_mine(least, longest)), "lang string, gram binary, n long")
-    return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        rows, ids_of = _by_join(rows, words), _of_column
+    dealt = fragments(rows, ids_of, longest, few, hot, buckets).repartition(parts(spark), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(tidy(_mine(least, longest, few)), "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def _part(gram: Column, first: Column | int, words: Column | int) -> Column:
@@ -325,6 +350,11 @@ def _part(gram: Column, first: Column | int, words: Column | int) -> Column:
     return F.substring(gram, (first - 1) * _WIDTH + 1, words * _WIDTH)
 
 
+def _id_at(gram: Column, at: Column | int) -> Column:
+    """The id of a gram's word, counted from 1."""
+    return F.conv(F.hex(_part(gram, at, 1)), 16, 10).cast("long")
+
+
 def score(a: Column, n: Column, l: Column, r: Column) -> Column:
     """floor(1000 * a * n / (l * r)), exact for counts of up to 16 digits."""
     whole = lambda x: x.cast("decimal(19,0)")
@@ -366,7 +396,8 @@ def collocations(
     totals = kept(counts.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     frequent = kept(counts.where(F.col("n") >= least), "frequent")
     words, few = with_ids(frequent)
-    grams = kept(phrase_counts(docs, words, few, text_col, lang_col, least, longest).withColumnRenamed("n", "a"), "grams")
+    grams = phrase_counts(docs, words, few, text_col, lang_col, least, longest).select("gram", F.col("n").alias("a"), _id_at(F.col("gram"), 1).alias("id"))
+    grams = kept(grams.join(held(words.select("id", "lang")), "id").select("lang", "gram", "a"), "grams")
     dropped(counts, frequent)
     singles = words.select(F.unhex(F.lpad(F.hex("id"), 2 * _WIDTH, "0")).alias("gram"), F.col("n").alias("f"))
     candidates = without_contained(kept(scored(grams, singles, totals), "scored"), percent)
@@ -375,7 +406,7 @@ def collocations(
     best = candidates.withColumn("_rank", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_rank") <= first).drop("_rank")
     length = F.call_function("div", F.length("gram"), F.lit(_WIDTH)).cast("int")
     spelled = best.select("*", F.explode(F.sequence(F.lit(1), length)).alias("_at"))
-    spelled = spelled.withColumn("id", F.conv(F.hex(_part(F.col("gram"), F.col("_at"), 1)), 16, 10).cast("long")).join(held(words.select("id", "word")), "id")
+    spelled = spelled.withColumn("id", _id_at(F.col("gram"), F.col("_at"))).join(held(words.select("id", "word")), "id")
     spelled = spelled.groupBy("lang", "gram", "a", "l", "r", "n", "score").agg(F.sort_array(F.collect_list(F.struct("_at", "word"))).alias("_words"))
     spelled = spelled.withColumn("phrase", F.array_join(F.col("_words.word"), " "))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase"))

@@ -53,7 +53,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize(
     ("limits", "least", "longest", "first", "percent"),
-    [({}, 5, 5, 2000, 100), ({"HOT": 40, "STEP": 50, "PIECE": 7, "HELD": 3}, 5, 5, 7, 100), ({"DICTIONARY": 2}, 4, 4, 20, 60), ({"DICTIONARY_BYTES": 0, "HOT": 25}, 3, 2, 3, 100), ({"STEP": 1}, 9, 7, 2000, 100)],
+    [({}, 5, 5, 2000, 100), ({"HOT": 40, "STEP": 50, "GATHERED": 70, "PIECE": 7, "HELD": 3}, 5, 5, 7, 100), ({"DICTIONARY": 2}, 4, 4, 20, 60), ({"DICTIONARY_BYTES": 0, "HOT": 25}, 3, 2, 3, 100), ({"STEP": 1, "MET": 1}, 9, 7, 2000, 100)],
 )
 def test_collocations(spark, monkeypatch, limits, least, longest, first, percent):
     for name, value in limits.items():
