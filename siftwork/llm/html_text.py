@@ -30,6 +30,8 @@ from __future__ import annotations
 
 import hashlib
 import html
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,8 +44,8 @@ from pyspark.sql import types as T
 from .scratch import held, kept, small_batches, tidy
 from .shingles import mixed
 
-#: Pages of a shard; tokens of the shortest run that counts (shorter blocks count when they repeat as a whole).
-SHARD, RUN = 512, 8
+#: Pages and bytes of a shard; tokens of the shortest run that counts (shorter blocks count when they repeat as a whole).
+SHARD, SHARD_BYTES, RUN = 512, 64 << 20, 8
 #: Inside articles a run is boilerplate on at least so many pages, if these are half of the host's pages with an article.
 INSIDE_LEAST = 10
 #: Outside articles a run is boilerplate on so many different pages of a host.
@@ -55,7 +57,8 @@ OUTSIDE, INSIDE, PAGES = 0, 1, 2
 LEVEL = 3
 CHROME, NEITHER, ARTICLE, SUSPECT = 0, 1, 2, 3
 
-_TAG = regex.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""", regex.S)
+_OPEN = regex.compile(r"<(?:(?P<note>!--)|[!?]|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+))")
+_WHOLE = regex.compile(r"""<(?:(?P<note>!--)|[!?]|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?P<last>>)?)""")
 _ATTR = regex.compile(r"""([a-zA-Z_:][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _RAW = frozenset("script style noscript template textarea iframe svg math object title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -103,15 +106,69 @@ def _kind_of(name: str, rest: str, inside: int) -> int | None:
     return None
 
 
+class Tags:
+    """The tags of a page in order, found in time that grows with its length whatever the page holds.
+
+    A tag ends at the first > outside of its quotes, or at the first > if there is none outside. A search that finds none
+    outside has looked at the whole rest of the page; from then on ends come from a table of all quotes and >, made once.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.ends = page, None
+
+    def _table(self) -> tuple[list[int], list[int]]:
+        """Places of quotes and >, and for each the end of a tag of which it is the first such sign; -1 without one."""
+        at = [m.start() for m in regex.finditer("[>\"']", self.page)]
+        ends, after = [-1] * (len(at) + 1), {}
+        for k in range(len(at) - 1, -1, -1):
+            sign = self.page[at[k]]
+            if sign == ">":
+                ends[k] = at[k]
+            else:
+                ends[k] = ends[after[sign] + 1] if sign in after else -1
+                after[sign] = k
+        return at, ends
+
+    def _end(self, start: int) -> int:
+        """The place of the > that ends the tag whose name ends at start; -1 if no > follows."""
+        if self.ends is None:
+            self.ends = self._table()
+        at, ends = self.ends
+        end = ends[bisect_left(at, start)]
+        return end if end >= 0 else self.page.find(">", start)
+
+    def after(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, whether it closes, rest) of the next tag; the name is empty for comments and declarations."""
+        page = self.page
+        while found := (_WHOLE if self.ends is None else _OPEN).search(page, at):
+            start, name = found.start(), found["name"]
+            if self.ends is None and found["last"]:
+                return start, found.end(), name.lower(), bool(found["end"]), found["rest"]
+            if found["note"]:
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", False, ""
+            named = found.end("name") if name else start + 2
+            end = self._end(named) if name else page.find(">", named)
+            if end >= 0:
+                return start, end + 1, (name or "").lower(), bool(found["end"]), page[named:end] if name else ""
+            # Nothing but a comment can follow without a >.
+            at = page.find("<!--", start + 1)
+            if at < 0:
+                return None
+        return None
+
+
 def parse(page: str | None) -> list[tuple[int, str]]:
     """(kind, text) of each block that has text, in order."""
     page = page or ""
     blocks: list[tuple[int, str]] = []
-    stack: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, int, bool, list[str] | None]] = []
+    opened: defaultdict[str, int] = defaultdict(int)
     pieces: list[str] = []
     kind, at, explicit = NEITHER, 0, False
     own: list[bool] = []
     in_article = False
+    tags = Tags(page)
 
     def flush() -> None:
         if pieces:
@@ -120,32 +177,41 @@ def parse(page: str | None) -> list[tuple[int, str]]:
                 own.append(in_article)
             pieces.clear()
 
+    def close(k: int) -> None:
+        """Leaves the elements from the k-th on. The block around an inline control goes on after it."""
+        nonlocal kind, in_article, pieces
+        while len(stack) > k:
+            name, before, article, around = stack.pop()
+            opened[name] -= 1
+            if around is not None or before != kind:
+                flush()
+            pieces = pieces if around is None else around
+            kind, in_article = before, article
+
     while True:
-        tag = _TAG.search(page, at)
-        end = tag.start() if tag else len(page)
+        tag = tags.after(at)
+        end = tag[0] if tag else len(page)
         if end > at:
             piece = page[at:end]
             pieces.append(html.unescape(piece) if "&" in piece else piece)
         if not tag:
             break
-        at = tag.end()
-        name = (tag["name"] or "").lower()
+        _, at, name, closes, rest = tag
         if not name:
             continue
-        if tag["end"]:
+        if closes:
             if name in _BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    flush() if stack[k][1] != kind else None
-                    _, kind, in_article = stack[k]
-                    del stack[k:]
-                    break
+            if opened[name]:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == name:
+                        close(k)
+                        break
             continue
         if name in _RAW:
-            if not tag["rest"].rstrip().endswith("/"):
-                close = regex.compile(rf"</{regex.escape(name)}\s*>", regex.I).search(page, at)
-                at = close.end() if close else len(page)
+            if not rest.rstrip().endswith("/"):
+                found = regex.compile(rf"</{regex.escape(name)}\s*>", regex.I).search(page, at)
+                at = found.end() if found else len(page)
             continue
         if name in _BLOCK:
             flush()
@@ -156,18 +222,23 @@ def parse(page: str | None) -> list[tuple[int, str]]:
         if name == "p" and stack and any(s[0] == "p" for s in stack[-4:]):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
-                    _, kind, in_article = stack[k]
-                    del stack[k:]
+                    close(k)
                     break
-        new = _kind_of(name, tag["rest"], kind)
-        stack.append((name, kind, in_article))
-        if new is not None and kind != CHROME and new != kind and not (kind == SUSPECT and new == ARTICLE):
+        new = _kind_of(name, rest, kind)
+        changes, around = new is not None and kind != CHROME and new != kind and not (kind == SUSPECT and new == ARTICLE), None
+        if changes and new == CHROME and name not in _BLOCK:
+            pieces, around = [], pieces
+        elif changes:
             flush()
-            kind = new
+        stack.append((name, kind, in_article, around))
+        opened[name] += 1
+        kind = new if changes else kind
         if name == "article" and kind in (ARTICLE, SUSPECT):
             flush()
             explicit = in_article = True
     flush()
+    close(0)
+    flush()
     if explicit:
         blocks = [(NEITHER if k in (ARTICLE, SUSPECT) and not a else k, t) for (k, t), a in zip(blocks, own, strict=True)]
     return blocks
@@ -363,7 +434,9 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     small_batches(spark)
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     ids = pages.select(host.alias("_host"), F.col(id_col).alias("_page"))
-    hosts = held(kept(ids.groupBy("_host").agg(F.count("*").alias("_n")).where(F.col("_n") > shard), "hosts"))
+    sizes = pages.select(host.alias("_host"), F.octet_length(html_col).cast("long").alias("_bytes")).groupBy("_host").agg(F.count("*").alias("_n"), F.coalesce(F.sum("_bytes"), F.lit(0)).alias("_bytes"))
+    sizes = sizes.select("_host", F.greatest(F.ceil(F.col("_n") / shard), F.ceil(F.col("_bytes") / SHARD_BYTES)).alias("_shards"))
+    hosts = held(kept(sizes.where(F.col("_shards") > 1), "hosts"))
     again = held(kept(ids.groupBy(F.col("_host").alias("_on"), "_page").agg(F.count("*").alias("_rows")).where(F.col("_rows") > 1).drop("_rows").withColumn("_again", F.lit(True)), "again"))
     kinds = {f.name: f.dataType for f in pages.schema}
     schema = T.StructType(
@@ -375,7 +448,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         last = how == "left"
         rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
         rows = rows.join(hosts, F.col("host") == F.col("_host"), how).join(again, (F.col("host") == F.col("_on")) & F.col("page").eqNullSafe(F.col("_page")), "left")
-        shards = F.coalesce(F.ceil(F.col("_n") / shard), F.lit(1)).cast("long")
+        shards = F.coalesce("_shards", F.lit(1)).cast("long")
         rows = rows.select("page", "url", "html", "host", F.coalesce("_again", F.lit(False)).alias("again"), F.pmod(F.xxhash64("page", "url"), shards).alias("shard"), shards.alias("shards"), (F.lit(last) & (shards > 1)).alias("lean"))
         rows = rows if last else rows.withColumn("url", F.lit(None).cast(kinds[url_col]))
         return rows.mapInArrow(tidy(_parsed), schema)

@@ -146,7 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     taken in turns of one of each side; of rows that repeat an id one text is learned from. None without two grades."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(grade_col).cast("int").alias("_grade"))
-    known = known.withColumn("_side", F.col("_grade") > 0)
+    with_text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"))
+    known = known.join(with_text, "_id", "left_semi").withColumn("_side", F.col("_grade") > 0)
     chosen = evenly(known, "_side", ["_id"], fit_rows // 2, 2)
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))

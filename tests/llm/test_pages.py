@@ -1,6 +1,7 @@
 """The pages query against a brute-force version, planted boilerplate, and names of classes."""
 
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -118,3 +119,66 @@ def test_page_edge_cases(spark):
     out = html_text.main_texts(spark.createDataFrame(rows, PAGES + ", host string")).collect()
     assert sorted((str(r["page_id"]), r["text"]) for r in out) == [("1", ""), ("2", ""), ("3", "cut <a hre"), ("3", "cut <a hre"), ("None", "a <b> &amp;")]
     assert html_text.main_texts(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize("tail", ["", '"', ">", "</p>"])
+@pytest.mark.parametrize("sign", ["<a", '<a "', "a<b ", "<!-- x ", '<a ">" ', "<a ' \" >", "<a >", "</b>", "<a x='", "< ", "<p><i>", "<!x"])
+def test_time_follows_the_page(sign, tail):
+    page = sign * (1_000_000 // len(sign)) + tail
+    began = time.process_time()
+    html_text.parse(page)
+    assert time.process_time() - began < 15
+
+
+def test_tags_of_torn_pages():
+    """Ends of tags against a plain scan of the same rule, on short torn pages."""
+    rnd = random.Random(8)
+    for _ in range(3000):
+        page = "".join(rnd.choice(["<a", "<b ", ">", '"', "'", "x", " ", "</a", "<!", "<!--", "-->", "</"]) for _ in range(rnd.randrange(14)))
+        tags, at, got = html_text.Tags(page), 0, []
+        while found := tags.after(at):
+            got.append(found[:2])
+            at = found[1]
+        assert got == plain_tags(page)
+
+
+def plain_tags(page):
+    out, at = [], 0
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+        elif page[at + 1 : at + 2] in ("!", "?") and page[at + 1 : at + 2]:
+            end = page.find(">", at + 2) + 1
+        else:
+            named = at + 2 if page.startswith("</", at) else at + 1
+            if not page[named : named + 1].isalpha():
+                at += 1
+                continue
+            while named < len(page) and not page[named].isspace() and page[named] not in "/>":
+                named += 1
+            quote, k = "", named
+            while k < len(page) and (quote or page[k] != ">"):
+                quote = "" if page[k] == quote else quote or (page[k] if page[k] in "\"'" else "")
+                k += 1
+            end = k + 1 if k < len(page) else page.find(">", named) + 1
+        if end <= at:
+            at += 1
+            continue
+        out.append((at, end))
+        at = end
+    return out
+
+
+def test_blocks_go_on_around_inline_controls():
+    assert html_text.parse("<article><p>I said <button>b</button> so</p><p>x</article>") == [(0, "b"), (2, "I said so"), (2, "x")]
+    assert html_text.parse("<article><p>I said <button>b</p><p>x</p></article><nav>n") == [(0, "b"), (2, "I said"), (2, "x"), (0, "n")]
+
+
+def test_shards_by_bytes(spark, monkeypatch):
+    """Hosts with few but long pages are dealt to several tasks as well, with the same texts."""
+    rows = [(k, f"http://h/{k}", f"<div>shared words that stand on every page here and there</div><p>{' '.join(f'w{k}x{j}' for j in range(50))}</p>") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, html_text.main_texts(pages).collect()))
+    monkeypatch.setattr(html_text, "SHARD_BYTES", 2000)
+    assert sorted(map(tuple, html_text.main_texts(pages).collect())) == want and "shared" not in want[0][2]

@@ -423,3 +423,11 @@ def test_stages_keep_columns_whose_names_clash(spark):
     for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs, "")
         assert out.columns == docs.columns and all(r["_id"] == r["size"] == r["component_id"] == r["doc_id"] for r in out.collect()), name
+
+
+def test_toxicity_with_labels_of_other_documents(spark):
+    """Labels without a document take no place in the sample."""
+    docs = spark.createDataFrame([(k, ("vile nasty hateful scum " if k % 2 else "calm pleasant garden walk ") * 3 + f"w{k}") for k in range(120)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("grade")).unionByName(spark.range(10_000, 60_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("grade")))
+    model = toxicity.train(docs, labels, fit_rows=200)
+    assert model is not None and all(r["toxic"] == bool(r["doc_id"] % 2) for r in toxicity.severities(docs, model).collect())
