@@ -18,6 +18,7 @@ from ..sources import readers, tables
 from ..sources.shared import shared_folder
 from ..sources.tables import ISSUES_SQL, NODE_RUNS_SQL, files, issues, node_runs, query_set
 from ..streaming import events as streams
+from ..streaming import tasks
 from . import workflow
 from .catalog import FILES, query
 
@@ -425,10 +426,13 @@ STREAM_SQL = f"""e AS (SELECT event_id AS id, user_id AS task_id, [{', '.join(f"
 c AS (SELECT DISTINCT user_id AS task_id, CASE WHEN user_id % 10 = 0 THEN 1000000000 ELSE user_id * 3 END AS cursor FROM events)"""
 
 
-@query(f"""WITH {STREAM_SQL}, n AS (SELECT e.*, row_number() OVER (PARTITION BY task_id ORDER BY id) AS place FROM e JOIN c USING (task_id) WHERE id > cursor QUALIFY place <= 20),
+CLIENTS_SQL = f"""WITH {STREAM_SQL}, n AS (SELECT e.*, row_number() OVER (PARTITION BY task_id ORDER BY id) AS place FROM e JOIN c USING (task_id) WHERE id > cursor QUALIFY place <= 20),
 s AS (SELECT *, coalesce(bool_or(event_type IN ('completed', 'partial', 'failed', 'cancelled')) OVER (PARTITION BY task_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM n)
 SELECT task_id, place::INT AS place, id::DOUBLE AS id, concat('id: ', id, chr(10), 'event: ', event_type, chr(10), 'data: {{"id":', id, ',"task_id":', task_id, ',"progress":', progress, '}}', chr(10), chr(10)) AS frame, event_type IN ('completed', 'partial', 'failed', 'cancelled') AS done FROM s WHERE NOT ended
-UNION ALL SELECT task_id, 0, NULL, concat(': heartbeat', chr(10), chr(10)), false FROM c WHERE task_id NOT IN (SELECT task_id FROM n)""")
+UNION ALL SELECT task_id, 0, NULL, concat(': heartbeat', chr(10), chr(10)), false FROM c WHERE task_id NOT IN (SELECT task_id FROM n)"""
+
+
+@query(CLIENTS_SQL)
 def client_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the clients of all tasks are sent next: twenty events at most, none behind a final one, or a heartbeat."""
     e = tables.table(spark, sf_dir, "events")
@@ -439,6 +443,39 @@ def client_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("id", F.col("id").cast("double"))
 
 
+def _grown(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    """A stream over a folder to which rows are added."""
+    rows.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+@query(CLIENTS_SQL)
+def live_client_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames from a stream with state: clients come, then their events, then nothing; restarted in between.
+
+    Heartbeats go on for as long as nothing is sent; they count once.
+    """
+    base = shared_folder(spark, "live")
+    kind = F.element_at(F.array(*[F.lit(x) for x in KINDS]), (F.col("event_id") % len(KINDS) + 1).cast("int"))
+    rows = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("task_id"), kind.alias("event_type"), (F.col("event_id") % 101).alias("progress"))
+    cursors = rows.select("task_id").distinct().withColumn("cursor", F.when(F.col("task_id") % 10 == 0, 1000000000).otherwise(F.col("task_id") * 3).cast("long"))
+    for k in range(3):
+        e, c = _grown(spark, rows.where(F.lit(k == 1)), f"{base}/events"), _grown(spark, cursors.where(F.lit(k == 0)), f"{base}/clients")
+        tasks.run(tasks.client_frames(e, c, 20), f"{base}/checkpoint", f"{base}/sink", once=True)
+    return spark.read.parquet(f"{base}/sink").drop("batch").distinct().withColumn("id", F.col("id").cast("double"))
+
+
+@query("SELECT DISTINCT ON (user_id, k) user_id, json_extract_string(props, '$.k') AS k, event_id AS id FROM events ORDER BY user_id, k, event_id")
+def live_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first request of each key from a stream that is stopped half-way and started again."""
+    base = shared_folder(spark, "live")
+    r = tables.table(spark, sf_dir, "events").select("user_id", F.get_json_object("props", "$.k").alias("idempotency_key"), F.col("event_id").alias("id"))
+    half = r.agg(F.percentile_approx("id", 0.5)).first()[0]
+    for part in (F.col("id") <= half, F.col("id") > half):
+        tasks.run(tasks.first_requests(_grown(spark, r.where(part), f"{base}/requests")), f"{base}/checkpoint", f"{base}/sink")
+    return spark.read.parquet(f"{base}/sink").select("user_id", F.col("idempotency_key").alias("k"), "id")
+
+
 @query("SELECT event_id AS id, user_id AS task_id FROM events")
 def appended_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of all events appended to a sink twice: the checkpoint delivers each once."""

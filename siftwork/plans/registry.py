@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import numbers, paths, text
 from ..operators import chunking, evaluate, indexing, projections, review, scan, usage
 from ..sources import tables
+from ..sources.shared import shared_folder
 from ..sources.tables import ISSUES_SQL, NODE_RUNS_SQL, PREDICTED_SQL, TRUTH_SQL, files, issues, node_runs, predicted_spans, truth_spans
 from ..streaming import events as streams
+from ..streaming import tasks
 from . import library, retrieval, workflow  # noqa: F401 - they register their queries
 from .catalog import FILES, ORACLE_SQL, QUERIES, query, quoted  # noqa: F401
 
@@ -370,15 +372,31 @@ def event_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.running_progress(_events(spark, sf_dir)).select("id", "shown")
 
 
-@query(f"""WITH RECURSIVE {EVENTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY id) AS i FROM e), s AS (
+FSM_SQL = f"""WITH RECURSIVE {EVENTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY id) AS i FROM e), s AS (
   SELECT task_id, 0::BIGINT AS i, 'pending' AS state FROM (SELECT DISTINCT task_id FROM e)
   UNION ALL SELECT s.task_id, n.i, CASE WHEN s.state = 'pending' AND event_type = 'started' THEN 'scanning' WHEN s.state = 'scanning' AND event_type = 'scanned' THEN 'reviewing' WHEN s.state = 'reviewing' AND event_type = 'completed' THEN 'success'
     WHEN s.state IN ('pending', 'scanning', 'reviewing') AND event_type IN ('failed', 'cancelled') THEN event_type ELSE s.state END FROM s JOIN n ON n.task_id = s.task_id AND n.i = s.i + 1)
-SELECT task_id, arg_max(state, s.i) AS state, (SELECT max(progress) FROM e WHERE e.task_id = s.task_id)::INT AS progress, max(s.i) AS n_events FROM s GROUP BY task_id""")
+SELECT task_id, arg_max(state, s.i) AS state, (SELECT max(progress) FROM e WHERE e.task_id = s.task_id)::INT AS progress, max(s.i) AS n_events FROM s GROUP BY task_id"""
+
+
+@query(FSM_SQL)
 def task_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.task_states(_events(spark, sf_dir))
 
 
+@query(FSM_SQL)
+def live_task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same states from a stream that is stopped half-way and started again: the last update of each task."""
+    base = shared_folder(spark, "live")
+    e = _events(spark, sf_dir).drop("created_at")
+    half = e.agg(F.percentile_approx("id", 0.5)).first()[0]
+    for part in (F.col("id") <= half, F.col("id") > half):
+        e.where(part).write.mode("append").parquet(f"{base}/events")
+        tasks.run(streams.state_stream(spark.readStream.schema(e.schema).parquet(f"{base}/events")), f"{base}/checkpoint", f"{base}/sink", "update")
+    told = spark.read.parquet(f"{base}/sink").groupBy("task_id").agg(F.max_by(F.struct("state", "progress", "n_events"), "n_events").alias("x"))
+    return told.select("task_id", "x.*")
+
+
 @query("SELECT DISTINCT ON (user_id, k) user_id, json_extract_string(props, '$.k') AS k, event_id AS id FROM events ORDER BY user_id, k, event_id")
 def idempotent_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = tables.table(spark, sf_dir, "events").select("user_id", F.get_json_object("props", "$.k").alias("idempotency_key"), F.col("event_id").alias("id"))

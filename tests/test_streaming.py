@@ -43,3 +43,29 @@ def test_retention_and_frames(spark):
 def test_requests_once(spark):
     df = spark.createDataFrame([(1, "k", 5), (1, "k", 3), (2, "k", 4)], "user_id long, idempotency_key string, id long")
     assert sorted(r["id"] for r in events.once(df, "id").collect()) == [3, 4]
+
+
+def test_live_streams_go_on_after_a_restart(spark, tmp_path):
+    """Clients that come late get what follows; a client without events gets heartbeats; nothing follows a final event."""
+    from siftwork.streaming import tasks
+
+    def went(events, clients):
+        e, c = (spark.createDataFrame(rows, shape) for rows, shape in ((events, SHAPE), (clients, "task_id long, cursor long")))
+        e.write.mode("append").parquet(f"{tmp_path}/e"), c.write.mode("append").parquet(f"{tmp_path}/c")
+        stream = tasks.client_frames(*(spark.readStream.schema(x.schema).parquet(f"{tmp_path}/{n}") for x, n in ((e, "e"), (c, "c"))), limit=3)
+        tasks.run(stream, f"{tmp_path}/k", f"{tmp_path}/out", once=True)
+        return sorted((r["task_id"], r["place"], r["id"], r["done"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    assert went(ROWS[:2], [(1, 1), (9, 0)]) == [(1, 1, 2, False)]
+    assert went(ROWS[2:5], []) == [(1, 1, 2, False), (1, 2, 4, True), (9, 0, None, False)]
+    assert went(ROWS[5:], [(3, 0)])[:2] == [(1, 1, 2, False), (1, 2, 4, True)]
+
+
+def test_requests_of_a_restarted_stream(spark, tmp_path):
+    from siftwork.streaming import tasks
+
+    shape = "user_id long, idempotency_key string, id long"
+    for rows in ([(1, "k", 5), (1, "k", 3), (2, None, 4)], [(1, "k", 9), (2, None, 6), (2, "k", 7)]):
+        spark.createDataFrame(rows, shape).write.mode("append").parquet(f"{tmp_path}/in")
+        tasks.run(tasks.first_requests(spark.readStream.schema(shape).parquet(f"{tmp_path}/in")), f"{tmp_path}/k", f"{tmp_path}/out")
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [3, 4, 7]
