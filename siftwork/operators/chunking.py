@@ -8,7 +8,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -191,6 +191,19 @@ def detect(path: str) -> str | None:
     return next((name for name, p in PARSERS.items() if end in p.extensions), None)
 
 
+def resolve(path: str, source: str) -> str | None:
+    """The language of a file: by its extension, else the first whose parser finds definitions in its text."""
+    if found := detect(path):
+        return found
+    for name, parser in PARSERS.items():
+        try:
+            if parser.read(source)[0]:
+                return name
+        except (SyntaxError, ValueError, RecursionError, KeyError, MemoryError):
+            continue
+    return None
+
+
 def parse_source(path: str, language: str, source: str, max_lines: int = MAX_LINES, overlap: int = OVERLAP) -> list[Row]:
     """Chunk and reference rows of one file; a file that does not parse falls back to line windows."""
     base = dict.fromkeys(FIELDS) | {"path": path, "language": language}
@@ -236,6 +249,28 @@ def parsed(files: DataFrame, parse: Callable[[str, str, str], list[Row]] = parse
     return out.withColumn("content_hash", hashed).withColumn("chunk_fingerprint", F.when(F.col("kind") == "chunk", text.chunk_fingerprint(F.col("path"), identity, F.col("start_line"), F.col("end_line"), F.col("content_hash"))))
 
 
+#: What the table function gives: the columns of parsed() without those of the file.
+PARSED = ", ".join(f for f in CHUNK.split(", ") if f.split()[0] not in ("file_id", "path"))
+
+
+class ParseSource:
+    """A table function for SQL: the chunks and references of one file, LATERAL parse_source(path, text).
+
+    A null text is empty; a file of no known language is cut into line windows.
+    """
+
+    def eval(self, path: str, source: str) -> Iterator[tuple]:
+        path, source = path or "", source or ""
+        for row in parse_source(path, resolve(path, source) or "", source):
+            yield tuple(row[f.split()[0]] for f in PARSED.split(", "))
+
+
+def register(spark: SparkSession, name: str = "parse_source") -> None:
+    """Makes the parsers a table function of the session's SQL."""
+    ship(spark)
+    spark.udtf.register(name, F.udtf(ParseSource, returnType=PARSED, useArrow=True))
+
+
 def symbols_of(chunks: DataFrame) -> DataFrame:
     """One symbol for each named chunk, first part only, with its hash."""
     named = chunks.where("kind = 'chunk' and symbol_name is not null and coalesce(split_part, 1) = 1")

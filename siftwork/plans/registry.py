@@ -429,6 +429,23 @@ def symbol_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.resolved(references, symbols).select("file_id", "source", "target", "relation", "resolution")
 
 
+@query("""WITH d AS (SELECT doc_id AS file_id, doc_id % 200 + 52 AS n FROM documents), w AS (SELECT *, CASE WHEN n > 120 THEN range(0, n - 10, 110) ELSE [0] END AS offsets FROM d),
+p AS (SELECT *, unnest(offsets) AS a FROM w) SELECT file_id, 'python' AS language, concat('f', file_id) AS symbol_name, (4 + a)::INT AS start_line, (CASE WHEN n > 120 THEN least(a + 120, n) ELSE n END + 3)::INT AS end_line,
+CASE WHEN n > 120 THEN a // 110 + 1 END::DOUBLE AS split_part, concat('import os,import m', file_id % 7) AS imports FROM p""")
+def parsed_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source around each document's words by the table function: definitions over 120 lines in parts, imports, files
+    without an extension whose language is found in their text."""
+    chunking.register(spark)
+    words = F.concat(F.lit('    """'), F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]+", " "), F.lit('"""'))
+    source = F.concat(
+        F.lit("import os\nimport m"), F.col("file_id") % 7, F.lit("\n\ndef f"), "file_id", F.lit("():\n"), words, F.lit("\n"), F.expr("repeat('    x = 1\n', int(file_id % 200 + 50))")
+    )
+    made = files(spark, sf_dir).select("file_id", F.concat(F.lit("src/f"), "file_id", F.when(F.col("file_id") % 3 == 0, "").otherwise(".py")).alias("path"), source.alias("source"))
+    return spark.sql(
+        "SELECT f.file_id, p.language, p.symbol_name, p.start_line, p.end_line, double(p.split_part) AS split_part, array_join(p.imports, ',') AS imports FROM {made} f, LATERAL parse_source(f.path, f.source) p WHERE p.kind = 'chunk'", made=made
+    )
+
+
 @query()
 def parsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks and references of all files' own texts; the parser is that of the path, else of the file's language."""
