@@ -137,20 +137,21 @@ class Tags:
         end = ends[bisect_left(at, start)]
         return end if end >= 0 else self.page.find(">", start)
 
-    def after(self, at: int) -> tuple[int, int, str, bool, str] | None:
-        """(start, end, name, whether it closes, rest) of the next tag; the name is empty for comments and declarations."""
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, name, / where it closes, rest) of the next tag; the name is empty for comments and declarations."""
         page = self.page
         while found := (_WHOLE if self.ends is None else _OPEN).search(page, at):
-            start, name = found.start(), found["name"]
-            if self.ends is None and found["last"]:
-                return start, found.end(), name.lower(), bool(found["end"]), found["rest"]
-            if found["note"]:
+            note, closes, name, *more = found.groups()
+            start = found.start()
+            if more and more[1]:
+                return start, found.end(), name.lower(), closes, more[0]
+            if note:
                 end = page.find("-->", start + 4)
-                return start, len(page) if end < 0 else end + 3, "", False, ""
+                return start, len(page) if end < 0 else end + 3, "", "", ""
             named = found.end("name") if name else start + 2
             end = self._end(named) if name else page.find(">", named)
             if end >= 0:
-                return start, end + 1, (name or "").lower(), bool(found["end"]), page[named:end] if name else ""
+                return start, end + 1, (name or "").lower(), closes or "", page[named:end] if name else ""
             # Nothing but a comment can follow without a >.
             at = page.find("<!--", start + 1)
             if at < 0:
