@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, paths, text
 from ..operators import chunking, evaluate, indexing, models, projections, review, scan, search, usage
 from ..providers import ProviderError, unavailable
-from ..sources import readers, tables
+from ..sources import blocks, readers, tables
 from ..sources.shared import shared_folder
 from ..sources.tables import ISSUES_SQL, NODE_RUNS_SQL, files, issues, node_runs, query_set
+from ..sources.versions import VersionedTable
 from ..streaming import events as streams
 from ..streaming import tasks
 from . import workflow
@@ -44,6 +46,36 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy("nation")
 
 
+@query("""SELECT doc_id AS file_id, CASE WHEN doc_id % 50 <> 7 THEN strlen(t)::DOUBLE END AS length, CASE WHEN doc_id % 50 <> 7 THEN sha256(t) END AS sha256, CASE WHEN doc_id % 50 = 7 THEN 'FILE_STAT_FAILED' END AS error,
+CASE WHEN doc_id % 50 <> 7 THEN length(t) - length(replace(t, chr(0), '')) END::DOUBLE AS nul FROM (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 9 = 0 THEN chr(0) || 'x' ELSE '' END AS t FROM documents)""")
+def files_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each document, some with a NUL, read in blocks; every fiftieth is registered and was never written."""
+    root = shared_folder(spark, "tree")
+    d = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 9 == 0, F.concat(F.char(F.lit(0)), F.lit("x"))).otherwise("")).cast("binary").alias("content"))
+    named = d.withColumn("path", F.concat_ws("/", F.col("file_id") % 16, F.concat("file_id", F.lit(".txt"))))
+    blocks.written(named.where("file_id % 50 <> 7"), root).count()
+    out = blocks.facts(named.select("path"), root)
+    return out.select(F.regexp_extract("path", r"(\d+)\.txt", 1).cast("long").alias("file_id"), F.col("length").cast("double").alias("length"), "sha256", "error", F.col("nul").cast("double").alias("nul"))
+
+
+@query("""SELECT doc_id AS file_id, CASE WHEN doc_id % 5 = 0 THEN concat('new ', doc_id) ELSE sha256(coalesce(text, '')) END AS content FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 5 = 0
+UNION ALL SELECT doc_id, concat('more ', doc_id) FROM documents WHERE doc_id % 5 = 0""")
+def versioned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the files stored, every fifth replaced, a job that fails half-way, a replacement that is rolled back."""
+    d = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("content"))
+    table = VersionedTable(spark, shared_folder(spark, "versions"), d.schema, ["file_id"])
+    table.replace(d.where("file_id % 3 <> 0"))
+    fifth = d.where("file_id % 5 = 0")
+    stored = table.replace(fifth.select("file_id", F.explode(F.array(F.concat(F.lit("new "), "file_id"), F.concat(F.lit("more "), "file_id"))).alias("content")))
+    try:
+        table.replace(d.select("file_id", F.when(F.col("file_id") % 2 == 1, F.raise_error(F.lit("half-way")).cast("string")).otherwise(F.lit("never")).alias("content")))
+    except PySparkException:
+        pass
+    table.replace(d.select("file_id", F.lit("wrong").alias("content")))
+    table.rollback(stored)
+    return table.read()
+
+
 def _json_file(spark: SparkSession, rows: DataFrame, name: str, head: str = "", tail: str = "") -> str:
     """One file with the rows, a bounded number, as a JSON list between head and tail."""
     path = shared_folder(spark, name)
