@@ -109,31 +109,43 @@ def recorded_runs(old: DataFrame, new: DataFrame) -> DataFrame:
     return replaced(old, taken.select(*old.columns), ["task_id", "run_key"])
 
 
-def batched_embeddings(chunks: DataFrame, provider: EmbeddingProvider, size: int = 10, dimension: int = 64) -> DataFrame:
-    """(chunk_id, embedding) from provider(list of texts) in batches; an answer of the wrong size fails the batch.
+def batched_embeddings(chunks: DataFrame, provider: EmbeddingProvider, size: int = 10, dimension: int = 64, batch_col: str | None = None) -> DataFrame:
+    """(chunk_id, embedding) from provider(list of texts) in batches of size; an answer of the wrong size fails the batch.
 
     provider returns (text_index, vector) pairs in any order. A batch that fails gives null vectors: those chunks can be
-    found by keyword only.
+    found by keyword only. batch_col: a column whose values no batch crosses, chunks in order of their ids; without it a
+    batch is what stands together in a task.
     """
     import pyarrow as pa
 
+    def asked(part: list[tuple]) -> list[list[float] | None]:
+        try:
+            got = dict(provider([t for _, t, _ in part]))
+            ordered = [list(map(float, got.get(k, ()))) for k in range(len(part))]
+            if len(got) != len(part) or any(len(v) != dimension for v in ordered):
+                raise ProviderError("EMBEDDING_PROVIDER_INVALID_ANSWER")
+        except ProviderError:
+            return [None] * len(part)
+        return ordered
+
     def run(batches):
+        waiting: list[tuple] = []
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in waiting], pa.int64()), pa.array(asked(waiting), pa.list_(pa.float32()))], names=["chunk_id", "embedding"])
+
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = []
-            for at in range(0, len(texts), size):
-                part = texts[at : at + size]
-                try:
-                    got = dict(provider(part))
-                    ordered = [list(map(float, got.get(k, ()))) for k in range(len(part))]
-                    if len(got) != len(part) or any(len(v) != dimension for v in ordered):
-                        raise ProviderError("EMBEDDING_PROVIDER_INVALID_ANSWER")
-                except ProviderError:
-                    ordered = [None] * len(part)
-                out += ordered
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.float32()))], names=["chunk_id", "embedding"])
-
-    return chunks.select("chunk_id", "content").mapInArrow(run, "chunk_id long, embedding array<float>")
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if waiting and (len(waiting) == size or row[2] != waiting[-1][2]):
+                    yield told()
+                    waiting = []
+                waiting.append(row)
+        if waiting:
+            yield told()
+
+    rows = chunks.select("chunk_id", "content", F.col(batch_col).alias("batch") if batch_col else F.lit(0).alias("batch"))
+    rows = rows.repartition("batch").sortWithinPartitions("batch", "chunk_id") if batch_col else rows
+    return rows.mapInArrow(run, "chunk_id long, embedding array<float>")
 
 
 def hash_provider(texts: list[str], dimension: int = 64) -> list[tuple[int, list[float]]]:
