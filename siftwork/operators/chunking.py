@@ -97,44 +97,73 @@ class _PythonParser:
 
 
 class _JavaParser:
-    """Definitions and references of Java source by a tokenizer that matches braces."""
+    """Definitions and references of Java source by a tokenizer that matches braces.
+
+    What encloses what is found by one sweep with a stack, because declarations nest as braces do; the time follows the
+    length of a file. A comment or text block without an end is an error of the file.
+    """
 
     language = "java"
     extensions = (".java",)
-    _skip = re.compile(r'//[^\n]*|/\*.*?\*/|"""(?:\\.|[^\\])*?"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', re.S)
-    _type = re.compile(r"\b(class|interface|enum|record|@interface)\s+(\w+)([^{;]*)\{")
+    _skip = re.compile(r'//[^\n]*|/\*(?:.*?\*/|.*)|"""(?:(?:\\.|[^\\])*?"""|.*)|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', re.S)
+    _type = re.compile(r"\b(class|interface|enum|record|@interface)\s+(\w+)")
+    _modifiers = re.compile(r"(?:@\w+(?:\([^)]*\))?\s*|\b(?:public|protected|private|static|final|abstract|sealed|strictfp)\b\s*)+")
     _head = re.compile(r"\b(\w+)\s*\([^(){};]*\)\s*(?:throws\s+[\w.,\s]+)?(\{|;)")
     #: What stands in no modifier, type or annotation before a method's name.
     _stop = re.compile(r"[^\w@<>\[\],.?&\s]")
     _space = re.compile(r"\s")
-    _call = re.compile(r"((?:\b[\w]+\s*\.\s*)*\b\w+)\s*\(")
+    #: A chain of names is taken whole, so that it is read once whether or not it is a call.
+    _call = re.compile(r"\b((?:\w+\s*\.\s*)*\w+)\s*(\(?)")
     _no_name = frozenset("if for while switch catch synchronized return new throw else do try super this assert".split())
 
+    def _blanked(self, m: re.Match) -> str:
+        piece = m.group()
+        if piece.startswith("/*") and (len(piece) < 4 or not piece.endswith("*/")) or piece.startswith('"""') and (len(piece) < 6 or not piece.endswith('"""')):
+            raise SyntaxError("a comment or text block is not closed")
+        return re.sub(r"[^\n]", " ", piece)
+
     def read(self, source: str) -> tuple[list[Row], list[Row], list[str]]:
-        blank = self._skip.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), source)
-        close, stack = {}, []
+        blank = self._skip.sub(self._blanked, source)
+        close, stack, braces, depths = {}, [], [], [0]
         for m in re.finditer(r"[{}]", blank):
+            braces.append(m.start())
             if m.group() == "{":
                 stack.append(m.start())
             elif not stack:
                 raise SyntaxError("a brace too many")
             else:
                 close[stack.pop()] = m.start()
+            depths.append(len(stack))
         if stack:
             raise SyntaxError("a brace is not closed")
+        depth = lambda at: depths[bisect_left(braces, at)]
         breaks = [m.start() for m in re.finditer("\n", source)]
         line = lambda at: bisect_left(breaks, at) + 1
+        ends = [m.start() for m in re.finditer(r"[;{}]", blank)]
+        heads = [at for at in ends if blank[at] != "}"]
         items: list[tuple[int, int, str, str, str, str]] = []
+        past = 0
         for m in self._type.finditer(blank):
-            head = m.start()
-            after = max(blank.rfind(c, 0, head) for c in ";{}") + 1
-            before = re.search(r"((?:@\w+(?:\([^)]*\))?\s*|\b(?:public|protected|private|static|final|abstract|sealed|strictfp)\b\s*)*)\Z", blank[after:head])
-            start = after + before.start(1) if before and before.group(1) else head
-            items.append((start, close[m.end() - 1], {"@interface": "annotation"}.get(m.group(1), m.group(1)), m.group(2), source[start : m.end() - 1].strip(), m.group(3)))
-        kinds = [i for i in items]
+            k = bisect_left(heads, m.end())
+            if m.start() < past or k == len(heads) or blank[heads[k]] == ";":
+                continue
+            head, body = m.start(), heads[k]
+            past = body + 1
+            after = ends[k - 1] + 1 if (k := bisect_left(ends, head)) else 0
+            start = next((w.start() for w in self._modifiers.finditer(blank, after, head) if w.end() == head), head)
+            items.append((start, close[body], {"@interface": "annotation"}.get(m.group(1), m.group(1)), m.group(2), source[start:body].strip(), blank[m.end() : body]))
+        kinds, stack, next_kind = sorted(items), [], 0
         stops, past = [m.start() for m in self._stop.finditer(blank)], 0
         for m in self._head.finditer(blank):
             name, at = m.group(1), m.start(1)
+            while next_kind < len(kinds) and kinds[next_kind][0] < at:
+                while stack and stack[-1][1] <= kinds[next_kind][0]:
+                    stack.pop()
+                stack.append(kinds[next_kind])
+                next_kind += 1
+            while stack and stack[-1][1] <= at:
+                stack.pop()
+            owner = stack[-1] if stack else None
             stop = stops[k - 1] if (k := bisect_left(stops, at)) else -1
             begin = max(stop + 1, past)  # what an earlier declaration took is no part of this one
             if begin < at and stop >= past and blank[stop] not in ";{}":
@@ -143,29 +172,40 @@ class _JavaParser:
             if lead and not lead[-1].isspace() or not lead and at and blank[at - 1] not in ";{}" and not blank[at - 1].isspace():
                 continue
             past, words = m.end(), lead.split()
-            owner = min((k for k in kinds if k[0] < at < k[1]), key=lambda k: k[1] - k[0], default=None)
             if not owner or name in self._no_name or (not words and name != owner[3]) or set(words) & {"new", "return", "throw", "else"}:
                 continue
-            depth = blank.count("{", owner[0], at) - blank.count("}", owner[0], at)
-            if depth != 1:
+            if depth(at) - depth(owner[0]) != 1:
                 continue
             start = begin + len(lead) - len(lead.lstrip()) if words else at
             end = close[m.end() - 1] if m.group(2) == "{" else m.end() - 1
             items.append((start, end, "constructor" if name == owner[3] else "method", name, source[start : m.end() - 1].strip(), ""))
         items.sort(key=lambda i: (i[0], -i[1]))
-        found, refs = [], []
+        found, refs, outer = [], [], []
         for k, (start, end, kind, name, signature, heritage) in enumerate(items):
-            outer = min((j for j, o in enumerate(items) if j != k and o[0] <= start and o[1] >= end), key=lambda j: items[j][1] - items[j][0], default=None)
-            parent = found[outer]["qualified_name"] if outer is not None else None
+            while outer and items[outer[-1]][1] < end:
+                outer.pop()
+            parent = found[outer[-1]]["qualified_name"] if outer else None
+            outer.append(k)
             qualified = f"{parent}.{name}" if parent else name
             found.append(dict(symbol_type=kind, symbol_name=name, qualified_name=qualified, parent_symbol=parent, start_line=line(start), end_line=line(end), signature=signature, content=source[start : end + 1]))
             for word, names in re.findall(r"\b(extends|implements)\s+([\w.<>,\s?&]+?)(?=\bextends\b|\bimplements\b|\bpermits\b|\Z)", heritage):
                 refs += [(qualified, n.strip(), "extend" if word == "extends" else "implement", 0.85) for n in re.sub(r"<[^<>]*>", "", names).split(",") if n.strip()]
+        bodies = [(body, i[1], k) for k, i in enumerate(items) if i[2] in ("method", "constructor") and (body := blank.find("{", i[0], i[1])) >= 0]
+        inside, next_body = [], 0
         for m in self._call.finditer(blank):
+            at = m.start()
+            while next_body < len(bodies) and bodies[next_body][0] < at:
+                while inside and inside[-1][1] <= bodies[next_body][0]:
+                    inside.pop()
+                inside.append(bodies[next_body])
+                next_body += 1
+            while inside and inside[-1][1] <= at:
+                inside.pop()
+            if not inside or not m.group(2):
+                continue
             target = re.sub(r"\s", "", m.group(1))
-            owner = min((k for k, i in enumerate(items) if i[2] in ("method", "constructor") and blank.find("{", i[0]) < m.start() < i[1]), key=lambda k: items[k][1] - items[k][0], default=None)
-            if owner is not None and target.split(".")[-1] not in self._no_name and not re.search(r"\bnew\s+\Z", blank[max(0, m.start() - 8) : m.start()]):
-                refs.append((found[owner]["qualified_name"], target, "call", 0.75))
+            if target.split(".")[-1] not in self._no_name and not re.search(r"\bnew\s+\Z", blank[max(0, at - 8) : at]):
+                refs.append((found[inside[-1][2]]["qualified_name"], target, "call", 0.75))
         imports = [m.group(1) for m in re.finditer(r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;", blank, re.M)]
         refs = [("<compilation_unit>", i, "import", 0.95) for i in imports] + refs
         return found, [dict(source=s, target=t, relation=r, confidence=c) for s, t, r, c in dict.fromkeys(refs)], list(dict.fromkeys(imports))

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -408,3 +409,18 @@ def test_model_calls(spark):
 
     out = models.answered(spark.createDataFrame([(1, "good"), (2, "mend"), (3, "bad"), (4, "down")], "id long, prompt string"), provider, ["k"])
     assert rows(out, "id") == [(1, '{"k": 1}', 1, 5, 2, None), (2, '{"k": 2}', 2, 10, 4, None), (3, None, 2, 10, 4, "INVALID_ANSWER"), (4, None, 0, 0, 0, "PROVIDER_FAILED")]
+
+
+def test_java_parser_knows_what_encloses_what():
+    source = "class A {\n  interface B { void no(); }\n  A() { go(); }\n  void run() {\n    new R() { public void inner() { u.v(); } };\n    w();\n  }\n  int last();\n}\nclass C { void m() { x.y . z (1); } }\n"
+    found = chunking.parse_source("A.java", "java", source)
+    assert [r["qualified_name"] for r in found if r["kind"] == "chunk"] == ["A", "A.B", "A.B.no", "A.A", "A.run", "A.last", "C", "C.m"]
+    assert [(r["source"], r["target"]) for r in found if r["relation"] == "call"] == [("A.A", "go"), ("A.run", "inner"), ("A.run", "u.v"), ("A.run", "w"), ("C.m", "x.y.z")]
+    assert chunking.parse_source("A.java", "java", "class A { /* no end }")[0]["error"] == "SYNTAX_ERROR"
+
+
+@pytest.mark.parametrize("piece", ["class A { public int m(int a) { return b.c(a); } }\n", "class a ", "/*", "a.", 'x """ \\" ', "f() ", "@A ", "a "])
+def test_java_parser_takes_time_that_follows_the_file(piece):
+    start = time.monotonic()
+    chunking.parse_source("A.java", "java", piece * (600_000 // len(piece)))
+    assert time.monotonic() - start < 15
