@@ -107,6 +107,10 @@ def issue_page(issues: DataFrame, order: list[Column], risk: str | None = None,
 MARKS, OTHER_MARK = {"High": "\U0001f534", "Medium": "\U0001f7e1", "Low": "\U0001f7e2"}, "\u26aa"
 
 
+#: The sections of a report that hold issues.
+VERIFIED, REJECTED = 8, 9
+
+
 def _said(name: str, missing: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(missing))
 
@@ -128,20 +132,23 @@ def issue_markdown(number: Column) -> Column:
     return F.array_join(F.array(head, listed, *[F.concat(F.lit(f"**{name}:**\n\n"), c) for name, c in texts.items()]), "\n\n")
 
 
-def report_markdown(tasks: DataFrame, issues: DataFrame, by: str = "task_id", order: str = "pos") -> DataFrame:
-    """(by, markdown): the report of each task: head, summary, stop reason, severity, types, coverage, degradation, issues, metrics.
+def report_parts(tasks: DataFrame, issues: DataFrame, by: str = "task_id", order: str = "pos") -> DataFrame:
+    """(by, section, number, text): the report of each task in parts, to be read by section and number with blank lines between.
 
     tasks: by, project, generated_at, summary, stop_reason, plan_items, degradation (map), calls, input_tokens,
     output_tokens, cost, cost_status, started_at, finished_at. issues: by, order, verified and what issue_markdown()
-    reads. Parts without content are left out. A group is one task's issues.
+    reads. Sections: head, facts, summary, stop reason, severity, types, coverage, degradation, verified issues, rejected
+    issues, metrics; those without content are left out. An issue is a part of its own (number from 1, below its section's
+    title), so no value grows with a task; numbering sorts a task's issues, which spills. Issues without a task or without
+    a verdict are in no part; a task without issues has all the others.
     """
-    i = issues.withColumn("_number", F.row_number().over(Window.partitionBy(by, "verified").orderBy(order)))
-    blocks = i.select(by, "verified", F.struct(F.col("_number"), issue_markdown(F.col("_number")).alias("block")).alias("x")).groupBy(by).agg(
-        *[F.transform(F.array_sort(F.collect_list(F.when(side, F.col("x")))), lambda x: x["block"]).alias(name) for name, side in (("_passed", F.col("verified")), ("_failed", ~F.col("verified")))]
-    )
+    known = issues.join(tasks.select(by), by, "left_semi")
+    place = F.row_number().over(Window.partitionBy(by, "verified").orderBy(order))
+    blocks = known.where("verified is not null").withColumn("number", place).select(by, F.when(F.col("verified"), VERIFIED).otherwise(REJECTED).alias("section"), "number", issue_markdown(F.col("number")).alias("text"))
     kinds = category_histogram(issues, [by]).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("category", "issues"))).alias("_kinds"))
+    sides = issues.groupBy(by).agg(F.count_if("verified").alias("_passed"), F.count_if(~F.col("verified")).alias("_failed"))
     t = tasks
-    for told in (severity_stats(issues, [by]), kinds, blocks):
+    for told in (severity_stats(issues, [by]), kinds, sides):
         t = t.join(told, by, "left")
     count = lambda c: F.coalesce(c, F.lit(0))
     shown, seconds = numbers.cost_display(F.col("cost"), F.col("cost_status")), F.coalesce(F.format_string("%.1f", numbers.elapsed_seconds(F.col("started_at"), F.col("finished_at"))), F.lit("N/A"))
@@ -149,8 +156,8 @@ def report_markdown(tasks: DataFrame, issues: DataFrame, by: str = "task_id", or
     lines = lambda title, *rows: F.concat(F.lit(f"## {title}\n\n"), F.concat_ws("\n", *rows))
     listed = lambda name, value: F.concat(F.lit(f"- {name}: "), value.cast("string"))
     rows = [F.format_string(f"| {MARKS[level]} %s | %d |", F.lit(level.ljust(6)), count(F.col(level.lower()))) for level in LEVELS]
-    passed, failed = (F.coalesce(c, F.array().cast("array<string>")) for c in ("_passed", "_failed"))
-    section = lambda title, items: F.when(F.size(items) > 0, F.concat(F.format_string(f"## {title} (%d)\n\n", F.size(items)), F.array_join(items, "\n\n")))
+    passed, failed = count(F.col("_passed")), count(F.col("_failed"))
+    title = lambda name, n: F.when(n > 0, F.format_string(f"## {name} (%d)", n))
     parts = [
         F.concat(F.lit("# Code Review Report \u2014 "), F.coalesce(F.nullif("project", F.lit("")), F.lit("Unnamed Project"))),
         F.concat_ws(
@@ -161,15 +168,25 @@ def report_markdown(tasks: DataFrame, issues: DataFrame, by: str = "task_id", or
         F.when(F.coalesce("stop_reason", F.lit("")) != "", F.concat(F.lit("> \u26a0\ufe0f **Stop reason:** "), F.col("stop_reason"))),
         lines("Severity", F.lit("| Level  | Count |"), F.lit("|--------|-------|"), *rows, F.format_string("| **Total** | **%d** |", count(F.col("total")))),
         F.when(F.size("_kinds") > 0, lines("Issue Types", F.transform("_kinds", lambda k: F.concat(F.lit("- **"), k["category"], F.lit("**: "), k["issues"].cast("string"))))),
-        lines("Coverage", listed("Plan items", _said("plan_items", "N/A")), listed("Verified issues", F.size(passed)), listed("Rejected issues", F.size(failed))),
+        lines("Coverage", listed("Plan items", _said("plan_items", "N/A")), listed("Verified issues", passed), listed("Rejected issues", failed)),
         F.when(F.size("degradation") > 0, lines("Degradation", F.transform(F.array_sort(F.map_entries("degradation")), lambda e: F.concat(F.lit("- **"), e["key"], F.lit("**: "), e["value"])))),
-        section("Verified Issues", passed), section("Rejected Issues", failed),
+        title("Verified Issues", passed), title("Rejected Issues", failed),
         lines(
             "Metrics", listed("LLM calls", count(F.col("calls"))), listed("Input tokens", F.format_number(count(F.col("input_tokens")), 0)), listed("Output tokens", F.format_number(count(F.col("output_tokens")), 0)),
             listed("Estimated cost", shown), F.concat(F.lit("- Elapsed: "), shown_seconds, F.lit("s")),
         ),
     ]
-    return t.select(by, F.concat(F.concat_ws("\n\n", *parts), F.lit("\n")).alias("markdown"))
+    frame = t.select(by, F.posexplode(F.array(*parts)).alias("section", "text")).where("text is not null").select(by, "section", F.lit(0).alias("number"), "text")
+    return frame.unionByName(blocks)
+
+
+def report_markdown(tasks: DataFrame, issues: DataFrame, by: str = "task_id", order: str = "pos") -> DataFrame:
+    """(by, markdown): the parts of report_parts() as one text a task, for reports that are exported as a file.
+
+    A report is one value here; those of tasks too large for that are read or written by parts.
+    """
+    parts = report_parts(tasks, issues, by, order).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("section", "number", "text"))).alias("_parts"))
+    return parts.select(by, F.concat(F.array_join(F.transform("_parts", lambda p: p["text"]), "\n\n"), F.lit("\n")).alias("markdown"))
 
 
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions import numbers, paths
+from ..session import ship
 
 
 def classify(files: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
@@ -102,15 +107,26 @@ def upload_rejection(mime: Column, declared: Column, facts: Column) -> Column:
 def capped(items: DataFrame, by: list[str], order: str, cost: str, cap: int) -> DataFrame:
     """items with accepted: in order, each that still fits under cap is taken, those that do not are passed over.
 
-    The fold needs a group's items together; a group is one manifest, whose length the upload limits bound.
+    What is taken depends on all that was taken before, so the rows of a group pass one after the other through one task;
+    they are sorted by Spark, which spills, and only the sum so far is held. Costs are not negative:
+    rows that cost more than cap alone do not go there. Rows of equal order go by their other columns; a row without a cost is neither taken nor refused (null).
     """
-    state = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("taken"))
-
-    def step(s: Column, x: Column) -> Column:
-        fits = s["used"] + x[cost] <= cap
-        return F.struct((s["used"] + F.when(fits, x[cost]).otherwise(0)).alias("used"), F.concat(s["taken"], F.array(fits)).alias("taken"))
-
-    rest = [c for c in items.columns if c not in by]
-    rows = items.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in rest if c != order]))).alias("all"))
-    rows = rows.withColumn("taken", F.aggregate("all", state, step)["taken"])
-    return rows.select(*by, F.inline(F.zip_with("all", "taken", lambda x, t: F.struct(*[x[c].alias(c) for c in rest], t.alias("accepted")))))
+    ship(items.sparkSession)
+    rest = [c for c in items.columns if c not in by and c != order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, used = None, 0
+        for batch in batches:
+            taken, costs = [], batch.column(cost).to_pylist()
+            for key, x in zip(zip(*[batch.column(c).to_pylist() for c in by], strict=True), costs, strict=True):
+                if key != group:
+                    group, used = key, 0
+                fits = None if x is None else used + x <= cap
+                used += x if fits else 0
+                taken.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_())], [*batch.schema.names, "accepted"])
+
+    schema = StructType([*items.schema.fields, StructField("accepted", BooleanType())])
+    large = F.coalesce(F.col(cost) > cap, F.lit(False))
+    passed = items.where(~large).repartition(*by).sortWithinPartitions(*by, order, *rest).mapInArrow(run, schema)
+    return passed.unionByName(items.where(large).withColumn("accepted", F.lit(False))).select(*by, order, *rest, "accepted")

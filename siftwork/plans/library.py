@@ -615,9 +615,7 @@ SELECT task_id, sha256(concat('# Code Review Report — ', CASE WHEN task_id % 5
   '## Metrics', chr(10), chr(10), '- LLM calls: ', task_id, chr(10), '- Input tokens: 1,234,567', chr(10), '- Output tokens: 0', chr(10), '- Estimated cost: ', cost, chr(10), '- Elapsed: ', seconds, 's', chr(10))) AS markdown_sha256 FROM y"""
 
 
-@query(f"WITH {REPORT_SQL}")
-def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reports of all tasks, as digests."""
+def _reported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t, p = F.col("task_id"), F.col("pos")
     i = issues(spark, sf_dir).distinct().withColumns({
         "issue_type": F.concat(F.lit("T"), t % 3), "rule_id": F.when(p % 4 != 0, F.concat(F.lit("r"), p % 4)), "cwe_id": F.lit(None).cast("string"), "start_line": p % 50, "end_line": p % 50 + 2, "confidence": (p % 101) / 100,
@@ -630,10 +628,26 @@ def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1234567).alias("input_tokens"), F.lit(None).cast("long").alias("output_tokens"), F.when(t % 3 == 0, F.lit(1.5)).otherwise(0.25).cast("decimal(12,6)").alias("cost"),
         F.when(t % 3 == 0, "available").when(t % 3 == 1, "partial").otherwise("unavailable").alias("cost_status"), F.lit(0).cast("timestamp").alias("started_at"), F.when(t % 4 != 0, F.timestamp_seconds(t)).alias("finished_at"),
     )
-    out = review.report_markdown(tasks, i, "task_id", "order")
+    return tasks, i
+
+
+@query(f"WITH {REPORT_SQL}")
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports of all tasks, as digests."""
+    out = review.report_markdown(*_reported(spark, sf_dir), "task_id", "order")
     return out.select("task_id", F.sha2(F.col("markdown").cast("binary"), 256).alias("markdown_sha256"))
 
 
+@query(f"""WITH {REPORT_SQL.rsplit("SELECT task_id, sha256(", 1)[0]} SELECT task_id, CASE WHEN verified THEN 8 ELSE 9 END AS section, number, sha256(block) AS text_sha256 FROM b
+UNION ALL SELECT task_id, 8, 0, sha256(concat('## Verified Issues (', n_good, ')')) FROM y WHERE n_good > 0 UNION ALL SELECT task_id, 9, 0, sha256(concat('## Rejected Issues (', n_bad, ')')) FROM y WHERE n_bad > 0
+UNION ALL SELECT task_id, 4, 0, sha256(concat('## Severity', chr(10), chr(10), '| Level  | Count |', chr(10), '|--------|-------|', chr(10), '| 🔴 High   | ', high, ' |', chr(10), '| 🟡 Medium | ', medium, ' |', chr(10), '| 🟢 Low    | ', low, ' |', chr(10), '| **Total** | **', total, '** |')) FROM y
+UNION ALL SELECT task_id, 5, 0, sha256(concat('## Issue Types', chr(10), chr(10), kinds)) FROM y""")
+def report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of all reports that come from issues, each as a digest: severity, types, issues."""
+    parts = review.report_parts(*_reported(spark, sf_dir), "task_id", "order").where(F.col("section").isin(4, 5, review.VERIFIED, review.REJECTED))
+    return parts.select("task_id", "section", F.col("number").cast("long").alias("number"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 ITEMS_SQL = """items AS (SELECT o_custkey AS task_id, o_orderkey AS item_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position, o_orderkey % 40 AS top_k FROM orders),
 planned AS (SELECT *, least(greatest(top_k, 1), 30) AS k FROM items WHERE position <= 10)"""
 

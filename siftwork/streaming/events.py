@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Moves of a task's state machine: an event type leads from a state to the next; final states stay.
 FINAL = ("success", "partial_success", "failed", "cancelled")
 MOVES = {
     ("pending", "started"): "scanning", ("scanning", "scanned"): "reviewing", ("reviewing", "completed"): "success", ("reviewing", "partial"): "partial_success",
     **{(s, "failed"): "failed" for s in ("pending", "scanning", "reviewing")}, **{(s, "cancelled"): "cancelled" for s in ("pending", "scanning", "reviewing")},
 }
+STATES = ("pending", "scanning", "reviewing", *FINAL)
 
 
 def page_after(events: DataFrame, cursor: int, limit: int, id_col: str = "id") -> DataFrame:
@@ -48,15 +52,52 @@ def frames(events: DataFrame) -> Column:
     return F.format_string("id: %d\nevent: %s\ndata: %s\n\n", "id", "event_type", F.to_json(F.struct(*[c for c in events.columns if c != "event_type"])))
 
 
+def _led(event: str) -> list[int]:
+    return [STATES.index(MOVES.get((s, event), s)) for s in STATES]
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each stretch of a task in sorted events: where it begins, what each state is led to, progress, number of events."""
+    moves = {event: _led(event) for event in {e for _, e in MOVES}}
+    now, schema = None, None
+    for batch in batches:
+        schema, done = batch.schema, []
+        for task, at, event, progress in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if now is None or now["task_id"] != task:
+                if now:
+                    done.append(now)
+                now = {"task_id": task, "id": at, "event_type": event, "led": list(range(len(STATES))), "progress": progress, "n_events": 0}
+            if move := moves.get(event):
+                now["led"] = [move[s] for s in now["led"]]
+            if progress is not None and (now["progress"] is None or progress > now["progress"]):
+                now["progress"] = progress
+            now["n_events"] += 1
+        yield _told(done, schema)
+    if now:
+        yield _told([now], schema)
+
+
+def _told(rows: list[dict], events: pa.Schema) -> pa.RecordBatch:
+    fields = [*(events.field(n) for n in ("task_id", "id", "event_type")), pa.field("led", pa.list_(pa.int32())), events.field("progress"), pa.field("n_events", pa.int64())]
+    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([pa.field(f.name, f.type) for f in fields]))
+
+
 def task_states(events: DataFrame) -> DataFrame:
-    """(task_id, state, progress, n_events): a fold over each task's events in order; progress never falls.
+    """(task_id, state, progress, n_events): the machine run over each task's events in order; progress never falls.
 
-    Final states absorb what follows. The number of a task's events is bounded by its life cycle.
+    Final states absorb what follows. Events of other types move nothing, and a task of such events only is pending.
+    Events are dealt by ranges of task and id, so that a task with most of the events is cut into stretches. A stretch
+    becomes one function on the states, and the functions of a task's stretches are applied in order: there are at most
+    as many as ranges, however many events the task has. Equal ids go by event type; a null task is a task as well.
     """
-    moves = F.create_map(*[F.lit(x) for (s, e), t in MOVES.items() for x in (f"{s}>{e}", t)])
-    step = lambda state, e: F.coalesce(F.try_element_at(moves, F.concat(state, F.lit(">"), e["event_type"])), state)
-    rows = events.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("id", "event_type"))).alias("all"), F.max("progress").alias("progress"), F.count("*").alias("n_events"))
-    return rows.select("task_id", F.aggregate("all", F.lit("pending"), step).alias("state"), "progress", "n_events")
+    ship(events.sparkSession)
+    order = ("task_id", "id", "event_type")
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    rows = events.select(*order, "progress").repartitionByRange(*order).sortWithinPartitions(*order)
+    cut = rows.mapInArrow(_stretches, f"task_id {kinds['task_id']}, id {kinds['id']}, event_type string, led array<int>, progress {kinds['progress']}, n_events long")
+    parts = cut.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("id", "event_type", "led"))).alias("parts"), F.max("progress").alias("progress"), F.sum("n_events").alias("n_events"))
+    state = F.aggregate("parts", F.lit(0), lambda at, part: F.get(part["led"], at))
+    return parts.select("task_id", F.get(F.array(*[F.lit(s) for s in STATES]), state).alias("state"), "progress", "n_events")
 
 
 def running_progress(events: DataFrame) -> DataFrame:

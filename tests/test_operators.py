@@ -424,3 +424,37 @@ def test_java_parser_takes_time_that_follows_the_file(piece):
     start = time.monotonic()
     chunking.parse_source("A.java", "java", piece * (600_000 // len(piece)))
     assert time.monotonic() - start < 15
+
+
+def test_capped_streams_one_large_group(spark):
+    items = spark.range(30000).select(F.lit("hot").alias("m"), F.col("id").alias("pos"), (F.col("id") * 7919 % 101).alias("size"), F.lit("x").alias("more")).union(
+        spark.createDataFrame([("b", 1, 5, "y"), ("b", 2, None, "y"), (None, 1, 3, "z")], "m string, pos long, size long, more string")
+    )
+    got, used, want = scan.capped(items, ["m"], "pos", "size", 20000).collect(), 0, {}
+    for k in range(30000):
+        want[k] = used + k * 7919 % 101 <= 20000
+        used += k * 7919 % 101 if want[k] else 0
+    assert {r["pos"]: r["accepted"] for r in got if r["m"] == "hot"} == want and len(got) == 30003
+    assert sorted((str(r["m"]), r["pos"], r["accepted"]) for r in got if r["m"] != "hot") == [("None", 1, True), ("b", 1, True), ("b", 2, None)]
+    assert scan.capped(items.where("false"), ["m"], "pos", "size", 1).count() == 0
+
+
+def test_report_of_one_task_with_most_issues_stays_in_parts(spark):
+    n = 20000
+    issue = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(2).cast("long").alias("task_id"), F.col("id").alias("pos"), F.when(F.col("id") % 5 == 4, None).otherwise(F.col("id") % 5 < 3).alias("verified"),
+        F.lit("High").alias("risk_level"), F.lit("bug").alias("category"), *[F.lit("t").alias(c) for c in ("title", "issue_type", "rule_id", "cwe_id", "path", "critic_decision", "description", "evidence", "reason", "suggestion")],
+        F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.lit(0.5).alias("confidence"), F.lit(False).alias("needs_human_review"),
+    )
+    tasks = spark.createDataFrame([(2,), (3,)], "task_id long").selectExpr(
+        "task_id", "'P' AS project", "timestamp '2024-01-01 00:00:00' AS generated_at", "'' AS summary", "string(null) AS stop_reason", "1 AS plan_items", "map('a', 'b') AS degradation", "1 AS calls", "1 AS input_tokens",
+        "1 AS output_tokens", "decimal(1.5) AS cost", "'available' AS cost_status", "timestamp(null) AS started_at", "timestamp(null) AS finished_at",
+    )
+    parts = review.report_parts(tasks, issue).cache()
+    per = {(r["task_id"], r["section"]): (r["n"], r["top"], r["longest"]) for r in parts.groupBy("task_id", "section").agg(F.count("*").alias("n"), F.max("number").alias("top"), F.max(F.length("text")).alias("longest")).collect()}
+    good = sum(k % 3 != 0 and k % 5 < 3 for k in range(n))
+    assert per[2, 8][:2] == (good + 1, good) and max(x[2] for x in per.values()) < 1000
+    assert {s for t, s in per if t == 3} == {0, 1, 4, 6, 7, 10} and not [t for t, _ in per if t == 1]
+    whole = review.report_markdown(tasks, issue).where("task_id = 3").first()["markdown"]
+    assert whole == "\n\n".join(r["text"] for r in parts.where("task_id = 3").orderBy("section").collect()) + "\n"
+    parts.unpersist()

@@ -69,3 +69,12 @@ def test_requests_of_a_restarted_stream(spark, tmp_path):
         spark.createDataFrame(rows, shape).write.mode("append").parquet(f"{tmp_path}/in")
         tasks.run(tasks.first_requests(spark.readStream.schema(shape).parquet(f"{tmp_path}/in")), f"{tmp_path}/k", f"{tmp_path}/out")
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [3, 4, 7]
+
+
+def test_states_of_one_task_with_most_events(spark):
+    kinds = ["note", "started", "note", "scanned", "started", "completed", "failed"]
+    hot = [(k, 9, kinds[min(k // 3000, 6)], k % 90) for k in range(21000)]
+    df = spark.createDataFrame([*hot, *[(i, t, e, p) for i, t, e, p in ROWS], (1, None, "started", None), (2, 4, None, None)], SHAPE)
+    got = {r["task_id"]: (r["state"], r["progress"], r["n_events"]) for r in events.task_states(df.repartition(7)).collect()}
+    assert got == {9: ("success", 89, 21000), 1: ("success", 100, 4), 2: ("cancelled", 5, 2), 3: ("pending", 0, 1), None: ("scanning", None, 1), 4: ("pending", None, 1)}
+    assert events.task_states(df.where("false")).count() == 0
