@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -114,12 +114,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """docs, all columns, without the rows that repeat a text; of equal texts the row with the largest id stays.
 
     Rows meet the winners of their digest, of frequent ones map-side; a text is not shuffled unless the groups with
-    copies are too many to broadcast. Rows that repeat both the id and the text of a winner are told apart by a window.
+    copies are too many to broadcast. Of rows that repeat both the id and the text of a winner the one with the least
+    hash of its columns stays; each task settles its own before the shuffle, however many there are.
     """
     table, heavy, shared = _groups(docs, id_col, text_col, slots, candidates)
     repeats = heavy.where("ties > 1").select("digest").limit(1).count() + shared.where("ties > 1").select("digest").limit(1).count()
     dropped(table)
-    sha, top, ties, rank = (free_name(docs, c) for c in ("exact_sha", "exact_top", "exact_ties", "exact_rank"))
+    sha, top, ties, whole = (free_name(docs, c) for c in ("exact_sha", "exact_top", "exact_ties", "exact_whole"))
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
     rows = docs.withColumn(sha, digest)
     for groups in (F.broadcast(heavy), held(shared)):
@@ -130,6 +131,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.where(F.col(top).isNull() | F.col(id_col).eqNullSafe(F.col(top)["top_id"]))
     if repeats:
         again = F.coalesce(F.col(ties), F.lit(1)) > 1
-        one = rows.where(again).withColumn(rank, F.row_number().over(Window.partitionBy(sha).orderBy(sha))).where(F.col(rank) == 1).drop(rank)
-        rows = rows.where(~again).unionByName(one)
+        told = [F.col(c) for c, kind in docs.dtypes if c != text_col and "map<" not in kind and "variant" not in kind]
+        first = F.min_by(F.struct(*docs.columns), F.xxhash64(F.col(text_col).isNull(), *told)).alias(whole)
+        one = rows.where(again).groupBy(sha).agg(first).select(f"{whole}.*")
+        rows = rows.where(~again).select(*docs.columns).unionByName(one)
     return rows.select(*docs.columns)

@@ -59,6 +59,17 @@ def test_exact_edge_cases(spark):
     assert sorted(tuple(r) for r in exact_dedup.drop_exact_copies(wide).collect()) == [(2, None, 7, "m"), (3, "x", 6, "l")]
 
 
+def test_rows_that_repeat_id_and_text(spark):
+    hot = [(7, "x", k % 9, {"a": k}) for k in range(4000)]
+    docs = spark.createDataFrame([*hot, (7, "y", 1, None), (6, "x", 1, None), (8, None, 1, None), (8, "", 1, None), (9, "z", 1, {"b": 1})], "doc_id long, text string, n long, m map<string,int>")
+    for limits in ({}, {"slots": 2, "candidates": 1}):
+        out = [exact_dedup.drop_exact_copies(docs.repartition(parts), **limits) for parts in (1, 7)]
+        got = [sorted((r["doc_id"], r["text"] or "") for r in df.collect()) for df in out]
+        assert got == [[(7, "x"), (7, "y"), (8, ""), (9, "z")]] * 2 and out[0].columns == docs.columns
+        kept = [{(r["doc_id"], r["text"], r["n"]) for r in df.collect()} for df in out]
+        assert kept[0] == kept[1]  # whatever the order of the rows
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)]
