@@ -24,6 +24,8 @@ from ..session import ship
 FUSION_K, CANDIDATES = 60, 30
 #: Queries of a block of the vector search, and decimals to which scores are compared.
 BLOCK, DECIMALS = 4096, 9
+#: Queries and vectors of a tile, the scores that a task makes at once.
+TILE = 1024
 
 
 def first_term(query: Column) -> Column:
@@ -142,8 +144,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, content: str
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """(query_id, file_id, score, rank): exact cosine similarity to every vector; 0 where a norm is 0.
 
-    Queries come in blocks of BLOCK, each one matrix that a pass over the vectors multiplies by whole batches; a batch
-    gives its k best of each query, so what meets grows with the batches and not with the pairs.
+    Queries come in blocks of BLOCK, each one matrix that a pass over the vectors multiplies tile by tile; a task gives its
+    k best of each query, so what it holds and what meets follows the block and not the vectors or the pairs.
     """
     ship(vectors.sparkSession)
     d, q = _sides(vectors, queries.where("vector is not null"))
@@ -155,16 +157,53 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -
     return top(reduce(DataFrame.unionByName, found), k)
 
 
+class Best:
+    """The k best (query, file, score, more columns) of each of n queries among what one task sees.
+
+    Rows are kept until they are twice as many as k of each query, then all but the best are dropped: memory follows n * k and
+    not the rows seen. Scores equal to DECIMALS places go by the smaller file. least: a lower score of a query is of no use.
+    """
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, -np.inf)
+        self._parts, self._rows, self._room = [], 0, max(1 << 18, n * k)
+
+    def put(self, *columns: np.ndarray) -> None:
+        self._parts.append(columns)
+        self._rows += len(columns[0])
+        if self._rows > 2 * self._room:
+            self.cut()
+
+    def cut(self) -> list[np.ndarray]:
+        """The columns of the best."""
+        if not self._parts:
+            return []
+        columns = [np.concatenate(c) for c in zip(*self._parts, strict=True)]
+        order = np.lexsort((columns[1], -np.round(columns[2].astype(np.float64), DECIMALS), columns[0]))
+        query = columns[0][order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = order[place == self.k - 1]
+        self.least[columns[0][last]] = columns[2][last] - 10.0**-DECIMALS
+        columns = [c[order[place < self.k]] for c in columns]
+        self._parts, self._rows = [tuple(columns)], len(columns[0])
+        return columns
+
+
+def tiles(n: int) -> list[slice]:
+    return [slice(k, k + TILE) for k in range(0, n, TILE)]
+
+
 def _block_search(rows: DataFrame, queries: DataFrame, k: int, kind: str) -> DataFrame:
     told = queries.collect()
-    ids, projects = [r["query_id"] for r in told], np.array([r["project"] for r in told], object)
+    ids, projects = np.array([r["query_id"] for r in told]), np.array([r["project"] for r in told], object)
     matrix = np.array([r["vector"] for r in told], np.float64)
     schema = f"query_id {kind}, file_id long, score double"
+    of_project = {project: np.flatnonzero(projects == project) for project in set(projects)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not ids:
+        if not len(ids):
             return
-        norms = np.sqrt((matrix * matrix).sum(axis=1))
+        norms, best = np.sqrt((matrix * matrix).sum(axis=1)), Best(len(ids), k)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -173,14 +212,21 @@ def _block_search(rows: DataFrame, queries: DataFrame, k: int, kind: str) -> Dat
             if set(lists.value_lengths().to_pylist()) != {matrix.shape[1]}:
                 raise ValueError("vectors differ in length")
             own = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(files), -1)
-            size = norms[:, None] * np.sqrt((own * own).sum(axis=1))[None, :]
-            scores = np.divide(matrix @ own.T, size, out=np.zeros((len(ids), len(files))), where=size > 0)
-            out: list[tuple] = []
-            for n in range(len(ids)):
-                near = np.flatnonzero(owners == projects[n])
-                near = near[np.lexsort((files[near], -np.round(scores[n, near], DECIMALS)))[:k]]
-                out += [(ids[n], int(files[j]), float(scores[n, j])) for j in near]
-            yield pa.RecordBatch.from_pydict({c: [r[i] for r in out] for i, c in enumerate(("query_id", "file_id", "score"))}, schema=pa.schema([("query_id", pa.int32() if kind == "int" else pa.int64()), ("file_id", pa.int64()), ("score", pa.float64())]))
+            lengths = np.sqrt((own * own).sum(axis=1))
+            for project, asked in of_project.items():
+                here = np.flatnonzero(owners == project)
+                for part in tiles(len(here)):
+                    at = here[part]
+                    for some in tiles(len(asked)):
+                        q = asked[some]
+                        size = norms[q][:, None] * lengths[at][None, :]
+                        scores = np.divide(matrix[q] @ own[at].T, size, out=np.zeros(size.shape), where=size > 0)
+                        i, j = np.nonzero(scores >= best.least[q][:, None])
+                        best.put(q[i].astype(np.int32), files[at[j]], scores[i, j])
+        found = best.cut()
+        for n in range(0, len(found[0]) if found else 0, 1 << 16):
+            query, file, score = (c[n : n + (1 << 16)] for c in found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query].astype(np.int32 if kind == "int" else np.int64)), pa.array(file), pa.array(score)], names=["query_id", "file_id", "score"])
 
     return rows.mapInArrow(run, schema)
 
