@@ -77,3 +77,30 @@ def test_edges(spark, monkeypatch):
         index.search(index.rows(), spark.createDataFrame([(1, [1.0])], "query_id long, vector array<double>"))
     with pytest.raises(ValueError):
         vector_index.build(table(spark, []), shared_folder(spark, "index"))
+
+
+def test_exact_misses_nothing(spark, monkeypatch):
+    """Vectors without clusters, many copies of some, few cells asked first: the exact search gives what brute force gives."""
+    rng = np.random.default_rng(3)
+    plain = rng.normal(size=(1500, 24))
+    plain[:700] = plain[0]
+    rows = [(k, f"p{k % 2}", ["en", "fr"][k % 2 ^ k % 3 % 2], plain[k].tolist()) for k in range(1500)]
+    index = vector_index.build(table(spark, rows), shared_folder(spark, "index"))
+    index.model.probes, index.ef = 1, 15
+    asked = spark.createDataFrame([(k, f"p{k % 2}", plain[k].tolist()) for k in (0, 1, 7, 801, 903, 1204, 1499)] + [(9999, "p0", [0.0] * 24)], "query_id long, project string, vector array<double>")
+    for condition in ("true", "language = 'fr'", "file_id > 1400"):
+        exact = search.vector_search(table(spark, rows).where(condition), asked, 12).collect()
+        found = index.exact(index.rows().where(condition), asked, 12).collect()
+        told = [{(r["query_id"], r["rank"]): (r["file_id"], round(r["score"], 5)) for r in x} for x in (exact, found)]
+        assert told[0] == told[1]
+
+
+def test_best_of_copies_are_the_first_ids():
+    """What a task keeps of equal scores is the smallest ids, and it keeps no more than it gives."""
+    best = search.Best(2, 3)
+    best._room = 8
+    for k in range(40, 0, -1):
+        best.put(np.array([0, 1]), np.array([k, k]), np.array([0.5, k / 100]))
+        assert best._rows <= 18
+    query, file, _ = best.cut()
+    assert list(zip(query, file, strict=True)) == [(0, 1), (0, 2), (0, 3), (1, 40), (1, 39), (1, 38)]
