@@ -118,15 +118,29 @@ def once_in_stream(requests: DataFrame, time_col: str, delay: str = "1 day") ->
 
 
 def state_stream(events: DataFrame) -> DataFrame:
-    """(task_id, state, progress, n_events) as updates of a stream of events; the same machine as task_states()."""
+    """(task_id, state, progress, n_events) as updates of a stream of events; the same machine as task_states().
+
+    The events of a task in a micro-batch come in several groups in no order. Of them those are kept that move a state, up
+    to the first that ends every one, and sorted when all have come.
+    """
+    moves, ending = sorted({event for _, event in MOVES}), ("failed", "cancelled")
 
     def update(key: tuple, groups: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state, progress, n = held.get if held.exists else ("pending", 0, 0)
+        state, progress, n = held.get if held.exists else ("pending", None, 0)
+        moving = None
         for rows in groups:
-            for event, shown in rows.sort_values("id")[["event_type", "progress"]].itertuples(index=False):
-                state, progress, n = MOVES.get((state, event), state), max(progress, int(shown)), n + 1
+            n += len(rows)
+            if rows["progress"].notna().any():
+                most = int(rows["progress"].max())
+                progress = most if progress is None else max(progress, most)
+            some = rows.loc[rows["event_type"].isin(moves), ["id", "event_type"]]
+            moving = some if moving is None else pd.concat([moving, some])
+            ends = moving.loc[moving["event_type"].isin(ending), "id"]
+            moving = moving[moving["id"] <= ends.min()] if len(ends) else moving
+        for event in moving.sort_values(["id", "event_type"])["event_type"] if state not in FINAL else ():
+            state = MOVES.get((state, event), state)
         held.update((state, progress, n))
-        yield pd.DataFrame({"task_id": [key[0]], "state": [state], "progress": [progress], "n_events": [n]})
+        yield pd.DataFrame({"task_id": [key[0]], "state": [state], "progress": pd.array([progress], "Int32"), "n_events": [n]})
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
