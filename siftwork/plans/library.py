@@ -508,8 +508,8 @@ def live_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = tables.table(spark, sf_dir, "events").select("user_id", F.get_json_object("props", "$.k").alias("idempotency_key"), F.col("event_id").alias("id"))
     half = r.agg(F.percentile_approx("id", 0.5)).first()[0]
     for part in (F.col("id") <= half, F.col("id") > half):
-        tasks.run(tasks.first_requests(_grown(spark, r.where(part), f"{base}/requests")), f"{base}/checkpoint", f"{base}/sink")
-    return spark.read.parquet(f"{base}/sink").select("user_id", F.col("idempotency_key").alias("k"), "id")
+        tasks.run(tasks.least_requests(_grown(spark, r.where(part), f"{base}/requests")), f"{base}/checkpoint", f"{base}/sink", "update")
+    return spark.read.parquet(f"{base}/sink").groupBy("user_id", F.col("idempotency_key").alias("k")).agg(F.min("id").alias("id"))
 
 
 @query("SELECT event_id AS id, user_id AS task_id FROM events")

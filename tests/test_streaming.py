@@ -78,3 +78,43 @@ def test_states_of_one_task_with_most_events(spark):
     got = {r["task_id"]: (r["state"], r["progress"], r["n_events"]) for r in events.task_states(df.repartition(7)).collect()}
     assert got == {9: ("success", 89, 21000), 1: ("success", 100, 4), 2: ("cancelled", 5, 2), 3: ("pending", 0, 1), None: ("scanning", None, 1), 4: ("pending", None, 1)}
     assert events.task_states(df.where("false")).count() == 0
+
+
+def test_state_stream_sorts_over_all_groups_of_a_batch(spark, tmp_path):
+    """A task's events of one batch come in several groups and not in order; types and progress may be missing."""
+    from siftwork.streaming import tasks
+
+    rows = [(k, 1, {4: "started", 900: "scanned", 1700: "completed", 1900: "failed"}.get(k, "note"), None) for k in range(2000, 0, -1)]
+    rows += [(1, 2, "started", 7), (2, 2, None, None)]
+    spark.createDataFrame(rows, SHAPE).coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        tasks.run(events.state_stream(spark.readStream.schema(SHAPE).parquet(f"{tmp_path}/in")), f"{tmp_path}/k", f"{tmp_path}/out", "update")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = sorted(tuple(r)[:4] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(1, "success", None, 2000), (2, "scanning", 7, 2)]
+
+
+def test_least_requests_of_a_restarted_stream(spark, tmp_path):
+    """Every key once with its least id, over a restart; no key is handed to Python."""
+    from siftwork.streaming import tasks
+
+    shape = "user_id long, idempotency_key string, id long"
+    for rows in ([(1, "k", 5), (1, "k", 3), (2, None, 4)], [(1, "k", 9), (2, None, 6), (2, "k", 7)]):
+        spark.createDataFrame(rows, shape).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = tasks.least_requests(spark.readStream.schema(shape).parquet(f"{tmp_path}/in"))
+        assert "Pandas" not in stream._jdf.queryExecution().logical().toString()
+        tasks.run(stream, f"{tmp_path}/k", f"{tmp_path}/out", "update")
+    least = spark.read.parquet(f"{tmp_path}/out").groupBy("user_id", "idempotency_key").agg(F.min("id").alias("id"))
+    assert sorted(r["id"] for r in least.collect()) == [3, 4, 7]
+
+
+def test_client_frames_are_made_of_what_is_sent(spark):
+    """Texts of events are made behind the state, for the few that are sent."""
+    from siftwork.streaming import tasks
+
+    stream = spark.readStream.format("rate").load()
+    e = stream.selectExpr("value AS id", "value AS task_id", "'note' AS event_type", "1 AS progress")
+    plan = tasks.client_frames(e, stream.selectExpr("value AS task_id", "0L AS cursor"), 3)._jdf.queryExecution().analyzed().toString()
+    assert plan.index("format_string") < plan.index("FlatMapGroupsInPandasWithState") and plan.count("format_string") == 1
