@@ -24,23 +24,23 @@ def candidates(predictions: DataFrame, truth: DataFrame, also: list[str] = ()) -
 
     They agree if the prediction covers the sink line or at least half of the labelled range. A range that holds half of
     another holds one of the two lines in its middle, so each agreeing prediction holds one of three points of the label:
-    the sink line and these two. A prediction is dealt to the one or two stretches of 2**level lines, the least power that
-    is as long as it, that it touches, a point to its stretch on each level that predictions have. Points and predictions
-    meet by stretch: the pairs looked at are those close by, however many findings a file has. The pair counts at the
-    first of the label's points that the prediction holds.
+    the sink line and these two. A prediction is dealt to the one or two stretches of 2**level lines that it touches; the
+    level is the least of 3, 6, 9, ... for which that is as long as it. A label goes once to each stretch of its points, on
+    each level that predictions have. They meet by stretch: the pairs looked at are those close by, however many findings a
+    file has. The pair counts at the first of the label's points that the prediction holds.
     """
     p = _keyed(predictions).select(*also, *KEYS, "prediction_index", F.col("start_line").alias("p_start"), F.col("end_line").alias("p_end"), "risk_level", F.col("cwe_id").alias("p_cwe"), "fingerprint", *(["position"] if "position" in predictions.columns else []))
-    p = p.where("p_start <= p_end").withColumn("_level", F.ceil(F.log2(F.col("p_end") - F.col("p_start") + 1)).cast("int"))
+    p = p.where("p_start <= p_end").withColumn("_level", 3 * F.greatest(F.lit(1), F.ceil(F.log2(F.col("p_end") - F.col("p_start") + 1) / 3)).cast("int"))
     levels = p.select(F.collect_set("_level").alias("levels"))
-    stretch = lambda line: F.floor(F.col(line) / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
-    p = p.withColumn("_stretch", F.explode(F.array_distinct(F.array(stretch("p_start"), stretch("p_end")))))
+    stretch = lambda line: F.floor(line / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    p = p.withColumn("_stretch", F.explode(F.array_distinct(F.array(stretch(F.col("p_start")), stretch(F.col("p_end"))))))
     t = _keyed(truth.where("vulnerable")).select(*KEYS, "gt_id", "sink_line", F.col("start_line").alias("t_start"), F.col("end_line").alias("t_end"))
     half = F.call_function("div", F.col("t_end") - F.col("t_start"), F.lit(2)).cast("int")
-    middle = F.when(F.col("t_start") <= F.col("t_end"), F.array(F.col("t_start") + half, F.col("t_end") - half))
-    points = F.filter(F.concat(F.array("sink_line"), F.coalesce(middle, F.array())), lambda x: x.isNotNull())
-    t = t.withColumn("_points", F.array_distinct(points)).withColumn("point", F.explode("_points")).withColumn("_level", F.explode(levels.scalar())).withColumn("_stretch", stretch("point"))
-    first = F.try_element_at(F.filter("_points", lambda x: x.between(F.col("p_start"), F.col("p_end"))), F.lit(1))
-    out = p.join(t, [*KEYS, "_level", "_stretch"]).where(F.col("point").between(F.col("p_start"), F.col("p_end"))).where(first == F.col("point")).drop("_level", "_stretch", "_points")
+    middle = [F.when(F.col("t_start") <= F.col("t_end"), line) for line in (F.col("t_start") + half, F.col("t_end") - half)]
+    points = F.array_compact(F.array("sink_line", *middle))
+    t = t.withColumn("_level", F.explode(levels.scalar())).withColumn("_stretch", F.explode(F.array_distinct(F.transform(points, stretch))))
+    held = F.coalesce(*[F.when(x.between(F.col("p_start"), F.col("p_end")), x) for x in (F.col("sink_line"), *middle)])
+    out = p.join(t, [*KEYS, "_level", "_stretch"]).withColumn("point", held).where(stretch(F.col("point")) == F.col("_stretch")).drop("_level", "_stretch")
     out = out.withColumn("covers", numbers.covers(F.col("p_start"), F.col("p_end"), F.col("sink_line"))).withColumn("overlap", numbers.overlap_ratio(F.col("p_start"), F.col("p_end"), F.col("t_start"), F.col("t_end")))
     return out.where("covers or overlap >= 0.5")
 
@@ -79,8 +79,10 @@ def islands(pairs: DataFrame, by: list[str]) -> DataFrame:
     """pairs with island: pairs that share a prediction or a label, in one step or over others, are on one island.
 
     The points of a prediction's or a label's pairs span a stretch of lines; stretches of pairs that share one of the two
-    overlap. Islands are the gaps between stretches, which a running maximum over the sorted pairs of a key finds.
+    overlap. Islands are the gaps between stretches, which a running maximum over the sorted pairs of a key finds. Pairs are
+    shuffled once, by key, for all of that.
     """
+    pairs = pairs.repartition(*by)
     own, label = Window.partitionBy(*by, "prediction_index"), Window.partitionBy(*by, "gt_id")
     span = lambda f, pick: pick(f("point").over(own), f("point").over(label))
     out = pairs.withColumn("_from", span(F.min, F.least)).withColumn("_to", span(F.max, F.greatest))
@@ -97,28 +99,33 @@ def matched(pairs: DataFrame, also: list[str] = (), order: list[str] = ORDER) ->
     sorted, and read as a stream that holds one island at a time; a file with many findings spreads over the tasks. The
     order of predictions and candidates decides among matchings of equal size. Predictions are added in that order, and
     one that is matched stays matched: the predictions of any prefix of the order that are matched are a largest
-    matching of that prefix.
+    matching of that prefix. also: columns beside the keys that tell lists apart, or keys that are to be given too.
     """
     ship(pairs.sparkSession)
-    by = [*also, *KEYS]
+    by = list(dict.fromkeys([*also, *KEYS]))
     keep = [*also, "gt_id", "prediction_index", "overlap", "covers", "risk_level", *(["position"] if "position" in pairs.columns else [])]
     group = [*by, "island"]
 
+    columns = list(dict.fromkeys([*group, *keep]))
+    made, label, told = columns.index("prediction_index"), columns.index("gt_id"), [columns.index(c) for c in keep]
+
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, rows = None, []
 
         def flush() -> list[tuple]:
+            if len(rows) == 1:
+                return [tuple(rows[0][c] for c in told)]
             edges: dict = {}
             for r in rows:
-                edges.setdefault(r.prediction_index, []).append(r.gt_id)
-            owner = maximum_matching(edges.items()) if len(rows) > 1 else {rows[0].gt_id: rows[0].prediction_index}
+                edges.setdefault(r[made], []).append(r[label])
+            owner = maximum_matching(edges.items())
             # A pair that comes in several rows is given once.
-            return [tuple(getattr(r, c) for c in keep) for r in rows if owner.get(r.gt_id) == r.prediction_index and owner.pop(r.gt_id) is not None]
+            return [tuple(r[c] for c in told) for r in rows if owner.get(r[label]) == r[made] and owner.pop(r[label]) is not None]
 
         for batch in batches:
             out = []
-            for r in batch.itertuples(index=False):
-                key = tuple(getattr(r, c) for c in group)
+            for r in zip(*[batch[c].tolist() for c in columns], strict=True):
+                key = r[: len(group)]
                 if key != now and rows:
                     out += flush()
                     rows = []
@@ -130,7 +137,7 @@ def matched(pairs: DataFrame, also: list[str] = (), order: list[str] = ORDER) ->
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
     dealt = islands(pairs, by).repartition(*group).sortWithinPartitions(*group, *order, F.desc("covers"), F.desc("overlap"), "gt_id")
-    return dealt.select(*dict.fromkeys([*group, *keep])).mapInPandas(match, ", ".join(f"{c} {kinds[c]}" for c in keep))
+    return dealt.select(*columns).mapInPandas(match, ", ".join(f"{c} {kinds[c]}" for c in keep))
 
 
 def unmatched(truth: DataFrame, predictions: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -162,9 +169,7 @@ def recall_by_prefix(predictions: DataFrame, truth: DataFrame, ks: list[int], by
     Predictions look for labels in the order of their positions, so those of the first k that end up matched are as many
     as the first k alone can match.
     """
-    also, keyed = [c for c in by if c not in KEYS], [c for c in by if c in KEYS]
-    pairs = candidates(predictions, truth, also).withColumns({f"of_{c}": F.col(c) for c in keyed})
-    found = matched(pairs, [*also, *[f"of_{c}" for c in keyed]], ["position", *ORDER]).withColumnsRenamed({f"of_{c}": c for c in keyed})
+    found = matched(candidates(predictions, truth, [c for c in by if c not in KEYS]), by, ["position", *ORDER])
     counts = found.groupBy(*by).agg(F.array(*[F.struct(F.lit(k).alias("k"), F.count_if(F.col("position") < k).alias("tp")) for k in ks]).alias("_told"))
     t = truth.where("vulnerable").groupBy("language").agg(F.count("*").alias("n_truth"))
     none = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(0).cast("long").alias("tp")) for k in ks])

@@ -292,7 +292,7 @@ def max_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, t = predicted_spans(spark, sf_dir), truth_spans(spark, sf_dir)
-    m = evaluate.matched(evaluate.candidates(p, t, []).withColumn("lang", F.col("language")), ["lang"]).withColumnRenamed("lang", "language")
+    m = evaluate.matched(evaluate.candidates(p, t), ["language"])
     return evaluate.evaluation(p, t, m, ["language"])
 
 
@@ -309,9 +309,8 @@ best AS (SELECT language, path, category, cwe, i, o, max(len(used)) AS n FROM g
 @query(f"""WITH RECURSIVE {PAIRS}, {_growing('prediction_index')} SELECT language, path, sum(n)::BIGINT AS matched FROM (SELECT language, path, category, cwe, max(n) AS n FROM best GROUP BY ALL) GROUP BY ALL HAVING sum(n) > 0""")
 def matching_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many findings of each file a largest matching takes; the SQL tries every matching."""
-    pairs = evaluate.candidates(predicted_spans(spark, sf_dir), truth_spans(spark, sf_dir)).withColumns({"of_language": F.col("language"), "of_path": F.col("path")})
-    found = evaluate.matched(pairs, ["of_language", "of_path"])
-    return found.groupBy(F.col("of_language").alias("language"), F.col("of_path").alias("path")).agg(F.count("*").alias("matched"))
+    found = evaluate.matched(evaluate.candidates(predicted_spans(spark, sf_dir), truth_spans(spark, sf_dir)), ["language", "path"])
+    return found.groupBy("language", "path").agg(F.count("*").alias("matched"))
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, pl AS (SELECT DISTINCT language, path, prediction_index, rank() OVER (PARTITION BY path, language ORDER BY prediction_index) - 1 AS place FROM p),
