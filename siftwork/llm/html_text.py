@@ -33,6 +33,7 @@ import html
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,9 @@ CHROME, NEITHER, ARTICLE, SUSPECT = 0, 1, 2, 3
 _OPEN = regex.compile(r"<(?:(?P<note>!--)|[!?]|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+))")
 _WHOLE = regex.compile(r"""<(?:(?P<note>!--)|[!?]|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?P<last>>)?)""")
 _ATTR = regex.compile(r"""([a-zA-Z_:][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_NOT_WORD = regex.compile(r"[^a-z0-9]+")
+_HIDDEN = regex.compile(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|visibility\s*:\s*hidden")
+_UNSHOWN = regex.compile(r"(?i)display\s*:\s*none")
 _RAW = frozenset("script style noscript template textarea iframe svg math object title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -68,6 +72,8 @@ _BLOCK = frozenset(
 )
 _CHROME_TAGS = frozenset("aside button dialog fieldset footer form head input label menu nav option select".split())
 _CHROME_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Elements whose name tells something; what an attribute that tells something has in it.
+_TELLING, _NAMED = _CHROME_TAGS | {"article", "header", "main"}, regex.compile(r"(?i)class|id|role|itemprop|display|visibility")
 #: A whole class or id of a container that says for certain that it is not main text.
 _CHROME_WORDS = frozenset("ad ads adsbygoogle advert adverts advertisement comments disqus navbar sidebar".split())
 _CONTAINERS = frozenset("center div dl figure ins ol section table ul".split())
@@ -81,11 +87,25 @@ _COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
 _ARTICLE_WORDS = frozenset("article articlebody post entry story content maincontent".split())
 
 
+@lru_cache(4096)
+def _raw_end(name: str) -> regex.Pattern:
+    return regex.compile(rf"</{regex.escape(name)}\s*>", regex.I)
+
+
 def _kind_of(name: str, rest: str, inside: int) -> int | None:
     """What an element makes of its content; None if it leaves that as it is."""
+    if not rest or not _NAMED.search(rest):
+        if name not in _TELLING:
+            return None
+        rest = ""
+    return _kind_by_names(name, rest, inside) if len(rest) <= 256 else _kind_by_names.__wrapped__(name, rest, inside)
+
+
+@lru_cache(4096)
+def _kind_by_names(name: str, rest: str, inside: int) -> int | None:
     found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(rest)} if "=" in rest else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower() if found else ""
-    words = set(regex.split(r"[^a-z0-9]+", names)) if names else set()
+    words = set(_NOT_WORD.split(names)) if names else set()
     role = found.get("role", "").lower()
     if name in ("html", "body", "main"):
         return ARTICLE if name == "main" else None
@@ -95,7 +115,7 @@ def _kind_of(name: str, rest: str, inside: int) -> int | None:
         return CHROME
     if name == "header":
         return None if inside in (ARTICLE, SUSPECT) else CHROME
-    if "hidden" in rest.lower() and regex.search(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|visibility\s*:\s*hidden", rest) or "display" in rest and regex.search(r"(?i)display\s*:\s*none", rest):
+    if "hidden" in rest.lower() and _HIDDEN.search(rest) or "display" in rest and _UNSHOWN.search(rest):
         return CHROME
     if name in _CONTAINERS and _CHROME_WORDS & set(names.split()):
         return CHROME
@@ -141,10 +161,11 @@ class Tags:
         """(start, end, name, / where it closes, rest) of the next tag; the name is empty for comments and declarations."""
         page = self.page
         while found := (_WHOLE if self.ends is None else _OPEN).search(page, at):
-            note, closes, name, *more = found.groups()
             start = found.start()
-            if more and more[1]:
-                return start, found.end(), name.lower(), closes, more[0]
+            if found.lastgroup == "last":
+                _, closes, name, rest, _ = found.groups()
+                return start, found.end(), name.lower(), closes, rest
+            note, closes, name = found.group("note", "end", "name")
             if note:
                 end = page.find("-->", start + 4)
                 return start, len(page) if end < 0 else end + 3, "", "", ""
@@ -172,11 +193,10 @@ def parse(page: str | None) -> list[tuple[int, str]]:
     tags = Tags(page)
 
     def flush() -> None:
-        if pieces:
-            if text := " ".join("".join(pieces).split()):
-                blocks.append((kind, text))
-                own.append(in_article)
-            pieces.clear()
+        if text := " ".join("".join(pieces).split()):
+            blocks.append((kind, text))
+            own.append(in_article)
+        pieces.clear()
 
     def close(k: int) -> None:
         """Leaves the elements from the k-th on. The block around an inline control goes on after it."""
@@ -184,7 +204,7 @@ def parse(page: str | None) -> list[tuple[int, str]]:
         while len(stack) > k:
             name, before, article, around = stack.pop()
             opened[name] -= 1
-            if around is not None or before != kind:
+            if pieces and (around is not None or before != kind):
                 flush()
             pieces = pieces if around is None else around
             kind, in_article = before, article
@@ -201,7 +221,7 @@ def parse(page: str | None) -> list[tuple[int, str]]:
         if not name:
             continue
         if closes:
-            if name in _BLOCK:
+            if pieces and name in _BLOCK:
                 flush()
             if opened[name]:
                 for k in range(len(stack) - 1, -1, -1):
@@ -211,11 +231,12 @@ def parse(page: str | None) -> list[tuple[int, str]]:
             continue
         if name in _RAW:
             if not rest.rstrip().endswith("/"):
-                found = regex.compile(rf"</{regex.escape(name)}\s*>", regex.I).search(page, at)
+                found = _raw_end(name).search(page, at)
                 at = found.end() if found else len(page)
             continue
         if name in _BLOCK:
-            flush()
+            if pieces:
+                flush()
         elif name == "br":
             pieces.append(" ")
         if name in _VOID:
@@ -325,14 +346,15 @@ class Stream:
     tokens of a block, and every block of fewer tokens as a whole."""
 
     def __init__(self, pages: list[int], kinds: list[list[int]], texts: list[list[str]], run: int):
-        self.number: dict[str, int] = {}
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
         self.kinds, self.texts, self.run = kinds, texts, run
         number, tokens, spans, block_pages, inside = self.number, [], [], [], []
         for page, own_kinds, own_texts in zip(pages, kinds, texts, strict=True):
             for kind, text in zip(own_kinds, own_texts, strict=True):
                 words = text.split(" ")
                 spans.append((len(tokens), len(words)))
-                tokens += [number.setdefault(w, len(number)) for w in words]
+                tokens.extend(map(number.__getitem__, words))
                 tokens.append(-1 - len(spans))
                 block_pages.append(page)
                 inside.append(kind == ARTICLE)

@@ -182,3 +182,10 @@ def test_shards_by_bytes(spark, monkeypatch):
     want = sorted(map(tuple, html_text.main_texts(pages).collect()))
     monkeypatch.setattr(html_text, "SHARD_BYTES", 2000)
     assert sorted(map(tuple, html_text.main_texts(pages).collect())) == want and "shared" not in want[0][2]
+
+
+def test_equal_tags_are_judged_once():
+    html_text._kind_by_names.cache_clear()
+    page = "<main>" + '<div class="sidebar">x</div><p class="lead">y</p><a href="/z">z</a>' * 1000 + "</main>"
+    assert html_text.parse(page) == [(html_text.ARTICLE, t) if t != "x" else (html_text.CHROME, t) for _ in range(1000) for t in ("x", "y", "z")]
+    assert html_text._kind_by_names.cache_info().misses <= 3
