@@ -66,10 +66,14 @@ def failed_again(issues: DataFrame, failed: DataFrame) -> DataFrame:
     return issues.join(failed.select("path", "rule_id").distinct(), ["path", "rule_id"], "left_semi")
 
 
+def _levels() -> list[Column]:
+    level = F.coalesce("risk_level", F.lit("Low"))
+    return [*[F.count_if(level == x).alias(x.lower()) for x in LEVELS], F.count("*").alias("total")]
+
+
 def severity_stats(issues: DataFrame, by: list[str] = ()) -> DataFrame:
     """Counts by level; no level counts as Low, an unknown one in the total only."""
-    level = F.coalesce("risk_level", F.lit("Low"))
-    return issues.groupBy(*by).agg(*[F.count_if(level == x).alias(x.lower()) for x in LEVELS], F.count("*").alias("total"))
+    return issues.groupBy(*by).agg(*_levels())
 
 
 def category_histogram(issues: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -132,24 +136,30 @@ def issue_markdown(number: Column) -> Column:
     return F.array_join(F.array(head, listed, *[F.concat(F.lit(f"**{name}:**\n\n"), c) for name, c in texts.items()]), "\n\n")
 
 
-def report_parts(tasks: DataFrame, issues: DataFrame, by: str = "task_id", order: str = "pos") -> DataFrame:
-    """(by, section, number, text): the report of each task in parts, to be read by section and number with blank lines between.
+def numbered(issues: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """Each different row of issues of a task once, with number: its place among the issues of its task and verdict.
 
-    tasks: by, project, generated_at, summary, stop_reason, plan_items, degradation (map), calls, input_tokens,
-    output_tokens, cost, cost_status, started_at, finished_at. issues: by, order, verified and what issue_markdown()
-    reads. Sections: head, facts, summary, stop reason, severity, types, coverage, degradation, verified issues, rejected
-    issues, metrics; those without content are left out. An issue is a part of its own (number from 1, below its section's
-    title), so no value grows with a task; numbering sorts a task's issues, which spills. Issues without a task or without
-    a verdict are in no part; a task without issues has all the others.
+    Rows are shuffled once, by task; there one sort brings equal rows together and gives the order. It spills. What is
+    derived from the columns of an issue is better added afterwards, so that it is neither shuffled nor sorted.
     """
-    known = issues.join(tasks.select(by), by, "left_semi")
-    place = F.row_number().over(Window.partitionBy(by, "verified").orderBy(order))
-    blocks = known.where("verified is not null").withColumn("number", place).select(by, F.when(F.col("verified"), VERIFIED).otherwise(REJECTED).alias("section"), "number", issue_markdown(F.col("number")).alias("text"))
-    kinds = category_histogram(issues, [by]).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("category", "issues"))).alias("_kinds"))
-    sides = issues.groupBy(by).agg(F.count_if("verified").alias("_passed"), F.count_if(~F.col("verified")).alias("_failed"))
-    t = tasks
-    for told in (severity_stats(issues, [by]), kinds, sides):
-        t = t.join(told, by, "left")
+    # Not the verdict itself: a filter on that would come before the shuffle, which then served one reader only.
+    rows = issues.where(F.col(by).isNotNull()).withColumn("_side", F.coalesce(F.col("verified").cast("int"), F.lit(-1))).repartition(by)
+    first = [by, "_side", *order]
+    same = Window.partitionBy(*first, *[c for c in issues.columns if c not in first]).orderBy(*order)
+    once = rows.withColumn("_again", F.row_number().over(same)).where("_again = 1").drop("_again")
+    return once.withColumn("number", F.row_number().over(Window.partitionBy(by, "_side").orderBy(*order))).drop("_side")
+
+
+def _parts_of(tasks: DataFrame, issues: DataFrame, by: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """The parts of report_parts(): those of tasks, and those of single issues."""
+    if "number" not in issues.columns:
+        issues = issues.repartition(by).withColumn("number", F.row_number().over(Window.partitionBy(by, "verified").orderBy(order)))
+    known = issues.join(tasks.select(by), by, "left_semi").where("verified is not null")
+    blocks = known.select(by, F.when(F.col("verified"), VERIFIED).otherwise(REJECTED).alias("section"), "number", issue_markdown(F.col("number")).alias("text"))
+    sums = ["high", "medium", "low", "total", "_passed", "_failed"]
+    told = issues.groupBy(by, F.coalesce("category", F.lit("unknown")).alias("category")).agg(*_levels(), F.count_if("verified").alias("_passed"), F.count_if(~F.col("verified")).alias("_failed"))
+    told = told.groupBy(by).agg(*[F.sum(c).alias(c) for c in sums], F.array_sort(F.collect_list(F.struct("category", F.col("total").alias("issues")))).alias("_kinds"))
+    t = tasks.join(told, by, "left")
     count = lambda c: F.coalesce(c, F.lit(0))
     shown, seconds = numbers.cost_display(F.col("cost"), F.col("cost_status")), F.coalesce(F.format_string("%.1f", numbers.elapsed_seconds(F.col("started_at"), F.col("finished_at"))), F.lit("N/A"))
     shown_seconds = F.when(F.col("started_at").isNull() | F.col("finished_at").isNull(), "N/A").otherwise(seconds)
@@ -177,16 +187,32 @@ def report_parts(tasks: DataFrame, issues: DataFrame, by: str = "task_id", order
         ),
     ]
     frame = t.select(by, F.posexplode(F.array(*parts)).alias("section", "text")).where("text is not null").select(by, "section", F.lit(0).alias("number"), "text")
+    return frame, blocks
+
+
+def report_parts(tasks: DataFrame, issues: DataFrame, by: str = "task_id", order: str = "pos") -> DataFrame:
+    """(by, section, number, text): the report of each task in parts, to be read by section and number with blank lines between.
+
+    tasks: by, project, generated_at, summary, stop_reason, plan_items, degradation (map), calls, input_tokens,
+    output_tokens, cost, cost_status, started_at, finished_at. issues: by, verified, what issue_markdown() reads, and
+    order or the number that numbered() gave them. Sections: head, facts, summary, stop reason, severity, types, coverage,
+    degradation, verified issues, rejected issues, metrics; those without content are left out. An issue is a part of its
+    own (number from 1, below its section's title), so no value grows with a task; numbering sorts a task's issues, which
+    spills. Issues without a task or without a verdict are in no part; a task without issues has all the others.
+    """
+    frame, blocks = _parts_of(tasks, issues, by, order)
     return frame.unionByName(blocks)
 
 
 def report_markdown(tasks: DataFrame, issues: DataFrame, by: str = "task_id", order: str = "pos") -> DataFrame:
     """(by, markdown): the parts of report_parts() as one text a task, for reports that are exported as a file.
 
-    A report is one value here; those of tasks too large for that are read or written by parts.
+    A report is one value here; those of tasks too large for that are read or written by parts. Issues become text where
+    numbering has brought them: no text is shuffled.
     """
-    parts = report_parts(tasks, issues, by, order).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("section", "number", "text"))).alias("_parts"))
-    return parts.select(by, F.concat(F.array_join(F.transform("_parts", lambda p: p["text"]), "\n\n"), F.lit("\n")).alias("markdown"))
+    frame, blocks = (x.groupBy(by).agg(F.collect_list(F.struct("section", "number", "text")).alias(name)) for x, name in zip(_parts_of(tasks, issues, by, order), ("_frame", "_blocks"), strict=True))
+    parts = F.array_sort(F.concat("_frame", F.coalesce("_blocks", F.array().cast("array<struct<section:int,number:int,text:string>>"))))
+    return frame.join(blocks, by, "left").select(by, F.concat(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n"), F.lit("\n")).alias("markdown"))
 
 
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:

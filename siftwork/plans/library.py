@@ -617,12 +617,12 @@ SELECT task_id, sha256(concat('# Code Review Report — ', CASE WHEN task_id % 5
 
 def _reported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t, p = F.col("task_id"), F.col("pos")
-    i = issues(spark, sf_dir).distinct().withColumns({
+    i = review.numbered(issues(spark, sf_dir), "task_id", ["pos", "title", "path", "fingerprint"]).withColumns({
         "issue_type": F.concat(F.lit("T"), t % 3), "rule_id": F.when(p % 4 != 0, F.concat(F.lit("r"), p % 4)), "cwe_id": F.lit(None).cast("string"), "start_line": p % 50, "end_line": p % 50 + 2, "confidence": (p % 101) / 100,
         "critic_decision": F.col("decision"), "needs_human_review": F.col("decision") == "uncertain", "description": F.concat("title", F.lit(" "), "path"), "evidence": F.col("fingerprint"), "reason": F.lit(None).cast("string"),
-        "suggestion": F.lit("mend it"), "order": F.struct("pos", "title", "path", "fingerprint"),
+        "suggestion": F.lit("mend it"),
     })
-    tasks = i.select("task_id").distinct().select(
+    tasks = issues(spark, sf_dir).select("task_id").distinct().select(
         "task_id", F.when(t % 5 != 0, F.concat(F.lit("P"), t)).alias("project"), F.lit("2024-02-03 04:05:06").cast("timestamp").alias("generated_at"), F.when(t % 2 == 0, "All in all.").alias("summary"),
         F.when(t % 6 == 1, "max_calls").alias("stop_reason"), F.when(t % 7 != 0, t % 7).alias("plan_items"), F.when(t % 2 == 1, F.create_map(F.lit("b"), F.lit("some"), F.lit("a"), F.lit("none"))).alias("degradation"), t.alias("calls"),
         F.lit(1234567).alias("input_tokens"), F.lit(None).cast("long").alias("output_tokens"), F.when(t % 3 == 0, F.lit(1.5)).otherwise(0.25).cast("decimal(12,6)").alias("cost"),
@@ -634,7 +634,7 @@ def _reported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {REPORT_SQL}")
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reports of all tasks, as digests."""
-    out = review.report_markdown(*_reported(spark, sf_dir), "task_id", "order")
+    out = review.report_markdown(*_reported(spark, sf_dir), "task_id")
     return out.select("task_id", F.sha2(F.col("markdown").cast("binary"), 256).alias("markdown_sha256"))
 
 
@@ -644,7 +644,7 @@ UNION ALL SELECT task_id, 4, 0, sha256(concat('## Severity', chr(10), chr(10), '
 UNION ALL SELECT task_id, 5, 0, sha256(concat('## Issue Types', chr(10), chr(10), kinds)) FROM y""")
 def report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of all reports that come from issues, each as a digest: severity, types, issues."""
-    parts = review.report_parts(*_reported(spark, sf_dir), "task_id", "order").where(F.col("section").isin(4, 5, review.VERIFIED, review.REJECTED))
+    parts = review.report_parts(*_reported(spark, sf_dir), "task_id").where(F.col("section").isin(4, 5, review.VERIFIED, review.REJECTED))
     return parts.select("task_id", "section", F.col("number").cast("long").alias("number"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

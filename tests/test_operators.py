@@ -439,6 +439,17 @@ def test_capped_streams_one_large_group(spark):
     assert scan.capped(items.where("false"), ["m"], "pos", "size", 1).count() == 0
 
 
+def test_issues_are_numbered_once_each_in_one_shuffle(spark):
+    given = [(1, True, 5, "a"), (1, True, 5, "a"), (1, True, 3, "b"), (1, False, 4, "c"), (1, None, 1, "d"), (1, None, 1, "d"), (2, True, 9, None), (2, True, 9, None), (None, True, 1, "e")]
+    issues = spark.createDataFrame(given, "task_id int, verified boolean, pos int, title string")
+    out = review.numbered(issues, "task_id", ["pos", "title"])
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, False, 4, "c", 1), (1, None, 1, "d", 1), (1, True, 3, "b", 1), (1, True, 5, "a", 2), (2, True, 9, None, 1)]
+    both = out.where("verified is not null").unionByName(out.where("number > 0"))
+    assert both.count() == 9
+    plan = out.groupBy("task_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1, plan
+
+
 def test_report_of_one_task_with_most_issues_stays_in_parts(spark):
     n = 20000
     issue = spark.range(n).select(
