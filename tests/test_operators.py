@@ -228,6 +228,21 @@ def test_recursion_limit_keeps_what_is_done(spark):
         assert out.partial and out.stop_reason == "graph_recursion_limit_exceeded" and out.steps == limit
 
 
+def test_items_are_retried_without_a_join(spark):
+    items = spark.range(12).selectExpr("1L AS task_id", "id AS item_id", "int(id) AS position", "5 AS top_k", "concat('q', id) AS query", "array('w') AS keywords", "array('f') AS risk_focus", "array('a/b/') AS target_paths")
+    asked = []
+
+    def retrieve(rows, attempt):
+        asked.append(rows)
+        return rows.withColumns({"context": F.col("query"), "sufficient": F.col("item_id") % 4 <= attempt})
+
+    nodes = workflow.Nodes(lambda t: items, retrieve, lambda c, k, failed: c.selectExpr("task_id", "item_id", "string(item_id) AS fingerprint", "'p' AS path", "'r' AS rule_id"), lambda found: found.withColumn("evidence_status", F.lit("passed")), lambda found, k: found.selectExpr("fingerprint", "1 AS pos", "'pass' AS decision", "'' AS reason"))
+    out = workflow.run_review(spark.createDataFrame([(1,)], "task_id long"), nodes)
+    assert [r["item_id"] for r in out.warnings[0].orderBy("item_id").collect()] == [3, 7]
+    assert [sorted({(r["query"], r["top_k"]) for r in x.collect()}) for x in asked[1:]] == [[("w f", 5)], [("w f", 10)]] and asked[2].count() == 4
+    assert "Join" not in asked[2]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_recall(spark):
     out = lambda e, r, k: spark.range(1).select(search.recall_at_k(F.array(*map(F.lit, e)) if e else F.array().cast("array<int>"), F.array(*map(F.lit, r)), k)).first()[0]
     assert out([1, 2], [3, 2, 4], 2) == 0.5 and out([], [1], 1) == 1.0
