@@ -2,10 +2,10 @@
 
 Texts are cut by a pattern into pre-tokens; merges never cross them. A block is the texts that a task reads until they
 reach BLOCK_CHARS. Every distinct pre-token of a block that is not known yet is laid out once as a chain of byte
-tokens. An inverted index maps the rank of a token pair to the positions where that pair stands; ranks are taken in
+tokens, as many pre-tokens at a time as REPLAY_BYTES holds. An inverted index maps the rank of a token pair to the positions where that pair stands; ranks are taken in
 order, all positions of a rank are merged from the left, and only the two neighbours of a merge get new index entries.
-Since merges never cross pre-tokens, the replay over a block gives what a replay over the whole corpus would, and no
-text or pre-token is shuffled.
+Since merges never cross pre-tokens, replays over parts of a block give what a replay over the whole corpus would, and
+no text or pre-token is shuffled.
 
 A pair's rank is that of its joined bytes, however the two parts came about, so a merge may make a pair of a lower
 rank than the current one. Such a pair is replayed before the rest of the current rank: exactly the order in which a
@@ -32,7 +32,11 @@ from pyspark.sql import types as T
 from .scratch import small_batches, tidy
 
 #: Characters of the texts of a block; pre-tokens and their bytes that a worker keeps from block to block.
-BLOCK_CHARS, KNOWN_WORDS, KNOWN_BYTES = 3_000_000, 600_000, 24_000_000
+BLOCK_CHARS, KNOWN_WORDS, KNOWN_BYTES = 3_000_000, 300_000, 12_000_000
+#: Bytes of the pre-tokens of one replay, whose lists take about 100 times as much; a longer pre-token is replayed alone.
+REPLAY_BYTES = 128_000
+#: Bytes of packed ids in one batch of results, unless one text has more.
+RESULT_BYTES = 1 << 20
 _SHIFT = 24
 
 
@@ -149,25 +153,31 @@ class Encoder:
 
     def learn(self, words: Iterable[str]) -> None:
         """Makes known the words that are not known yet."""
-        new, ranks, known = [], self.vocabulary.ranks, self.known
-        for word in words:
-            if word not in known:
-                raw = word.encode()
-                if (whole := ranks.get(raw)) is not None:
-                    known[word] = np.int32(whole).tobytes()
-                else:
-                    known[word] = b""
-                    new.append((word, raw))
+        new, size, ranks, known = {}, 0, self.vocabulary.ranks, self.known
         collects = gc.isenabled()
         gc.disable()  # the index is many small lists without cycles
         try:
-            for (word, raw), ids in zip(new, replay([raw for _, raw in new], self.vocabulary), strict=True):
-                known[word] = np.array(ids, np.int32).tobytes()
-                self.known_bytes += len(raw)
+            for word in words:
+                if word not in known and word not in new:
+                    raw = word.encode()
+                    if (whole := ranks.get(raw)) is not None:
+                        known[word] = np.int32(whole).tobytes()
+                        continue
+                    if new and size + len(raw) > REPLAY_BYTES:
+                        self._replayed(new)
+                        new, size = {}, 0
+                    new[word] = raw
+                    size += len(raw)
+            self._replayed(new)
         finally:
             if collects:
                 gc.enable()
 
+    def _replayed(self, new: dict[str, bytes]) -> None:
+        for (word, raw), ids in zip(new.items(), replay(list(new.values()), self.vocabulary), strict=True):
+            self.known[word] = np.array(ids, np.int32).tobytes()
+            self.known_bytes += len(raw)
+
     def forget(self, recent: Iterable[str]) -> None:
         """Drops what is known, but for the recent words, if it is more than a worker may keep."""
         if len(self.known) > KNOWN_WORDS or self.known_bytes > KNOWN_BYTES:
@@ -207,34 +217,42 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         encoder = worker_encoder(shared.value, pattern)
         ids: list = []
         waiting: list[list[str]] = []
-        new: set[str] = set()
+        new: dict[str, str] = {}
         chars, kind = 0, None
 
-        def flush() -> pa.RecordBatch:
-            encoder.learn(new)
-            packed = [encoder.encode(words) for words in waiting]
+        def results(packed: list[bytes], own: list) -> pa.RecordBatch:
             flat = np.frombuffer(b"".join(packed), np.int32)
             ends = np.cumsum([0] + [len(x) // 4 for x in packed], dtype=np.int64).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             decoded = [encoder.vocabulary.decode(np.frombuffer(x, np.int32).tolist()) for x in packed]
-            out = pa.RecordBatch.from_arrays([pa.array(ids, kind), tokens, pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
+            return pa.RecordBatch.from_arrays([pa.array(own, kind), tokens, pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            encoder.learn(new)
+            packed, own, size = [], [], 0
+            for i, words in zip(ids, waiting, strict=True):
+                x = encoder.encode(words)
+                if own and size + len(x) > RESULT_BYTES:
+                    yield results(packed, own)
+                    packed, own, size = [], [], 0
+                packed.append(x), own.append(i)
+                size += len(x)
+            yield results(packed, own)
             encoder.forget(new)
             ids.clear(), waiting.clear(), new.clear()
-            return out
 
         for batch in batches:
             kind = batch.schema.field(0).type
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = encoder.cut(text or "")
                 ids.append(i)
-                waiting.append(words)
-                new.update(words)
+                waiting.append([new.setdefault(w, w) for w in words])  # equal words of a block are one string
                 chars += len(text or "")
                 if chars >= BLOCK_CHARS:
-                    yield flush()
+                    yield from flush()
                     chars = 0
         if ids:
-            yield flush()
+            yield from flush()
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
     return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -431,3 +432,30 @@ def test_toxicity_with_labels_of_other_documents(spark):
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("grade")).unionByName(spark.range(10_000, 60_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("grade")))
     model = toxicity.train(docs, labels, fit_rows=200)
     assert model is not None and all(r["toxic"] == bool(r["doc_id"] % 2) for r in toxicity.severities(docs, model).collect())
+
+
+def test_a_replay_holds_few_bytes(library, monkeypatch):
+    """However many words of a block are new, the lists of a replay follow REPLAY_BYTES; a longer word is replayed alone."""
+    with open(RANKS, "rb") as f:
+        encoder = bpe.Encoder(f.read(), PATTERN)
+    sizes = []
+    monkeypatch.setattr(bpe, "REPLAY_BYTES", 500)
+    monkeypatch.setattr(bpe, "replay", lambda words, v, f=bpe.replay: (sizes.append([len(w) for w in words]), f(words, v))[1])
+    texts = [*odd_texts(120, 11), "é" * 900, "q" * 400]
+    words = [w for t in texts for w in encoder.cut(t)]
+    encoder.learn(words + words)
+    assert len(sizes) > 3 and all(sum(s) <= 500 or len(s) == 1 for s in sizes)
+    assert sum(map(len, sizes)) == len({w for w in words if w.encode() not in encoder.vocabulary.ranks})
+    for t in texts:
+        assert np.frombuffer(encoder.encode(encoder.cut(t)), np.int32).tolist() == library.encode_ordinary(t)
+
+
+def test_learning_many_words_takes_little_memory():
+    with open(RANKS, "rb") as f:
+        encoder = bpe.Encoder(f.read(), PATTERN)
+    words = [f"wxq{k:07d}zv" for k in range(50_000)]
+    tracemalloc.start()
+    encoder.learn(words)
+    now, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(encoder.known) == 50_000 and peak - now < 30_000_000
